@@ -22,18 +22,26 @@ from __future__ import annotations
 import base64
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
-from rasterloom.llm.common import BoundedCache, map_arrow, text_slices
-
-#: White space other than the space and the newline; texts with any of it are split by the pattern as a whole.
-RARE_SPACE = "\t\r\x0b\x0c\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
-CACHED_CHUNKS = 250_000
+from rasterloom.llm.chunks import IntTable, chunk_table, gather, join_parts, part_table
+from rasterloom.llm.common import batch_slices, map_arrow
+
+#: White space beside a space, or of another kind than the space and the newline; such texts are split by the pattern as a whole.
+_OTHER_SPACE = "\\t\\r\\x0b\\x0c\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
+MIXED_SPACE = rf" [ \n]|\n |[{_OTHER_SPACE}]"
+#: ASCII punctuation but the apostrophe, which may begin a piece of its own.
+BPE_MARKS = r"!-&(-/:-@\\[-`{-~"
+CACHED_PIECES = 600_000
+PAIR_TABLE_BITS = 20
+BATCH_PIECES = 40_000
+BATCH_BYTES = 256
 CACHED_PAIRS = 300_000
 
 
@@ -192,32 +200,173 @@ class PrefixTable:
         return out[::-1]
 
 
+class PrefixBatch:
+    """The prefix tables of many pieces at once: position by position, for all pieces together."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
+        nodes, edges, tokens = [vocabulary.trie], [], []
+        for number, node in enumerate(nodes):
+            tokens.append(node.get(-1, -1))
+            for byte, child in node.items():
+                if byte >= 0:
+                    edges.append((number << 8 | byte, len(nodes)))
+                    nodes.append(child)
+        self.token = np.array(tokens, np.int32)
+        self.next = IntTable(max(4, (3 * len(edges)).bit_length()))
+        self.next.put(np.array([e[0] for e in edges], np.int64), np.array([e[1] for e in edges], np.int32))
+        self.length = np.zeros(vocabulary.width, np.int64)
+        for raw, i in vocabulary.rank.items():
+            self.length[i] = len(raw)
+        self.pairs = IntTable(PAIR_TABLE_BITS)
+
+    def _fits(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether each right token may follow the left one (-2: the piece's start)."""
+        v = self.vocabulary
+        keys = (left.astype(np.int64) + 2) * v.width + right
+        known = self.pairs.get(keys)
+        new = np.unique(keys[known < 0])
+        if len(new):
+            if self.pairs.full:
+                self.pairs = IntTable(PAIR_TABLE_BITS)
+            checked = [v.alone(k) if a == 0 else v.follows(a - 2, k) for a, k in (divmod(key, v.width) for key in new.tolist())]
+            self.pairs.put(new, np.array(checked, np.int32))
+            known = np.where(known < 0, np.array(checked, np.int32)[np.minimum(np.searchsorted(new, keys), len(new) - 1)], known)
+        return known > 0
+
+    def encode(self, pieces: list[bytes]) -> list[bytes]:
+        """Each piece's ids as little-endian unsigned 32-bit integers."""
+        size = np.array(list(map(len, pieces)), np.int64)
+        data = np.frombuffer(b"".join(pieces), np.uint8).astype(np.int64)
+        begin = np.cumsum(size) - size
+        number = np.repeat(np.arange(len(pieces)), size)
+        stop = (begin + size)[number]
+        # all tokens that stand anywhere in the pieces
+        start, node, depth = np.arange(len(data)), np.zeros(len(data), np.int64), 0
+        starts, ends, tokens = [], [], []
+        while len(start):
+            node = self.next.get(node << 8 | data[start + depth])
+            alive = node >= 0
+            start, node = start[alive], node[alive].astype(np.int64)
+            depth += 1
+            token = self.token[node]
+            ending = token >= 0
+            starts.append(start[ending])
+            ends.append(start[ending] + depth)
+            tokens.append(token[ending])
+            going = start + depth < stop[start]
+            start, node = start[going], node[going]
+        start, end, token = np.concatenate(starts), np.concatenate(ends), np.concatenate(tokens)
+        owner = number[start]
+        order = np.argsort(end - begin[owner], kind="stable")
+        start, token, owner = start[order], token[order], owner[order]
+        reached = end[order] - begin[owner]
+        # prefix k of piece i is state begin[i] + i + k
+        before, after = start + owner, begin[owner] + owner + reached
+        last = np.full(len(data) + len(pieces), -1, np.int32)
+        last[begin + np.arange(len(pieces))] = -2
+        cuts = np.searchsorted(reached, np.arange(1, (int(size.max()) if len(size) else 0) + 2))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            left = last[before[a:b]]
+            good = np.flatnonzero(self._fits(left, token[a:b]) & (left != -1))
+            last[after[a:b][good]] = token[a:b][good]
+        # back from the ends
+        state, pending, step = begin + np.arange(len(pieces)) + size, np.flatnonzero(size), 0
+        owners, steps, out = [], [], []
+        while len(pending):
+            token = last[state[pending]]
+            if len(token) and token.min() < 0:
+                raise ValueError("the vocabulary does not cover these bytes")
+            owners.append(pending)
+            out.append(token)
+            steps.append(np.full(len(pending), step))
+            state[pending] -= self.length[token]
+            pending = pending[last[state[pending]] != -2]
+            step += 1
+        if not owners:
+            return [b""] * len(pieces)
+        owner, step_of, token = np.concatenate(owners), np.concatenate(steps), np.concatenate(out)
+        count = np.bincount(owner, minlength=len(pieces))
+        stops = np.cumsum(count)
+        ids = np.empty(len(token), "<u4")
+        ids[stops[owner] - 1 - step_of] = token
+        raw = ids.tobytes()
+        return [raw[4 * (e - n) : 4 * e] for e, n in zip(stops.tolist(), count.tolist())]
+
+
 class ByteBpe:
     """Encodes and decodes texts; one instance lives in each Python worker."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.vocabulary = Vocabulary(ranks)
+        self.batch = PrefixBatch(self.vocabulary)
         self.split = regex.compile(pattern).findall
-        self._pieces = BoundedCache(self._piece, CACHED_CHUNKS)
-        self._first = BoundedCache(self._chunk, CACHED_CHUNKS // 5)
-        self._rest = BoundedCache(lambda chunk: self._chunk(" " + chunk), CACHED_CHUNKS)
-
-    def _piece(self, piece: str) -> tuple[int, ...]:
-        data = piece.encode("utf-8", "surrogatepass")
-        whole = self.vocabulary.rank.get(data)
-        return (whole,) if whole is not None else tuple(PrefixTable(self.vocabulary, data).ids())
-
-    def _chunk(self, chunk: str) -> tuple[int, ...]:
-        pieces = self.split(chunk)
-        if len(pieces) == 1:
-            return self._pieces[pieces[0]]
-        return tuple(chain.from_iterable(map(self._pieces.__getitem__, pieces)))
+        self._known: dict[str, bytes] = {}
+        self.raw_size = self.batch.length
+        self.decimal = [str(i) for i in range(self.vocabulary.width)]
+
+    def _encode_pieces(self, pieces: list[str]) -> dict[str, bytes]:
+        out, new, longer = {}, [], []
+        for piece in pieces:
+            data = piece.encode("utf-8", "surrogatepass")
+            whole = self.vocabulary.rank.get(data)
+            if whole is not None:
+                out[piece] = whole.to_bytes(4, "little")
+            elif len(data) > BATCH_BYTES:
+                longer.append((piece, data))
+            else:
+                new.append((piece, data))
+        for piece, data in longer:
+            out[piece] = np.array(PrefixTable(self.vocabulary, data).ids(), "<u4").tobytes()
+        for at in range(0, len(new), BATCH_PIECES):
+            some = new[at : at + BATCH_PIECES]
+            out.update(zip([p for p, _ in some], self.batch.encode([d for _, d in some]), strict=True))
+        return out
+
+    def encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece, as bytes; new pieces are encoded together."""
+        known = self._known
+        out = list(map(known.get, pieces))
+        if None in out:
+            new = [p for p, ids in zip(pieces, out) if ids is None]
+            if len(known) + len(new) > CACHED_PIECES:
+                known.clear()
+            known.update(self._encode_pieces(new))
+            out = [ids if ids is not None else known[p] for p, ids in zip(pieces, out)]
+        return out
+
+    def encode_pieces_of(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts that the pattern splits one by one."""
+        split = list(map(self.split, texts))
+        pieces = list({p for own in split for p in own})
+        ids = dict(zip(pieces, self.encode_pieces(pieces), strict=True))
+        return [b"".join(map(ids.__getitem__, own)) for own in split]
+
+    def encode_texts(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of every text; a null text counts as empty."""
+        texts = pc.fill_null(texts, "")
+        mixed = pc.match_substring_regex(texts, MIXED_SPACE).to_numpy(zero_copy_only=False)
+        chunks, codes, offsets = chunk_table(pc.if_else(pa.array(mixed), "", texts))
+        # the first chunk of each text has no space before it
+        heads = chunks.take(pa.array(codes[offsets[:-1]])).dictionary_encode()
+        parts = part_table(chunks, BPE_MARKS)
+        n = len(parts.letters) + len(parts.marks) + len(parts.others)
+        ids = [
+            *self.encode_pieces([" " + p for p in parts.letters] + parts.marks), *self.encode_pieces_of([" " + c for c in parts.others]),
+            b"", *self.encode_pieces_of(heads.dictionary.to_pylist()),
+        ]
+        numbers = join_parts(parts, codes, n)
+        at = 2 * offsets[:-1]
+        numbers[at], numbers[at + 1] = n + 1 + heads.indices.to_numpy(), n
+        flat, counts = gather(ids, numbers, 2 * offsets)
+        out = np.split(flat, np.cumsum(counts)[:-1])
+        whole = np.flatnonzero(mixed).tolist()
+        for i, own in zip(whole, self.encode_pieces_of([texts[i].as_py() for i in whole]), strict=True):
+            out[i] = np.frombuffer(own, "<u4")
+        return out
 
     def encode(self, text: str) -> list[int]:
-        if "  " in text or " \n" in text or "\n " in text or any(c in text for c in RARE_SPACE):
-            return list(chain.from_iterable(map(self._pieces.__getitem__, self.split(text))))
-        first, *rest = text.split(" ")
-        return list(chain(self._first[first], chain.from_iterable(map(self._rest.__getitem__, rest))))
+        return self.encode_texts(pa.array([text], pa.string()))[0].tolist()
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.vocabulary.raw.__getitem__, ids))
@@ -242,8 +391,8 @@ def map_ids(df: DataFrame, ranks_path: str, pattern: str, finish: Callable[[Byte
         from pyspark.sql.pandas.types import to_arrow_schema
 
         bpe, arrow = codec(ranks_path, pattern), to_arrow_schema(schema)
-        for part, texts in text_slices(batches):
-            rows = [finish(bpe, bpe.encode(t or "")) for t in texts]
+        for part in batch_slices(batches):
+            rows = [finish(bpe, ids.tolist()) for ids in bpe.encode_texts(part["text"])]
             columns = zip(*rows) if rows else [[] for _ in names]
             yield pa.RecordBatch.from_arrays([part["doc_id"].cast(arrow.field(0).type), *(pa.array(list(c), arrow.field(i + 1).type) for i, c in enumerate(columns))], schema=arrow)
 

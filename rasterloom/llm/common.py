@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Texts of at most this many characters together (or one longer text) are handled at once in a Python worker.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 8_000_000
 
 
 class BoundedCache(dict):
@@ -33,20 +33,24 @@ class BoundedCache(dict):
         return value
 
 
-def text_slices(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Cut record batches into slices of bounded text; yields each slice and its texts (None stays None)."""
+def batch_slices(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Cut record batches into slices of bounded text."""
     for batch in batches:
         lengths = pc.fill_null(pc.binary_length(batch[column]), 0).to_pylist()
         start = held = 0
         for i, n in enumerate(lengths):
             if i > start and held + n > SLICE_CHARS:
-                part = batch.slice(start, i - start)
-                yield part, part[column].to_pylist()
+                yield batch.slice(start, i - start)
                 start, held = i, 0
             held += n
         if start < len(lengths):
-            part = batch.slice(start)
-            yield part, part[column].to_pylist()
+            yield batch.slice(start)
+
+
+def text_slices(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list]]:
+    """The slices and their texts (None stays None)."""
+    for part in batch_slices(batches, column):
+        yield part, part[column].to_pylist()
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType) -> DataFrame:
