@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from rasterloom.llm.common import map_arrow, text_slices
-from rasterloom.llm.word_tokens import slice_ids, word_tokens
+from rasterloom.llm.common import batch_slices, map_arrow
+from rasterloom.llm.word_tokens import ended_ids, word_tokens
 from rasterloom.session import materialize
 
 GROUPS = 32
@@ -209,24 +209,23 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int)
         StructField("doc_id", docs.schema["doc_id"].dataType), StructField("piece", IntegerType()), StructField("start", LongType()), StructField("length", LongType()),
         StructField("ids_crc32", LongType()), StructField("part", IntegerType()), StructField("nth", LongType()),
     ])
-    tail = np.array([end_id], "<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         from pyspark.sql.pandas.types import to_arrow_schema
 
         tokens, arrow, number = word_tokens(tokenizer_path), to_arrow_schema(schema), TaskContext.get().partitionId()
         seen: dict[int, int] = defaultdict(int)
-        for part, texts in text_slices(batches):
+        for part in batch_slices(batches):
             owner, rows = [], []
-            for i, ids in enumerate(slice_ids(tokens, part, texts)):
-                ids += tail
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    own = ids[at : at + 4 * capacity]
-                    length = len(own) // 4
+            values, counts = ended_ids(tokens, part["text"], end_id)
+            ids, before = memoryview(values.tobytes()), 0
+            for i, n in enumerate(counts.tolist()):
+                for k, at in enumerate(range(0, n, capacity)):
+                    length = min(capacity, n - at)
                     owner.append(i)
-                    rows.append((k, at // 4, length, zlib.crc32(own), number, seen[length]))
+                    rows.append((k, at, length, zlib.crc32(ids[4 * (before + at) : 4 * (before + at + length)]), number, seen[length]))
                     seen[length] += 1
+                before += n
             columns = list(zip(*rows, strict=True)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([part["doc_id"].cast(arrow.field(0).type).take(pa.array(owner, pa.int64())), *(pa.array(list(c), arrow.field(j + 1).type) for j, c in enumerate(columns))], schema=arrow)
 

@@ -18,7 +18,12 @@ _COUNT = np.array([1, *(n for n, _ in SELECTORS)], np.int64)
 _POWERS = np.array([1 << b for b in range(64)], np.uint64)
 
 
+_SHORT_BITS = np.searchsorted(_POWERS, np.arange(1 << 16, dtype=np.uint64), side="right").astype(np.uint8)
+
+
 def _bits(values: np.ndarray) -> np.ndarray:
+    if values.max() < 1 << 16:
+        return _SHORT_BITS[values.astype(np.uint16)]
     return np.searchsorted(_POWERS, values, side="right").astype(np.uint8)
 
 

@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
 from rasterloom.llm import simple8b
-from rasterloom.llm.common import map_arrow, text_slices
-from rasterloom.llm.word_tokens import slice_ids, word_tokens
+from rasterloom.llm.common import batch_slices, map_arrow
+from rasterloom.llm.word_tokens import ended_ids, word_tokens
 
 
 def _slots(spark: SparkSession, parts: int) -> list[int]:
@@ -54,16 +54,13 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
         StructField("slot", IntegerType()), StructField("shard", IntegerType()), StructField("doc_id", docs.schema["doc_id"].dataType),
         StructField("n_tokens", LongType()), StructField("block_offsets", ArrayType(IntegerType(), False)), StructField("words", BinaryType()),
     ])
-    tail = np.array([end_id], "<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         tokens, arrow = word_tokens(tokenizer_path), to_arrow_schema(schema)
-        for part, texts in text_slices(batches):
-            coded = [ids + tail for ids in slice_ids(tokens, part, texts)]
-            lengths = np.array([len(c) // 4 for c in coded], np.int64)
-            words, row_words, block_words = simple8b.encode(np.frombuffer(b"".join(coded), "<u4"), lengths)
+        for part in batch_slices(batches):
+            values, lengths = ended_ids(tokens, part["text"], end_id)
+            words, row_words, block_words = simple8b.encode(values, lengths)
             raw, ends = words.astype("<u8").tobytes(), np.concatenate([[0], np.cumsum(row_words)])
             offsets = np.cumsum(block_words) - block_words
             blocks = np.concatenate([[0], np.cumsum(-(-lengths // simple8b.BLOCK))])

@@ -1,30 +1,28 @@
-"""Ids of a word-level tokenizer, with bounded caches of the library's results.
+"""Ids of a word-level tokenizer, with a bounded cache of the library's results.
 
 The tokenizer drops white space and never joins across it, so the ids of a text
-are those of its chunks between spaces.  A chunk that is not in the cache and is
-letters with punctuation behind them is put together from its two parts; all
-other new parts of a batch go through the library in one call, set apart by a
+are those of its chunks between spaces.  A chunk of plain letters with
+punctuation behind them is put together from these two parts.  The parts that a
+slice of texts brings anew go through the library in few calls, set apart by a
 control character that has an id of its own.
 """
 
 from __future__ import annotations
 
 import os
-import re
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
-from rasterloom.llm.common import BoundedCache
+from rasterloom.llm.chunks import chunk_table, gather, join_parts, part_table
 
-CACHED_CHUNKS = 350_000
-CACHED_PARTS = 350_000
+CACHED_PARTS = 800_000
+#: Longer parts are not kept.
+KEPT_CHARS = 64
 #: U+0001 stands between parts that are encoded in one call.
 SEPARATOR = "\x01"
 CALL_PARTS = 500
-#: Letters that lower-casing and canonical composition treat one by one, then ASCII punctuation.
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\\[-`{-~]*)")
 
 
 class WordTokens:
@@ -36,58 +34,45 @@ class WordTokens:
         self.library.encode_special_tokens = True
         found = self.library.encode(SEPARATOR, add_special_tokens=False).ids
         self._mark = found[0] if len(found) == 1 else None
-        self._parts: dict[str, bytes] = {}
-        self._chunks = BoundedCache(self._chunk, CACHED_CHUNKS)
+        self._known: dict[str, bytes] = {"": b""}
 
     def _direct(self, part: str) -> bytes:
         return np.asarray(self.library.encode(part, add_special_tokens=False).ids, np.uint32).tobytes()
 
-    def _part(self, part: str) -> bytes:
-        found = self._parts.get(part)
-        if found is None:
-            found = self._direct(part)
-            if len(part) <= 64:
-                self._parts[part] = found
-        return found
-
-    @staticmethod
-    def _split(chunk: str) -> list[str]:
-        plain = _PLAIN.fullmatch(chunk)
-        if plain is None:
-            return [chunk]
-        letters, marks = plain.groups()
-        return [letters.lower(), marks] if marks else [letters.lower()]
-
-    def _chunk(self, chunk: str) -> bytes:
-        return b"".join(map(self._part, self._split(chunk))) if chunk else b""
-
-    def learn(self, texts: list[str | None]) -> None:
-        """Encode the parts that these texts bring anew, in one call of the library."""
-        if len(self._parts) >= CACHED_PARTS:
-            self._parts.clear()
-        chunks: set[str] = set()
-        for text in texts:
-            if text:
-                chunks.update(text.split(" "))
-        chunks = {c for c in chunks if c and len(c) <= 64 and c not in self._chunks}
-        new = {p for c in chunks for p in self._split(c) if p not in self._parts and SEPARATOR not in p}
-        if not new or self._mark is None:
-            return
-        parts = list(new)
-        calls = [parts[i : i + CALL_PARTS] for i in range(0, len(parts), CALL_PARTS)]
+    def _encode_new(self, parts: list[str]) -> dict[str, bytes]:
+        """The ids of distinct parts without spaces."""
+        out = {p: self._direct(p) for p in parts if len(p) > KEPT_CHARS or SEPARATOR in p or self._mark is None}
+        short = [p for p in parts if p not in out]
+        calls = [short[i : i + CALL_PARTS] for i in range(0, len(short), CALL_PARTS)]
         coded = self.library.encode_batch_fast([f" {SEPARATOR} ".join(c) for c in calls], add_special_tokens=False)
         for call, encoding in zip(calls, coded, strict=True):
             ids = np.asarray(encoding.ids, np.uint32)
             ends = np.flatnonzero(ids == self._mark)
             if len(ends) != len(call) - 1:
+                out.update((p, self._direct(p)) for p in call)
                 continue
             raw, cuts = ids.tobytes(), [-4, *(ends * 4).tolist(), 4 * len(ids)]
-            for i, part in enumerate(call):
-                self._parts[part] = raw[cuts[i] + 4 : cuts[i + 1]]
-
-    def encode(self, text: str | None) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers; a null text counts as empty."""
-        return b"".join(map(self._chunks.__getitem__, text.split(" "))) if text else b""
+            out.update((part, raw[cuts[i] + 4 : cuts[i + 1]]) for i, part in enumerate(call))
+        return out
+
+    def encode_parts(self, parts: list[str]) -> list[bytes]:
+        known = self._known
+        out = list(map(known.get, parts))
+        if None in out:
+            new = self._encode_new([p for p, ids in zip(parts, out) if ids is None])
+            if len(known) + len(new) > CACHED_PARTS:
+                known.clear()
+                known[""] = b""
+            known.update((p, ids) for p, ids in new.items() if len(p) <= KEPT_CHARS)
+            out = [ids if ids is not None else new[p] for p, ids in zip(parts, out)]
+        return out
+
+    def encode_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids (unsigned 32-bit), and each text's number of ids; a null text counts as empty."""
+        chunks, codes, offsets = chunk_table(texts)
+        parts = part_table(chunks, lower=True)
+        ids = self.encode_parts([*parts.letters, *parts.marks, *parts.others, ""])
+        return gather(ids, join_parts(parts, codes, len(ids) - 1), 2 * offsets)
 
 
 @lru_cache(maxsize=2)
@@ -95,6 +80,7 @@ def word_tokens(path: str) -> WordTokens:
     return WordTokens(path)
 
 
-def slice_ids(tokens: WordTokens, part: pa.RecordBatch, texts: list) -> list[bytes]:
-    tokens.learn(texts)
-    return [tokens.encode(t) for t in texts]
+def ended_ids(tokens: WordTokens, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """All ids with ``end_id`` behind each text's, and each text's number of ids with it."""
+    ids, counts = tokens.encode_texts(texts)
+    return np.insert(ids, np.cumsum(counts), end_id), counts + 1
