@@ -143,3 +143,13 @@ def synthetic_scene(spark, sf_dir):
     from rasterloom.sources.scenes import scenes
 
     return scenes(spark)
+
+
+@query(QUERIES)
+def sheet_stats(spark, sf_dir):
+    """Whole sheets of the drawn scenes, as reports."""
+    from rasterloom.plans.config import Config
+    from rasterloom.plans.sheets import sheets, stats
+    from rasterloom.sources.scenes import scenes
+
+    return stats(sheets(scenes(spark), Config(superpixels=300)))

@@ -1 +1 @@
-
+"""The operators are batch only; pixel-local ones (colours, masks) also take streaming DataFrames as they are."""
