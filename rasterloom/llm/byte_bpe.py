@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,14 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
 from rasterloom.llm.chunks import IntTable, chunk_table, gather, join_parts, part_table
-from rasterloom.llm.common import batch_slices, map_arrow
+from rasterloom.llm.common import batch_slices, held, map_arrow
 
 #: White space beside a space, or of another kind than the space and the newline; such texts are split by the pattern as a whole.
 _OTHER_SPACE = "\\t\\r\\x0b\\x0c\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
 MIXED_SPACE = rf" [ \n]|\n |[{_OTHER_SPACE}]"
 #: ASCII punctuation but the apostrophe, which may begin a piece of its own.
 BPE_MARKS = r"!-&(-/:-@\\[-`{-~"
-CACHED_PIECES = 600_000
+CACHED_PIECES = 450_000
 PAIR_TABLE_BITS = 20
 BATCH_PIECES = 40_000
 BATCH_BYTES = 256
@@ -310,7 +309,9 @@ class ByteBpe:
         for piece in pieces:
             data = piece.encode("utf-8", "surrogatepass")
             whole = self.vocabulary.rank.get(data)
-            if whole is not None:
+            if not data:
+                out[piece] = b""
+            elif whole is not None:
                 out[piece] = whole.to_bytes(4, "little")
             elif len(data) > BATCH_BYTES:
                 longer.append((piece, data))
@@ -377,9 +378,9 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-@lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> ByteBpe:
-    return ByteBpe(read_ranks(path), pattern)
+    """The worker's codec."""
+    return held(("byte bpe", path, pattern), lambda: ByteBpe(read_ranks(path), pattern))
 
 
 def map_ids(df: DataFrame, ranks_path: str, pattern: str, finish: Callable[[ByteBpe, list[int]], tuple], fields: list[StructField]) -> DataFrame:

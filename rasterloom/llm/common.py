@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Texts of at most this many characters together (or one longer text) are handled at once in a Python worker.
-SLICE_CHARS = 8_000_000
+SLICE_CHARS = 3_000_000
 
 
 class BoundedCache(dict):
@@ -33,6 +35,30 @@ class BoundedCache(dict):
         return value
 
 
+_HELD: dict = {}
+
+
+def held(key: tuple, make: Callable):
+    """The worker's one large object (tables and caches of an operator), made when it isn't the one of ``key``.
+
+    Workers are reused by later stages; what an earlier operator held is let go first.
+    """
+    if key not in _HELD:
+        release_held()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def release_held() -> None:
+    """Let go of what an earlier operator held in this worker."""
+    _HELD.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:  # the C library keeps freed memory otherwise
+        trim(0)
+
+
 def batch_slices(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
     """Cut record batches into slices of bounded text."""
     for batch in batches:

@@ -31,13 +31,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from rasterloom.llm.chunks import chunk_table, part_table
-from rasterloom.llm.common import BoundedCache, batch_slices, map_arrow, text_slices
+from rasterloom.llm.common import BoundedCache, batch_slices, held, map_arrow, release_held, text_slices
 
 UNKNOWN = "und"
 SAMPLE_DOCS = 300
 ROUNDS = 3
 SMOOTHING = 0.05
-CACHED_WORDS = 400_000
+CACHED_WORDS = 250_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 _START = "▁"
 
@@ -203,6 +203,7 @@ def _word_counts(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
+        release_held()
         arrow = to_arrow_schema(schema)
         for part, texts in text_slices(batches):
             counts: dict[tuple[str, str], int] = defaultdict(int)
@@ -240,15 +241,9 @@ def verdicts(model: LanguageModel, scores: np.ndarray, words: np.ndarray) -> lis
     return [(model.languages[b], p) if n else (UNKNOWN, 0.0) for b, p, n in zip(best.tolist(), share.tolist(), words.tolist())]
 
 
-_SCORERS: dict[int, Scorer] = {}
-
-
-def _worker_scorer(sent) -> tuple[LanguageModel, Scorer]:
+def _worker_scorer(sent: _Sent) -> tuple[LanguageModel, Scorer]:
     """The worker's scorer for a broadcast model; kept over tasks."""
-    if sent.id not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[sent.id] = Scorer(sent.value)
-    return sent.value, _SCORERS[sent.id]
+    return held(("language", sent.id), lambda: (sent.value, Scorer(sent.value)))
 
 
 class _Sent:

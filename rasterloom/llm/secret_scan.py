@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from rasterloom.llm.common import map_arrow, text_slices
+from rasterloom.llm.common import map_arrow, release_held, text_slices
 
 #: Kinds in the order of ties, base patterns and least lengths.
 KINDS = ("assign", "access", "hex", "named")
@@ -219,6 +219,7 @@ def map_spans(docs: DataFrame, finish: Callable[[list[Span]], tuple], fields: li
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
+        release_held()
         arrow = to_arrow_schema(schema)
         for part, texts in text_slices(batches):
             columns = zip(*[finish(all_spans(t)) for t in texts], strict=True)
@@ -238,6 +239,7 @@ def redact_documents(docs: DataFrame) -> DataFrame:
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_held()
         for part, texts in text_slices(batches):
             clean = [redact(t) for t in texts]
             columns = [part.column(i) for i in range(part.num_columns)]

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from rasterloom.llm.common import map_arrow, text_slices
+from rasterloom.llm.common import map_arrow, release_held, text_slices
 from rasterloom.llm.components import connected_components, union_find
 from rasterloom.session import materialize
 
@@ -95,6 +95,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
+        release_held()
         arrow = to_arrow_schema(schema)
         for part, texts in text_slices(batches):
             hashes = [shingle_hashes(t) for t in texts]

@@ -10,14 +10,14 @@ control character that has an id of its own.
 from __future__ import annotations
 
 import os
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
 from rasterloom.llm.chunks import chunk_table, gather, join_parts, part_table
+from rasterloom.llm.common import held
 
-CACHED_PARTS = 800_000
+CACHED_PARTS = 350_000
 #: Longer parts are not kept.
 KEPT_CHARS = 64
 #: U+0001 stands between parts that are encoded in one call.
@@ -75,9 +75,9 @@ class WordTokens:
         return gather(ids, join_parts(parts, codes, len(ids) - 1), 2 * offsets)
 
 
-@lru_cache(maxsize=2)
 def word_tokens(path: str) -> WordTokens:
-    return WordTokens(path)
+    """The worker's tokenizer."""
+    return held(("word tokens", path), lambda: WordTokens(path))
 
 
 def ended_ids(tokens: WordTokens, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
