@@ -316,17 +316,17 @@ def gaussian(image: np.ndarray, sigma: float, truncate: float = 4.0) -> np.ndarr
 
 def bilateral(image: np.ndarray, sigma_value: float, sigma_space: float) -> np.ndarray:
     """Average over the window, weighted by distance and by likeness over all channels."""
-    image = image if image.ndim == 3 else image[..., None]
+    image = (image if image.ndim == 3 else image[..., None]).astype(np.float32)
     radius = max(1, int(math.ceil(3 * sigma_space)) // 2)
     padded = np.pad(image, ((radius, radius), (radius, radius), (0, 0)), mode="edge")
-    total, weight = np.zeros_like(image, float), np.zeros(image.shape[:2])
+    total, weight = np.zeros_like(image), np.zeros(image.shape[:2], np.float32)
     for dy in range(-radius, radius + 1):
         for dx in range(-radius, radius + 1):
             near = padded[radius + dy : radius + dy + image.shape[0], radius + dx : radius + dx + image.shape[1]]
             w = math.exp(-0.5 * (dy * dy + dx * dx) / sigma_space**2) * np.exp(-0.5 * ((near - image) ** 2).sum(-1) / sigma_value**2)
             total += w[..., None] * near
             weight += w
-    return np.squeeze(total / weight[..., None])
+    return np.squeeze(total / weight[..., None]).astype(float)
 
 
 def canny(image: np.ndarray, sigma: float, low: float, high: float) -> np.ndarray:

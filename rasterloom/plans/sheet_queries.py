@@ -97,10 +97,10 @@ def labelling_summary(spark, sf_dir):
 
 @query(QUERIES, f"""WITH {_IMAGES_SQL} SELECT p_partkey, round(greatest(0.18, least(0.42, 0.25 * CASE WHEN page_format = 'a3' THEN 1.12::DOUBLE ELSE 1.0 END + greatest(0.0, least(0.06, (200.0 / w - 0.16) * 0.45)))), 6) AS line_width_mm,
  CAST(CASE WHEN 200.0::DOUBLE / w >= 0.22 THEN least(3, greatest(2, colors % 4 + 1)) ELSE greatest(1, colors % 4) END AS INTEGER) AS smoothing_iterations,
- round(greatest(18.0, greatest(2.5, least(8.0, area * 0.4)) / pow(200.0::DOUBLE / w, 2)), 2) AS min_smooth_area_px, round(0.1 / (200.0::DOUBLE / w), 2) AS simplify_tolerance_px FROM images""")
+ round(greatest(18.0, greatest(2.5, least(8.0, area * 0.4)) / pow(200.0::DOUBLE / w, 2)), 8) AS min_smooth_area_px, round(0.1 / (200.0::DOUBLE / w), 8) AS simplify_tolerance_px FROM images""")
 def render_profile(spark, sf_dir):
     out = sheet.render_profile(F.col("page_format"), F.lit(200.0) / F.col("w"), F.lit(0.25), F.col("colors") % 4, F.col("area"), F.lit(18.0), F.lit(0.1))
-    return images(spark, sf_dir).select("p_partkey", *[c.alias(n) if n == "smoothing_iterations" else F.round(c, 2 if n.endswith("px") else 6).alias(n) for n, c in out.items()])
+    return images(spark, sf_dir).select("p_partkey", *[c.alias(n) if n == "smoothing_iterations" else F.round(c, 8 if n.endswith("px") else 6).alias(n) for n, c in out.items()])
 
 
 @query(QUERIES, "SELECT n_nationkey, 12.0::DOUBLE + (n_nationkey % 6) * 30.0::DOUBLE AS x_mm, 250.0::DOUBLE + (n_nationkey // 6) * 7.0::DOUBLE AS y_mm FROM nation")

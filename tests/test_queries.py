@@ -35,7 +35,7 @@ def test_query_matches_sql(spark, oracle, name):
     assert list(got.columns) == list(want.columns) and len(got) == len(want)
     for c in got.columns:
         if got[c].dtype.kind == "f":
-            assert np.allclose(got[c], want[c].astype(float), atol=1e-2 if c.endswith("px") else 2e-6, equal_nan=True), c
+            assert np.allclose(got[c], want[c].astype(float), atol=2e-6, equal_nan=True), c
         else:
             assert (got[c].astype(str) == want[c].astype(str)).all() or np.array_equal(got[c].to_numpy(float), want[c].to_numpy(float), equal_nan=True), c
 
