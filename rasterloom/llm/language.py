@@ -43,7 +43,11 @@ _START = "▁"
 
 
 def words_of(text: str) -> list[str]:
-    return _LETTERS.findall(text.lower())
+    """Runs of letters in lower case; number signs that count as word characters are no letters."""
+    words = _LETTERS.findall(text.lower())
+    if all(map(str.isalpha, words)):
+        return words
+    return [own for w in words if (own := "".join(filter(str.isalpha, w)))]
 
 
 def read_pieces(path: str) -> tuple[dict[str, int], list[int]]:
