@@ -37,10 +37,15 @@ def bind_raster(events: DataFrame, classes: int) -> DataFrame:
     )
 
 
+def by_image(pixels: DataFrame) -> DataFrame:
+    """Bring each image's pixels together, once for all windows over its rows and columns and for aggregates per image."""
+    return pixels.repartition("image_id")
+
+
 def neighbour_pairs(pixels: DataFrame, label: str) -> DataFrame:
     """Each horizontal and vertical pair of neighbours: image_id, a, b."""
     right, below = F.lead(label).over(row()), F.lead(label).over(column())
-    both = pixels.select("image_id", F.col(label).alias("a"), right.alias("right"), below.alias("below"))
+    both = by_image(pixels).select("image_id", F.col(label).alias("a"), right.alias("right"), below.alias("below"))
     return both.select("image_id", "a", F.explode(F.array("right", "below")).alias("b")).where("b is not null")
 
 
@@ -53,38 +58,42 @@ def adjacency(pixels: DataFrame, label: str, least: int = 1) -> DataFrame:
 def boundary_mask(pixels: DataFrame, label: str) -> DataFrame:
     """Pixels with ``boundary``: whether a neighbour along an axis has another label."""
     differs = [F.coalesce(f(label).over(w) != F.col(label), F.lit(False)) for w in (row(), column()) for f in (F.lag, F.lead)]
-    return pixels.withColumn("boundary", differs[0] | differs[1] | differs[2] | differs[3])
+    return by_image(pixels).withColumn("boundary", differs[0] | differs[1] | differs[2] | differs[3])
 
 
 def perimeters(pixels: DataFrame, label: str) -> DataFrame:
     """Sides between labels and at the page's border, per label; a corner pixel has two border sides."""
     sides = [F.when(F.coalesce(f(label).over(w) != F.col(label), F.lit(True)), 1).otherwise(0) for w in (row(), column()) for f in (F.lag, F.lead)]
-    return pixels.select("image_id", F.col(label).alias("label"), (sides[0] + sides[1] + sides[2] + sides[3]).alias("sides")).groupBy("image_id", "label").agg(F.sum("sides").alias("perimeter"))
+    return by_image(pixels).select("image_id", F.col(label).alias("label"), (sides[0] + sides[1] + sides[2] + sides[3]).alias("sides")).groupBy("image_id", "label").agg(F.sum("sides").alias("perimeter"))
 
 
 def _axis(window, radius: int):
     return window.rowsBetween(-radius, radius)
 
 
+def _square(pixels: DataFrame, best, value: str, radius: int, out: str) -> DataFrame:
+    return pixels.withColumn(out, best(value).over(_axis(row(), radius))).withColumn(out, best(out).over(_axis(column(), radius)))
+
+
 def square_max(pixels: DataFrame, value: str, radius: int, out: str) -> DataFrame:
     """Maximum over the (2r + 1) square; beyond the border the nearest pixel counts, which changes no maximum."""
-    return pixels.withColumn(out, F.max(value).over(_axis(row(), radius))).withColumn(out, F.max(out).over(_axis(column(), radius)))
+    return _square(by_image(pixels), F.max, value, radius, out)
 
 
 def square_min(pixels: DataFrame, value: str, radius: int, out: str) -> DataFrame:
-    return pixels.withColumn(out, F.min(value).over(_axis(row(), radius))).withColumn(out, F.min(out).over(_axis(column(), radius)))
+    return _square(by_image(pixels), F.min, value, radius, out)
 
 
 def cross_dilate(pixels: DataFrame, mask: str, out: str) -> DataFrame:
     """Dilation with the cross of four neighbours; outside counts as unset."""
     near = [F.coalesce(f(mask).over(w), F.lit(False)) for w in (row(), column()) for f in (F.lag, F.lead)]
-    return pixels.withColumn(out, F.col(mask) | near[0] | near[1] | near[2] | near[3])
+    return by_image(pixels).withColumn(out, F.col(mask) | near[0] | near[1] | near[2] | near[3])
 
 
 def cross_erode(pixels: DataFrame, mask: str, out: str) -> DataFrame:
     """Erosion with the cross of four neighbours; outside counts as unset."""
     near = [F.coalesce(f(mask).over(w), F.lit(False)) for w in (row(), column()) for f in (F.lag, F.lead)]
-    return pixels.withColumn(out, F.col(mask) & near[0] & near[1] & near[2] & near[3])
+    return by_image(pixels).withColumn(out, F.col(mask) & near[0] & near[1] & near[2] & near[3])
 
 
 def close_mask(pixels: DataFrame, mask: str, out: str, times: int = 2) -> DataFrame:
@@ -92,7 +101,7 @@ def close_mask(pixels: DataFrame, mask: str, out: str, times: int = 2) -> DataFr
     grown = square_max(pixels, mask, times, "_grown")
     # outside counts as unset: pixels within ``times`` of the border are eroded unless the window is whole
     whole = [F.count(F.lit(1)).over(_axis(w, times)) == 2 * times + 1 for w in (row(), column())]
-    shrunk = square_min(grown, "_grown", times, "_shrunk")
+    shrunk = _square(grown, F.min, "_grown", times, "_shrunk")
     return shrunk.withColumn(out, F.col("_shrunk") & whole[0] & whole[1]).drop("_grown", "_shrunk")
 
 
@@ -106,7 +115,7 @@ def mode_filter(pixels: DataFrame, classes: Sequence[int], radius: int) -> DataF
     The square's count of a class is separable: windows sum along rows, then
     along columns, with the repeated border added by weight.
     """
-    out = pixels
+    out = by_image(pixels)
     for c in classes:
         out = out.withColumn(f"_n{c}", (F.col("p") == c).cast("int"))
     for window, axis, across in ((row(), "x", "y"), (column(), "y", "x")):
@@ -141,7 +150,7 @@ def gaussian(pixels: DataFrame, value: str, sigma: float, truncate: float = 4.0)
     radius = int(truncate * sigma + 0.5)
     weights = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-radius, radius + 1)]
     total = sum(weights)
-    out = pixels.withColumn("blurred", F.col(value).cast("double"))
+    out = by_image(pixels).withColumn("blurred", F.col(value).cast("double"))
     for window, axis, across in ((row(), "x", "y"), (column(), "y", "x")):
         ends = Window.partitionBy("image_id", across)
         out = out.withColumns({"_low": F.col(axis) - F.min(axis).over(ends), "_high": F.max(axis).over(ends) - F.col(axis)})
