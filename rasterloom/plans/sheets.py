@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from rasterloom.functions.sheet import PAGES_MM
 from rasterloom.operators import kernels as k
@@ -25,7 +25,8 @@ _COLOUR = StructType([StructField("palette_index", IntegerType()), StructField("
 _REGION = StructType([StructField("region_id", LongType()), StructField("palette_index", IntegerType()), StructField("pixel_count", LongType()), StructField("area_mm2", DoubleType()), StructField("max_thickness_mm", DoubleType()), StructField("x_px", DoubleType()), StructField("y_px", DoubleType()), StructField("font_size_mm", DoubleType())])
 SHEET = StructType([
     StructField("image_id", StringType()), StructField("width", IntegerType()), StructField("height", IntegerType()), StructField("regions_before", LongType()),
-    StructField("palette", ArrayType(_COLOUR)), StructField("regions", ArrayType(_REGION)), StructField("merges", ArrayType(_MERGE)), StructField("svg", StringType()),
+    StructField("palette", ArrayType(_COLOUR)), StructField("regions", ArrayType(_REGION)), StructField("merges", ArrayType(_MERGE)), StructField("svg", StringType()), StructField("palette_svg", StringType()),
+    StructField("coloring_png", BinaryType()), StructField("model_png", BinaryType()), StructField("pdf", BinaryType()),
 ])
 
 
@@ -168,7 +169,44 @@ def make_sheet(rgb: np.ndarray, config: Config, subject: np.ndarray | None = Non
     svg = sinks.svg_sheet(page_w, page_h, config.title, [(path(p), c, w) for p, c, w in lines], [(left + r["x_px"] * scale, top + r["y_px"] * scale, r["font_size_mm"], str(r["palette_index"] + 1)) for r in regions])
     used = np.bincount(np.array([classes[i] for i in range(1, len(classes) + 1)])[ids.ravel() - 1], minlength=len(colours))
     palette = [{"palette_index": i, "hex": lab_hex(c), "l": float(c[0]), "a": float(c[1]), "b": float(c[2]), "pixels": int(n)} for i, (c, n) in enumerate(zip(colours, used))]
-    return {"width": width, "height": height, "regions_before": before, "palette": palette, "regions": regions, "merges": [m._asdict() for m in log], "svg": svg}
+    shown = np.array([[int(c["hex"][i : i + 2], 16) for i in (1, 3, 5)] for c in palette])
+    line = k.boundary(ids)[..., None]
+    model = shown[np.array([0, *(classes[i] for i in range(1, len(classes) + 1))])[ids]]
+    blank = np.where(line, 40, 255) * np.ones(3, int)
+    return {
+        "width": width, "height": height, "regions_before": before, "palette": palette, "regions": regions, "merges": [m._asdict() for m in log], "svg": svg, "palette_svg": palette_sheet(palette, config, page_w, page_h),
+        "coloring_png": sinks.png(blank), "model_png": sinks.png(np.where(line, 40, model)), "pdf": sinks.pdf([on_page(blank, page_w / page_h), palette_page(shown, page_w / page_h)], page_w, page_h),
+    }
+
+
+def on_page(image: np.ndarray, shape: float) -> np.ndarray:
+    """The image in the middle of a white page with the given ratio of width to height."""
+    height, width = image.shape[:2]
+    page_h = max(math.ceil(height * 1.1), math.ceil(width * 1.1 / shape))
+    page_w = math.ceil(page_h * shape)
+    out = np.full((page_h, page_w, 3), 255)
+    y, x = (page_h - height) // 2, (page_w - width) // 2
+    out[y : y + height, x : x + width] = image
+    return out
+
+
+def palette_page(colours: np.ndarray, shape: float, cell: int = 40, columns: int = 4) -> np.ndarray:
+    """Colour fields in reading order on a page."""
+    rows = -(-len(colours) // columns)
+    grid = np.full((rows * columns, 3), 255)
+    grid[: len(colours)] = colours
+    fields = np.kron(grid.reshape(rows, columns, 3), np.ones((cell, cell, 1), int))
+    fields[::cell] = fields[:, ::cell] = 255
+    return on_page(fields, shape)
+
+
+def palette_sheet(palette: list[dict], config: Config, page_w: float, page_h: float) -> str:
+    """The palette's colour fields with their numbers as a vector sheet."""
+    columns = max(1, int((page_w - 2 * config.margin_mm) // 30))
+    place = lambda i: (config.margin_mm + i % columns * 30, config.margin_mm + 9 + i // columns * 7)
+    fields = [(f"M {x:g} {y:g} L {x + 8:g} {y:g}", c["hex"], 5.0) for c in palette for x, y in [place(c["palette_index"])]]
+    numbers = [(x + 14, y, 3.2, str(c["palette_index"] + 1)) for c in palette for x, y in [place(c["palette_index"])]]
+    return sinks.svg_sheet(page_w, page_h, config.title, fields, numbers)
 
 
 def place_labels(ids: np.ndarray, classes: dict[int, int], config: Config, scale: float) -> list[dict]:
@@ -247,7 +285,7 @@ def export(made: DataFrame, path: str, overwrite: bool = False) -> None:
     sinks.write_table(made.select("image_id", F.explode("regions").alias("r")).select("image_id", "r.*"), f"{path}/regions", "regions", overwrite)
     sinks.write_table(made.select("image_id", F.explode("merges").alias("m")).select("image_id", "m.*"), f"{path}/merges", "merges", overwrite)
     sinks.write_report(stats(made), f"{path}/stats", overwrite)
-    made.select("image_id", "svg").write.mode("overwrite" if overwrite else "errorifexists").parquet(f"{path}/svg")
+    made.select("image_id", "svg", "palette_svg", "coloring_png", "model_png", "pdf").write.mode("overwrite" if overwrite else "errorifexists").parquet(f"{path}/drawings")
 
 
 def run_images(spark: SparkSession, source: str, target: str, config: Config, overwrite: bool = False) -> None:

@@ -103,3 +103,28 @@ def test_requests(spark):
 def test_polygon_fill(spark):
     square = spark.createDataFrame([([(2.0, 2.0), (8.0, 2.0), (8.0, 6.0), (2.0, 6.0)],)], "points array<struct<x: double, y: double>>")
     assert zones.fill_polygon(square, 20, 20).count() == 24
+
+
+def test_server(spark):
+    import base64
+    import json
+    import threading
+    import urllib.error
+    import urllib.request
+
+    from rasterloom.server import serve
+
+    image = np.full((60, 80, 3), 235, np.uint8)
+    image[15:45, 20:60] = (30, 90, 170)
+    url = "data:image/png;base64," + base64.b64encode(sinks.png(image)).decode()
+    with serve(spark, port=0) as server:
+        threading.Thread(target=server.serve_forever, daemon=True).start()
+        at = f"http://127.0.0.1:{server.server_port}"
+        post = lambda path, body: json.loads(urllib.request.urlopen(urllib.request.Request(at + path, json.dumps(body).encode()), timeout=120).read())
+        assert json.loads(urllib.request.urlopen(at + "/health").read()) == {"ok": True}
+        made = post("/generate", {"image": {"name": "a.png", "dataUrl": url}, "colors": 3, "detailZones": [{"mode": "brush", "points": [{"x": 0.5, "y": 0.5}], "radius": 0.05}]})
+        assert made["ok"] and made["actualColors"] >= 2 and made["pdfDocument"].startswith("data:application/pdf")
+        assert post("/mask", {"image": {"dataUrl": url}})["subject"]["mode"] in ("manual", "global")
+        with pytest.raises(urllib.error.HTTPError):
+            post("/generate", {"image": {"dataUrl": "nothing"}})
+        server.shutdown()
