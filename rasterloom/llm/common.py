@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Texts of at most this many characters together (or one longer text) are handled at once in a Python worker.
-SLICE_CHARS = 3_000_000
+SLICE_CHARS = 2_000_000
 
 
 class BoundedCache(dict):
@@ -53,6 +53,11 @@ def release_held() -> None:
     """Let go of what an earlier operator held in this worker."""
     _HELD.clear()
     gc.collect()
+    tidy()
+
+
+def tidy() -> None:
+    """Give freed memory back to the system; idle workers would keep it."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:  # the C library keeps freed memory otherwise
@@ -71,6 +76,8 @@ def batch_slices(batches: Iterable[pa.RecordBatch], column: str = "text") -> Ite
             held += n
         if start < len(lengths):
             yield batch.slice(start)
+    batch = None
+    tidy()
 
 
 def text_slices(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list]]:

@@ -18,42 +18,57 @@ from pyspark.sql import functions as F
 from rasterloom.session import materialize
 
 MOST_ROUNDS = 60
+#: A task holds at most about this many nodes at once.
+LOCAL_NODES = 300_000
+
+
+class UnionFind:
+    """Joins nodes; every component is named by its smallest node."""
+
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
+
+    def root(self, node: int) -> int:
+        parent = self.parent
+        top = node
+        while (up := parent.setdefault(top, top)) != top:
+            top = up
+        while (up := parent[node]) != top:
+            parent[node], node = top, up
+        return top
+
+    def join(self, left: list[int], right: list[int]) -> None:
+        for a, b in zip(left, right):
+            a, b = self.root(a), self.root(b)
+            if a != b:
+                self.parent[max(a, b)] = min(a, b)
+
+    def roots(self) -> dict[int, int]:
+        return {node: self.root(node) for node in list(self.parent)}
 
 
 def union_find(left: list[int], right: list[int]) -> dict[int, int]:
     """Node to smallest node of its component, for the nodes of these edges."""
-    parent: dict[int, int] = {}
-    for a, b in zip(left, right):
-        roots = []
-        for x in (a, b):
-            root = x
-            while (up := parent.setdefault(root, root)) != root:
-                root = up
-            while parent[x] != root:
-                parent[x], x = root, parent[x]
-            roots.append(root)
-        a, b = roots
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-    out = {}
-    for x in parent:
-        root = x
-        while parent[root] != root:
-            root = parent[root]
-        out[x] = parent[x] = root
-    return out
+    joined = UnionFind()
+    joined.join(left, right)
+    return joined.roots()
 
 
 def _local(edges: DataFrame) -> DataFrame:
-    """Edges (a, b) with b the smallest node that a task's own edges join a to."""
+    """Edges (a, b) with b the smallest node that up to ``LOCAL_NODES`` nodes' edges in a task join a to."""
+
+    def stars(joined: UnionFind) -> pa.RecordBatch:
+        pairs = np.array([(a, b) for a, b in joined.roots().items() if a != b], np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, int] = {}
+        joined = UnionFind()
         for batch in batches:
-            left, right = batch["a"].to_pylist(), batch["b"].to_pylist()
-            held = union_find([*held.keys(), *left], [*held.values(), *right])
-        pairs = [(a, b) for a, b in held.items() if a != b]
-        yield pa.RecordBatch.from_arrays([pa.array(np.array([p[0] for p in pairs], np.int64)), pa.array(np.array([p[1] for p in pairs], np.int64))], names=["a", "b"])
+            joined.join(batch["a"].to_pylist(), batch["b"].to_pylist())
+            if len(joined.parent) > LOCAL_NODES:
+                yield stars(joined)
+                joined = UnionFind()
+        yield stars(joined)
 
     return edges.select("a", "b").mapInArrow(run, "a long, b long")
 

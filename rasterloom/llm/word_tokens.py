@@ -17,7 +17,7 @@ import pyarrow as pa
 from rasterloom.llm.chunks import chunk_table, gather, join_parts, part_table
 from rasterloom.llm.common import held
 
-CACHED_PARTS = 350_000
+CACHED_PARTS = 250_000
 #: Longer parts are not kept.
 KEPT_CHARS = 64
 #: U+0001 stands between parts that are encoded in one call.
