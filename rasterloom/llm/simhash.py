@@ -9,9 +9,10 @@ radius agrees under some mask and meets in that mask's table.
 
 The tables' rows are brought together by (mask, masked bits) and read in order;
 what meets is compared in the task and leaves it as a spanning forest, one edge
-per fingerprint at most.  Larger meetings are joined in linear time: two
-fingerprints within r = 2k of each other have a common neighbour within k of
-both, so sorting all such neighbours finds their connections.
+per fingerprint at most.  Larger meetings are joined over common neighbours: two
+fingerprints within r = 2k of each other have one within k of both, so sorting
+all such neighbours finds their connections.  To bound memory the neighbours
+are enumerated once for every 3000 fingerprints of the meeting.
 
 Defined cases: a null or wordless text has fingerprint zero and is linked like
 any other; texts with fewer words than a shingle have one shingle of all their
