@@ -78,9 +78,10 @@ def max_thickness(spark, sf_dir):
 
 @query(QUERIES)
 def palette_cleanup(spark, sf_dir):
-    """Near palette colours joined, per market segment."""
+    """Near palette colours joined: every part is a colour, and each run of keys is one image's palette."""
     rgb = color.key_rgb(F.col("p_partkey"))
-    rows = table(spark, sf_dir, "part").where("p_partkey <= 400").select((F.col("p_partkey") % 10).cast("int").alias("image_id"), F.floor(F.col("p_partkey") / 10).cast("int").alias("palette_index"), F.col("p_size").cast("long").alias("pixels"), *[c.alias(n) for n, c in zip("lab", color.rgb_to_lab(*rgb), strict=True)])
+    image, index = F.floor(F.col("p_partkey") / pal.MOST_COLOURS), F.pmod(F.col("p_partkey"), F.lit(pal.MOST_COLOURS))
+    rows = table(spark, sf_dir, "part").select(image.cast("int").alias("image_id"), index.cast("int").alias("palette_index"), F.col("p_size").cast("long").alias("pixels"), *[c.alias(n) for n, c in zip("lab", color.rgb_to_lab(*rgb), strict=True)])
     return pal.cleaned(rows, 12.0, 4)
 
 _STEP, _COMPACT = 10.0, 4.0
