@@ -52,7 +52,6 @@ SENSITIVE = {
 _HINTS = ("pass", "pwd", "secret", "token", "key", "cred", "auth", "bearer", "salt")
 PLACEHOLDERS = {"changeme", "example", "password", "secret", "token", "none", "null", "true", "false", "undefined", "placeholder", "redacted", "your_password", "your_token"}
 LEAST_SCORE = 5.0
-PROPAGATION_ROUNDS = 4
 _OPERATOR = re.compile(r"[=:]")
 _NAME_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 _QUOTED = re.compile(r'"((?:[^"\\\n]|\\.)*)"|\'((?:[^\'\\\n]|\\.)*)\'|`([^`\n]*)`')
@@ -94,12 +93,12 @@ def base_spans(text: str) -> list[Span]:
 
 def _name_before(text: str, at: int) -> str:
     end = at
-    while end > 0 and at - end < 4 and text[end - 1] in " \t":
+    while end > 0 and text[end - 1] in " \t":
         end -= 1
     while end > 0 and text[end - 1] in "\"'])":
         end -= 1
     start = end
-    while start > 0 and end - start < 64 and text[start - 1] in _NAME_CHARS:
+    while start > 0 and text[start - 1] in _NAME_CHARS:
         start -= 1
     return text[start:end].strip(".-")
 
@@ -170,20 +169,29 @@ def named_spans(text: str) -> list[Span]:
     if not any(hint in lowered for hint in _HINTS) or ("=" not in text and ":" not in text):
         return []
     found = assignments(text)
-    constants: dict[str, tuple[Part, ...]] = {}
+    last = {name: i for i, (name, _) in enumerate(found)}
+    before: dict[str, int] = {}
+    literals: list[list[Part]] = []
+    uses: list[list[int]] = []
+    for i, (name, parts) in enumerate(found):
+        words = [None if p.quoted else text[p.start : p.end] for p in parts]
+        # a name stands for its last value before the place, or for its last one at all where none comes before
+        uses.append([before.get(w, last[w]) for w in words if w in last])
+        literals.append([p for p, w in zip(parts, words) if w not in before])
+        before[name] = i
     reach: dict[Part, float] = {}
-    for _ in range(PROPAGATION_ROUNDS):
-        changed = False
-        for name, parts in found:
-            values = tuple(v for p in parts for v in ((p,) if p.quoted else constants.get(text[p.start : p.end], (p,))))[:16]
-            if constants.get(name) != values:
-                constants[name] = values
-                changed = True
-            score = sensitivity(name)
-            for value in values:
-                reach[value] = max(reach.get(value, 0.0), score)
-        if not changed:
-            break
+    scores, seen = [sensitivity(name) for name, _ in found], [False] * len(found)
+    # the most sensitive first: what an assignment is reached by first is the most sensitive name that it reaches
+    for root in sorted(range(len(found)), key=lambda i: -scores[i]):
+        waiting = [root]
+        while waiting:
+            i = waiting.pop()
+            if seen[i]:
+                continue
+            seen[i] = True
+            for value in literals[i]:
+                reach[value] = max(reach.get(value, 0.0), scores[root])
+            waiting.extend(uses[i])
     return [Span("named", v.start, v.end, v.start) for v, score in reach.items() if score >= 2 and score + likeness(text[v.start : v.end]) >= LEAST_SCORE]
 
 
