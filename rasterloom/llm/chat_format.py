@@ -5,14 +5,18 @@ A message's text is plain, or a JSON object: an assistant's with ``tool_calls``
 with ``tools`` (name, parameters.required, parameters.properties).  Calls and
 results are hash-joined by conversation and id; calls are ordered topologically
 by what they depend on, each result one level behind its call; arguments are
-checked against the tool's parameters; each message is written as canonical
-JSON with sorted keys.
-
-Defined cases: a null text has no content; text that is no JSON object, or one
-without any of the fields above, is plain; of several results of a call the
-first by turn counts; equal ids within a conversation are one call, its first;
-calls on a cycle have no level; messages with null conv_id or turn keep their
-own row and are not linked; repeated rows are written once each; an empty table
+checked against the tool's parameters (JSON types, ``enum``, ``required``,
+``properties`` and ``items``, at any depth); each message is written as
+canonical JSON with all its fields, their JSON types and sorted keys.
+
+Defined cases: a null text has no content; text that is no whole JSON object,
+that repeats a key, or that has none of the fields above, is plain; role and
+turn are those of the row; numbers are held as Spark's variants hold them
+(decimals of up to 38 digits, others as doubles); arguments given as JSON text
+stay text; of several results of a call the first by turn counts; equal ids
+within a conversation are one call, its first, and so are equal names of tools;
+calls on or behind a cycle have no level; messages with null conv_id or turn keep their own
+row and are not linked; repeated rows are written once each; an empty table
 gives an empty result; other columns are ignored.
 """
 
@@ -24,47 +28,98 @@ from pyspark.sql import functions as F
 from rasterloom.session import materialize
 
 MOST_LEVELS = 1000
-MESSAGE = """content string, tool_call_id string,
- tool_calls array<struct<id: string, name: string, arguments: string, depends_on: array<string>>>,
- tools array<struct<name: string, parameters: struct<required: array<string>, properties: map<string, struct<type: string>>>>>"""
-#: How a value of each JSON schema type is written.
-TYPE_PATTERNS = {"integer": "^-?[0-9]+$", "number": "^-?[0-9]+([.][0-9]+)?([eE][+-]?[0-9]+)?$", "boolean": "^(true|false)$", "array": "^\\[", "object": "^\\{"}
+OBJECT, LIST = "map<string,variant>", "array<variant>"
+
+
+def _kind(value: Column) -> Column:
+    """The JSON kind of a variant: object, array, string, boolean, null, or number."""
+    schema = F.schema_of_variant(value)
+    kind = F.when(schema.startswith("OBJECT"), "object").when(schema.startswith("ARRAY"), "array").when(schema == "STRING", "string").when(schema == "BOOLEAN", "boolean").when(schema == "VOID", "null")
+    return kind.otherwise("number")
+
+
+def parse_object(text: Column) -> Column:
+    """Text that is one JSON object as a variant, else null; what follows an object counts, which the parser alone does not look at."""
+    listed, named = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), F.try_parse_json(F.concat(F.lit('{"a":'), text, F.lit("}")))
+    whole = F.try_variant_get(listed, "$[0]", "variant").isNotNull() & F.try_variant_get(listed, "$[1]", "variant").isNull() & named.isNotNull()
+    return F.when(text.startswith("{") & whole, F.try_parse_json(text))
 
 
 def parse(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text and m (the parsed object, or null for plain text)."""
-    read = F.from_json("text", MESSAGE)
-    known = F.coalesce(read["tool_calls"].isNotNull() | read["tool_call_id"].isNotNull() | read["tools"].isNotNull(), F.lit(False))
-    return messages.select("conv_id", "turn", "role", "text", F.when(F.col("text").startswith("{") & known, read).alias("m"))
+    """conv_id, turn, role, text, m (the parsed object, or null for plain text), own_call, tool_calls and tools."""
+    read = messages.select("conv_id", "turn", "role", "text", parse_object(F.col("text")).alias("m"))
+    read = read.select("*", F.try_variant_get("m", "$.tool_call_id", "string").alias("own_call"), *[F.try_variant_get("m", f"$.{c}", LIST).alias(c) for c in ("tool_calls", "tools")])
+    known = F.col("tool_calls").isNotNull() | F.col("own_call").isNotNull() | F.col("tools").isNotNull()
+    return read.withColumn("m", F.when(known, F.col("m")))
+
+
+def argument_object(arguments: Column) -> Column:
+    """Arguments given as an object, or as the JSON text of one; else null."""
+    return F.when(_kind(arguments) == "object", arguments).when(_kind(arguments) == "string", parse_object(F.try_variant_get(arguments, "$", "string")))
 
 
-def canonical_arguments(arguments: Column) -> Column:
-    """Arguments as JSON with sorted keys; text that is no object as it is."""
-    entries = F.array_sort(F.map_entries(F.from_json(arguments, "map<string,string>")))
-    return F.coalesce(F.to_json(F.map_from_entries(entries)), arguments)
+def _with(fields: Column, **own: Column) -> Column:
+    """An object with some of its fields put in place of its own."""
+    kept = F.map_filter(fields, lambda k, _: ~k.isin(*own))
+    put = F.map_filter(F.create_map(*[x for k, v in own.items() for x in (F.lit(k), v.cast("variant"))]), lambda _, v: v.isNotNull())
+    return F.to_variant_object(F.map_concat(kept, put))
 
 
-def _faults(arguments: Column, required: Column, properties: Column) -> Column:
-    """Number of missing required arguments, unknown ones and ones of the wrong type; unparsable arguments are one fault."""
-    given = F.from_json(arguments, "map<string,string>")
-    missing = F.size(F.array_except(F.coalesce(required, F.array().cast("array<string>")), F.map_keys(given)))
+def _canonical_call(call: Column) -> Column:
+    """A call whose arguments, where they are JSON text, have sorted keys."""
+    arguments = F.try_variant_get(call, "$.arguments", "variant")
+    text = F.when(_kind(arguments) == "string", F.to_json(argument_object(arguments)))
+    return F.when(text.isNotNull(), _with(F.try_variant_get(call, "$", OBJECT), arguments=text)).otherwise(call)
 
-    def wrong(key: Column, value: Column) -> Column:
-        kind = F.element_at(properties, key)["type"]
-        fits = F.lit(True)
-        for name, pattern in TYPE_PATTERNS.items():
-            fits = F.when(kind == name, value.rlike(pattern)).otherwise(fits)
-        return properties.isNotNull() & (~F.array_contains(F.map_keys(properties), key) | ~F.coalesce(fits, F.lit(False)))
 
-    ill = F.size(F.map_filter(given, wrong))
-    return F.when(given.isNull(), 1).otherwise(missing + F.coalesce(ill, F.lit(0)))
+def canonical() -> Column:
+    """A parsed message's canonical JSON."""
+    calls = F.transform("tool_calls", _canonical_call)
+    fields = F.try_variant_get("m", "$", OBJECT)
+    whole = F.when(calls.isNull(), _with(fields, role=F.col("role"), turn=F.col("turn"))).otherwise(_with(fields, role=F.col("role"), turn=F.col("turn"), tool_calls=calls))
+    return F.when(F.col("m").isNull(), F.to_json(F.struct(F.col("text").alias("content"), "role", "turn"))).otherwise(F.to_json(whole))
 
 
 def calls_of(parsed: DataFrame) -> DataFrame:
-    """One row per call: conv_id, turn, call_id, name, arguments, depends_on."""
-    exploded = parsed.where("m.tool_calls is not null and conv_id is not null and turn is not null").select("conv_id", "turn", F.posexplode("m.tool_calls").alias("at", "call"))
-    first = exploded.where("call.id is not null").groupBy("conv_id", F.col("call.id").alias("call_id")).agg(F.min(F.struct("turn", "at", "call")).alias("c"))
-    return first.select("conv_id", F.col("c.turn").alias("turn"), "call_id", F.col("c.call.name").alias("name"), F.col("c.call.arguments").alias("arguments"), F.col("c.call.depends_on").alias("depends_on"))
+    """One row per call: conv_id, turn, call_id, name, arguments (JSON of an object, or null) and depends_on."""
+    exploded = parsed.where("tool_calls is not null and conv_id is not null and turn is not null").select("conv_id", "turn", F.posexplode("tool_calls").alias("at", "call"))
+    get = lambda c, kind: F.try_variant_get("call", f"$.{c}", kind)
+    arguments = F.to_json(argument_object(get("arguments", "variant")))
+    read = exploded.select("conv_id", "turn", "at", get("id", "string").alias("call_id"), get("name", "string").alias("name"), arguments.alias("arguments"), get("depends_on", "array<string>").alias("depends_on"))
+    first = read.where("call_id is not null").groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "at", "name", "arguments", "depends_on")).alias("c"))
+    return first.select("conv_id", "c.turn", "call_id", "c.name", "c.arguments", "c.depends_on")
+
+
+def _checked(schema: Column, value: Column) -> tuple[Column, Column]:
+    """A value's own faults under its schema, and the schemas and values of what it holds; a value of the wrong type or outside its enum is one fault."""
+    kind, number = _kind(value), F.try_variant_get(value, "$", "double")
+    types = F.coalesce(F.try_variant_get(schema, "$.type", "array<string>"), F.array(F.try_variant_get(schema, "$.type", "string")))
+    integer = (kind == "number") & (number == F.floor(number))
+    named = ("object", "array", "string", "boolean", "null", "number")
+    fits = F.exists(types, lambda t: F.when(t == "integer", integer).when(t.isin(*named), t == kind).otherwise(True))
+    listed = F.exists(F.try_variant_get(schema, "$.enum", LIST), lambda e: F.to_json(e) == F.to_json(value))
+    right = F.coalesce(fits, F.lit(True)) & F.coalesce(listed, F.lit(True))
+    properties, items, given = F.try_variant_get(schema, "$.properties", OBJECT), F.try_variant_get(schema, "$.items", "variant"), F.try_variant_get(value, "$", OBJECT)
+    missing = F.size(F.array_except(F.coalesce(F.try_variant_get(schema, "$.required", "array<string>"), F.array().cast("array<string>")), F.map_keys(given)))
+    unknown = F.when(properties.isNull(), 0).otherwise(F.size(F.array_except(F.map_keys(given), F.map_keys(properties))))
+    faults = F.when(~right, 1).when(kind == "object", missing + unknown).otherwise(0)
+    pair = lambda s, v: F.struct(F.to_json(s).alias("schema"), F.to_json(v).alias("value"))
+    of_object = F.transform(F.array_intersect(F.map_keys(properties), F.map_keys(given)), lambda k: pair(F.element_at(properties, k), F.element_at(given, k)))
+    of_array = F.when(items.isNotNull(), F.transform(F.try_variant_get(value, "$", LIST), lambda v: pair(items, v)))
+    return faults, F.when(right & (kind == "object"), of_object).when(right & (kind == "array"), of_array)
+
+
+def faults_of(calls: DataFrame) -> DataFrame:
+    """conv_id, call_id and faults of calls with arguments and parameters (JSON); one level of nesting after the other until nothing is held; unreadable arguments are one fault."""
+    found = calls.where("arguments is null").select("conv_id", "call_id", F.lit(1).alias("faults"))
+    level = calls.where("arguments is not null").select("conv_id", "call_id", F.col("parameters").alias("schema"), F.col("arguments").alias("value"))
+    while not level.isEmpty():
+        parsed = level.select("conv_id", "call_id", F.parse_json("schema").alias("schema"), F.parse_json("value").alias("value"))
+        faults, held = _checked(F.col("schema"), F.col("value"))
+        checked = materialize(parsed.select("conv_id", "call_id", faults.alias("faults"), held.alias("held")), "checked")
+        found = found.unionByName(checked.select("conv_id", "call_id", "faults"))
+        level = checked.select("conv_id", "call_id", F.explode("held").alias("h")).select("conv_id", "call_id", "h.*")
+    return found.groupBy("conv_id", "call_id").agg(F.sum("faults").alias("faults"))
 
 
 def levels(calls: DataFrame) -> DataFrame:
@@ -87,12 +142,14 @@ def levels(calls: DataFrame) -> DataFrame:
 
 def link_calls(parsed: DataFrame) -> DataFrame:
     """Calls with level, faults, result_turn and result (null where no result came)."""
-    calls = calls_of(parsed)
-    results = parsed.where("m.tool_call_id is not null and conv_id is not null").groupBy("conv_id", F.col("m.tool_call_id").alias("call_id")).agg(F.min(F.struct(F.col("turn").alias("result_turn"), F.col("m.content").alias("result"))).alias("r"))
-    tools = parsed.where("m.tools is not null and conv_id is not null").select("conv_id", F.explode("m.tools").alias("tool")).groupBy("conv_id", F.col("tool.name").alias("name")).agg(F.first("tool.parameters").alias("parameters"))
-    linked = calls.join(results.hint("shuffle_hash"), ["conv_id", "call_id"], "left").join(tools.hint("shuffle_hash"), ["conv_id", "name"], "left")
-    faults = F.when(F.col("parameters").isNotNull(), _faults(F.col("arguments"), F.col("parameters.required"), F.col("parameters.properties"))).otherwise(F.lit(0))
-    return linked.select("conv_id", "turn", "call_id", "name", "arguments", faults.alias("faults"), F.col("r.result_turn").alias("result_turn"), F.col("r.result").alias("result")).join(levels(calls), ["conv_id", "call_id"])
+    calls = materialize(calls_of(parsed), "calls")
+    results = parsed.where("own_call is not null and conv_id is not null").groupBy("conv_id", F.col("own_call").alias("call_id")).agg(F.min(F.struct(F.col("turn").alias("result_turn"), F.try_variant_get("m", "$.content", "string").alias("result"))).alias("r"))
+    tools = parsed.where("tools is not null and conv_id is not null").select("conv_id", "turn", F.posexplode("tools").alias("at", "tool"))
+    tools = tools.select("conv_id", "turn", "at", F.try_variant_get("tool", "$.name", "string").alias("name"), F.to_json(F.try_variant_get("tool", "$.parameters", "variant")).alias("parameters"))
+    tools = tools.groupBy("conv_id", "name").agg(F.min(F.struct("turn", "at", "parameters"))["parameters"].alias("parameters"))
+    faults = faults_of(materialize(calls.join(tools.hint("shuffle_hash"), ["conv_id", "name"]).where("parameters != 'null'").select("conv_id", "call_id", "arguments", "parameters"), "checks"))
+    linked = calls.join(results.hint("shuffle_hash"), ["conv_id", "call_id"], "left").join(faults, ["conv_id", "call_id"], "left")
+    return linked.select("conv_id", "turn", "call_id", "name", "arguments", F.coalesce("faults", F.lit(0)).alias("faults"), F.col("r.result_turn").alias("result_turn"), F.col("r.result").alias("result")).join(levels(calls), ["conv_id", "call_id"])
 
 
 def format_messages(messages: DataFrame) -> DataFrame:
@@ -101,13 +158,11 @@ def format_messages(messages: DataFrame) -> DataFrame:
     linked = link_calls(parsed)
     of_message = linked.groupBy("conv_id", "turn").agg(F.max("level").alias("call_level"), F.count("result_turn").alias("n_linked"), F.sum("faults").alias("n_faults"))
     of_result = linked.where("result_turn is not null").select("conv_id", F.col("call_id").alias("own_call"), (F.col("level") + 1).alias("result_level"))
-    calls = F.transform("m.tool_calls", lambda c: F.struct(canonical_arguments(c["arguments"]).alias("arguments"), c["id"].alias("id"), c["name"].alias("name")))
-    content = F.when(F.col("m").isNull(), F.col("text")).otherwise(F.col("m.content"))
-    canonical = F.to_json(F.struct(content.alias("content"), F.col("role"), F.col("m.tool_call_id").alias("tool_call_id"), calls.alias("tool_calls"), F.col("m.tools").alias("tools"), F.col("turn")))
-    rows = parsed.select("conv_id", "turn", "role", F.col("m.tool_call_id").alias("own_call"), F.coalesce(F.size("m.tool_calls"), F.lit(0)).alias("calls"), canonical.alias("canonical"))
+    rows = parsed.select("conv_id", "turn", "role", "own_call", F.coalesce(F.size("tool_calls"), F.lit(0)).alias("calls"), canonical().alias("canonical"))
     rows = rows.join(of_message, ["conv_id", "turn"], "left").join(of_result, ["conv_id", "own_call"], "left")
+    level = F.coalesce("result_level", "call_level", F.lit(0))
     return rows.select(
-        "conv_id", "turn", "role", F.coalesce("result_level", "call_level", F.lit(0)).cast("long").alias("topo_level"), F.greatest("calls", F.lit(0)).cast("long").alias("n_calls"),
+        "conv_id", "turn", "role", level.cast("long").alias("topo_level"), F.greatest("calls", F.lit(0)).cast("long").alias("n_calls"),
         F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), F.coalesce("n_faults", F.lit(0)).cast("long").alias("n_faults"), "canonical",
     )
 
