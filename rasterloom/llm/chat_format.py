@@ -15,7 +15,8 @@ turn are those of the row; numbers are held as Spark's variants hold them
 (decimals of up to 38 digits, others as doubles); arguments given as JSON text
 stay text; of several results of a call the first by turn counts; equal ids
 within a conversation are one call, its first, and so are equal names of tools;
-calls on or behind a cycle have no level; messages with null conv_id or turn keep their own
+calls on or behind a cycle have no level, and neither have their results or a
+message with no other calls; messages with null conv_id or turn keep their own
 row and are not linked; repeated rows are written once each; an empty table
 gives an empty result; other columns are ignored.
 """
@@ -27,7 +28,8 @@ from pyspark.sql import functions as F
 
 from rasterloom.session import materialize
 
-MOST_LEVELS = 1000
+#: Plans of as many joined tables are cut by writing them.
+PLANNED_ROUNDS = 20
 OBJECT, LIST = "map<string,variant>", "array<variant>"
 
 
@@ -122,22 +124,44 @@ def faults_of(calls: DataFrame) -> DataFrame:
     return found.groupBy("conv_id", "call_id").agg(F.sum("faults").alias("faults"))
 
 
+def _jumps(needs: DataFrame) -> DataFrame:
+    """Of each call with a single need: the first call without a single need behind it (needed) and the steps to it, by doubling; calls that run into a cycle are left out."""
+    single = needs.groupBy("conv_id", "call_id").agg(F.count(F.lit(1)).alias("n"), F.min("needed").alias("needed")).where("n = 1")
+    jumps = materialize(single.select("conv_id", "call_id", "needed", F.lit(1).cast("long").alias("steps")), "jumps")
+    # a chain has at most as many steps as there are calls: what doubling has not brought to an end by then goes round
+    for _ in range(jumps.count().bit_length()):
+        onward = jumps.select("conv_id", F.col("call_id").alias("needed"), F.col("needed").alias("then"), F.col("steps").alias("more"))
+        if jumps.join(onward, ["conv_id", "needed"], "left_semi").isEmpty():
+            return jumps
+        jumps = materialize(jumps.join(onward, ["conv_id", "needed"], "left").select("conv_id", "call_id", F.coalesce("then", "needed").alias("needed"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")), "jumps")
+    return jumps.join(jumps.select("conv_id", F.col("call_id").alias("needed")), ["conv_id", "needed"], "left_anti")
+
+
 def levels(calls: DataFrame) -> DataFrame:
-    """conv_id, call_id and level: two more than the highest level of the calls depended on, from 0; null on a cycle."""
+    """conv_id, call_id and level: two more than the highest level of the calls depended on, from 0; null on or behind a cycle."""
     nodes = calls.select("conv_id", "call_id")
     needs = calls.select("conv_id", "call_id", F.explode("depends_on").alias("needed")).distinct()
     needs = needs.join(nodes.withColumnRenamed("call_id", "needed"), ["conv_id", "needed"], "left_semi")
     if needs.isEmpty():
         return nodes.withColumn("level", F.lit(0).cast("long"))
     needs = materialize(needs, "needs")
+    jumps = materialize(_jumps(needs), "jumps")
+    ends = jumps.select("conv_id", F.col("call_id").alias("needed"), F.col("needed").alias("end"), "steps")
+    several = needs.groupBy("conv_id", "call_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("conv_id", "call_id")
+    wide = materialize(needs.join(several, ["conv_id", "call_id"]).join(ends, ["conv_id", "needed"], "left").select("conv_id", "call_id", F.coalesce("end", "needed").alias("needed"), F.coalesce("steps", F.lit(0)).alias("steps")), "needs")
     done = materialize(nodes.join(needs, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0).cast("long")), "levels")
-    for _ in range(MOST_LEVELS):
-        known = needs.join(done.withColumnRenamed("call_id", "needed").withColumnRenamed("level", "before"), ["conv_id", "needed"], "left").join(done.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti")
-        ready = materialize(known.groupBy("conv_id", "call_id").agg(F.count(F.lit(1)).alias("n"), F.count("before").alias("k"), F.max("before").alias("before")).where("n = k").select("conv_id", "call_id", (F.col("before") + 2).alias("level")), "ready")
+    rounds = 0
+    while True:
+        known = wide.join(done.select("conv_id", F.col("call_id").alias("needed"), F.col("level").alias("before")), ["conv_id", "needed"], "left").join(done.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti")
+        ready = materialize(known.groupBy("conv_id", "call_id").agg(F.count(F.lit(1)).alias("n"), F.count("before").alias("k"), F.max(F.col("before") + 2 * F.col("steps")).alias("before")).where("n = k").select("conv_id", "call_id", (F.col("before") + 2).alias("level")), "ready")
         if ready.isEmpty():
             break
+        rounds += 1
         done = done.unionByName(ready)
-    return nodes.join(done, ["conv_id", "call_id"], "left")
+        if rounds % PLANNED_ROUNDS == 0:
+            done = materialize(done, "levels")
+    behind = jumps.join(done.withColumnRenamed("call_id", "needed"), ["conv_id", "needed"]).select("conv_id", "call_id", (F.col("level") + 2 * F.col("steps")).alias("level"))
+    return nodes.join(done.unionByName(behind), ["conv_id", "call_id"], "left")
 
 
 def link_calls(parsed: DataFrame) -> DataFrame:
@@ -156,11 +180,11 @@ def format_messages(messages: DataFrame) -> DataFrame:
     """Per message: conv_id, turn, role, topo_level, n_calls, n_linked, n_faults and canonical (JSON)."""
     parsed = parse(messages)
     linked = link_calls(parsed)
-    of_message = linked.groupBy("conv_id", "turn").agg(F.max("level").alias("call_level"), F.count("result_turn").alias("n_linked"), F.sum("faults").alias("n_faults"))
-    of_result = linked.where("result_turn is not null").select("conv_id", F.col("call_id").alias("own_call"), (F.col("level") + 1).alias("result_level"))
+    of_message = linked.groupBy("conv_id", "turn").agg(F.max("level").alias("call_level"), F.count("result_turn").alias("n_linked"), F.sum("faults").alias("n_faults"), F.lit(True).alias("calling"))
+    of_result = linked.where("result_turn is not null").select("conv_id", F.col("call_id").alias("own_call"), (F.col("level") + 1).alias("result_level"), F.lit(True).alias("answering"))
     rows = parsed.select("conv_id", "turn", "role", "own_call", F.coalesce(F.size("tool_calls"), F.lit(0)).alias("calls"), canonical().alias("canonical"))
     rows = rows.join(of_message, ["conv_id", "turn"], "left").join(of_result, ["conv_id", "own_call"], "left")
-    level = F.coalesce("result_level", "call_level", F.lit(0))
+    level = F.when(F.col("answering"), F.col("result_level")).when(F.col("calling"), F.col("call_level")).otherwise(0)
     return rows.select(
         "conv_id", "turn", "role", level.cast("long").alias("topo_level"), F.greatest("calls", F.lit(0)).cast("long").alias("n_calls"),
         F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), F.coalesce("n_faults", F.lit(0)).cast("long").alias("n_faults"), "canonical",

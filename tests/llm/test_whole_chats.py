@@ -73,3 +73,19 @@ def test_text_behind_an_object_is_kept(spark, tail):
     text = json.dumps({"tool_call_id": "a"}) + tail
     got = chat_format.format_messages(spark.createDataFrame([(1, 0, "tool", text)], SCHEMA)).first()
     assert json.loads(got["canonical"])["content"] == text
+
+
+def chain(ids, needs, conv):
+    return [(conv, t, "assistant", json.dumps({"tool_calls": [{"id": i, "name": "f", "arguments": {}, "depends_on": needs[i]}]})) for t, i in enumerate(ids)]
+
+
+def test_levels_have_no_last_round(spark):
+    """A chain far over a thousand calls, one that forks and joins, and cycles with what hangs on them."""
+    deep = [f"d{i}" for i in range(1500)]
+    fork = {"a": [], "b": ["a"], "c": ["b"], "d": ["c", "a"], "e": ["d"], "f": ["e", "b", "missing"], "g": ["f"]}
+    ring = {"p": ["r"], "q": ["p"], "r": ["q"], "s": ["r"], "t": ["s", "u"], "u": [], "v": ["t"]}
+    rows = chain(deep, {i: deep[k - 1 : k] if k else [] for k, i in enumerate(deep)}, 1) + chain(list(fork), fork, 2) + chain(list(ring), ring, 3) + [(3, 50, "tool", '{"tool_call_id":"q"}'), (3, 51, "user", "hi")]
+    got = {(r["conv_id"], r["turn"]): r["topo_level"] for r in chat_format.format_messages(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [got[1, t] for t in range(1500)] == [2 * t for t in range(1500)]
+    assert [got[2, t] for t in range(7)] == [0, 2, 4, 6, 8, 10, 12]
+    assert [got[3, t] for t in range(7)] == [None, None, None, None, None, 0, None] and got[3, 50] is None and got[3, 51] == 0
