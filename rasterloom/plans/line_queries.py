@@ -86,6 +86,14 @@ def svg_document(spark, sf_dir):
 #: Zones as discs and polylines: each embedding's first three points, scaled to the 100 x 100 page.
 _ZONE_SQL = "zones AS (SELECT vec_id, vec_id % 2 AS kind, 50 + 200 * embedding[1]::DOUBLE AS ax, 50 + 200 * embedding[2]::DOUBLE AS ay, 50 + 200 * embedding[3]::DOUBLE AS bx, 50 + 200 * embedding[4]::DOUBLE AS by_ FROM embeddings WHERE vec_id < 12)"
 
+ZONES_A_PAGE = 64
+
+
+def _zones(embeddings):
+    e = lambda i: 50 + 200 * F.col("embedding")[i].cast("double")
+    line = F.array(F.struct(e(0).alias("x"), e(1).alias("y")), F.struct(e(2).alias("x"), e(3).alias("y")))
+    return embeddings.select(F.floor(F.col("vec_id") / ZONES_A_PAGE).cast("int").alias("page"), F.when(F.col("vec_id") % 2 == 0, F.slice(line, 1, 1)).otherwise(line).alias("points"), F.lit(4.0).alias("radius"))
+
 
 @query(QUERIES, f"""WITH {_ZONE_SQL}, cells AS (SELECT CAST(i % 100 AS INTEGER) AS x, CAST(i // 100 AS INTEGER) AS y FROM range(10000) r(i)),
  d AS (SELECT x, y, vec_id, CASE WHEN kind = 0 THEN 0.0 ELSE greatest(0.0, least(1.0, ((x + 0.5 - ax) * (bx - ax) + (y + 0.5 - ay) * (by_ - ay)) / greatest(1e-9, (bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)))) END AS t, ax, ay, bx, by_ FROM cells CROSS JOIN zones)
@@ -94,10 +102,15 @@ def zone_raster(spark, sf_dir):
     """Pixels within four of a zone's point or line; each zone makes only the pixels of its own box."""
     from rasterloom.sources.zones import rasterize
 
-    e = lambda i: 50 + 200 * F.col("embedding")[i].cast("double")
-    line = F.array(F.struct(e(0).alias("x"), e(1).alias("y")), F.struct(e(2).alias("x"), e(3).alias("y")))
-    zones = table(spark, sf_dir, "embeddings").where("vec_id < 12").select(F.when(F.col("vec_id") % 2 == 0, F.slice(line, 1, 1)).otherwise(line).alias("points"), F.lit(4.0).alias("radius"))
-    return rasterize(zones, 100, 100)
+    return rasterize(_zones(table(spark, sf_dir, "embeddings").where("vec_id < 12")), 100, 100)
+
+
+@query(QUERIES)
+def zone_raster_pages(spark, sf_dir):
+    """The pixels of every embedding's zone, ``ZONES_A_PAGE`` zones to a page."""
+    from rasterloom.sources.zones import rasterize
+
+    return rasterize(_zones(table(spark, sf_dir, "embeddings")), 100, 100, ("page",))
 
 
 def _per_image(pixels, run, schema):

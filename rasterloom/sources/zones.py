@@ -23,21 +23,21 @@ def brush_width(radius: Column, width: int, height: int) -> Column:
     return F.greatest(F.lit(8.0), F.rint(radius * min(width, height) * 2.4))
 
 
-def rasterize(zones: DataFrame, width: int, height: int) -> DataFrame:
-    """Distinct pixels whose centre is within ``radius`` of a zone's point or line (columns points, radius in pixels).
+def rasterize(zones: DataFrame, width: int, height: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """Distinct pixels, on each page that the columns ``by`` name, whose centre is within ``radius`` of a zone's point or line (columns points, radius in pixels).
 
     Each segment makes the pixels of its own box only, so no zone meets pixels far from it.
     """
     p, q = F.col("e.p"), F.col("e.q")
     both = F.when(F.size("points") == 1, F.array(F.struct(F.col("points")[0].alias("p"), F.col("points")[0].alias("q")))).otherwise(F.zip_with(F.slice("points", 1, F.size("points") - 1), F.slice("points", 2, F.size("points") - 1), lambda a, b: F.struct(a.alias("p"), b.alias("q"))))
-    segments = zones.where(F.size("points") > 0).select("radius", F.explode(both).alias("e")).select("radius", p["x"].alias("ax"), p["y"].alias("ay"), q["x"].alias("bx"), q["y"].alias("by"))
+    segments = zones.where(F.size("points") > 0).select(*by, "radius", F.explode(both).alias("e")).select(*by, "radius", p["x"].alias("ax"), p["y"].alias("ay"), q["x"].alias("bx"), q["y"].alias("by"))
     span = lambda a, b, most: F.sequence(F.greatest(F.lit(0), F.floor(F.least(a, b) - F.col("radius")).cast("int")), F.least(F.lit(most - 1), F.ceil(F.greatest(a, b) + F.col("radius")).cast("int")))
     inside = (F.least("ax", "bx") - F.col("radius") <= width) & (F.greatest("ax", "bx") + F.col("radius") >= 0) & (F.least("ay", "by") - F.col("radius") <= height) & (F.greatest("ay", "by") + F.col("radius") >= 0)
     cells = segments.where(inside).withColumn("x", F.explode(span(F.col("ax"), F.col("bx"), width))).withColumn("y", F.explode(span(F.col("ay"), F.col("by"), height)))
     dx, dy, px, py = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"), F.col("x") + 0.5 - F.col("ax"), F.col("y") + 0.5 - F.col("ay")
     along = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (px * dx + py * dy) / F.greatest(F.lit(1e-9), dx * dx + dy * dy)))
     off = (px - along * dx) * (px - along * dx) + (py - along * dy) * (py - along * dy)
-    return cells.where(off <= F.col("radius") * F.col("radius")).select("x", "y").distinct()
+    return cells.where(off <= F.col("radius") * F.col("radius")).select(*by, "x", "y").distinct()
 
 
 def fill_polygon(outlines: DataFrame, width: int, height: int) -> DataFrame:
