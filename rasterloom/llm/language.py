@@ -14,6 +14,10 @@ to the vocabulary's byte pieces.
 Defined cases: a text that is null or has no letters is ``und`` with score 0; of
 equal scores the smaller language name wins; without labelled documents all
 texts are ``und``; filters keep all columns, whatever their names.
+
+A share of the probability is high for gibberish and unlearned languages too, so
+the filter also asks how likely the text is in its language: its log probability
+for each character may not lie far below what the training documents have.
 """
 
 from __future__ import annotations
@@ -38,6 +42,8 @@ SAMPLE_DOCS = 300
 ROUNDS = 3
 SMOOTHING = 0.05
 CACHED_WORDS = 200_000
+#: A text's log probability for each character may lie so many spreads (one counts as so much at least) below its language's mean.
+SPREADS, LEAST_SPREAD = 10.0, 0.15
 _LETTERS = re.compile(r"[^\W\d_]+")
 _START = "▁"
 
@@ -151,19 +157,24 @@ class Scorer:
 
     def score_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Log probabilities of every text, and each text's number of words."""
+        scores, words, _ = self.measure_texts(texts)
+        return scores, words
+
+    def measure_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Log probabilities of every text, its number of words, and its number of characters in words, with one for each word's start."""
         chunks, codes, offsets = chunk_table(texts)
         parts = part_table(chunks, lower=True)
-        own = np.zeros((len(parts.letters) + len(parts.marks) + len(parts.others), self.n + 1))
+        own = np.zeros((len(parts.letters) + len(parts.marks) + len(parts.others), self.n + 2))
         rows = list(map(self.words.__getitem__, parts.letters))
         if rows:
-            own[: len(rows), :-1], own[: len(rows), -1] = np.array(rows).reshape(len(rows), self.n), 1
+            own[: len(rows), :-2], own[: len(rows), -2], own[: len(rows), -1] = np.array(rows).reshape(len(rows), self.n), 1, [len(w) + 1 for w in parts.letters]
         for i, chunk in enumerate(parts.others, len(parts.letters) + len(parts.marks)):
             words = words_of(chunk)
             if words:
-                own[i, :-1], own[i, -1] = np.array(list(map(self.words.__getitem__, words))).reshape(len(words), self.n).sum(axis=0), len(words)
+                own[i, :-2], own[i, -2:] = np.array(list(map(self.words.__getitem__, words))).reshape(len(words), self.n).sum(axis=0), (len(words), sum(map(len, words)) + len(words))
         of_chunk = own[parts.first]
-        sums = [np.add.reduceat(column[codes], offsets[:-1]) for column in of_chunk.T] if len(texts) else [np.zeros(0)] * (self.n + 1)
-        return np.array(sums[:-1]).reshape(self.n, len(texts)).T, sums[-1]
+        sums = [np.add.reduceat(column[codes], offsets[:-1]) for column in of_chunk.T] if len(texts) else [np.zeros(0)] * (self.n + 2)
+        return np.array(sums[:-2]).reshape(self.n, len(texts)).T, sums[-2], sums[-1]
 
 
 def fit_words(path: str, counts: dict[str, dict[str, int]], rounds: int = ROUNDS) -> LanguageModel:
@@ -221,10 +232,39 @@ def _word_counts(docs: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame, train: Column, path: str, sample_docs: int = SAMPLE_DOCS) -> LanguageModel:
     """Fit on about ``sample_docs`` documents per language (and never over twice as many in all) of those in ``train``, picked by a hash of doc_id."""
+    return _fit(docs, train, path, sample_docs)[0]
+
+
+def fit_with_floors(docs: DataFrame, train: Column, path: str, sample_docs: int = SAMPLE_DOCS) -> tuple[LanguageModel, np.ndarray]:
+    """The model, and the least log probability for each character that a text of each language has."""
+    model, sample = _fit(docs, train, path, sample_docs)
+    if sample is None or not model.languages:
+        return model, np.zeros(len(model.languages))
+    found = {r["lang"]: (r["mean"], r["spread"]) for r in _rates(sample, model).groupBy("lang").agg(F.avg("rate").alias("mean"), F.stddev_pop("rate").alias("spread")).collect()}
+    return model, np.array([mean - SPREADS * max(spread, LEAST_SPREAD) for mean, spread in (found[lang] for lang in model.languages)])
+
+
+def _rates(sample: DataFrame, model: LanguageModel) -> DataFrame:
+    """lang and rate (log probability for each character in that language) of every text with words."""
+    sent = send(sample, model)
+    schema = StructType([StructField("lang", StringType()), StructField("rate", DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, scorer = _worker_scorer(sent)
+        at = {lang: i for i, lang in enumerate(own.languages)}
+        for part in batch_slices(batches):
+            scores, _, chars = scorer.measure_texts(part["text"])
+            rates = [(lang, row[at[lang]] / n) for lang, row, n in zip(part["lang"].to_pylist(), scores, chars.tolist(), strict=True) if n and lang in at]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rates], pa.string()), pa.array([r[1] for r in rates], pa.float64())], names=["lang", "rate"])
+
+    return map_arrow(sample.select("lang", "text"), run, schema)
+
+
+def _fit(docs: DataFrame, train: Column, path: str, sample_docs: int) -> tuple[LanguageModel, DataFrame | None]:
     labelled = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull())
     per_language = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not per_language:
-        return fit_words(path, {})
+        return fit_words(path, {}), None
     pick = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30))
     cut = F.lit(0)
     for lang, n in sorted(per_language.items()):
@@ -233,7 +273,7 @@ def fit(docs: DataFrame, train: Column, path: str, sample_docs: int = SAMPLE_DOC
     counts: dict[str, dict[str, int]] = {lang: {} for lang in per_language}
     for r in _word_counts(sample).collect():
         counts[r["lang"]][r["word"]] = r["n"]
-    return fit_words(path, {lang: words for lang, words in counts.items() if words})
+    return fit_words(path, {lang: words for lang, words in counts.items() if words}), sample
 
 
 def verdicts(model: LanguageModel, scores: np.ndarray, words: np.ndarray) -> list[tuple[str, float]]:
@@ -283,14 +323,18 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     return map_arrow(docs.select("doc_id", "text"), run, schema)
 
 
-def filter_documents(docs: DataFrame, model: LanguageModel, least: float = 0.5) -> DataFrame:
-    """The rows whose language is known with at least ``least``, with all their columns."""
+def filter_documents(docs: DataFrame, model: LanguageModel, least: float = 0.5, floors: np.ndarray | None = None) -> DataFrame:
+    """The rows whose language is known with at least ``least``, and whose log probability for each character reaches that language's floor, with all their columns."""
     sent = send(docs, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, scorer = _worker_scorer(sent)
         for part in batch_slices(batches):
-            found = verdicts(own, *scorer.score_texts(part["text"]))
-            yield part.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
+            scores, words, chars = scorer.measure_texts(part["text"])
+            kept = np.array([lang != UNKNOWN and score >= least for lang, score in verdicts(own, scores, words)], bool)
+            if floors is not None and len(floors):
+                best = scores.argmax(axis=1)
+                kept &= scores[np.arange(len(best)), best] >= floors[best] * chars
+            yield part.filter(pa.array(kept, pa.bool_()))
 
     return map_arrow(docs, run, docs.schema)
