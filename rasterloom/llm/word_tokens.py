@@ -31,7 +31,6 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         found = self.library.encode(SEPARATOR, add_special_tokens=False).ids
         self._mark = found[0] if len(found) == 1 else None
         self._known: dict[str, bytes] = {"": b""}
