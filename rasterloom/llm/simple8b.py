@@ -102,19 +102,52 @@ def encode(values: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndar
     return words, row_words, used
 
 
-def decode(words: np.ndarray) -> np.ndarray:
-    """All values of consecutive whole blocks."""
-    words = np.asarray(words, np.uint64)
-    selector = (words >> np.uint64(60)).astype(np.int64)
-    raw = np.zeros(len(words), bool)
+def block_lengths(lengths: np.ndarray) -> np.ndarray:
+    """The number of values in every block of rows of these lengths."""
+    lengths = np.asarray(lengths, np.int64)
+    blocks = -(-lengths // BLOCK)
+    nth = np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    return np.minimum(BLOCK, np.repeat(lengths, blocks) - nth * BLOCK)
+
+
+def decode_blocks(words: np.ndarray, offsets: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """All values of blocks that begin at ascending word offsets; each must hold as many values as ``lengths`` says."""
+    count = _counts(words)
+    held = np.add.reduceat(count, offsets) if len(offsets) else np.zeros(0, np.int64)
+    if not np.array_equal(held, lengths):
+        raise ValueError("a block does not hold as many values as its row says")
+    return decode(words)
+
+
+def decode_range(words: np.ndarray, offsets: np.ndarray, n: int, first: int, stop: int) -> np.ndarray:
+    """Values ``first`` to ``stop`` (exclusive) of a row of ``n`` values; only the blocks that hold them are decoded."""
+    first, stop = max(0, first), min(n, stop)
+    if first >= stop:
+        return np.zeros(0, np.uint64)
+    a, b = first // BLOCK, -(-stop // BLOCK)
+    held = decode(words[offsets[a] : offsets[b] if b < len(offsets) else len(words)])
+    return held[first - a * BLOCK : stop - a * BLOCK]
+
+
+def _counts(words: np.ndarray) -> np.ndarray:
+    """The number of values in every word; 0 for an escape's raw value, whatever its top bits are."""
+    selector = (np.asarray(words, np.uint64) >> np.uint64(60)).astype(np.int64)
+    raw = np.zeros(len(selector), bool)
     for i in np.flatnonzero(selector == ESCAPE).tolist():
         if not raw[i]:
             raw[i + 1] = True
-    count = np.where(raw, 0, _COUNT[selector])
+    return np.where(raw, 0, _COUNT[selector])
+
+
+def decode(words: np.ndarray) -> np.ndarray:
+    """All values of consecutive whole blocks."""
+    words = np.asarray(words, np.uint64)
+    count = _counts(words)
+    selector = np.where(count == 0, -1, (words >> np.uint64(60)).astype(np.int64))
     to = np.cumsum(count) - count
     out = np.zeros(int(count.sum()), np.uint64)
-    for s in np.unique(selector[~raw]).tolist():
-        mine = np.flatnonzero((selector == s) & ~raw)
+    for s in np.unique(selector[selector >= 0]).tolist():
+        mine = np.flatnonzero(selector == s)
         if s == ESCAPE:
             out[to[mine]] = words[mine + 1]
             continue

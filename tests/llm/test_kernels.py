@@ -63,6 +63,8 @@ def test_simple8b_round_trip():
         words, row_words, block_words = simple8b.encode(values, lengths)
         assert (simple8b.decode(words) == values).all()
         assert row_words.sum() == block_words.sum() == len(words)
+        blocks = np.cumsum(block_words) - block_words
+        assert (simple8b.decode_blocks(words, blocks, simple8b.block_lengths(lengths)) == values).all()
         ends, starts = np.cumsum(row_words), np.cumsum(lengths)
         assert (simple8b.decode(words[ends[3] : ends[4]]) == values[starts[3] : starts[4]]).all()
 

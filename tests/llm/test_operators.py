@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from rasterloom.llm import byte_bpe, chat_format, components, ego_join, language, packing, quality, secret_scan, simhash, token_files, toxicity, word_tokens
 from rasterloom.llm.common import id_fold
@@ -21,7 +22,7 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, sc
 
 
 def rows():
-    base = [(1, PROSE), (2, PROSE), (3, PROSE + " today"), (4, None), (5, ""), (6, " \n\t "), (7, "une maison dans la rue de la ville avec des enfants qui jouent"), (7, "une maison dans la rue de la ville avec des enfants qui jouent"), (None, PROSE), (None, "no id and some text"), (8, "word " * 6000), (9, 'token = "0123456789abcdef01234567"'), (10, "x" * 30000), (11, "漢字 mit Ümläuten 😀")]
+    base = [(1, PROSE), (2, PROSE), (3, PROSE + " today"), (4, None), (5, ""), (6, " \n\t "), (7, "une maison dans la rue de la ville avec des enfants qui jouent"), (7, "une maison dans la rue de la ville avec des enfants qui jouent"), (None, PROSE), (None, "no id and some text"), (8, "word " * 6000), (9, 'token = "0123456789abcdef01234567"'), (10, "x" * 30000), (11, "漢字 mit Ümläuten 😀"), (12, "one <|endoftext|> two<|startoftext|>three <|EndOfText|>"), (13, "aaa"), (13, "bbb")]
     return [(i, t, "fr" if t and t.startswith("une") else "en", None, None if t is None else len(t), 0.5, True, "z", 1) for i, t in base]
 
 
@@ -44,7 +45,7 @@ def test_byte_bpe(docs, nothing):
 
 
 def ids_of():
-    library = word_tokens.WordTokens(WORDS).library
+    library = Tokenizer.from_file(WORDS)
     return [(i, np.array([*library.encode(t or "", add_special_tokens=False).ids, 1], "<u4")) for i, t, *_ in rows()]
 
 
@@ -61,6 +62,21 @@ def test_token_files(spark, docs, nothing):
             at += r["n_tokens"]
         order = [-1 if r["doc_id"] is None else r["doc_id"] for r in sorted(got, key=lambda r: r["start"])]
         assert order == sorted(order)
+        # the files hold the ids in the order that start tells
+        files = spark.read.parquet(path).orderBy("part", "part_start").collect()
+        assert [r["doc_id"] for r in files] == [r["doc_id"] for r in sorted(got, key=lambda r: r["start"])]
+
+
+def test_token_file_stretches(spark, docs):
+    path = scratch_path(spark, "test-stretches")
+    token_files.write_token_files(docs, path, WORDS, 1, parts=2)
+    long = dict(ids_of())[8]
+    wanted = [(8, 0, 5), (8, 510, 1030), (8, 5990, 9999), (8, 7, 7), (1, 3, 6)]
+    got = {(r["doc_id"], r["first"]): r["ids"] for r in token_files.read_stretches(spark, path, spark.createDataFrame(wanted, "doc_id long, first int, stop int")).collect()}
+    assert len(got) == len(wanted)
+    for i, first, stop in wanted:
+        own = long if i == 8 else dict(ids_of())[i]
+        assert got[i, first] == own[first:stop].tolist()
 
 
 def test_packing(docs, nothing):
