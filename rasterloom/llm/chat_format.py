@@ -183,7 +183,9 @@ def format_messages(messages: DataFrame) -> DataFrame:
     of_message = linked.groupBy("conv_id", "turn").agg(F.max("level").alias("call_level"), F.count("result_turn").alias("n_linked"), F.sum("faults").alias("n_faults"), F.lit(True).alias("calling"))
     of_result = linked.where("result_turn is not null").select("conv_id", F.col("call_id").alias("own_call"), (F.col("level") + 1).alias("result_level"), F.lit(True).alias("answering"))
     rows = parsed.select("conv_id", "turn", "role", "own_call", F.coalesce(F.size("tool_calls"), F.lit(0)).alias("calls"), canonical().alias("canonical"))
-    rows = rows.join(of_message, ["conv_id", "turn"], "left").join(of_result, ["conv_id", "own_call"], "left")
+    # most messages answer no call: a salt keeps a long conversation's from meeting in one task
+    salted = rows.withColumn("salt", F.when(F.col("own_call").isNull(), F.col("turn")).otherwise(0))
+    rows = salted.join(of_message, ["conv_id", "turn"], "left").join(of_result.withColumn("salt", F.lit(0).cast("long")), ["conv_id", "own_call", "salt"], "left")
     level = F.when(F.col("answering"), F.col("result_level")).when(F.col("calling"), F.col("call_level")).otherwise(0)
     return rows.select(
         "conv_id", "turn", "role", level.cast("long").alias("topo_level"), F.greatest("calls", F.lit(0)).cast("long").alias("n_calls"),
@@ -191,18 +193,65 @@ def format_messages(messages: DataFrame) -> DataFrame:
     )
 
 
-ORACLE_SQL = """
-WITH parsed AS (
-  SELECT conv_id, turn, role, text,
-         CASE WHEN text LIKE '{%' AND json_valid(text)
-               AND (json_type(text, '$.tool_calls') = 'ARRAY' OR json_extract_string(text, '$.tool_call_id') IS NOT NULL OR json_type(text, '$.tools') = 'ARRAY')
-              THEN text END AS m
-  FROM conversations)
-SELECT conv_id, turn, role,
-       CAST(0 AS BIGINT) AS topo_level,
-       CAST(coalesce(json_array_length(m, '$.tool_calls'), 0) AS BIGINT) AS n_calls,
-       CAST(0 AS BIGINT) AS n_linked,
-       CAST(0 AS BIGINT) AS n_faults,
-       CAST(json_object('content', coalesce(json_extract_string(m, '$.content'), text), 'role', role, 'turn', turn) AS VARCHAR) AS canonical
-FROM parsed
+def _canonical_sql(name: str, source: str, texts: str) -> str:
+    """Tables that end in ``name`` (k, text): the canonical JSON of every ``j`` of ``source`` (k, j); ``texts`` (k, fullkey, text) stand in the place of such strings."""
+    return f"""
+{name}_raw AS MATERIALIZED (SELECT s.k, t.id, t.parent, t.key, t.type, t.value, t.fullkey FROM {source} s, json_tree(s.j) t),
+{name}_node AS MATERIALIZED (SELECT n.*, u.type AS above, CASE WHEN u.type = 'ARRAY' THEN lpad(n.key, 12, '0') ELSE n.key END AS place FROM {name}_raw n LEFT JOIN {name}_raw u ON u.k = n.k AND u.id = n.parent),
+{name}_path AS (SELECT k, id, CAST([] AS VARCHAR[]) AS path FROM {name}_node WHERE parent IS NULL UNION ALL SELECT n.k, n.id, list_append(p.path, n.place) FROM {name}_path p JOIN {name}_node n ON n.k = p.k AND n.parent = p.id),
+{name}_open AS (SELECT n.k, p.path, (CASE WHEN n.parent IS NOT NULL AND row_number() OVER (PARTITION BY n.k, n.parent ORDER BY n.place) > 1 THEN ',' ELSE '' END) || (CASE WHEN n.above = 'OBJECT' THEN CAST(to_json(n.key) AS VARCHAR) || ':' ELSE '' END)
+   || (CASE n.type WHEN 'OBJECT' THEN '{{' WHEN 'ARRAY' THEN '[' WHEN 'VARCHAR' THEN CAST(to_json(coalesce(t.text, json_extract_string(n.value, '$'))) AS VARCHAR) WHEN 'DOUBLE' THEN regexp_replace(CAST(n.value AS VARCHAR), '[.]0+$', '') ELSE CAST(n.value AS VARCHAR) END) AS token
+   FROM {name}_node n JOIN {name}_path p ON p.k = n.k AND p.id = n.id LEFT JOIN {texts} t ON t.k = n.k AND t.fullkey = n.fullkey),
+{name}_token AS (SELECT * FROM {name}_open UNION ALL SELECT n.k, list_append(p.path, chr(1114111)), CASE n.type WHEN 'OBJECT' THEN '}}' ELSE ']' END FROM {name}_node n JOIN {name}_path p ON p.k = n.k AND p.id = n.id WHERE n.type IN ('OBJECT', 'ARRAY')),
+{name} AS MATERIALIZED (SELECT k, string_agg(token, '' ORDER BY path) AS text FROM {name}_token GROUP BY k)"""
+
+
+_KIND_SQL = "CASE json_type(v) WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' ELSE 'number' END"
+_RIGHT_SQL = f"""((coalesce(json_type(s, '$.type'), '') NOT IN ('VARCHAR', 'ARRAY') OR len(list_filter(CASE json_type(s, '$.type') WHEN 'ARRAY' THEN CAST(json_extract(s, '$.type') AS VARCHAR[]) ELSE [json_extract_string(s, '$.type')] END,
+   lambda t: CASE WHEN t = 'integer' THEN {_KIND_SQL} = 'number' AND TRY_CAST(CAST(v AS VARCHAR) AS DOUBLE) = floor(TRY_CAST(CAST(v AS VARCHAR) AS DOUBLE)) WHEN t IN ('object', 'array', 'string', 'boolean', 'null', 'number') THEN t = {_KIND_SQL} ELSE true END)) > 0)
+  AND (coalesce(json_type(s, '$.enum'), '') <> 'ARRAY' OR len(list_filter(CAST(json_extract(s, '$.enum') AS JSON[]), lambda e: coalesce(CAST(e AS VARCHAR), 'null') = coalesce(CAST(v AS VARCHAR), 'null'))) > 0))"""
+
+#: DuckDB's form: calls are linked, levels are longest paths over calls that no cycle is behind, faults are summed over nested schemas, canonical JSON is put together from sorted paths.
+ORACLE_SQL = rf"""
+WITH RECURSIVE src AS MATERIALIZED (SELECT row_number() OVER () AS k, conv_id, turn, role, text FROM conversations),
+valid AS MATERIALIZED (SELECT *, CAST(text AS JSON) AS j FROM src WHERE text LIKE '{{%' AND json_valid(text)),
+all_nodes AS MATERIALIZED (SELECT v.k, t.id, t.parent, t.key FROM valid v, json_tree(v.j) t),
+repeats AS (SELECT DISTINCT k FROM (SELECT k FROM all_nodes GROUP BY k, parent, key HAVING count(*) > 1)),
+m AS MATERIALIZED (SELECT *, json_extract_string(j, '$.tool_call_id') AS own_call, CASE WHEN json_type(j, '$.tool_calls') = 'ARRAY' THEN json_extract(j, '$.tool_calls') END AS tool_calls FROM valid
+  WHERE k NOT IN (SELECT k FROM repeats) AND (json_type(j, '$.tool_calls') = 'ARRAY' OR json_type(j, '$.tools') = 'ARRAY' OR json_extract_string(j, '$.tool_call_id') IS NOT NULL)),
+call_rows AS MATERIALIZED (SELECT m.k, m.conv_id, m.turn, CAST(e.key AS INTEGER) AS place, e.value AS c, json_extract(e.value, '$.arguments') AS given,
+   CASE WHEN json_type(e.value, '$.arguments') = 'VARCHAR' AND json_extract_string(e.value, '$.arguments') LIKE '{{%' AND json_valid(json_extract_string(e.value, '$.arguments')) THEN CAST(json_extract_string(e.value, '$.arguments') AS JSON) END AS parsed FROM m, json_each(m.tool_calls) e),
+read_rows AS MATERIALIZED (SELECT k * 100000 + place AS k, parsed AS j FROM call_rows WHERE parsed IS NOT NULL),
+read_nodes AS (SELECT s.k, t.id, t.parent, t.key FROM read_rows s, json_tree(s.j) t),
+bad_read AS (SELECT DISTINCT k FROM (SELECT k FROM read_nodes GROUP BY k, parent, key HAVING count(*) > 1)),
+good_read AS MATERIALIZED (SELECT * FROM read_rows WHERE k NOT IN (SELECT k FROM bad_read)),
+no_texts AS (SELECT CAST(0 AS BIGINT) AS k, '' AS fullkey, '' AS text WHERE false),
+{_canonical_sql("args", "good_read", "no_texts")},
+args_at AS (SELECT r.k, '$.tool_calls[' || r.place || '].arguments' AS fullkey, a.text FROM call_rows r JOIN args a ON a.k = r.k * 100000 + r.place),
+calls AS MATERIALIZED (SELECT * FROM (SELECT conv_id, turn, json_extract_string(c, '$.id') AS call_id, json_extract_string(c, '$.name') AS name, CASE WHEN json_type(given) = 'OBJECT' THEN given ELSE g.j END AS arguments, json_extract(c, '$.depends_on') AS needs,
+   row_number() OVER (PARTITION BY conv_id, json_extract_string(c, '$.id') ORDER BY turn, place) AS nth FROM call_rows r LEFT JOIN good_read g ON g.k = r.k * 100000 + place WHERE conv_id IS NOT NULL AND turn IS NOT NULL) WHERE nth = 1 AND call_id IS NOT NULL),
+edges AS MATERIALIZED (SELECT DISTINCT a.conv_id, a.call_id AS a, b.call_id AS b FROM (SELECT conv_id, call_id, unnest(CAST(needs AS VARCHAR[])) AS need FROM calls WHERE json_type(needs) = 'ARRAY') a JOIN calls b ON b.conv_id = a.conv_id AND b.call_id = a.need),
+reach AS (SELECT conv_id, a, b FROM edges UNION SELECT r.conv_id, r.a, e.b FROM reach r JOIN edges e ON e.conv_id = r.conv_id AND e.a = r.b),
+ring AS MATERIALIZED (SELECT DISTINCT conv_id, a AS call_id FROM reach WHERE a = b),
+stuck AS MATERIALIZED (SELECT conv_id, call_id FROM ring UNION SELECT r.conv_id, r.a FROM reach r JOIN ring ON ring.conv_id = r.conv_id AND ring.call_id = r.b),
+walk AS (SELECT conv_id, call_id, CAST(0 AS BIGINT) AS level FROM calls c WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.conv_id = c.conv_id AND e.a = c.call_id)
+  UNION SELECT e.conv_id, e.a, w.level + 2 FROM walk w JOIN edges e ON e.conv_id = w.conv_id AND e.b = w.call_id WHERE NOT EXISTS (SELECT 1 FROM stuck s WHERE s.conv_id = e.conv_id AND s.call_id = e.a)),
+levels AS MATERIALIZED (SELECT conv_id, call_id, max(level) AS level FROM walk GROUP BY ALL),
+tools AS MATERIALIZED (SELECT * FROM (SELECT conv_id, json_extract_string(e.value, '$.name') AS name, json_extract(e.value, '$.parameters') AS parameters, row_number() OVER (PARTITION BY conv_id, json_extract_string(e.value, '$.name') ORDER BY turn, CAST(e.key AS INTEGER)) AS nth
+   FROM m, json_each(CASE WHEN json_type(m.j, '$.tools') = 'ARRAY' THEN json_extract(m.j, '$.tools') ELSE CAST('[]' AS JSON) END) e WHERE conv_id IS NOT NULL) WHERE nth = 1),
+checks AS (SELECT c.conv_id, c.call_id, t.parameters AS s, c.arguments AS v FROM calls c JOIN tools t ON t.conv_id = c.conv_id AND t.name = c.name WHERE json_type(t.parameters) <> 'NULL'
+  UNION ALL SELECT x.conv_id, x.call_id, CASE WHEN json_type(x.v) = 'ARRAY' THEN json_extract(x.s, '$.items') ELSE json_extract(x.s, '$.properties."' || e.key || '"') END, e.value
+  FROM (SELECT * FROM checks WHERE v IS NOT NULL AND s IS NOT NULL AND json_type(v) IN ('OBJECT', 'ARRAY') AND {_RIGHT_SQL}) x, json_each(x.v) e WHERE json_type(x.v) = 'ARRAY' OR json_type(x.s, '$.properties') = 'OBJECT'),
+rated AS (SELECT *, {_RIGHT_SQL} AS fits FROM checks WHERE s IS NOT NULL),
+faults AS MATERIALIZED (SELECT conv_id, call_id, sum(CASE WHEN v IS NULL OR NOT fits THEN 1 WHEN json_type(v) = 'OBJECT' THEN
+   len(list_filter(coalesce(CAST(json_extract(s, '$.required') AS VARCHAR[]), []), lambda q: NOT list_contains(json_keys(v), q))) + CASE WHEN json_type(s, '$.properties') = 'OBJECT' THEN len(list_filter(json_keys(v), lambda q: NOT list_contains(json_keys(s, '$.properties'), q))) ELSE 0 END ELSE 0 END) AS faults FROM rated GROUP BY ALL),
+results AS MATERIALIZED (SELECT conv_id, own_call AS call_id, min(turn) AS result_turn FROM m WHERE own_call IS NOT NULL AND conv_id IS NOT NULL GROUP BY ALL),
+linked AS MATERIALIZED (SELECT c.conv_id, c.turn, c.call_id, l.level, r.result_turn, coalesce(f.faults, 0) AS faults FROM calls c LEFT JOIN levels l ON l.conv_id = c.conv_id AND l.call_id = c.call_id LEFT JOIN results r ON r.conv_id = c.conv_id AND r.call_id = c.call_id LEFT JOIN faults f ON f.conv_id = c.conv_id AND f.call_id = c.call_id),
+of_message AS (SELECT conv_id, turn, max(level) AS level, count(result_turn) AS n_linked, sum(faults) AS n_faults FROM linked GROUP BY ALL),
+fields AS (SELECT m.k, string_agg(CAST(to_json(e.key) AS VARCHAR) || ':' || CAST(e.value AS VARCHAR), ',') AS body FROM m, json_each(m.j) e WHERE e.key NOT IN ('role', 'turn') GROUP BY m.k),
+docs AS MATERIALIZED (SELECT m.k, CAST('{{' || concat_ws(',', f.body, CASE WHEN m.role IS NOT NULL THEN '"role":' || CAST(to_json(m.role) AS VARCHAR) END, CASE WHEN m.turn IS NOT NULL THEN '"turn":' || m.turn END) || '}}' AS JSON) AS j FROM m LEFT JOIN fields f ON f.k = m.k),
+{_canonical_sql("message", "docs", "args_at")}
+SELECT s.conv_id, s.turn, s.role, CASE WHEN r.call_id IS NOT NULL THEN r.level + 1 WHEN o.turn IS NOT NULL THEN o.level ELSE 0 END AS topo_level, CAST(coalesce(json_array_length(m.tool_calls), 0) AS BIGINT) AS n_calls, CAST(coalesce(o.n_linked, 0) AS BIGINT) AS n_linked, CAST(coalesce(o.n_faults, 0) AS BIGINT) AS n_faults,
+  coalesce(c.text, '{{' || concat_ws(',', CASE WHEN s.text IS NOT NULL THEN '"content":' || CAST(to_json(s.text) AS VARCHAR) END, CASE WHEN s.role IS NOT NULL THEN '"role":' || CAST(to_json(s.role) AS VARCHAR) END, CASE WHEN s.turn IS NOT NULL THEN '"turn":' || s.turn END) || '}}') AS canonical
+FROM src s LEFT JOIN m USING (k) LEFT JOIN message c USING (k) LEFT JOIN of_message o ON o.conv_id = s.conv_id AND o.turn = s.turn LEFT JOIN linked r ON r.conv_id = s.conv_id AND r.call_id = m.own_call AND r.result_turn IS NOT NULL
 """
