@@ -1,56 +1,89 @@
 """Toxicity by noisy-channel deobfuscation.
 
-Written words are taken as what a channel made of intended ones: letters turned
+Written text is taken as what a channel made of an intended one: letters turned
 into look-alike digits and signs, repeated, or set apart by signs and spaces.
-Each suspicious word becomes a lattice of characters, and a Viterbi search under
-a character trigram model finds the likeliest intended word.  The restored text
-is then scored by the words that labelled documents show to be toxic.
-
-Learning uses a bounded sample of labelled documents (``SAMPLE_PER_CLASS`` per
-class, picked by a hash of doc_id); near copies count once, so that a group's
-own vocabulary is not taken for toxic words.
+A stretch of chunks that may hold a disguise becomes one lattice: each run of
+equal characters, spaces and signs included, may stand for several outputs.  A
+Viterbi search under a character model (four-grams counted over all documents)
+finds the likeliest intended text; the restored text is then scored by the
+words that labelled documents show to be toxic.
+
+What enters a lattice: chunks with digits, signs or repeated letters among their
+characters, and runs of short chunks of which one is no usual word, with the
+chunks beside them.  All other chunks stand for themselves, as any other reading
+of them would be less likely.  Letters are folded to a to z, so the model has
+28 ** 4 entries whatever the corpus; chunks with letters of other scripts are
+taken as they are.
+
+Labels are learnt from a bounded sample of labelled documents
+(``SAMPLE_PER_CLASS`` per class, the smallest by a hash of doc_id); near copies
+count once, so that a group's own vocabulary is not taken for toxic words.
 
 Defined cases: a null or empty text is scored like a text without toxic words;
-repeated rows get equal scores; several labels of a document count as toxic if
-one is; without labels of both classes all scores are 0; other columns are
-ignored.
+texts of any length are read whole; repeated rows get equal scores; several
+labels of a document count as toxic if one is, several texts of a labelled
+doc_id count as the smallest; without labels of both classes all scores are 0;
+an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import groupby
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from rasterloom.llm.chunks import chunk_table, part_table
-from rasterloom.llm.common import BoundedCache, batch_slices, held, map_arrow
+from rasterloom.llm.common import BoundedCache, batch_slices, held, map_arrow, release_held
 from rasterloom.session import materialize
 
 SAMPLE_PER_CLASS = 3000
 LEAST_DOCS = 5
-CACHED_WORDS = 200_000
+CACHED_CHUNKS, CACHED_STRETCHES = 100_000, 50_000
 #: Lengths of word beginnings that count beside whole words, for inflected and compound forms.
 BEGINNINGS = (4, 5, 6)
-#: Longer words are not taken for disguised ones.
-LONGEST_DISGUISE = 32
-#: Single letters in a row that may be one word.
-LEAST_SPACED = 4
+#: Chunks of so many characters may be parts of a word that is set apart; those less likely than this are no usual words.
+SHORT, USUAL = 3, math.log(2e-4)
 #: Look-alikes of letters.
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
-_SEPARATORS = frozenset(".-_~'’`,:;·*")
+_SEPARATORS = frozenset(".-_~'’`,:;·*/\\")
 _WILD = frozenset("*#")
+_EDGE = ".,;:?\"'()[]{}«»„“”"
 _LETTER_RUN = re.compile(r"[^\W\d_]+")
-_TRIPLE = re.compile(r"(.)\1\1")
+_TWICE = re.compile(r"(.)\1")
+#: Symbols of the model: 0 before a word, 1 to 26 the letters, 27 behind a word.
+SYMBOLS, BEHIND = 28, 27
+_CONTEXTS = SYMBOLS**3
+#: Kinds of chunks: letters of other scripts, no part of a stretch by itself, short, short and no usual word.
+_APART, _OTHER, _JOINS, _SEED = -1, 0, 1, 2
+
+
+def _folds() -> dict[int, str]:
+    """Latin letters with marks to the letters below them; what has no such letter stays."""
+    out = {}
+    for code in range(0xC0, 0x250):
+        plain = "".join(c for c in unicodedata.normalize("NFKD", chr(code)).lower() if "a" <= c <= "z")
+        if plain:
+            out[code] = plain
+    return out | {0xDF: "ss", 0xE6: "ae", 0xF8: "o", 0x153: "oe", 0x131: "i", 0x142: "l"}
+
+
+_FOLDS = _folds()
+
+
+def fold(text: str) -> str:
+    return text.lower().translate(_FOLDS)
 
 
 def forms(word: str) -> list[str]:
@@ -58,146 +91,338 @@ def forms(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in BEGINNINGS if len(word) >= n)]
 
 
-class CharacterModel:
-    """A trigram model of words' characters with additive smoothing."""
-
-    def __init__(self, counts: dict[str, int], smoothing: float = 0.1):
-        seen: dict[str, dict[str, float]] = defaultdict(lambda: defaultdict(float))
-        for word, n in counts.items():
-            padded = f"^^{word}$"
-            for i in range(2, len(padded)):
-                seen[padded[i - 2 : i]][padded[i]] += n
-        self.letters = sorted({c for word in counts for c in word}) or list("abcdefghijklmnopqrstuvwxyz")
-        size = len(self.letters) + 1
-        self.floor = -math.log(size)
-        self.after = {}
-        for context, following in seen.items():
-            total = sum(following.values()) + smoothing * size
-            self.after[context] = ({c: math.log((n + smoothing) / total) for c, n in following.items()}, math.log(smoothing / total))
-
-    def score(self, context: str, char: str) -> float:
-        known = self.after.get(context)
-        return self.floor if known is None else known[0].get(char, known[1])
-
-
-def _outputs(char: str, times: int, letters: list[str]) -> list[tuple[str, float]]:
-    """What the channel may have made a run of one character from, with log probabilities."""
-    if char.isalpha():
-        if times == 1:
-            return [(char, math.log(0.95))]
-        if times == 2:
-            return [(char * 2, math.log(0.8)), (char, math.log(0.15))]
-        return [(char, math.log(0.5)), (char * 2, math.log(0.4))]
-    out = [("", math.log(0.3 if char in _SEPARATORS else 0.002))]
-    for letter in LOOKALIKES.get(char, ""):
-        share = math.log(0.6 / len(LOOKALIKES[char]))
-        out.append((letter, share))
-        if times > 1:
-            out.append((letter * 2, share + math.log(0.5)))
+# --- the character model --------------------------------------------------------------------------------------------
+
+
+def _symbols(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of words of a to z, three before and one behind each, and the four-gram that ends at each symbol from the fourth on."""
+    text = np.frombuffer("".join(f"```{w}{{" for w in words).encode(), np.uint8).astype(np.int64) - 96
+    return text, ((text[:-3] * SYMBOLS + text[1:-2]) * SYMBOLS + text[2:-1]) * SYMBOLS + text[3:]
+
+
+def gram_counts(words: list[str], times: np.ndarray, into: np.ndarray) -> None:
+    """Add the four-grams of words of a to z, each with three symbols before and one behind it."""
+    if not words:
+        return
+    text, keys = _symbols(words)
+    weight = np.repeat(times, [len(w) + 4 for w in words])[3:]
+    inside = text[3:] > 0
+    into += np.bincount(keys[inside], weight[inside], SYMBOLS**4)
+
+
+def count_grams(docs: DataFrame) -> np.ndarray:
+    """Four-grams of all words of all documents; at most ``SYMBOLS`` ** 4 sums reach the driver."""
+    schema = StructType([StructField("gram", IntegerType()), StructField("n", DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_held()
+        sums = np.zeros(SYMBOLS**4)
+        for part in batch_slices(batches):
+            chunks, codes, _ = chunk_table(part["text"])
+            parts = part_table(chunks, lower=True)
+            size = len(parts.letters) + len(parts.marks) + len(parts.others)
+            times = np.bincount(parts.first[codes], minlength=size)
+            words, weights = [], []
+            for chunk, n in [*zip(parts.letters, times.tolist()), *zip(parts.others, times[len(parts.letters) + len(parts.marks) :].tolist())]:
+                for word in _LETTER_RUN.findall(fold(chunk)):
+                    if word.isascii():
+                        words.append(word)
+                        weights.append(n)
+            gram_counts(words, np.array(weights, float), sums)
+        found = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(sums[found])], names=["gram", "n"])
+
+    rows = map_arrow(docs.select("text"), run, schema).groupBy("gram").agg(F.sum("n").alias("n"))
+    out = np.zeros(SYMBOLS**4)
+    for r in rows.collect():
+        out[r["gram"]] = r["n"]
+    return out
+
+
+def fit_characters(counts: np.ndarray) -> np.ndarray:
+    """Log probabilities of each symbol behind each three: four-grams, smoothed by the shorter ones with the weight of the number of symbols seen."""
+    four = counts.reshape((SYMBOLS,) * 4)
+    chance = np.full(SYMBOLS, 1.0 / (SYMBOLS - 1))
+    chance[0] = 0.0
+    for grams in (four.sum((0, 1, 2)), four.sum((0, 1)), four.sum(0), four):
+        seen, total = np.maximum(1, (grams > 0).sum(-1, keepdims=True)), grams.sum(-1, keepdims=True)
+        chance = (grams + seen * chance) / (total + seen)
+    with np.errstate(divide="ignore"):
+        return np.log(chance).astype(np.float32).ravel()
+
+
+class Characters:
+    """The model as a flat list: the entry of context * SYMBOLS + symbol."""
+
+    def __init__(self, table: np.ndarray):
+        self.array, self.table = table, table.tolist()
+
+    def word(self, word: str) -> float:
+        """The log probability of a word of a to z."""
+        table, context, total = self.table, 0, 0.0
+        for c in word:
+            at = context * SYMBOLS + ord(c) - 96
+            total += table[at]
+            context = at % _CONTEXTS
+        return total + table[context * SYMBOLS + BEHIND]
+
+    def check(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Of words of a to z: their log probabilities, and whether one letter less of a repeated one may be likelier."""
+        if not words:
+            return np.zeros(0), np.zeros(0, bool)
+        text, keys = _symbols(words)
+        size = np.array([len(w) + 4 for w in words])
+        ends = np.cumsum(size)
+        chance = np.concatenate([np.zeros(3), np.where(text[3:] > 0, self.array[keys], 0.0)])
+        total = np.add.reduceat(chance, ends - size)
+        at = np.flatnonzero((text[1:] == text[:-1]) & (text[1:] > 0) & (text[1:] < BEHIND)) + 1
+        s = np.concatenate([text, np.zeros(4, np.int64)])
+        chance = np.concatenate([chance, np.zeros(4)])
+        gain, held = -chance[at], np.ones(len(at), bool)
+        before = [s[at - 3], s[at - 2], s[at - 1]]
+        for k in (1, 2, 3):
+            symbol = s[at + k]
+            held = held & (symbol > 0)
+            gain += np.where(held, self.array[((before[0] * SYMBOLS + before[1]) * SYMBOLS + before[2]) * SYMBOLS + symbol] - chance[at + k], 0.0)
+            before = [before[1], before[2], symbol]
+        thrice = (at >= 2) & (s[at - 2] == s[at])
+        doubtful = np.zeros(len(words), bool)
+        doubtful[np.searchsorted(ends, at[(gain > _COLLAPSE) | thrice], side="right")] = True
+        return total, doubtful
+
+
+# --- the channel ----------------------------------------------------------------------------------------------------
+
+
+def _logs(pairs: list[tuple[str, float]]) -> list[tuple[tuple[int, ...], float, str]]:
+    return [(tuple(BEHIND if c == " " else ord(c) - 96 for c in out), math.log(p), out) for out, p in pairs]
+
+
+def _outputs(char: str, times: int) -> list[tuple[str, float]]:
+    """What a run of one character may stand for, with its chance; a space ends a word."""
+    letter = _FOLDS.get(ord(char), char)
+    if letter.isascii() and letter.isalpha():
+        return [(letter, 1.0)] if times == 1 else [(letter * 2, 0.93), (letter, 0.07)] if times == 2 else [(letter, 0.55), (letter * 2, 0.45)]
+    if char == " ":
+        return [(" ", 0.85), ("", 0.15)]
+    likes = LOOKALIKES.get(char, "")
+    out = [(" ", 0.55), ("", 0.35)] if char in _SEPARATORS else [(" ", 0.2), ("", 0.02)] if likes else [(" ", 0.9), ("", 0.1)]
+    out += [(letter, 0.7 / len(likes)) for letter in likes]
+    if times > 1:
+        out += [(letter * 2, 0.2 / len(likes)) for letter in likes]
     if char in _WILD and times == 1:
-        out.extend((letter, math.log(0.4 / len(letters))) for letter in letters)
+        out += [(chr(c), 0.3 / 26) for c in range(97, 123)]
     return out
 
 
-def decode(word: str, model: CharacterModel) -> str:
-    """The likeliest intended word: Viterbi over the lattice of the word's runs, with the last two characters as state."""
-    best: dict[str, tuple[float, str]] = {"^^": (0.0, "")}
-    for char, run in groupby(word.lower()):
-        reached: dict[str, tuple[float, str]] = {}
-        choices = _outputs(char, sum(1 for _ in run), model.letters)
-        for context, (score, text) in best.items():
-            for output, cost in choices:
+#: A letter less must make a word so much likelier before a repeated letter is taken for one.
+_COLLAPSE = math.log(0.93 / 0.07)
+_CHANNEL: dict[tuple[str, int], list] = {}
+
+
+def _channel(char: str, times: int) -> list:
+    key = (char, min(times, 3))
+    found = _CHANNEL.get(key)
+    if found is None:
+        found = _logs(_outputs(*key))
+        if ord(char) < 0x250:
+            _CHANNEL[key] = found
+    return found
+
+
+def decode(written: str, characters: Characters) -> str:
+    """The likeliest intended text, in a to z: Viterbi over the lattice of the text's runs, with the last three symbols as state."""
+    table, written = characters.table, written.lower()
+    best: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
+    for char, run in groupby(written):
+        reached: dict[int, tuple[float, tuple | None]] = {}
+        choices = _channel(char, sum(1 for _ in run))
+        for context, (score, path) in best.items():
+            for symbols, cost, text in choices:
                 now, total = context, score + cost
-                for c in output:
-                    total += model.score(now, c)
-                    now = now[1] + c
+                for s in symbols:
+                    if s == BEHIND:
+                        if now:
+                            total += table[now * SYMBOLS + BEHIND]
+                            now = 0
+                    else:
+                        at = now * SYMBOLS + s
+                        total += table[at]
+                        now = at % _CONTEXTS
                 old = reached.get(now)
-                if old is None or total > old[0] or (total == old[0] and text + output < old[1]):
-                    reached[now] = (total, text + output)
+                if old is None or total > old[0]:
+                    reached[now] = (total, (path, text) if text else path)
         best = reached
-    return max(((score + model.score(context, "$"), text) for context, (score, text) in best.items()), key=lambda x: (x[0], x[1]))[1]
+    _, path = max(((score + (table[context * SYMBOLS + BEHIND] if context else 0.0), path) for context, (score, path) in best.items()), key=lambda x: x[0])
+    out = []
+    while path is not None:
+        path, text = path
+        out.append(text)
+    return "".join(reversed(out))
 
 
-def suspicious(word: str) -> bool:
-    """Whether a word may be a disguised one: letters among other signs, look-alikes or a letter three times in a row."""
-    if len(word) > LONGEST_DISGUISE or len(word) < 3:
-        return False
-    inner = word.strip(".,;:!?\"'()[]{}«»„“”")
-    if inner.isalpha():
-        return _TRIPLE.search(inner) is not None
-    return any(map(str.isalpha, inner)) or sum(c in LOOKALIKES for c in inner) == len(inner) >= 3
+# --- restoring texts ------------------------------------------------------------------------------------------------
 
 
 @dataclass
 class ToxicModel:
     lexicon: dict[str, float]  # word to weight
-    letters: CharacterModel
+    characters: np.ndarray | None  # log probabilities
     weights: np.ndarray | None  # of the features of features()
 
 
-class Restorer:
-    """Toxic words of written chunks; one instance lives in each Python worker."""
-
-    def __init__(self, lexicon: dict[str, float], letters: CharacterModel):
-        self.number = {w: i for i, w in enumerate(sorted(lexicon))}
-        self.weight = np.array([lexicon[w] for w in sorted(lexicon)])
-        self.letters = letters
-        self.found = BoundedCache(self._found, CACHED_WORDS)
-
-    def words(self, chunk: str) -> list[str]:
-        """A chunk's words in lower case, disguised ones restored."""
-        lowered = chunk.lower()
-        plain = _LETTER_RUN.findall(lowered)
-        out = [decode(w, self.letters) if _TRIPLE.search(w) and len(w) <= LONGEST_DISGUISE else w for w in plain]
-        for piece in lowered.split():
-            if suspicious(piece) and not piece.strip(".,;:!?\"'()[]{}«»„“”").isalpha():
-                out.append(decode(piece.strip(",;:?\"'()[]{}«»„“”"), self.letters))
-        return out
+class Read(NamedTuple):
+    """A slice of texts as read: chunks of letters, restored words of the parts that are no such chunks or stand for other words, and the stretches."""
 
-    def _found(self, chunk: str) -> tuple[int, ...]:
-        return tuple(n for w in self.words(chunk) for n in self._numbers(w))
+    letters: pa.Array
+    restored: dict[int, tuple[str, ...]]
+    size: int
+    of_chunk: np.ndarray
+    inside: np.ndarray
+    offsets: np.ndarray
+    stretches: list[tuple[int, tuple[str, ...], tuple[str, ...]]]  # text, words as written, words put together
 
-    def _numbers(self, word: str) -> list[int]:
-        get = self.number.get
-        return [n for form in forms(word) if (n := get(form)) is not None]
 
-    def hits(self, texts: pa.Array) -> list[list[int]]:
-        """The numbers of the toxic words of every text."""
-        chunks, codes, offsets = chunk_table(texts)
+class Restorer:
+    """The restored words of texts; one instance lives in each Python worker."""
+
+    def __init__(self, lexicon: dict[str, float], characters: np.ndarray, decoder=decode):
+        names = sorted(lexicon)
+        self.names = pa.array(names, pa.string())
+        self.number = {fold(w): i for i, w in reversed(list(enumerate(names)))} | {w: i for i, w in enumerate(names)}
+        self.weight = np.array([lexicon[w] for w in names])
+        self.characters = Characters(characters)
+        self.decoder = decoder
+        self.restored = BoundedCache(lambda w: tuple(self.decoder(w, self.characters).split()), CACHED_STRETCHES, longest=256)
+        self.other = BoundedCache(self._other, CACHED_CHUNKS)
+
+    def _letters(self, words: pa.Array) -> tuple[np.ndarray, dict[int, tuple[str, ...]]]:
+        """The kinds of chunks of letters, and the restored words of those that stand for others."""
+        folded = words.to_pylist()
+        marked = np.flatnonzero(~pc.string_is_ascii(words).to_numpy(zero_copy_only=False)).tolist()
+        lowered = {i: folded[i] for i in marked}
+        for i in marked:
+            folded[i] = fold(folded[i])
+        latin = np.array([w.isascii() for w in folded], bool)
+        chance, doubtful = np.zeros(len(folded)), np.zeros(len(folded), bool)
+        chance[latin], doubtful[latin] = self.characters.check([w for w in folded if w.isascii()])
+        short = np.array([len(w) <= SHORT for w in folded], bool)
+        kind = np.where(~latin, _APART, np.where(~short, _OTHER, np.where(chance >= USUAL, _JOINS, _SEED))).astype(np.int8)
+        # marks may be a disguise: a word that is toxic without them
+        restored = {i: (folded[i],) for i in marked if folded[i] in self.number and lowered[i] not in self.number}
+        for i in np.flatnonzero(doubtful).tolist():
+            own = self.restored[lowered.get(i, folded[i])]
+            if own != (folded[i],):
+                restored[i] = own
+        return kind, restored
+
+    def _other(self, chunk: str) -> tuple[int, tuple[str, ...]]:
+        """Kind and restored words of any other chunk."""
+        core = chunk.lower().strip(_EDGE)
+        letters = [c for c in core if c.isalpha()]
+        if not fold("".join(letters)).isascii():
+            return _APART, tuple(_LETTER_RUN.findall(core))
+        likes = sum(c in LOOKALIKES for c in core)
+        if len(core) <= SHORT:
+            kind = _OTHER if not letters and not likes else _SEED if letters and likes else _JOINS
+        else:
+            kind = _OTHER
+        if letters or likes == len(core) >= SHORT:
+            return kind, tuple(self.decoder(core, self.characters).split())
+        return kind, ()
+
+    def _read(self, texts: pa.Array) -> Read:
+        chunks, codes, offsets = chunk_table(pc.replace_substring_regex(pc.fill_null(texts, "").cast(pa.large_string()), r"\s+", " "))
         parts = part_table(chunks, lower=True)
-        numbers, triple = self._numbers, _TRIPLE.search
-        of_part: dict[int, tuple[int, ...]] = {}
-        for i, word in enumerate(parts.letters):
-            if own := numbers(word):
-                of_part[i] = tuple(own)
-            elif triple(word) and (found := self.found[word]):
-                of_part[i] = found
+        letters = pa.array(parts.letters, pa.string())
+        kinds, restored = self._letters(letters)
         base = len(parts.letters) + len(parts.marks)
-        for i, chunk in enumerate(parts.others):
-            if found := self.found[chunk]:
-                of_part[base + i] = found
-        marked = np.zeros(base + len(parts.others), bool)
-        marked[list(of_part)] = True
+        others = [self.other[c] for c in parts.others]
+        restored |= {base + i: words for i, (_, words) in enumerate(others)}
+        of_chunk = parts.first[codes]
+        kind = np.concatenate([kinds, np.full(len(parts.marks), _OTHER, np.int8), np.array([k for k, _ in others], np.int8)])[of_chunk] if len(codes) else np.zeros(0, np.int8)
+        single = np.concatenate([pc.utf8_length(letters).to_numpy() == 1, np.zeros(len(parts.marks), bool), np.array([k > _OTHER and len(c.strip(_EDGE)) == 1 for c, (k, _) in zip(parts.others, others)], bool)])[of_chunk] if len(codes) else np.zeros(0, bool)
+        inside = self._stretches(kind, single, offsets)
+        edge = np.diff(np.concatenate([[0], inside.astype(np.int8), [0]]))
+        edge[offsets[:-1][offsets[:-1] < len(codes)]] |= inside[offsets[:-1][offsets[:-1] < len(codes)]]
+        begins = np.flatnonzero(edge[:-1] > 0 if len(codes) else edge)
+        names, stretches = chunks.to_pylist() if len(begins) else [], []
+        owners = (np.searchsorted(offsets, begins, side="right") - 1).tolist()
+        for a, doc in zip(begins.tolist(), owners):
+            b, end = a + 1, int(offsets[doc + 1])
+            while b < end and inside[b]:
+                b += 1
+            written = [names[c].lower() for c in codes[a:b].tolist()]
+            known = {fold(core): core for w in written if (core := w.strip(_EDGE))}
+            words = self.restored[" ".join(written)]
+            stretches.append((doc, tuple(known[w] for w in words if w in known), tuple(w for w in words if w not in known)))
+        return Read(letters, restored, base + len(others), of_chunk, inside, offsets, stretches)
+
+    def texts(self, texts: pa.Array) -> list[list[str]]:
+        """The restored words of every text, those of stretches behind the others."""
+        read = self._read(texts)
+        out, letters = [], read.letters.to_pylist()
+        for a, b in zip(read.offsets[:-1].tolist(), read.offsets[1:].tolist()):
+            own = read.of_chunk[a:b][~read.inside[a:b]]
+            out.append([w for c in own.tolist() for w in read.restored.get(c) or (letters[c : c + 1] if c not in read.restored else ())])
+        for doc, kept, made in read.stretches:
+            out[doc] += [*kept, *made]
+        return out
+
+    def hits(self, texts: pa.Array) -> list[list[int]]:
+        """The numbers of the toxic words of every restored text."""
+        read = self._read(texts)
+        own: dict[int, tuple[int, ...]] = {}
+        words = read.letters
+        for form in (words, *(pc.if_else(pc.greater_equal(pc.utf8_length(words), n), pc.binary_join_element_wise(pc.utf8_slice_codeunits(words, 0, n), "*", ""), None) for n in BEGINNINGS)):
+            number = pc.index_in(form, self.names)
+            for i in np.flatnonzero(number.is_valid().to_numpy(zero_copy_only=False)).tolist():
+                own[i] = (*own.get(i, ()), number[i].as_py())
+        own = {i: n for i, n in own.items() if i not in read.restored} | {i: tuple(n) for i, w in read.restored.items() if (n := self.numbers(w))}
+        marked = np.zeros(read.size, bool)
+        marked[list(own)] = True
         out: list[list[int]] = [[] for _ in range(len(texts))]
-        at = np.flatnonzero(marked[parts.first][codes])
-        for doc, code in zip((np.searchsorted(offsets, at, side="right") - 1).tolist(), codes[at].tolist()):
-            out[doc].extend(of_part[int(parts.first[code])])
-        single = np.array([len(c) == 1 and c.isalpha() for c in chunks.to_pylist()], bool)[codes] if len(codes) else np.zeros(0, bool)
-        self._spaced(chunks, codes, offsets, single, out)
+        at = np.flatnonzero(marked[read.of_chunk] & ~read.inside)
+        for doc, code in zip((np.searchsorted(read.offsets, at, side="right") - 1).tolist(), read.of_chunk[at].tolist()):
+            out[doc].extend(own[code])
+        get = self.number.get
+        for doc, kept, made in read.stretches:
+            # what was put together counts as a whole word only: its beginning may be a word of its own
+            out[doc] += [*self.numbers(kept), *(n for w in made if (n := get(w)) is not None)]
         return out
 
-    def _spaced(self, chunks: pa.Array, codes: np.ndarray, offsets: np.ndarray, single: np.ndarray, out: list[list[int]]) -> None:
-        """Add words whose letters stand apart: runs of single letters, taken letter by letter for every word that they spell."""
-        change = np.diff(np.concatenate([[0], single.astype(np.int8), [0]]))
-        for a, b in zip(np.flatnonzero(change == 1).tolist(), np.flatnonzero(change == -1).tolist()):
-            if b - a < LEAST_SPACED:
-                continue
-            doc = int(np.searchsorted(offsets, a, side="right")) - 1
-            end = min(b, int(offsets[doc + 1]))
-            spelled = "".join(chunks.take(pa.array(codes[a:end])).to_pylist()).lower()
-            whole = self._numbers(spelled) or self._numbers(decode(spelled[:LONGEST_DISGUISE], self.letters))
-            # several words may be spelled in a row
-            out[doc].extend(whole or [n for w, n in self.number.items() if len(w) >= LEAST_SPACED and "*" not in w and w in spelled])
+    def numbers(self, words: tuple[str, ...]) -> list[int]:
+        """The numbers of restored words, which have no marks on their letters."""
+        get = self.number.get
+        return [n for w in words for form in forms(w) if (n := get(form)) is not None]
+
+    @staticmethod
+    def _stretches(kind: np.ndarray, single: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Which chunks lie in a run of short ones with a seed (one that is no usual word, or three single characters in a row), or beside one in the same text."""
+        inside = np.zeros(len(kind), bool)
+        seeds = kind == _SEED
+        seeds[2:] |= single[2:] & single[1:-1] & single[:-2]
+        if not seeds.any():
+            return inside
+        short = kind > _OTHER
+        first = short.copy()
+        first[1:] &= ~short[:-1]
+        text_start = offsets[:-1][offsets[:-1] < len(kind)]
+        first[text_start] |= short[text_start]
+        number = np.cumsum(first) - 1
+        held = np.zeros(int(first.sum()), bool)
+        held[number[seeds]] = True
+        inside[short] = held[number[short]]
+        begins, ends = np.zeros(len(kind), bool), np.zeros(len(kind), bool)
+        begins[text_start] = True
+        ends[:-1] = begins[1:]
+        wide = inside.copy()
+        wide[1:] |= inside[:-1] & ~begins[1:]
+        wide[:-1] |= inside[1:] & ~ends[:-1]
+        return wide & (kind != _APART)
+
+
+# --- learning and scoring -------------------------------------------------------------------------------------------
 
 
 def features(hits: list[int], weight: np.ndarray) -> list[float]:
@@ -225,16 +450,19 @@ def _smallest(words: set[str], seed: int) -> tuple[int, int]:
     return min((h >> 65 for h in hashes), default=0), min((h & ((1 << 63) - 1) for h in hashes), default=0)
 
 
-def _sample_words(sample: DataFrame) -> DataFrame:
-    """toxic, min-hashes (h0 to h5) and the distinct written words with their beginnings of every sampled document."""
+def _sample_words(sample: DataFrame, characters: np.ndarray) -> DataFrame:
+    """toxic, min-hashes (h0 to h5) and the distinct restored words with their beginnings of every sampled document."""
     schema = StructType([StructField("toxic", IntegerType()), *(StructField(f"h{i}", LongType()) for i in range(6)), StructField("words", ArrayType(StringType()))])
+    sent = sample.sparkSession.sparkContext.broadcast(characters)
+    number = sent._jbroadcast.id()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(schema)
+        restorer = held(("characters", number), lambda: Restorer({}, sent.value))
         for part in batch_slices(batches):
-            words = [set(_LETTER_RUN.findall((t or "").lower())) for t in part["text"].to_pylist()]
+            words = [set(own) for own in restorer.texts(part["text"])]
             least = [[h for seed in range(3) for h in _smallest(w, seed)] for w in words]
             yield pa.RecordBatch.from_arrays([part["toxic"].cast(pa.int32()), *(pa.array([row[i] for row in least], pa.int64()) for i in range(6)), pa.array([sorted({f for word in w for f in forms(word)}) for w in words], arrow.field(7).type)], schema=arrow)
 
@@ -251,7 +479,7 @@ def _hits(docs: DataFrame, model: ToxicModel, keep: list[str]) -> DataFrame:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(schema)
-        restorer = held(("toxicity", number), lambda: Restorer(sent.value.lexicon, sent.value.letters))
+        restorer = held(("toxicity", number), lambda: Restorer(sent.value.lexicon, sent.value.characters))
         for part in batch_slices(batches):
             rows = [features(h, restorer.weight) for h in restorer.hits(part["text"])]
             yield pa.RecordBatch.from_arrays([*(part[k].cast(arrow.field(i).type) for i, k in enumerate(keep)), pa.array(rows, arrow.field(len(keep)).type)], schema=arrow)
@@ -272,41 +500,44 @@ def choose_words(counts: dict[str, tuple[int, int]], toxic: int, clean: int, lea
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = SAMPLE_PER_CLASS) -> ToxicModel:
-    """Learn toxic words, the character model and the score from labels (doc_id, toxic) where ``train`` holds."""
+def _sample(docs: DataFrame, known: DataFrame, per_class: int) -> DataFrame:
+    """toxic and text of at most ``per_class`` labelled documents of each class, those with the smallest hashes of their ids."""
     spark = docs.sparkSession
+    order = [F.xxhash64("doc_id", F.lit(5)), "doc_id"]
+    ids = [(r["doc_id"], r["toxic"]) for k in (0, 1) for r in known.where(F.col("toxic") == k).orderBy(*order).limit(per_class).collect()]
+    chosen = spark.createDataFrame(ids, StructType([known.schema["doc_id"], StructField("toxic", IntegerType())]))
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = SAMPLE_PER_CLASS) -> ToxicModel:
+    """Learn the character model from all documents, and toxic words and the score from labels (doc_id, toxic) where ``train`` holds."""
     known = labels.where(train & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if set(sizes) != {0, 1}:
-        return ToxicModel({}, CharacterModel({}), None)
-    pick, most = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)), 1 << 30
-    share = {k: min(1.0, per_class / n) for k, n in sizes.items()}
-    cut = F.when(F.col("toxic") == 1, int(share[1] * most)).otherwise(int(share[0] * most))
-    ids = known.where(pick < cut).limit(3 * per_class).collect()
-    chosen = spark.createDataFrame([(r["doc_id"], r["toxic"]) for r in ids], "doc_id long, toxic int")
-    sample = materialize(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text").limit(6 * per_class), "toxic-sample")
-    own = _sample_words(sample)
+        return ToxicModel({}, None, None)
+    characters = fit_characters(count_grams(docs))
+    sample = materialize(_sample(docs, known, per_class), "toxic-sample")
+    own = _sample_words(sample, characters)
     for i in (0, 2, 4):
-        own = own.dropDuplicates(["toxic", f"h{i}", f"h{i + 1}"])
-    own = materialize(own, "toxic-words")
+        own = own.groupBy("toxic", f"h{i}", f"h{i + 1}").agg(F.min(F.struct(*[f"h{k}" for k in range(6) if k not in (i, i + 1)], "words")).alias("row")).select("toxic", f"h{i}", f"h{i + 1}", "row.*")
+    own = materialize(own.select("toxic", "words"), "toxic-words")
     totals = {r["toxic"]: r["n"] for r in own.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    words = own.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).where("a + b >= 4")
+    words = own.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).where(F.col("a") >= LEAST_DOCS)
     counts = {r["word"]: (r["a"], r["b"]) for r in words.collect()}
-    lexicon = choose_words(counts, totals.get(1, 0), totals.get(0, 0))
-    model = ToxicModel(lexicon, CharacterModel({w: a + b for w, (a, b) in counts.items() if len(w) > 1 and "*" not in w}), None)
-    rows = _hits(sample, model, ["toxic"]).collect()
+    model = ToxicModel(choose_words(counts, totals.get(1, 0), totals.get(0, 0)), characters, None)
+    rows = sorted((r["toxic"], r["features"]) for r in _hits(sample, model, ["toxic"]).collect())
     if rows:
-        y = np.array([r["toxic"] for r in rows], float)
+        y = np.array([toxic for toxic, _ in rows], float)
         natural = {k: sizes[k] / max(1, int((y == k).sum())) for k in (0, 1)}
         weight = np.where(y == 1, natural[1], natural[0])
-        model.weights = fit_logistic(np.array([r["features"] for r in rows]), y, weight * len(y) / weight.sum())
+        model.weights = fit_logistic(np.array([own for _, own in rows]), y, weight * len(y) / weight.sum())
     return model
 
 
 def score(docs: DataFrame, model: ToxicModel) -> DataFrame:
     """doc_id and score of every document."""
-    found = _hits(docs, model, ["doc_id"])
     if model.weights is None:
-        return found.select("doc_id", F.lit(0.0).alias("score"))
+        return docs.select("doc_id", F.lit(0.0).alias("score"))
+    found = _hits(docs, model, ["doc_id"])
     sums = sum((F.lit(float(w)) * F.col("features")[i] for i, w in enumerate(model.weights)), F.lit(0.0))
     return found.select("doc_id", (1 / (1 + F.exp(-sums))).alias("score"))

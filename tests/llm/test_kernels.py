@@ -11,7 +11,7 @@ import pyarrow as pa
 import tiktoken
 import xxhash
 
-from rasterloom.llm import byte_bpe, chunks, components, language, packing, quality, secret_scan, simhash, simple8b, toxicity, word_tokens
+from rasterloom.llm import byte_bpe, chunks, components, language, packing, quality, secret_scan, simhash, simple8b, word_tokens
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -196,12 +196,3 @@ def test_base_spans_and_lexing():
     assert secret_scan.redact('token = "f3ef4d6b2755a36d7d9c25bd72c4d5f6"') == 'token = "[SECRET]"'
     assert secret_scan.redact("He said: the password is long gone.") == "He said: the password is long gone."
     assert secret_scan.redact(None) is None
-
-
-def test_disguised_words_are_restored():
-    model = toxicity.CharacterModel({"idiot": 20, "stupid": 20, "trash": 20, "loser": 20, "the": 300, "and": 300, "other": 50})
-    for written, meant in (("1d1ot", "idiot"), ("stuuuupid", "stupid"), ("tr@sh", "trash"), ("l.o.s.e.r", "loser")):
-        assert toxicity.suspicious(written) and toxicity.decode(written, model) == meant
-    restorer = toxicity.Restorer({"idiot": 3.0, "loser": 2.0}, model)
-    hits = restorer.hits(pa.array(["you 1d1ot", "l o s e r you", "the other", None, "", "a b c d"]))
-    assert [len(h) for h in hits] == [1, 1, 0, 0, 0, 0]
