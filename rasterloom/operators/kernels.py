@@ -300,6 +300,25 @@ def clean_palette(colours: np.ndarray, counts: np.ndarray, threshold: float, lea
     return centres[order], new
 
 
+def mask_overlay(rgb: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """The image with everything outside the mask tinted and the mask's inner border marked."""
+    tint, share, border = np.array([50.0, 210.0, 225.0]), 0.52, np.array([255.0, 40.0, 80.0])
+    padded = np.pad(mask, 1)
+    inner = padded[1:-1, 1:-1] & padded[:-2, 1:-1] & padded[2:, 1:-1] & padded[1:-1, :-2] & padded[1:-1, 2:]
+    out = np.where(mask[..., None], rgb, rgb * (1 - share) + tint * share)
+    return np.clip(np.rint(np.where((mask & ~inner)[..., None], border, out)), 0, 255).astype(np.uint8)
+
+
+def cut_corners(line: list[Point], rounds: int, closed: bool) -> list[Point]:
+    """Chaikin's corner cutting; open lines keep their ends, closed ones end where they begin."""
+    points = np.array(line, float)
+    for _ in range(rounds):
+        p, q = points[:-1], points[1:]
+        cut = np.stack([0.75 * p + 0.25 * q, 0.25 * p + 0.75 * q], 1).reshape(-1, 2)
+        points = np.vstack([cut, cut[:1]]) if closed else np.vstack([points[:1], cut, points[-1:]])
+    return [tuple(p) for p in points.tolist()]
+
+
 # --- filters and strokes --------------------------------------------------------------------------------------------
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.operators import grid
-from rasterloom.operators.kernels import improve_labels, merge_image
+from rasterloom.operators.kernels import STRATEGIES, distance_to_outside, improve_labels, merge_image
 from rasterloom.operators.regions import to_dense
 
 EVENT_FIELDS = "step int, source_region long, target_region long, source_palette_index int, target_palette_index int, source_pixels long, shared_boundary_pixels long, delta_e76 double, forced_by_tolerance boolean"
@@ -54,6 +54,28 @@ def labelability(pixels: DataFrame, colours: np.ndarray, scale: float, least_pix
     return pixels.select("image_id", "x", "y", "p", "region_id").groupBy("image_id").applyInPandas(run, "image_id int, x int, y int, merged_region long, merged_p int")
 
 
+COMPARED = "image_id int, strategy string, regions_before long, regions_after long, merges long, forced_merges long, below_threshold_after long, thin_regions_after long, recolored_pixel_percent double"
+
+
+def compare(pixels: DataFrame, colours: np.ndarray, least: int, scale: float, thin_mm: float, tolerance: float = 35.0) -> DataFrame:
+    """What every strategy makes of the same regions: one row per image and strategy."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        before, _ = to_dense(group, "p")
+        rows = []
+        for strategy in STRATEGIES:
+            _, (labels, classes, log) = _image_merge(group, colours, least, strategy, tolerance)
+            count, far = np.bincount(labels.ravel()), np.zeros(len(classes) + 1)
+            np.maximum.at(far, labels.ravel(), distance_to_outside(labels).ravel())
+            after = np.array([-1, *(classes[i] for i in range(1, len(classes) + 1))])[labels]
+            present = labels > 0
+            changed = 100.0 * float((after[present] != before[present]).mean())
+            rows.append((group["image_id"].iloc[0], strategy, group["region_id"].nunique(), len(classes), len(log), sum(m.forced_by_tolerance for m in log), int((count[1:] < least).sum()), int((2 * far[1:] * scale < thin_mm).sum()), round(changed, 6)))
+        return pd.DataFrame(rows, columns=[f.split()[0] for f in COMPARED.split(", ")])
+
+    return pixels.select("image_id", "x", "y", "p", "region_id").groupBy("image_id").applyInPandas(run, COMPARED)
+
+
 def strategy_key(strategy: str, difference: Column, shared: Column, source: Column, target: Column, region: Column) -> Column:
     """A candidate's sort key; the smallest is chosen, the smaller region id where all else is equal."""
     keys = {

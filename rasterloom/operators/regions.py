@@ -122,3 +122,16 @@ def nearest_to_centroid(placed: DataFrame) -> DataFrame:
     return best.select("image_id", "region_id", (F.col("at.x") + 0.5).alias("x_px"), (F.col("at.y") + 0.5).alias("y_px"), "distance_px")
 
 
+def labelling_summary(placements: DataFrame) -> DataFrame:
+    """One row per image from rows (region_id, status, font_size_mm, reason): placed and skipped labels, coverage, reduced fonts and the skipped ids."""
+    placed = F.col("status") == "placed"
+    return placements.groupBy("image_id").agg(
+        F.count(F.lit(1)).alias("region_count"), F.count_if(placed).alias("placed_count"), F.count_if(~placed).alias("skipped_count"), (100.0 * F.count_if(placed) / F.count(F.lit(1))).alias("coverage_percent"),
+        F.count_if(placed & (F.col("reason") != "")).alias("reduced_font_count"), F.coalesce(F.min(F.when(placed, F.col("font_size_mm"))), F.lit(0.0)).alias("smallest_font_mm"), F.array_sort(F.collect_list(F.when(~placed, F.col("region_id")))).alias("skipped_region_ids"),
+    )
+
+
+def gate_violations(metrics: DataFrame) -> DataFrame:
+    """Rows of metrics that miss the quality gate, with ``violations``: skipped labels, coverage below 100 %, fewer than two colours, no region."""
+    checks = [F.when(F.col("skipped_count") != 0, "skipped"), F.when(F.col("coverage_percent") != 100.0, "coverage"), F.when(F.col("actual_colors") < 2, "colors"), F.when(F.col("regions_after") < 1, "regions")]
+    return metrics.withColumn("violations", F.array_compact(F.array(*checks))).where(F.size("violations") > 0)

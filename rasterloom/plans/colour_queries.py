@@ -12,7 +12,7 @@ from rasterloom.plans.common import COLOURS, Registry, key_rgb_sql, lab_sql, que
 QUERIES: Registry = {}
 _R, _G, _B = key_rgb_sql("p_partkey")
 _NR, _NG, _NB = key_rgb_sql("n_nationkey")
-_COLOURS_SQL = f"colours AS (SELECT n_nationkey AS key, {', '.join(f'{e} AS {n}' for e, n in zip(lab_sql(_NR, _NG, _NB), 'lab'))} FROM nation WHERE n_nationkey < {COLOURS})"
+_COLOURS_SQL = f"colours AS (SELECT n_nationkey AS key, {', '.join(f'{e} AS {n}' for e, n in zip(lab_sql(_NR, _NG, _NB), 'lab'))} FROM nation)"
 _PALETTE_SQL = f"{_COLOURS_SQL}, palette AS (SELECT *, CAST(row_number() OVER (ORDER BY l, a, b, key) - 1 AS INTEGER) AS palette_index FROM colours)"
 
 
@@ -23,8 +23,7 @@ def with_lab(rows: DataFrame, key: str) -> DataFrame:
 
 
 def nation_colours(spark, sf_dir) -> DataFrame:
-    rows = table(spark, sf_dir, "nation").where(F.col("n_nationkey") < COLOURS)
-    return with_lab(rows, "n_nationkey").select(F.col("n_nationkey").alias("key"), "l", "a", F.col("lab_b").alias("b"))
+    return with_lab(table(spark, sf_dir, "nation"), "n_nationkey").select(F.col("n_nationkey").alias("key"), "l", "a", F.col("lab_b").alias("b"))
 
 
 def palette(spark, sf_dir) -> DataFrame:
@@ -166,12 +165,12 @@ def distinct_colours(spark, sf_dir):
     return rows.select(*[F.round(c, 4).alias(c) for c in ("l", "a", "lab_b")]).distinct().agg(F.count(F.lit(1)).alias("colours"))
 
 
-@query(QUERIES, "WITH s AS (SELECT CAST(n_nationkey AS INTEGER) AS palette_index, n_nationkey AS key FROM nation WHERE n_nationkey < 5), t AS (SELECT CAST(n_nationkey - 5 + 5 AS INTEGER) AS palette_index, n_nationkey AS key FROM nation WHERE n_nationkey BETWEEN 5 AND 7) SELECT * FROM s UNION ALL SELECT * FROM t")
+@query(QUERIES, "WITH n AS (SELECT n_nationkey AS key, n_regionkey < 2 AS subject, row_number() OVER (PARTITION BY n_regionkey < 2 ORDER BY n_nationkey) - 1 AS place FROM nation) SELECT CAST(CASE WHEN subject THEN place ELSE place + (SELECT count(*) FROM n WHERE subject) END AS INTEGER) AS palette_index, key FROM n")
 def palette_union(spark, sf_dir):
     """Subject and background palettes in one, the background's indices behind."""
-    n = table(spark, sf_dir, "nation")
-    subject = n.where("n_nationkey < 5").select(F.col("n_nationkey").cast("int").alias("palette_index"), F.col("n_nationkey").alias("key"))
-    background = n.where("n_nationkey between 5 and 7").select((F.col("n_nationkey") - 5).cast("int").alias("palette_index"), F.col("n_nationkey").alias("key"))
+    place = (F.row_number().over(Window.partitionBy(F.col("n_regionkey") < 2).orderBy("n_nationkey")) - 1).cast("int")
+    n = table(spark, sf_dir, "nation").select(place.alias("palette_index"), F.col("n_nationkey").alias("key"), (F.col("n_regionkey") < 2).alias("subject"))
+    subject, background = n.where("subject"), n.where("not subject")
     return pal.joined_palettes(subject, background)
 
 

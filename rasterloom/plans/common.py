@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from rasterloom.operators import grid
 
 Registry = dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
-COLOURS = 8
+#: Colours of the nations' palette: one for each nation.
+COLOURS = 25
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

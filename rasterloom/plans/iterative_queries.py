@@ -65,6 +65,11 @@ def merge_small_regions(spark, sf_dir):
 def merge_events(spark, sf_dir):
     return merging.merge_log(labelled(spark, sf_dir), COLOURS, LEAST)
 
+@query(QUERIES)
+def strategy_comparison(spark, sf_dir):
+    """What each merge strategy makes of every image: one row per image and strategy."""
+    return merging.compare(labelled(spark, sf_dir), COLOURS, LEAST, SCALE, 1.5)
+
 @query(QUERIES)
 def labelability_pass(spark, sf_dir):
     return merging.labelability(labelled(spark, sf_dir), COLOURS, SCALE, LEAST, 9.0)
@@ -146,6 +151,26 @@ def synthetic_scene(spark, sf_dir):
     return scenes(spark)
 
 
+@query(QUERIES)
+def sheet_strategies(spark, sf_dir):
+    """The drawn scenes segmented once and merged by every strategy."""
+    from rasterloom.plans.config import Config
+    from rasterloom.plans.sheets import compare_strategies
+    from rasterloom.sources.scenes import scenes
+
+    return compare_strategies(scenes(spark), Config(superpixels=300)).drop("duration_ms")
+
+
+@query(QUERIES)
+def quality_profiles(spark, sf_dir):
+    """The quality gate's metrics of the drawn scenes under its two profiles."""
+    from rasterloom.plans.config import Config
+    from rasterloom.plans.sheets import quality_metrics
+    from rasterloom.sources.scenes import scenes
+
+    return quality_metrics(scenes(spark), Config(colors=8, max_side=320, sample_pixels=30000, superpixels=180, min_region_area_mm2=6.0, palette_layout="separate"))
+
+
 @query(QUERIES)
 def sheet_stats(spark, sf_dir):
     """Whole sheets of the drawn scenes, as reports."""

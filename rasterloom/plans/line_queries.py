@@ -75,16 +75,25 @@ def page_transform(spark, sf_dir):
     return points(spark, sf_dir).select("vec_id", moved.alias("s")).select("vec_id", *_digest("s"))
 
 
-@query(QUERIES, "WITH c AS (SELECT c_nationkey, printf('<circle id=\"%d\"/>', c_custkey) AS e, c_custkey FROM customer) SELECT c_nationkey, '<svg>' || string_agg(e, '' ORDER BY c_custkey) || '</svg>' AS document FROM c GROUP BY c_nationkey")
+_SVG_SQL = """WITH c AS (SELECT c_nationkey, c_custkey, printf('<path d="M %d 0 L %d 9" fill="none" stroke="#222" stroke-width="0.25"/>', c_custkey, c_custkey) AS p, printf('<text x="%d.000" y="4.500" font-size="3.200" text-anchor="middle" dominant-baseline="central">%d</text>', c_custkey, c_custkey % 25 + 1) AS t FROM customer)
+SELECT c_nationkey, '<svg xmlns="http://www.w3.org/2000/svg" width="210mm" height="297mm" viewBox="0 0 210 297">' || chr(10) || '<title>' || c_nationkey || ' &amp; more</title>' || chr(10) || string_agg(p, chr(10) ORDER BY c_custkey) || chr(10) || string_agg(t, chr(10) ORDER BY c_custkey) || chr(10) || '</svg>' AS document FROM c GROUP BY c_nationkey"""
+
+
+@query(QUERIES, _SVG_SQL)
 def svg_document(spark, sf_dir):
-    """Elements of each sheet in order, in one document per sheet."""
-    element = F.struct("c_custkey", F.format_string('<circle id="%d"/>', "c_custkey").alias("e"))
-    rows = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.array_sort(F.collect_list(element)).alias("es"))
-    return rows.select("c_nationkey", F.concat(F.lit("<svg>"), F.array_join("es.e", ""), F.lit("</svg>")).alias("document"))
+    """Each nation's customers as lines and numbers of one sheet, written by the sheets' own writer."""
+    from rasterloom.sources.sinks import svg_sheet
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        keys = sorted(group["c_custkey"].tolist())
+        text = svg_sheet(210, 297, f"{group['c_nationkey'].iloc[0]} & more", [(f"M {i} 0 L {i} 9", "#222", 0.25) for i in keys], [(i, 4.5, 3.2, str(i % 25 + 1)) for i in keys])
+        return pd.DataFrame({"c_nationkey": [group["c_nationkey"].iloc[0]], "document": [text]})
+
+    return table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey").groupBy("c_nationkey").applyInPandas(run, "c_nationkey int, document string")
 
 
 #: Zones as discs and polylines: each embedding's first three points, scaled to the 100 x 100 page.
-_ZONE_SQL = "zones AS (SELECT vec_id, vec_id % 2 AS kind, 50 + 200 * embedding[1]::DOUBLE AS ax, 50 + 200 * embedding[2]::DOUBLE AS ay, 50 + 200 * embedding[3]::DOUBLE AS bx, 50 + 200 * embedding[4]::DOUBLE AS by_ FROM embeddings WHERE vec_id < 12)"
+_ZONE_SQL = "zones AS (SELECT vec_id, CAST(vec_id // 64 AS INTEGER) AS page, vec_id % 2 AS kind, 50 + 200 * embedding[1]::DOUBLE AS ax, 50 + 200 * embedding[2]::DOUBLE AS ay, 50 + 200 * embedding[3]::DOUBLE AS bx, 50 + 200 * embedding[4]::DOUBLE AS by_ FROM embeddings)"
 
 ZONES_A_PAGE = 64
 
@@ -95,19 +104,13 @@ def _zones(embeddings):
     return embeddings.select(F.floor(F.col("vec_id") / ZONES_A_PAGE).cast("int").alias("page"), F.when(F.col("vec_id") % 2 == 0, F.slice(line, 1, 1)).otherwise(line).alias("points"), F.lit(4.0).alias("radius"))
 
 
-@query(QUERIES, f"""WITH {_ZONE_SQL}, cells AS (SELECT CAST(i % 100 AS INTEGER) AS x, CAST(i // 100 AS INTEGER) AS y FROM range(10000) r(i)),
- d AS (SELECT x, y, vec_id, CASE WHEN kind = 0 THEN 0.0 ELSE greatest(0.0, least(1.0, ((x + 0.5 - ax) * (bx - ax) + (y + 0.5 - ay) * (by_ - ay)) / greatest(1e-9, (bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)))) END AS t, ax, ay, bx, by_ FROM cells CROSS JOIN zones)
- SELECT DISTINCT x, y FROM d WHERE pow(x + 0.5 - ax - t * (bx - ax), 2) + pow(y + 0.5 - ay - t * (by_ - ay), 2) <= 16""")
+@query(QUERIES, f"""WITH {_ZONE_SQL}, box AS (SELECT *, CAST(floor(least(ax, CASE WHEN kind = 0 THEN ax ELSE bx END) - 5) AS INTEGER) AS x0, CAST(ceil(greatest(ax, CASE WHEN kind = 0 THEN ax ELSE bx END) + 5) AS INTEGER) AS x1,
+  CAST(floor(least(ay, CASE WHEN kind = 0 THEN ay ELSE by_ END) - 5) AS INTEGER) AS y0, CAST(ceil(greatest(ay, CASE WHEN kind = 0 THEN ay ELSE by_ END) + 5) AS INTEGER) AS y1 FROM zones),
+ wide AS (SELECT *, unnest(range(greatest(0, x0), least(99, x1) + 1)) AS x FROM box), cells AS (SELECT *, unnest(range(greatest(0, y0), least(99, y1) + 1)) AS y FROM wide),
+ d AS (SELECT *, CASE WHEN kind = 0 THEN 0.0 ELSE greatest(0.0, least(1.0, ((x + 0.5 - ax) * (bx - ax) + (y + 0.5 - ay) * (by_ - ay)) / greatest(1e-9, (bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)))) END AS t FROM cells)
+ SELECT DISTINCT page, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y FROM d WHERE pow(x + 0.5 - ax - t * (bx - ax), 2) + pow(y + 0.5 - ay - t * (by_ - ay), 2) <= 16""")
 def zone_raster(spark, sf_dir):
-    """Pixels within four of a zone's point or line; each zone makes only the pixels of its own box."""
-    from rasterloom.sources.zones import rasterize
-
-    return rasterize(_zones(table(spark, sf_dir, "embeddings").where("vec_id < 12")), 100, 100)
-
-
-@query(QUERIES)
-def zone_raster_pages(spark, sf_dir):
-    """The pixels of every embedding's zone, ``ZONES_A_PAGE`` zones to a page."""
+    """The pixels within four of every embedding's point or line, ``ZONES_A_PAGE`` zones to a page; each zone makes only the pixels of its own box."""
     from rasterloom.sources.zones import rasterize
 
     return rasterize(_zones(table(spark, sf_dir, "embeddings")), 100, 100, ("page",))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -235,11 +233,11 @@ def keep_components(spark, sf_dir):
     return pixels.join(large, ["image_id", "block"], "left_semi").select(*_XY)
 
 
-@query(QUERIES, f"WITH {raster_sql(8)}, {pairs_sql('p')}, e AS (SELECT image_id, least(a, b) AS region_a, greatest(a, b) AS region_b, count(*) AS n FROM pairs WHERE a <> b GROUP BY ALL) SELECT image_id, region_a, region_b, n AS boundary_pixels, u.n_regionkey AS palette_a, w.n_regionkey AS palette_b FROM e JOIN nation u ON u.n_nationkey = region_a JOIN nation w ON w.n_nationkey = region_b")
+@query(QUERIES, f"WITH {raster_sql(25)}, {pairs_sql('p')}, e AS (SELECT image_id, least(a, b) AS region_a, greatest(a, b) AS region_b, count(*) AS n FROM pairs WHERE a <> b GROUP BY ALL) SELECT image_id, region_a, region_b, n AS boundary_pixels, u.n_regionkey AS palette_a, w.n_regionkey AS palette_b FROM e JOIN nation u ON u.n_nationkey = region_a JOIN nation w ON w.n_nationkey = region_b")
 def edge_palette(spark, sf_dir):
     """Edges with the palette entries of both sides."""
-    edges = grid.adjacency(raster(spark, sf_dir, 8), "p", least=0)
-    entries = table(spark, sf_dir, "nation").where("n_nationkey < 8").select("n_nationkey", "n_regionkey")
+    edges = grid.adjacency(raster(spark, sf_dir, 25), "p", least=0)
+    entries = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     for side in "ab":
         small = pal.checked_palette(entries.select(F.col("n_nationkey").alias(f"region_{side}"), F.col("n_regionkey").alias(f"palette_{side}")))
         edges = edges.join(small, f"region_{side}")
@@ -272,37 +270,16 @@ def boundary_edges_distinct(spark, sf_dir):
     return p.select("image_id", F.explode(F.array_compact(both)).alias("e")).select("image_id", "e.*").dropDuplicates()
 
 
-@query(QUERIES, f"WITH {_REGIONS_SQL}, v AS (SELECT image_id, list_filter([CASE WHEN count(*) < 3 THEN 'regions' END, CASE WHEN max(pixel_count) > 40 THEN 'largest' END, CASE WHEN min(pixel_count) < 2 THEN 'smallest' END], lambda x: x IS NOT NULL) AS violations FROM regions GROUP BY image_id) SELECT * FROM v WHERE len(violations) > 0")
-def benchmark_gate(spark, sf_dir):
-    """Images that miss a quality limit, with the limits that they miss."""
-    n = F.col("pixel_count")
-    checks = [F.when(F.count(F.lit(1)) < 3, "regions"), F.when(F.max(n) > 40, "largest"), F.when(F.min(n) < 2, "smallest")]
-    return customer_regions(spark, sf_dir).groupBy("image_id").agg(F.array_compact(F.array(*checks)).alias("violations")).where(F.size("violations") > 0)
-
-
-@query(QUERIES, f"WITH {raster_sql()}, {pairs_sql('p')}, e AS (SELECT image_id, count(*) AS total FROM pairs WHERE a <> b GROUP BY image_id), g AS (SELECT image_id, count(*) AS pixel_count, count(DISTINCT p) AS actual_colors, round(100.0 * sum(mask::INT) / count(*), 6) AS subject_percent FROM raster GROUP BY image_id) SELECT image_id, to_json({{'schema_version': '3.4', 'pixel_count': pixel_count, 'actual_colors': actual_colors, 'total_boundary': total}})::VARCHAR AS stats, subject_percent FROM g JOIN e USING (image_id)")
+@query(QUERIES, f"""WITH {raster_sql()}, {pairs_sql('block')}, e AS (SELECT image_id, least(a, b) AS a, greatest(a, b) AS b, count(*) AS n FROM pairs WHERE a <> b GROUP BY ALL), s AS (SELECT image_id, count(*) AS edges, sum(n) AS total FROM e GROUP BY image_id),
+ r AS (SELECT image_id, block, count(*) AS n FROM raster GROUP BY ALL), q AS (SELECT image_id, count(*) AS regions, min(n) AS min_pixels, max(n) AS max_pixels, median(n) AS median_pixels, count(CASE WHEN n < 25 THEN 1 END) AS below FROM r GROUP BY image_id),
+ g AS (SELECT image_id, count(*) AS pixel_count, count(DISTINCT p) AS actual_colors, round(100.0 * sum(mask::INT) / count(*), 6) AS subject_percent, count(CASE WHEN p <> v % 5 THEN 1 END) AS recolored_pixels, round(100.0 * count(CASE WHEN p <> v % 5 THEN 1 END) / count(*), 6) AS recolored_percent FROM raster GROUP BY image_id)
+ SELECT image_id, pixel_count, actual_colors, subject_percent, recolored_pixels, recolored_percent, regions, min_pixels, max_pixels, median_pixels, round(min_pixels * 0.0625, 6) AS min_area_mm2, below AS below_count, round(100.0 * below / regions, 6) AS below_percent, regions AS nodes, edges, round(2.0 * edges / regions, 6) AS mean_degree, CAST(total AS BIGINT) AS total_boundary FROM g JOIN q USING (image_id) JOIN s USING (image_id)""")
 def stats_report(spark, sf_dir):
-    """One JSON report per image."""
-    pixels = raster(spark, sf_dir)
-    edges = grid.adjacency(pixels, "p", least=0).groupBy("image_id").agg(F.sum("boundary_pixels").alias("total"))
-    counts = pixels.groupBy("image_id", "p").agg(F.count(F.lit(1)).alias("n"), F.count_if("mask").alias("m"))
-    g = counts.groupBy("image_id").agg(F.sum("n").alias("pixel_count"), F.count(F.lit(1)).alias("actual_colors"), F.round(100.0 * F.sum("m") / F.sum("n"), 6).alias("subject_percent"))
-    report = F.to_json(F.struct(F.lit("3.4").alias("schema_version"), "pixel_count", "actual_colors", F.col("total").alias("total_boundary")))
-    return g.join(edges, "image_id").select("image_id", report.alias("stats"), "subject_percent")
-
-
-def _strategies_sql() -> str:
-    part = "(SELECT '{s}' AS strategy, count(*) AS pixels, count(DISTINCT block) AS regions, round(100.0 * count(CASE WHEN {c} THEN 1 END) / count(*), 6) AS recolored_percent FROM raster)"
-    return f"WITH {raster_sql()} " + " UNION ALL ".join(part.format(s=s, c=c) for s, c in (("color", "p <> v % 5"), ("boundary", "p <> v % 4"), ("balanced", "p <> v % 3")))
-
-
-@query(QUERIES, _strategies_sql())
-def strategy_comparison(spark, sf_dir):
-    """One row per strategy."""
+    """One report per image, put together from the region, graph, mask and recolouring summaries."""
     pixels = blocks(raster(spark, sf_dir))
-
-    def row(name: str, k: int) -> DataFrame:
-        per = pixels.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("p") != F.col("v") % k).alias("m"))
-        return per.agg(F.lit(name).alias("strategy"), F.sum("n").alias("pixels"), F.count(F.lit(1)).alias("regions"), F.round(100.0 * F.sum("m") / F.sum("n"), 6).alias("recolored_percent"))
-
-    return reduce(DataFrame.unionByName, [row("color", 5), row("boundary", 4), row("balanced", 3)])
+    counts = pixels.groupBy("image_id", "p").agg(F.count(F.lit(1)).alias("n"), F.count_if("mask").alias("m"), F.count_if(F.col("p") != F.col("v") % 5).alias("c"))
+    whole = counts.groupBy("image_id").agg(F.sum("n").alias("pixel_count"), F.count(F.lit(1)).alias("actual_colors"), F.round(100.0 * F.sum("m") / F.sum("n"), 6).alias("subject_percent"), F.sum("c").alias("recolored_pixels"), F.round(100.0 * F.sum("c") / F.sum("n"), 6).alias("recolored_percent"))
+    sizes = pixels.groupBy("image_id", F.col("block").alias("region_id")).agg(F.count(F.lit(1)).alias("pixel_count")).withColumns({"area_mm2": F.col("pixel_count") * 0.0625, "is_below_area_threshold": F.col("pixel_count") < 25})
+    graph = regions.graph_summary(sizes.select("image_id", "region_id"), grid.adjacency(pixels, "block"))
+    out = whole.join(regions.region_summary(sizes), "image_id").join(graph, "image_id")
+    return out.withColumns({c: F.round(c, 6) for c in ("min_area_mm2", "below_percent", "mean_degree")})

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rasterloom.functions import sheet
+from rasterloom.operators import regions
+from rasterloom.plans.config import violations
 from rasterloom.plans.common import Registry, query, rounded, table
+from rasterloom.sources import sinks
+from rasterloom.sources.images import decode_data_url
 
 QUERIES: Registry = {}
 
@@ -90,9 +94,33 @@ def font_fit(spark, sf_dir):
     return fitted_labels(spark, sf_dir).select("region_id", "number", *rounded("clearance_mm", "font_size_mm"), "reason")
 
 
-@query(QUERIES, _FIT_SQL + " SELECT image_id, count(*) AS placed, CAST(0 AS BIGINT) AS skipped, 100.0::DOUBLE AS coverage_percent, count(CASE WHEN font + 1e-9 < 1.8 THEN 1 END) AS reduced, round(min(font), 6) AS min_font_mm FROM g GROUP BY image_id")
+_PLACED_SQL = _FIT_SQL + """, l AS (SELECT c_nationkey AS image_id, c_custkey AS region_id, CAST(c_custkey % 25 + 1 AS INTEGER) AS number, font, font IS NOT NULL AS placed FROM customer LEFT JOIN g ON g.region_id = c_custkey),
+ a AS (SELECT image_id, count(*) AS region_count, count(DISTINCT number) AS actual_colors, count(CASE WHEN placed THEN 1 END) AS placed_count, count(CASE WHEN NOT placed THEN 1 END) AS skipped_count, 100.0::DOUBLE * count(CASE WHEN placed THEN 1 END) / count(*) AS coverage_percent,
+  count(CASE WHEN placed AND font + 1e-9 < 1.8 THEN 1 END) AS reduced_font_count, coalesce(min(font), 0.0) AS smallest_font_mm, coalesce(list_sort(list(region_id) FILTER (WHERE NOT placed)), []) AS skipped_region_ids FROM l GROUP BY image_id)"""
+
+
+def placements(spark, sf_dir):
+    """A label for every customer; those without orders have no pixel that could hold one and are skipped."""
+    who = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("image_id"), F.col("c_custkey").alias("region_id"), (F.col("c_custkey") % 25 + 1).cast("int").alias("number"))
+    made = fitted_labels(spark, sf_dir).select("region_id", "font_size_mm", "reason")
+    return who.join(made, "region_id", "left").withColumn("status", F.when(F.col("font_size_mm").isNull(), "skipped").otherwise("placed"))
+
+
+@query(QUERIES, _PLACED_SQL + " SELECT image_id, region_count, placed_count, skipped_count, round(coverage_percent, 6) AS coverage_percent, reduced_font_count, round(smallest_font_mm, 6) AS smallest_font_mm, skipped_region_ids FROM a")
 def labelling_summary(spark, sf_dir):
-    return fitted_labels(spark, sf_dir).groupBy("image_id").agg(F.count(F.lit(1)).alias("placed"), F.lit(0).cast("long").alias("skipped"), F.lit(100.0).alias("coverage_percent"), F.count_if(F.col("reason") != "").alias("reduced"), F.round(F.min("font_size_mm"), 6).alias("min_font_mm"))
+    """Placed and skipped labels of every image, with the ids of the skipped ones."""
+    out = regions.labelling_summary(placements(spark, sf_dir))
+    return out.withColumns({c: F.round(c, 6) for c in ("coverage_percent", "smallest_font_mm")})
+
+
+@query(QUERIES, _PLACED_SQL + """ SELECT image_id, list_filter([CASE WHEN skipped_count <> 0 THEN 'skipped' END, CASE WHEN coverage_percent <> 100.0 THEN 'coverage' END, CASE WHEN actual_colors < 2 THEN 'colors' END, CASE WHEN placed_count < 1 THEN 'regions' END], lambda x: x IS NOT NULL) AS violations FROM a
+ WHERE skipped_count <> 0 OR coverage_percent <> 100.0 OR actual_colors < 2 OR placed_count < 1""")
+def benchmark_gate(spark, sf_dir):
+    """Images that miss the quality gate, with the limits that they miss."""
+    rows = placements(spark, sf_dir)
+    colours = rows.groupBy("image_id").agg(F.countDistinct("number").alias("actual_colors"))
+    metrics = regions.labelling_summary(rows).join(colours, "image_id").withColumn("regions_after", F.col("placed_count"))
+    return regions.gate_violations(metrics).select("image_id", "violations")
 
 
 @query(QUERIES, f"""WITH {_IMAGES_SQL} SELECT p_partkey, round(greatest(0.18, least(0.42, 0.25 * CASE WHEN page_format = 'a3' THEN 1.12::DOUBLE ELSE 1.0 END + greatest(0.0, least(0.06, (200.0 / w - 0.16) * 0.45)))), 6) AS line_width_mm,
@@ -142,18 +170,33 @@ def complexity_preset(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", *[c.alias(n) for n, c in sheet.preset(value).items()])
 
 
-@query(QUERIES, f"WITH {_IMAGES_SQL} SELECT p_partkey, list_filter([CASE WHEN colors NOT BETWEEN 2 AND 20 THEN 'colors' END, CASE WHEN w NOT BETWEEN 100 AND 1500 THEN 'max_side' END, CASE WHEN margin < 1 THEN 'margin_mm' END], lambda x: x IS NOT NULL) AS violations FROM images")
+_RULES_SQL = {
+    "colors": "colors < 2 OR colors > 40 OR (subject_mode <> 'none' AND colors < 4)", "max_side": "w < 64 OR w > 8000", "superpixels": "superpixels < 10 OR superpixels > 20000", "smoothing_radius": "radius < 0 OR radius > 8", "margin_mm": "margin < 0", "preprocess_sigma_color": "sigma < 0.001 OR sigma > 0.25",
+    "subject_color_ratio": "ratio < 0.5 OR ratio > 0.85", "page_format": "paper NOT IN ('a3', 'a4')", "connectivity": "connectivity NOT IN (4, 8)", "merge_strategy": "strategy NOT IN ('color', 'boundary', 'balanced')", "subject_mode": "subject_mode NOT IN ('none', 'ai', 'manual')",
+    "min_region_area_mm2": "area <= 0", "number_font_mm": "font <= 0", "min_number_font_mm": "1.8 > font", "sample_pixels": "sample < colors",
+}
+_GIVEN_SQL = """given AS (SELECT p_partkey, p_size % 47 - 1 AS colors, p_size * 250 - 300 AS w, p_size * 500 - 600 AS superpixels, p_size % 12 - 2 AS radius, p_size % 9 - 1.0::DOUBLE AS margin, p_size * 0.006::DOUBLE AS sigma, p_size * 0.02::DOUBLE AS ratio,
+ CASE p_size % 3 WHEN 0 THEN 'a3' WHEN 1 THEN 'a4' ELSE 'letter' END AS paper, 4 + p_size % 5 AS connectivity, CASE p_size % 4 WHEN 0 THEN 'color' WHEN 1 THEN 'boundary' WHEN 2 THEN 'balanced' ELSE 'other' END AS strategy, CASE p_size % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'ai' WHEN 2 THEN 'manual' ELSE 'auto' END AS subject_mode,
+ p_size % 6 - 1.0::DOUBLE AS area, p_size % 5 - 1.0::DOUBLE AS font, p_size % 60 AS sample FROM part)"""
+
+
+@query(QUERIES, f"WITH {_GIVEN_SQL} SELECT p_partkey, list_sort(list_filter([{', '.join(f'CASE WHEN {rule} THEN {name!r} END' for name, rule in _RULES_SQL.items())}], lambda x: x IS NOT NULL)) AS violations FROM given")
 def config_violations(spark, sf_dir):
-    """Parameters out of range, by name."""
-    checks = [F.when(~F.col("colors").between(2, 20), "colors"), F.when(~F.col("w").between(100, 1500), "max_side"), F.when(F.col("margin") < 1, "margin_mm")]
-    return images(spark, sf_dir).select("p_partkey", F.array_compact(F.array(*checks)).alias("violations"))
+    """Every part as a set of parameters, checked by the pipeline's own rules."""
+    size = F.col("p_size")
+    named = lambda k, *names: F.element_at(F.array(*map(F.lit, names)), (size % k + 1).cast("int"))
+    given = {
+        "colors": size % 47 - 1, "max_side": size * 250 - 300, "superpixels": size * 500 - 600, "smoothing_radius": size % 12 - 2, "margin_mm": size % 9 - 1.0, "preprocess_sigma_color": size * 0.006, "subject_color_ratio": size * 0.02,
+        "page_format": named(3, "a3", "a4", "letter"), "connectivity": 4 + size % 5, "merge_strategy": named(4, "color", "boundary", "balanced", "other"), "subject_mode": named(4, "none", "ai", "manual", "auto"), "min_region_area_mm2": size % 6 - 1.0,
+        "number_font_mm": size % 5 - 1.0, "sample_pixels": size % 60,
+    }
+    return table(spark, sf_dir, "part").select("p_partkey", violations(given).alias("violations"))
 
 
 @query(QUERIES, "SELECT conv_id, turn, role, CAST(octet_length(encode(text)) AS BIGINT) AS bytes, octet_length(encode(text)) <= 400 AS accepted, text FROM conversations")
 def data_url_decode(spark, sf_dir):
     """Payloads encoded as data URLs and decoded again, with a size limit."""
-    url = F.concat(F.lit("data:text/plain;base64,"), F.base64(F.col("text").cast("binary")))
-    raw = F.unbase64(F.element_at(F.split(url, ",", 2), 2))
+    raw = decode_data_url(sinks.data_url(F.col("text").cast("binary"), "text/plain"))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.octet_length(raw).cast("long").alias("bytes"), (F.octet_length(raw) <= 400).alias("accepted"), raw.cast("string").alias("text"))
 
 
@@ -163,8 +206,8 @@ def notes_topk(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(20)
 
 
-@query(QUERIES, "SELECT conv_id, turn, trim(text) AS title, '' AS content FROM conversations WHERE length(trim(text)) > 0 AND role = 'system'")
+@query(QUERIES, "SELECT conv_id, turn, trim(text) AS title, '' AS content FROM conversations WHERE length(trim(text)) > 0")
 def notes_insert(spark, sf_dir):
     """Rows that an insert returns: titles must not be blank."""
-    rows = table(spark, sf_dir, "conversations").where("role = 'system'")
+    rows = table(spark, sf_dir, "conversations")
     return rows.select("conv_id", "turn", F.trim("text").alias("title"), F.lit("").alias("content")).where("length(title) > 0")

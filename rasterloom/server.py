@@ -6,18 +6,21 @@ import base64
 import json
 import math
 import os
-import tempfile
+from dataclasses import replace
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
-from urllib.parse import urlparse
 
+import numpy as np
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.functions import sheet
+from rasterloom.operators import grid
+from rasterloom.operators.kernels import mask_overlay
 from rasterloom.plans.config import Config
-from rasterloom.plans.sheets import sheets
-from rasterloom.session import shared_dir
+from rasterloom.plans.sheets import sheets, stats
+from rasterloom.session import materialize, write_bytes
 from rasterloom.sources import images, zones
+from rasterloom.sources.sinks import png
 
 MOST_BODY = 64 * 1024 * 1024
 MOST_IMAGE = 40 * 1024 * 1024
@@ -54,49 +57,67 @@ def config_of(body: dict) -> Config:
 
 
 def _pixels(spark: SparkSession, raw: bytes, max_side: int):
-    folder = urlparse(shared_dir(spark))
-    if folder.scheme not in ("", "file"):
-        raise RequestError("the server needs a shared folder on a mounted file system", 503)
-    os.makedirs(folder.path, exist_ok=True)
-    with tempfile.NamedTemporaryFile(dir=folder.path, suffix=".png", delete=False) as file:
-        file.write(raw)
-    rows = images.read_pixels(spark, f"file://{file.name}", max_side).cache()
-    try:
-        if rows.isEmpty():
-            raise RequestError("the image cannot be read")
-    finally:
-        os.unlink(file.name)
+    """The pixels of an uploaded image; the upload stays in the shared folder, so lost executors can read it again."""
+    rows = images.read_pixels(spark, write_bytes(spark, "upload.png", raw), max_side)
+    if rows.isEmpty():
+        raise RequestError("the image cannot be read")
     return rows
 
 
+def _url(kind: str, data: bytes) -> str:
+    return f"data:{kind};base64," + base64.b64encode(bytes(data)).decode()
+
+
+def _detail(spark: SparkSession, body: dict, width: int, height: int):
+    """The pixels of the request's detail zones."""
+    asked = zones.parse_zones(spark.createDataFrame([(json.dumps(body),)], "body string"), "body")
+    if error := asked.first()["error"]:
+        raise RequestError(error)
+    each = asked.select(F.explode("zones").alias("z")).select("z.mode", F.transform("z.points", lambda p: F.struct((p["x"] * width).alias("x"), (p["y"] * height).alias("y"))).alias("points"), (zones.brush_width(F.col("z.radius"), width, height) / 2).alias("radius"))
+    return zones.fill_polygon(each.where("mode = 'outline'"), width, height).unionByName(zones.rasterize(each.where("mode <> 'outline' or size(points) < 3"), width, height)).distinct()
+
+
+def _sized_mask(spark: SparkSession, raw: bytes, width: int, height: int, threshold: int):
+    """An uploaded mask in the image's size."""
+    mask = images.mask_of(_pixels(spark, raw, max(width, height)), threshold).persist()
+    size = mask.agg(F.max("x").alias("x"), F.max("y").alias("y")).first()
+    return grid.resize_nearest(mask, size["x"] + 1, size["y"] + 1, width, height).select("x", "y", F.col("mask").alias("subject"))
+
+
 def generate(spark: SparkSession, body: dict) -> dict:
     config = config_of(body)
-    pixels = _pixels(spark, decode_url((body.get("image") or {}).get("dataUrl")), config.max_side)
+    pixels = materialize(_pixels(spark, decode_url((body.get("image") or {}).get("dataUrl")), config.max_side), "pixels")
+    size = pixels.select("width", "height").first()
     if body.get("subjectMaskImage"):
-        mask = images.mask_of(_pixels(spark, decode_url(body["subjectMaskImage"]), config.max_side), config.mask_threshold)
-        pixels = pixels.join(mask.select("x", "y", F.col("mask").alias("subject")), ["x", "y"], "left").na.fill(False, ["subject"])
+        mask = _sized_mask(spark, decode_url(body["subjectMaskImage"]), size["width"], size["height"], config.mask_threshold)
+        pixels = pixels.join(mask, ["x", "y"], "left").na.fill(False, ["subject"])
+        config = replace(config, subject_mode="manual").checked()
     if body.get("detailZones"):
-        size = pixels.select("width", "height").first()
-        asked = zones.parse_zones(spark.createDataFrame([(json.dumps(body),)], "body string"), "body")
-        if error := asked.first()["error"]:
-            raise RequestError(error)
-        each = asked.select(F.explode("zones").alias("z")).select("z.mode", F.transform("z.points", lambda p: F.struct((p["x"] * size["width"]).alias("x"), (p["y"] * size["height"]).alias("y"))).alias("points"), (zones.brush_width(F.col("z.radius"), size["width"], size["height"]) / 2).alias("radius"))
-        inside = zones.fill_polygon(each.where("mode = 'outline'"), size["width"], size["height"]).unionByName(zones.rasterize(each.where("mode <> 'outline' or size(points) < 3"), size["width"], size["height"])).distinct()
+        inside = _detail(spark, body, size["width"], size["height"])
         pixels = pixels.join(inside.withColumn("detail", F.lit(True)), ["x", "y"], "left").na.fill(False, ["detail"])
-    made = sheets(pixels, config).first()
-    url = lambda kind, data: f"data:{kind};base64," + base64.b64encode(bytes(data)).decode()
-    palette = [{"number": c["palette_index"] + 1, "hex": c["hex"], "rgb": [int(c["hex"][i : i + 2], 16) for i in (1, 3, 5)]} for c in made["palette"]]
+    made = materialize(sheets(pixels, config), "sheets")
+    sheet, report = made.first(), stats(made, config).select(F.to_json(F.struct("*"))).first()[0]
+    palette = [{"number": c["palette_index"] + 1, "hex": c["hex"], "rgb": [int(c["hex"][i : i + 2], 16) for i in (1, 3, 5)]} for c in sheet["palette"]]
+    shown = lambda name: _url("image/png", sheet["images"][name]) if name in sheet["images"] else None
     return {
-        "ok": True, "actualColors": len(palette), "regionsAfter": len(made["regions"]), "palette": palette, "coloringPreviewImage": url("image/png", made["coloring_png"]), "modelPreviewImage": url("image/png", made["model_png"]),
-        "pdfDocument": url("application/pdf", made["pdf"]), "svg": made["svg"], "stats": {"regions_before": made["regions_before"], "merge_count": len(made["merges"])},
+        "ok": True, "stats": json.loads(report), "actualColors": len(palette), "regionsAfter": len(sheet["regions"]), "palette": palette, "coloringPreviewImage": shown("coloring"), "modelPreviewImage": shown("model"), "palettePageImage": shown("palette_page"),
+        "pdfDocument": _url("application/pdf", sheet["pdf"]), "maskControlImage": shown("subject_overlay"), "detailMaskImage": shown("detail_mask"), "svg": sheet["svg"],
     }
 
 
 def mask(spark: SparkSession, body: dict) -> dict:
-    """The subject mask's coverage; one out of range falls back to the whole image."""
-    pixels = _pixels(spark, decode_url((body.get("image") or {}).get("dataUrl")), int(body.get("maxSide") or 1200))
-    found = images.coverage(images.mask_of(pixels)).first()
-    return {"ok": True, "subject": {"mode": "manual" if found["accepted"] else "global", "coverage_percent": found["coverage"]}}
+    """The subject mask, its control image and its coverage; one out of range falls back to the whole image."""
+    pixels = materialize(_pixels(spark, decode_url((body.get("image") or {}).get("dataUrl")), int(body.get("maxSide") or 1200)), "pixels")
+    masks = images.mask_of(pixels)
+    found = images.coverage(masks).first()
+    rgb = (pixels.select("image_id", "x", "y", "r", "g", "b").join(masks, ["image_id", "x", "y"])).toPandas()
+    shape = (int(rgb["y"].max()) + 1, int(rgb["x"].max()) + 1)
+    image, own = np.zeros((*shape, 3)), np.zeros(shape, bool)
+    image[rgb["y"], rgb["x"]], own[rgb["y"], rgb["x"]] = rgb[["r", "g", "b"]], rgb["mask"] | (not found["accepted"])
+    return {
+        "ok": True, "source": {"width": shape[1], "height": shape[0]}, "subject": {"mode": "manual" if found["accepted"] else "global", "coverage_percent": found["coverage"]},
+        "subjectMaskImage": _url("image/png", png(own * 255)), "maskControlImage": _url("image/png", png(mask_overlay(image, own))),
+    }
 
 
 def handler(spark: SparkSession) -> type[BaseHTTPRequestHandler]:

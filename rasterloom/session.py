@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -29,11 +30,16 @@ def build_session(app: str = "rasterloom", cpus: int | str = "*", **conf: str) -
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder all executors share, from ``spark.checkpoint.dir``; a temporary one only where that is unset and Spark runs on this machine alone."""
     found = spark.conf.get(_SETTING, None)
     if not found:
         existing = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = existing.get() if existing.isDefined() else f"file://{tempfile.mkdtemp(prefix='rasterloom-')}"
+        if existing.isDefined():
+            found = existing.get()
+        elif re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            found = f"file://{tempfile.mkdtemp(prefix='rasterloom-')}"
+        else:
+            raise RuntimeError(f"{_SETTING} must name a folder that the driver and all executors share")
         spark.conf.set(_SETTING, found)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(found)
@@ -55,6 +61,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def write_bytes(spark: SparkSession, name: str, data: bytes) -> str:
+    """A file with these bytes in the shared folder, written through Spark's own file systems."""
+    path = f"{scratch_path(spark, 'upload')}/{name}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+    return path
+
+
 def release_scratch() -> None:
     """Delete every scratch table written by this driver."""
     while _WRITTEN:

@@ -22,10 +22,12 @@ TABLES = {
 
 
 def write_table(df: DataFrame, path: str, kind: str, overwrite: bool = False) -> None:
-    """One of ``TABLES`` as CSV with a header; a path that is not empty is refused unless ``overwrite``."""
+    """One of ``TABLES`` as CSV with a header; absent columns and, unless ``overwrite``, a path that is not empty are refused."""
     columns, digits = TABLES[kind]
     held = dict(df.dtypes)
-    shown = [F.round(c, digits).alias(c) if held[c] in ("double", "float") else F.col(c) for c in columns if c in held]
+    if absent := [c for c in columns if c not in held]:
+        raise ValueError(f"{kind} lacks {', '.join(absent)}")
+    shown = [F.round(c, digits).alias(c) if held[c] in ("double", "float") else F.col(c) for c in columns]
     keys = [c for c in ("image_id",) if c in held]
     df.select(*keys, *shown).write.mode("overwrite" if overwrite else "errorifexists").csv(path, header=True)
 

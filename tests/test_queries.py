@@ -66,7 +66,9 @@ def test_images_masks_and_tables(spark, tmp_path):
     assert share["coverage"] == 50.0 and share["accepted"]
     again = sinks.encode_png(pixels).first()["png"]
     assert bytes(again) == sinks.png(image)
-    table = spark.createDataFrame([(1, 2, 3, 0.123456789)], "region_a long, region_b long, boundary_pixels long, delta_e76 double")
+    table = spark.createDataFrame([(1, 2, 3, 0, 1, 0.123456789)], "region_a long, region_b long, boundary_pixels long, palette_a int, palette_b int, delta_e76 double")
+    with pytest.raises(ValueError, match="lacks palette_b"):
+        sinks.write_table(table.drop("palette_b"), str(tmp_path / "lacking"), "adjacency")
     sinks.write_table(table, str(tmp_path / "edges"), "adjacency")
     assert spark.read.csv(str(tmp_path / "edges"), header=True).first()["delta_e76"] == "0.12346"
     with pytest.raises(Exception, match="already exists|PATH_ALREADY_EXISTS"):
@@ -75,7 +77,7 @@ def test_images_masks_and_tables(spark, tmp_path):
 
 def test_command_line_makes_sheets(spark, tmp_path):
     from rasterloom.plans.config import Config
-    from rasterloom.plans.sheets import compare_strategies, quality_violations, run_images
+    from rasterloom.plans.sheets import compare_strategies, run_images
 
     image = np.full((50, 70, 3), 240, np.uint8)
     image[10:40, 10:60] = (20, 90, 160)
@@ -83,9 +85,35 @@ def test_command_line_makes_sheets(spark, tmp_path):
     (tmp_path / "in" / "one.png").write_bytes(sinks.png(image))
     config = Config(colors=3, superpixels=40)
     run_images(spark, str(tmp_path / "in"), str(tmp_path / "out"), config)
-    assert spark.read.csv(str(tmp_path / "out" / "regions"), header=True).count() >= 1
-    report = compare_strategies(images.read_pixels(spark, str(tmp_path / "in")), config)
-    assert report.count() == 3 and quality_violations(report).count() == 0
+    for kind, name in (("regions", "regions"), ("regions", "regions-before"), ("adjacency", "adjacency"), ("labels", "labels"), ("palette", "palette")):
+        rows = spark.read.csv(str(tmp_path / "out" / name), header=True)
+        assert rows.columns == ["image_id", *sinks.TABLES[kind][0]] and rows.count() >= 1
+    assert sum(int(r["pixel_count"]) for r in spark.read.csv(str(tmp_path / "out" / "regions"), header=True).collect()) == 3500
+    ids = spark.read.parquet(str(tmp_path / "out" / "region-ids"))
+    assert ids.count() == 3500 and ids.select("x", "y").distinct().count() == 3500
+    report = spark.read.json(str(tmp_path / "out" / "stats")).first()
+    assert report["labeling"]["coverage_percent"] == 100.0 and report["regions_after"]["count"] == ids.select("region_after").distinct().count() and report["pixel_count"] == 3500
+    compared = compare_strategies(images.read_pixels(spark, str(tmp_path / "in")), config).collect()
+    assert {r["strategy"] for r in compared} == {"color", "boundary", "balanced"} and all(r["regions_before"] - r["merges"] == r["regions_after"] for r in compared)
+
+
+def test_strategies_differ_only_in_the_merge(spark):
+    """Each strategy's row against a merge of its own."""
+    from rasterloom.operators import kernels, merging
+    from rasterloom.operators.regions import to_dense
+    from rasterloom.plans import iterative_queries as q
+
+    rows = {(r["image_id"], r["strategy"]): r for r in catalog.queries()["strategy_comparison"](spark, DATA).collect()}
+    frame = q.labelled(spark, DATA).toPandas()
+    for image, group in frame.groupby("image_id"):
+        before, present = to_dense(group, "p")
+        for strategy in kernels.STRATEGIES:
+            _, (labels, classes, log) = merging._image_merge(group, q.COLOURS, q.LEAST, strategy, 35.0)
+            changed = sum(classes[labels[y, x]] != before[y, x] for y, x in zip(*np.nonzero(present)))
+            row = rows[image, strategy]
+            assert (row["regions_before"], row["regions_after"], row["merges"]) == (group["region_id"].nunique(), len(classes), len(log))
+            assert row["recolored_pixel_percent"] == pytest.approx(100.0 * changed / present.sum(), abs=1e-6) and row["below_threshold_after"] == sum(np.bincount(labels[present])[1:] < q.LEAST)
+    assert len(rows) == 3 * frame["image_id"].nunique()
 
 
 def test_requests(spark):
@@ -124,7 +152,13 @@ def test_server(spark):
         assert json.loads(urllib.request.urlopen(at + "/health").read()) == {"ok": True}
         made = post("/generate", {"image": {"name": "a.png", "dataUrl": url}, "colors": 3, "detailZones": [{"mode": "brush", "points": [{"x": 0.5, "y": 0.5}], "radius": 0.05}]})
         assert made["ok"] and made["actualColors"] >= 2 and made["pdfDocument"].startswith("data:application/pdf")
-        assert post("/mask", {"image": {"dataUrl": url}})["subject"]["mode"] in ("manual", "global")
+        assert made["stats"]["labeling"]["coverage_percent"] == 100.0 and made["detailMaskImage"].startswith("data:image/png") and made["palettePageImage"].startswith("data:image/png")
+        found = post("/mask", {"image": {"dataUrl": url}})
+        assert found["subject"]["mode"] in ("manual", "global") and found["subjectMaskImage"].startswith("data:image/png") and found["source"] == {"width": 80, "height": 60}
+        half = np.zeros((30, 40), np.uint8)
+        half[5:25, 8:32] = 255
+        split = post("/generate", {"image": {"dataUrl": url}, "colors": 6, "subjectMaskImage": "data:image/png;base64," + base64.b64encode(sinks.png(half)).decode()})
+        assert split["maskControlImage"].startswith("data:image/png") and split["stats"]["subject_regions_after"] >= 1
         with pytest.raises(urllib.error.HTTPError):
             post("/generate", {"image": {"dataUrl": "nothing"}})
         server.shutdown()

@@ -1,5 +1,7 @@
 """Array kernels against literal cases and brute force."""
 
+from dataclasses import fields, replace
+
 import numpy as np
 import pytest
 
@@ -132,11 +134,55 @@ def test_a_sheet_from_two_halves():
     rgb[10, 10] = (40, 60, 220)
     sheet = make_sheet(rgb, Config(colors=2, segmentation="components", smoothing_radius=0))
     assert len(sheet["regions"]) == 2 and sum(r["pixel_count"] for r in sheet["regions"]) == 64 * 80 and sheet["svg"].startswith("<svg")
-    assert sheet["regions_before"] - len(sheet["merges"]) == len(sheet["regions"])
+    assert len(sheet["regions_before"]) - len(sheet["merges"]) == len(sheet["regions"])
+    assert [(e["region_a"], e["region_b"], e["boundary_pixels"]) for e in sheet["adjacency"]] == [(1, 2, 64)] and len(sheet["labels"]) == 2 and all(r["is_thin"] is False for r in sheet["regions"])
     subject = np.zeros((64, 80), bool)
     subject[:, :40] = True
-    split = make_sheet(rgb, Config(colors=8, superpixels=60), subject)
-    assert len(split["palette"]) >= 2
+    split = make_sheet(rgb, Config(colors=8, superpixels=60, subject_mode="manual"), subject)
+    assert len(split["palette"]) >= 2 and any(r["is_subject"] for r in split["regions"]) and "subject_overlay" in split["images"]
+    assert "subject_overlay" not in make_sheet(rgb, Config(colors=8, superpixels=60), subject)["images"]
+
+
+def test_every_parameter_has_its_effect():
+    """A change of each parameter changes something of a noisy picture's sheet."""
+    rng = np.random.default_rng(1)
+    yy, xx = np.mgrid[:60, :80]
+    rgb = np.clip(np.stack([120 + 100 * np.sin(xx / 9), 90 + 90 * np.cos(yy / 7), 60 + 2 * xx], -1) + rng.normal(0, 14, (60, 80, 3)), 0, 255)
+    rgb[8:30:4, 4:20] *= 0.35
+    subject, detail = (xx - 40) ** 2 + (yy - 30) ** 2 < 300, (xx > 60) & (yy > 40)
+    bases = [
+        Config(colors=12, superpixels=600, smoothing_radius=0, background_smoothing_radius=0, background_superpixel_ratio=0.9, subject_mode="manual", min_region_area_mm2=60.0, background_min_region_area_mm2=60.0, subject_min_region_area_mm2=60.0, detail_min_region_area_mm2=30.0, sample_pixels=2000),
+        Config(colors=8, segmentation="components", smoothing_radius=0, background_smoothing_radius=0, subject_mode="manual", subject_min_region_area_mm2=300.0, background_min_region_area_mm2=300.0, detail_min_region_area_mm2=20.0, number_padding_mm=5.0, sample_pixels=2000),
+        Config(colors=4, superpixels=12, segmentation="components", subject_mode="manual", smoothing_radius=3, background_smoothing_radius=3, min_region_area_mm2=400.0, sample_pixels=2000),
+    ]
+    key = lambda c: repr({n: (v.tolist() if hasattr(v, "tolist") else v) for n, v in make_sheet(rgb, c, subject, detail).items()})
+    first = [key(base) for base in bases]
+    changed = {
+        "auto_tune": True, "preprocess_sigma_color": 0.2, "preprocess_sigma_spatial": 9.0, "colors": 5, "sample_pixels": 60, "seed": 7, "palette_merge_delta_e": 19.0, "segmentation": "slic_legacy", "superpixels": 40, "compactness": 60.0, "smoothing_radius": 2, "connectivity": 4,
+        "subject_mode": "none", "subject_color_ratio": 0.5, "background_superpixel_ratio": 1.0, "background_smoothing_radius": 5, "subject_min_region_area_mm2": 400.0, "background_min_region_area_mm2": 900.0, "detail_min_region_area_mm2": 0.1, "min_region_area_mm2": 300.0,
+        "thin_width_mm": 60.0, "thin_merge_passes": 0, "merge_strategy": "boundary", "color_tolerance": 0.5, "title": "other", "page_format": "a3", "orientation": "landscape", "margin_mm": 30.0, "palette_layout": "separate", "legend_height_mm": 90.0, "number_font_mm": 9.0, "min_number_font_mm": 0.5,
+        "number_padding_mm": 4.0, "line_width_mm": 0.4, "contour_smoothing_iterations": 4, "min_contour_smooth_area_px": 5000.0, "contour_simplify_mm": 1.0, "line_art_enabled": False, "line_art_detail": 0.0,
+    }
+    assert set(changed) | {"max_side", "mask_threshold"} == {f.name for f in fields(Config)}
+    idle = [name for name, value in changed.items() if all(key(replace(base, **{name: value})) == own for base, own in zip(bases, first))]
+    # strokes show where colours differ too little for regions of their own
+    flat = np.full((60, 80, 3), 200.0)
+    flat[:, 60:], flat[10:50:12, 8:44] = 20.0, 60.0
+    drawn = lambda **own: make_sheet(flat, Config(colors=2, segmentation="components", **own))["line_art_pixels"]
+    assert drawn() > 0 == drawn(line_art_enabled=False) and drawn() != drawn(line_art_detail=0.0)
+    # merges have a choice where many small regions meet
+    tiles = np.kron(rng.integers(0, 6, (15, 20)), np.ones((4, 4), int))
+    patched = np.array([[20, 20, 20], [200, 60, 40], [60, 160, 80], [240, 230, 120], [90, 90, 220], [250, 250, 250]], float)[tiles]
+    merges = lambda **own: make_sheet(patched, replace(Config(colors=6, segmentation="components", smoothing_radius=0, min_region_area_mm2=200.0, number_padding_mm=5.0), **own))["merges"]
+    assert len({repr(merges(merge_strategy=name)) for name in k.STRATEGIES}) == 3 and len(merges(thin_merge_passes=0)) < len(merges())
+    assert set(idle) <= {"line_art_enabled", "line_art_detail", "merge_strategy", "thin_merge_passes"}, ",".join(idle)
+
+
+def test_mask_overlay_marks_the_border():
+    rgb, mask = np.full((5, 5, 3), 100), np.zeros((5, 5), bool)
+    mask[1:4, 1:4] = True
+    out = k.mask_overlay(rgb, mask)
+    assert out[2, 2].tolist() == [100, 100, 100] and out[1, 1].tolist() == [255, 40, 80] and out[0, 0].tolist() == [74, 157, 165]
 
 
 def test_configuration_ranges():

@@ -10,7 +10,7 @@ DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 def test_pages_hold_the_zones_of_all_embeddings(spark):
-    got = {(r["page"], r["x"], r["y"]) for r in catalog.queries()["zone_raster_pages"](spark, DATA).collect()}
+    got = {(r["page"], r["x"], r["y"]) for r in catalog.queries()["zone_raster"](spark, DATA).collect()}
     x, y = np.meshgrid(np.arange(100) + 0.5, np.arange(100) + 0.5)
     want = set()
     for r in spark.read.parquet(f"{DATA}/embeddings.parquet").select("vec_id", "embedding").collect():
