@@ -1,6 +1,5 @@
 """The corpus operators on small tables with awkward rows, against brute force."""
 
-import hashlib
 import zlib
 from collections import defaultdict
 
@@ -219,16 +218,3 @@ def test_ego_join_skips_only_distant_blocks():
         found |= set(zip(i.tolist(), j.tolist()))
     want = {(int(i), int(j)) for i, j in zip(*np.nonzero(points @ points.T >= 1 - 0.02)) if i < j}
     assert found == want
-
-
-def test_pipeline_stages(spark, docs, tmp_path):
-    import corpus_pipeline
-
-    docs.drop("part").write.parquet(str(tmp_path / "documents.parquet"))
-    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    ids = {r["doc_id"] for r in got}
-    assert 1 in ids and 2 not in ids and 7 in ids and 4 not in ids and 5 not in ids
-    # brute force for the rows that stay: their redacted text's ids
-    library = word_tokens.WordTokens(WORDS).library
-    expected = {hashlib.sha256(np.array([*library.encode(secret_scan.redact(t) or "", add_special_tokens=False).ids, 1], "<u4")[a : a + 4096].tobytes()).hexdigest() for i, t, *_ in rows() for a in range(0, 8192, 4096)}
-    assert len(expected) and all(r["length"] <= 4096 for r in got)
