@@ -122,8 +122,12 @@ def count_grams(docs: DataFrame) -> np.ndarray:
             parts = part_table(chunks, lower=True)
             size = len(parts.letters) + len(parts.marks) + len(parts.others)
             times = np.bincount(parts.first[codes], minlength=size)
-            words, weights = [], []
-            for chunk, n in [*zip(parts.letters, times.tolist()), *zip(parts.others, times[len(parts.letters) + len(parts.marks) :].tolist())]:
+            # chunks of plain letters are words; all others are searched for them
+            letters = pa.array(parts.letters, pa.string())
+            plain = pc.string_is_ascii(letters).to_numpy(zero_copy_only=False)
+            words, weights = letters.filter(pa.array(plain)).to_pylist(), times[: len(plain)][plain].tolist()
+            rest = [*zip(letters.filter(pa.array(~plain)).to_pylist(), times[: len(plain)][~plain].tolist()), *zip(parts.others, times[len(plain) + len(parts.marks) :].tolist())]
+            for chunk, n in rest:
                 for word in _LETTER_RUN.findall(fold(chunk)):
                     if word.isascii():
                         words.append(word)
@@ -236,7 +240,18 @@ def decode(written: str, characters: Characters) -> str:
     best: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
     for char, run in groupby(written):
         reached: dict[int, tuple[float, tuple | None]] = {}
-        choices = _channel(char, sum(1 for _ in run))
+        choices = _channel(char, len(list(run)))
+        if len(choices) == 1 and len(choices[0][0]) == 1 and choices[0][0][0] != BEHIND:
+            # a letter that stands for itself
+            (symbol,), _, text = choices[0]
+            for context, (score, path) in best.items():
+                at = context * SYMBOLS + symbol
+                total, now = score + table[at], at % _CONTEXTS
+                old = reached.get(now)
+                if old is None or total > old[0]:
+                    reached[now] = (total, (path, text))
+            best = reached
+            continue
         for context, (score, path) in best.items():
             for symbols, cost, text in choices:
                 now, total = context, score + cost
@@ -301,13 +316,13 @@ class Restorer:
         folded = words.to_pylist()
         marked = np.flatnonzero(~pc.string_is_ascii(words).to_numpy(zero_copy_only=False)).tolist()
         lowered = {i: folded[i] for i in marked}
+        latin, length = np.ones(len(folded), bool), pc.utf8_length(words).to_numpy(zero_copy_only=False).copy()
         for i in marked:
-            folded[i] = fold(folded[i])
-        latin = np.array([w.isascii() for w in folded], bool)
+            own = folded[i] = folded[i].translate(_FOLDS)
+            latin[i], length[i] = own.isascii(), len(own)
         chance, doubtful = np.zeros(len(folded)), np.zeros(len(folded), bool)
-        chance[latin], doubtful[latin] = self.characters.check([w for w in folded if w.isascii()])
-        short = np.array([len(w) <= SHORT for w in folded], bool)
-        kind = np.where(~latin, _APART, np.where(~short, _OTHER, np.where(chance >= USUAL, _JOINS, _SEED))).astype(np.int8)
+        chance[latin], doubtful[latin] = self.characters.check(folded if latin.all() else [w for w, own in zip(folded, latin.tolist()) if own])
+        kind = np.where(~latin, _APART, np.where(length > SHORT, _OTHER, np.where(chance >= USUAL, _JOINS, _SEED))).astype(np.int8)
         # marks may be a disguise: a word that is toxic without them
         restored = {i: (folded[i],) for i in marked if folded[i] in self.number and lowered[i] not in self.number}
         for i in np.flatnonzero(doubtful).tolist():
