@@ -82,7 +82,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
         least = materialize(least, "least")
         open_nodes = least.where("least < most").limit(1).count()
         # and a star's centre must not point on
-        chained = least.join(least.select(F.col("a").alias("least"), F.col("least").alias("next")), "least", "left")
+        # (only few centres do, so a large component's nodes need not meet its centre in one task)
+        centres = least.select("least").distinct()
+        onward = least.select(F.col("a").alias("least"), F.col("least").alias("next")).join(centres, "least", "left_semi")
+        chained = least.join(onward, "least", "left")
         moving = chained.where("next is not null").limit(1).count()
         if not open_nodes and not moving:
             return least.select(F.col("a").alias("node"), F.col("least").alias("component")).unionByName(

@@ -9,10 +9,14 @@ radius agrees under some mask and meets in that mask's table.
 
 The tables' rows are brought together by (mask, masked bits) and read in order;
 what meets is compared in the task and leaves it as a spanning forest, one edge
-per fingerprint at most.  Larger meetings are joined over common neighbours: two
+per fingerprint at most.  Meetings of more than ``SPLIT_MOST`` fingerprints pass
+through their task unread and are dealt anew: a second covering family over the
+positions that the first mask leaves free cuts each into many.  What then meets
+agrees in all but some 16 positions, so no meeting exceeds 2 to the number of
+these.  Meetings of over ``PAIRWISE_MOST`` are joined over common neighbours: two
 fingerprints within r = 2k of each other have one within k of both, so sorting
-all such neighbours finds their connections.  To bound memory the neighbours
-are enumerated once for every 3000 fingerprints of the meeting.
+all such neighbours finds their connections; to bound memory these are
+enumerated once for every 3000 fingerprints of the meeting.
 
 Defined cases: a null or wordless text has fingerprint zero and is linked like
 any other; texts with fewer words than a shingle have one shingle of all their
@@ -42,6 +46,8 @@ SHINGLE_WORDS = 4
 RADIUS = 4
 #: Meetings of more fingerprints than this are joined over common neighbours instead of pair by pair.
 PAIRWISE_MOST = 1500
+#: Meetings of more fingerprints than this are dealt anew by a second family of masks.
+SPLIT_MOST = 6000
 #: Fingerprints that only rows without an id have are numbered from here on, above all ids.
 NAMELESS = 1 << 62
 _SPREAD = np.uint64(0x0101010101010101)
@@ -156,50 +162,96 @@ def spanning_edges(prints: np.ndarray, free: int, radius: int = RADIUS) -> list[
     return [(a, b) for a, b in union_find(left.tolist(), right.tolist()).items() if a != b]
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
-    """Batches cut so that no meeting of equal (mask, key) is split."""
-    held: dict[str, np.ndarray] | None = None
+def _joined(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    return {c: np.concatenate([part[c] for part in parts]) for c in parts[0]}
+
+
+def _runs(batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[tuple[bool, dict[str, np.ndarray]]]:
+    """Rows cut so that no meeting of equal (table, key) is split, and False; a meeting of over ``most`` rows comes in parts, and True."""
+    held: list[dict[str, np.ndarray]] = []
+    large = False
     for batch in batches:
         if not batch.num_rows:
             continue
-        now = {c: batch[c].to_numpy() for c in ("mask", "key", "fp", "rep")}
-        if held is not None:
-            now = {c: np.concatenate([held[c], now[c]]) for c in now}
-        last = (now["mask"] == now["mask"][-1]) & (now["key"] == now["key"][-1])
+        now = {c: batch[c].to_numpy() for c in ("table", "key", "fp", "rep")}
+        if held and (held[-1]["table"][-1] != now["table"][0] or held[-1]["key"][-1] != now["key"][0]):
+            yield large, _joined(held)
+            held, large = [], False
+        last = (now["table"] == now["table"][-1]) & (now["key"] == now["key"][-1])
         cut = int(np.argmax(last))
-        held = {c: v[cut:] for c, v in now.items()}
         if cut:
-            yield {c: v[:cut] for c, v in now.items()}
-    if held is not None:
-        yield held
-
-
-def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Edges (a, b) between the reps of distinct fingerprints (fp, rep), spanning all links within the radius."""
-    masks = covering_masks(radius)
-    table = F.explode(F.array(*[F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("key")) for i, m in enumerate(masks)]))
-    rows = distinct.select("fp", "rep", table.alias("t")).select("t.mask", "t.key", "fp", "rep")
-    met = rows.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "mask", "key").sortWithinPartitions("mask", "key")
+            first = int(np.argmax(~((now["table"] == now["table"][0]) & (now["key"] == now["key"][0]))))
+            if large:
+                # the end of a large meeting
+                yield True, _joined([*held, {c: v[:first] for c, v in now.items()}])
+                if cut > first:
+                    yield False, {c: v[first:cut] for c, v in now.items()}
+            else:
+                yield False, _joined([*held, {c: v[:cut] for c, v in now.items()}])
+            held, large = [{c: v[cut:] for c, v in now.items()}], False
+        else:
+            held.append(now)
+        if most is not None and sum(len(part["fp"]) for part in held) > most:
+            yield True, _joined(held)
+            held, large = [{c: v[-1:] for c, v in held[-1].items()}], True
+    if held:
+        yield large, _joined(held)
+
+
+def _meetings(rows: DataFrame, masks: list[int], radius: int, most: int | None) -> DataFrame:
+    """Edges (a, b) of the rows (table, key, fp, rep) that meet, and the rows (table, fp, rep) of meetings of over ``most``; ``masks`` are the tables'."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for now in _runs(batches):
-            new = np.concatenate([[True], (now["key"][1:] != now["key"][:-1]) | (now["mask"][1:] != now["mask"][:-1])])
-            start = np.flatnonzero(new)
-            size = np.diff(np.concatenate([start, [len(new)]]))
+        for large, now in _runs(batches, most):
             left, right = [], []
-            prints = now["fp"].view(np.uint64)
-            two = start[size == 2]
-            near = two[np.bitwise_count(prints[two] ^ prints[two + 1]) <= radius]
-            left.extend(now["rep"][near].tolist())
-            right.extend(now["rep"][near + 1].tolist())
-            for at, n in zip(start[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-                free = ~masks[int(now["mask"][at])] & ((1 << 64) - 1)
-                for a, b in spanning_edges(prints[at : at + n], free, radius):
-                    left.append(int(now["rep"][at + a]))
-                    right.append(int(now["rep"][at + b]))
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
-
-    return met.mapInArrow(run, "a long, b long")
+            if not large:
+                new = np.concatenate([[True], (now["key"][1:] != now["key"][:-1]) | (now["table"][1:] != now["table"][:-1])])
+                start = np.flatnonzero(new)
+                size = np.diff(np.concatenate([start, [len(new)]]))
+                over = np.repeat(size > most, size) if most is not None else np.zeros(len(new), bool)
+                prints = now["fp"].view(np.uint64)
+                two = start[size == 2]
+                near = two[np.bitwise_count(prints[two] ^ prints[two + 1]) <= radius]
+                left.extend(now["rep"][near].tolist())
+                right.extend(now["rep"][near + 1].tolist())
+                for at, n in zip(start[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+                    if over[at]:
+                        continue
+                    free = ~masks[int(now["table"][at])] & ((1 << 64) - 1)
+                    for a, b in spanning_edges(prints[at : at + n], free, radius):
+                        left.append(int(now["rep"][at + a]))
+                        right.append(int(now["rep"][at + b]))
+                now = {c: v[over] for c, v in now.items()}
+            none = pa.nulls(len(left), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64()), none.cast(pa.int32()), none, none], names=["a", "b", "table", "fp", "rep"])
+            if len(now["fp"]):
+                none = pa.nulls(len(now["fp"]), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, pa.array(now["table"], pa.int32()), pa.array(now["fp"]), pa.array(now["rep"])], names=["a", "b", "table", "fp", "rep"])
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "table", "key").sortWithinPartitions("table", "key", "fp").mapInArrow(run, "a long, b long, table int, fp long, rep long")
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def links(distinct: DataFrame, radius: int = RADIUS, most: int = SPLIT_MOST) -> DataFrame:
+    """Edges (a, b) between the reps of distinct fingerprints (fp, rep), spanning all links within the radius."""
+    masks = covering_masks(radius)
+    dealt = F.explode(F.array(*[F.struct(F.lit(i).alias("table"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks)]))
+    rows = distinct.select("fp", "rep", dealt.alias("t")).select("t.table", "t.key", "fp", "rep")
+    met = materialize(_meetings(rows, masks, radius, most), "meetings")
+    edges = met.where("a is not null").select("a", "b")
+    large = met.where("fp is not null").select("table", "fp", "rep").distinct()
+    if large.isEmpty():
+        return edges
+    # within a table all agree under its mask: masks over the other positions, one family for each table
+    finer = [m | (own & ~m) for i, m in enumerate(masks) for own in covering_masks(radius, seed=i)]
+    all_masks = F.array(*[F.lit(_signed(m)) for m in finer])
+    number = F.explode(F.sequence(F.col("table") * len(masks), F.col("table") * len(masks) + len(masks) - 1)).alias("finer")
+    again = large.select("fp", "rep", number).select(F.col("finer").alias("table"), F.col("fp").bitwiseAND(F.element_at(all_masks, F.col("finer") + 1)).alias("key"), "fp", "rep")
+    return edges.unionByName(_meetings(again, finer, radius, None).where("a is not null").select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
