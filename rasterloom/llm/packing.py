@@ -241,7 +241,8 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int) -> Da
     key, first, sequence, offset = (rows[:, 0] << 44) + rows[:, 1], rows[:, 1], rows[:, 3], rows[:, 4]
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     shifts = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
-    numbered = pieces.join(shifts, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("nth") + F.col("shift")).alias("nth"))
+    # the shifts grow with parts times lengths: merged, never broadcast
+    numbered = pieces.join(shifts.hint("merge"), ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("nth") + F.col("shift")).alias("nth"))
     schema = StructType([*numbered.schema.fields[:5], StructField("sequence_id", LongType()), StructField("offset", LongType())])
     sent = docs.sparkSession.sparkContext.broadcast((key, first, sequence, offset))
 
