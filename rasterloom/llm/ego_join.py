@@ -5,12 +5,14 @@ cosine are a similarity join with that distance as epsilon.  Vectors are turned
 into the leading principal directions and sorted by their grid cells of width
 epsilon (epsilon grid order).  The order is cut into blocks; pairs of blocks of
 one group whose boxes are farther apart than epsilon in these directions are
-never brought together.  The others are joined recursively: both intervals are
-halved, pairs of intervals that are provably distant are skipped, and small
-ones are compared by their cosines in double precision.
+never brought together.  Consecutive blocks form tiles, and tiles are brought
+together in pairs, so a block moves once for a pair of tiles, not for each block
+that it meets.  Blocks are joined recursively: both intervals are halved, pairs
+of intervals that are provably distant are skipped, and small ones are compared
+by their cosines in double precision.
 
 Equal vectors of a group are one class from the start and are never expanded
-into pairs.  A pair of blocks gives back sums of links per class and a spanning
+into pairs.  A pair of tiles gives back sums of links per class and a spanning
 forest, so what leaves it is no more than what entered.
 
 The directions are fitted on at most ``SAMPLE_VECTORS`` vectors; they decide only
@@ -43,6 +45,8 @@ LEAST_COSINE = 0.93
 DIRECTIONS = 6
 SAMPLE_VECTORS = 10_000
 BLOCK_ROWS = 2048
+#: Blocks in a tile; a task holds two tiles.
+TILE_BLOCKS = 8
 LEAF_ROWS = 128
 #: Room for rounding when boxes are compared.
 SLACK = 1e-6
@@ -164,38 +168,40 @@ def join_intervals(a: np.ndarray, b: np.ndarray, pa_: np.ndarray, pb: np.ndarray
         todo += [(*x, *y) for x in halves_a for y in halves_b]
 
 
-def _joined(pairs: DataFrame, directions: dict[int, np.ndarray], epsilon: float, least: float) -> DataFrame:
-    """Per pair of blocks: rows (a, b, links): links of class a where b is null, else an edge of the forest."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                size, same = batch["size"][k].as_py(), batch["a"][k].as_py() == batch["b"][k].as_py()
-                sides = []
-                for side in "ab":
-                    unit = np.frombuffer(batch[f"{side}_raw"][k].as_py()).reshape(-1, size)
-                    place = unit @ directions[size] if size in directions else np.zeros((len(unit), 0))
-                    sides.append((unit, place, np.array(batch[f"{side}_cls"][k].as_py(), np.int64), np.array(batch[f"{side}_weight"][k].as_py(), np.int64)))
-                (ua, pa_, ca, wa), (ub, pb, cb, wb) = sides
+def _joined(tiles: DataFrame, directions: dict[int, np.ndarray], epsilon: float, least: float) -> DataFrame:
+    """Per pair of tiles (ta, tb), from their blocks: rows (a, b, links): links of class a where b is null, else an edge of the forest."""
+
+    def run(group: pa.Table) -> pa.Table:
+        first, second = group["ta"][0].as_py(), group["tb"][0].as_py()
+        blocks = []
+        for row in group.select(["block", "tile", "grp", "size", "cls", "weight", "raw"]).to_pylist():
+            unit = np.frombuffer(row["raw"]).reshape(-1, row["size"])
+            place = unit @ directions[row["size"]] if row["size"] in directions else np.zeros((len(unit), 0))
+            blocks.append((row["block"], row["tile"], (row["grp"], row["size"]), unit, place, np.array(row["cls"], np.int64), np.array(row["weight"], np.int64)))
+        links: dict[int, int] = {}
+        forest: dict[int, int] = {}
+        for x in blocks:
+            for y in blocks:
+                if x[1] != first or y[1] != second or x[0] > y[0] or x[2] != y[2]:
+                    continue
+                _, _, _, ua, pa_, ca, wa = x
+                _, _, _, ub, pb, cb, wb = y
                 links_a, links_b = np.zeros(len(ca), np.int64), np.zeros(len(cb), np.int64)
-                forest: dict[int, int] = {}
-                for i, j in join_intervals(ua, ub, pa_, pb, same, epsilon, least):
+                for i, j in join_intervals(ua, ub, pa_, pb, x[0] == y[0], epsilon, least):
                     if not len(i):
                         continue
                     np.add.at(links_a, i, wb[j])
                     np.add.at(links_b, j, wa[i])
                     forest = union_find([*forest.keys(), *ca[i].tolist()], [*forest.values(), *cb[j].tolist()])
-                ends = [(x, y) for x, y in forest.items() if x != y]
-                fa, fb = np.flatnonzero(links_a), np.flatnonzero(links_b)
-                own = np.concatenate([ca[fa], cb[fb]])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([*own.tolist(), *(x for x, _ in ends)], pa.int64()), pa.array([*[None] * len(own), *(y for _, y in ends)], pa.int64()),
-                        pa.array([*links_a[fa].tolist(), *links_b[fb].tolist(), *[None] * len(ends)], pa.int64()),
-                    ], names=["a", "b", "links"],
-                )
+                for classes, sums in ((ca, links_a), (cb, links_b)):
+                    for k in np.flatnonzero(sums).tolist():
+                        links[int(classes[k])] = links.get(int(classes[k]), 0) + int(sums[k])
+        ends = [(p, q) for p, q in forest.items() if p != q]
+        return pa.table({
+            "a": pa.array([*links, *(p for p, _ in ends)], pa.int64()), "b": pa.array([*[None] * len(links), *(q for _, q in ends)], pa.int64()), "links": pa.array([*links.values(), *[None] * len(ends)], pa.int64()),
+        })
 
-    return pairs.mapInArrow(run, "a long, b long, links long")
+    return tiles.groupBy("ta", "tb").applyInArrow(run, "a long, b long, links long")
 
 
 def near_duplicates(rows: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
@@ -217,9 +223,11 @@ def near_duplicates(rows: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
     right = boxes.select("grp", "size", F.col("block").alias("b"), F.col("low").alias("bl"), F.col("high").alias("bh"), F.explode(wide).alias("cell"))
     apart = F.expr("aggregate(zip_with(zip_with(al, bh, (x, y) -> greatest(x - y, 0D)), zip_with(bl, ah, (x, y) -> greatest(x - y, 0D)), (x, y) -> greatest(x, y)), 0D, (s, x) -> s + x * x)")
     pairs = left.join(right, ["grp", "size", "cell"]).where((F.col("a") <= F.col("b")) & (apart <= (epsilon + SLACK) ** 2)).select("a", "b").distinct()
-    payload = lambda side: blocks.select(F.col("block").alias(side), *([F.col("size")] if side == "a" else []), F.col("cls").alias(f"{side}_cls"), F.col("weight").alias(f"{side}_weight"), F.col("raw").alias(f"{side}_raw"))
-    tasks = pairs.join(payload("a"), "a").join(payload("b"), "b").repartition(max(16, 2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "a", "b")
-    found = materialize(_joined(tasks.select("a", "b", "size", "a_cls", "a_weight", "a_raw", "b_cls", "b_weight", "b_raw"), directions, epsilon, least), "links")
+    # a block goes once to every pair of tiles in which it meets another
+    tile = lambda block: (F.shiftright(F.col(block), 32) * (1 << 32) + F.floor(F.col(block) % (1 << 32) / TILE_BLOCKS)).cast("long")
+    met = pairs.select(tile("a").alias("ta"), tile("b").alias("tb"), F.explode(F.array("a", "b")).alias("block")).distinct()
+    payload = blocks.select("block", tile("block").alias("tile"), "grp", "size", "cls", "weight", "raw")
+    found = materialize(_joined(met.join(payload, "block"), directions, epsilon, least), "links")
     links = found.where("b is null").groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("links"))
     joined = materialize(connected_components(found.where("b is not null").select("a", "b")), "components")
     named = F.coalesce("component", "cls")
