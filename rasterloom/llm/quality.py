@@ -1,9 +1,10 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule's cost and rejection share are measured on a bounded sample; the
-rules then run in descending order of rejections per second, and a document
-leaves at the first rule that rejects it.  The order decides only how much work
-is done: a document is kept if no rule rejects it.
+Each rule's cost and rejections are measured on a bounded sample, in the tasks
+that hold its rows.  The order is greedy: the next rule is the one with most
+rejections per second among the sample's rows that no earlier rule rejects.  A
+document leaves at the first rule that rejects it.  The order decides only how
+much work is done: a document is kept if no rule rejects it.
 
 Words are ``[^\\x20\\x09-\\x0D]+``; measures of a text are computed when a rule first
 asks for them.
@@ -127,30 +128,42 @@ def further_rules() -> list[Rule]:
     ]
 
 
-def order_rules(rules: list[Rule], texts: list[str | None]) -> list[Rule]:
-    """The rules by rejections per second on the sample, best first; each is timed with nothing computed before."""
-    if not texts:
-        return list(rules)
-    rate = {}
-    for rule in rules:
-        rejected, spent = 0, 0.0
-        for text in texts:
-            measures = TextMeasures(text)
-            began = time.perf_counter()
-            rejected += rule.rejects(measures)
-            spent += time.perf_counter() - began
-        rate[rule.name] = (rejected / max(spent, 1e-9), -spent)
-    return sorted(rules, key=lambda r: rate[r.name], reverse=True)
-
-
-def sample_texts(docs: DataFrame, rows: int = SAMPLE_ROWS, seed: int = 7) -> list[str | None]:
-    """At most ``rows`` texts from all partitions."""
+def order_rules(names: list[str], trials: list[tuple[dict[str, bool], dict[str, float]]]) -> list[str]:
+    """Rules by rejections per second among the rows that no rule before them rejects; ``trials``: verdicts and seconds of every rule on each row."""
+    left, out, rest = list(trials), [], list(names)
+    while rest:
+        rate = lambda n: (sum(v[n] for v, _ in left) / max(1e-9, sum(t[n] for _, t in left)), -sum(t[n] for _, t in left))  # noqa: B023, E731
+        out.append(max(rest, key=rate))
+        rest.remove(out[-1])
+        left = [row for row in left if not row[0][out[-1]]]
+    return out
+
+
+def measure_rules(docs: DataFrame, rules: list[Rule], rows: int = SAMPLE_ROWS, seed: int = 7) -> list[tuple[dict[str, bool], dict[str, float]]]:
+    """Verdict and seconds of every rule on about ``rows`` texts from all partitions, each rule with nothing computed before; the texts stay in their tasks."""
     count = docs.count()
     if not count:
         return []
-    share = min(1.0, 1.3 * rows / count)
+    share = min(1.0, rows / count)
     picked = docs.select("text") if share == 1.0 else docs.select("text").sample(False, share, seed)
-    return [r["text"] for r in picked.limit(rows).collect()]
+    names = [r.name for r in rules]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _by_name(names)
+        for _, texts in text_slices(batches):
+            verdicts, seconds = [], []
+            for text in texts:
+                row, spent = [], []
+                for rule in own:
+                    measures = TextMeasures(text)
+                    began = time.perf_counter()
+                    row.append(rule.rejects(measures))
+                    spent.append(time.perf_counter() - began)
+                verdicts.append(row)
+                seconds.append(spent)
+            yield pa.RecordBatch.from_arrays([pa.array(verdicts, pa.list_(pa.bool_())), pa.array(seconds, pa.list_(pa.float64()))], names=["verdicts", "seconds"])
+
+    return [(dict(zip(names, r["verdicts"])), dict(zip(names, r["seconds"]))) for r in map_arrow(picked, run, "verdicts array<boolean>, seconds array<double>").collect()]
 
 
 def cascade(rules: list[Rule], measures: TextMeasures) -> str | None:
@@ -158,10 +171,6 @@ def cascade(rules: list[Rule], measures: TextMeasures) -> str | None:
     return next((r.name for r in rules if r.rejects(measures)), None)
 
 
-def _ordered_names(docs: DataFrame, rules: list[Rule], rows: int) -> list[str]:
-    return [r.name for r in order_rules(rules, sample_texts(docs, rows))]
-
-
 def _by_name(names: list[str]) -> list[Rule]:
     known = {r.name: r for r in [*base_rules(), *further_rules()]}
     return [known[n] for n in names]
@@ -169,7 +178,8 @@ def _by_name(names: list[str]) -> list[Rule]:
 
 def filter_documents(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The rows of ``docs`` that no rule rejects, with all their columns."""
-    names = _ordered_names(docs, [*base_rules(), *further_rules()], sample_rows)
+    rules = [*base_rules(), *further_rules()]
+    names = order_rules([r.name for r in rules], measure_rules(docs, rules, sample_rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_held()
@@ -185,8 +195,11 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 
 def measure_documents(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Per document: the base measures, ``base_failed``, ``kept`` and ``rejected_by``."""
-    base = _ordered_names(docs, base_rules(), 0)
-    names = _ordered_names(docs, further_rules(), sample_rows)
+    rules = [*base_rules(), *further_rules()]
+    trials = measure_rules(docs, rules, sample_rows)
+    base = order_rules([r.name for r in base_rules()], trials)
+    # the further rules see what the base rules leave
+    names = order_rules([r.name for r in further_rules()], [row for row in trials if not any(row[0][n] for n in base)])
     schema = StructType([
         StructField("doc_id", docs.schema["doc_id"].dataType), *(StructField(m, LongType()) for m in MEASURES),
         StructField("base_failed", BooleanType()), StructField("kept", BooleanType()), StructField("rejected_by", StringType()),
