@@ -105,10 +105,6 @@ def close_mask(pixels: DataFrame, mask: str, out: str, times: int = 2) -> DataFr
     return shrunk.withColumn(out, F.col("_shrunk") & whole[0] & whole[1]).drop("_grown", "_shrunk")
 
 
-def offsets(radius: int) -> Column:
-    return F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1)])
-
-
 def mode_filter(pixels: DataFrame, classes: Sequence[int], radius: int) -> DataFrame:
     """The most frequent class of the (2r + 1) square with border pixels repeated outwards; ties take the lowest class.
 
@@ -133,16 +129,20 @@ def mode_filter(pixels: DataFrame, classes: Sequence[int], radius: int) -> DataF
 
 
 def gathered(pixels: DataFrame, value: str, radius: int) -> DataFrame:
-    """All values of the square around each pixel with border pixels repeated: image_id, x, y, near."""
-    size = pixels.groupBy("image_id").agg(F.max("x").alias("mx"), F.max("y").alias("my"))
-    wanted = pixels.join(size, "image_id").select("image_id", "x", "y", "mx", "my", F.explode(offsets(radius)).alias("o")).select(
-        "image_id", F.col("x").alias("cx"), F.col("y").alias("cy"), F.greatest(F.lit(0), F.least(F.col("mx"), F.col("x") + F.col("o.dx"))).alias("x"), F.greatest(F.lit(0), F.least(F.col("my"), F.col("y") + F.col("o.dy"))).alias("y")
-    )
-    return wanted.join(pixels.select("image_id", "x", "y", F.col(value).alias("near")), ["image_id", "x", "y"]).select("image_id", F.col("cx").alias("x"), F.col("cy").alias("y"), "near")
+    """Pixels with ``near``, all values of the square around each, border pixels repeated: one window per axis."""
+    out = by_image(pixels).withColumn("near", F.array(value))
+    for window in (row(), column()):
+        whole = window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        first, last = F.first("near").over(whole), F.last("near").over(whole)
+        shifted = [F.coalesce(F.lag("near", -k).over(window), first) if k < 0 else F.coalesce(F.lead("near", k).over(window), last) if k else F.col("near") for k in range(-radius, radius + 1)]
+        out = out.withColumn("near", F.flatten(F.array(*shifted)))
+    return out
 
 
 def median_filter(pixels: DataFrame, value: str, radius: int = 1) -> DataFrame:
-    return gathered(pixels, value, radius).groupBy("image_id", "x", "y").agg(F.median("near").alias("median"))
+    """The median of the (2r + 1) square with border pixels repeated: image_id, x, y, median."""
+    middle = F.array_sort("near")[((2 * radius + 1) ** 2 - 1) // 2]
+    return gathered(pixels, value, radius).select("image_id", "x", "y", middle.cast("double").alias("median"))
 
 
 def gaussian(pixels: DataFrame, value: str, sigma: float, truncate: float = 4.0) -> DataFrame:
@@ -172,6 +172,6 @@ def gaussian(pixels: DataFrame, value: str, sigma: float, truncate: float = 4.0)
 
 def resize_nearest(pixels: DataFrame, width: int, height: int, new_width: int, new_height: int) -> DataFrame:
     """Each new pixel takes the old one under its centre."""
-    grid = pixels.select("image_id").distinct().crossJoin(pixels.sparkSession.range(new_width * new_height).select((F.col("id") % new_width).cast("int").alias("nx"), F.floor(F.col("id") / new_width).cast("int").alias("ny")))
-    source = grid.select("image_id", "nx", "ny", F.floor((F.col("nx") + 0.5) * width / new_width).cast("int").alias("x"), F.floor((F.col("ny") + 0.5) * height / new_height).cast("int").alias("y"))
+    wide = pixels.select("image_id").distinct().select("image_id", F.explode(F.sequence(F.lit(0), F.lit(new_height - 1))).alias("ny")).select("image_id", "ny", F.explode(F.sequence(F.lit(0), F.lit(new_width - 1))).alias("nx"))
+    source = wide.select("image_id", "nx", "ny", F.floor((F.col("nx") + 0.5) * width / new_width).cast("int").alias("x"), F.floor((F.col("ny") + 0.5) * height / new_height).cast("int").alias("y"))
     return source.join(pixels, ["image_id", "x", "y"]).drop("x", "y").withColumnsRenamed({"nx": "x", "ny": "y"})

@@ -33,10 +33,19 @@ def ranked(palette: DataFrame) -> DataFrame:
 
 
 def nearest(points: DataFrame, palette: DataFrame, features: tuple[str, ...], keys: tuple[str, ...]) -> DataFrame:
-    """Each point's nearest palette row by squared distance; ties take the lowest index. One pass: the palette is folded into an expression-free broadcast join."""
-    small = checked_palette(palette.select("palette_index", *[F.col(f).alias(f"_{f}") for f in features]))
-    distance = sum(((F.col(f) - F.col(f"_{f}")) * (F.col(f) - F.col(f"_{f}")) for f in features[1:]), (F.col(features[0]) - F.col(f"_{features[0]}")) * (F.col(features[0]) - F.col(f"_{features[0]}")))
-    return points.crossJoin(small).groupBy(*keys).agg(F.min(F.struct(distance.alias("d"), "palette_index")).alias("best")).select(*keys, F.col("best.palette_index").alias("palette_index"), F.col("best.d").alias("distance"))
+    """Each point's nearest palette row by squared distance; ties take the lowest index. The palette's few rows are literals of one projection: no join, no shuffle."""
+    rows = palette.select("palette_index", *features).orderBy("palette_index").limit(MOST_COLOURS + 1).collect()
+    if len(rows) > MOST_COLOURS:
+        raise ValueError(f"a palette has at most {MOST_COLOURS} colours")
+    if not rows:
+        return points.select(*keys, F.lit(None).cast("int").alias("palette_index"), F.lit(None).cast("double").alias("distance"))
+
+    def candidate(row) -> Column:
+        off = [F.col(f) - F.lit(row[f]) for f in features]
+        return F.struct(sum((d * d for d in off[1:]), off[0] * off[0]).alias("d"), F.lit(row["palette_index"]).alias("palette_index"))
+
+    best = F.array_min(F.array(*map(candidate, rows)))
+    return points.select(*keys, best.alias("best")).select(*keys, F.col("best.palette_index").alias("palette_index"), F.col("best.d").alias("distance"))
 
 
 def lloyd_step(points: DataFrame, centres: DataFrame, size: int) -> DataFrame:
@@ -104,15 +113,23 @@ def superpixels(pixels: DataFrame, segments: int, compactness: float, adaptive:
 
 
 def slic_assign(pixels: DataFrame, centres: DataFrame, step: float, compactness: float) -> DataFrame:
-    """Each pixel's nearest centre among those within two steps, as a join on grid cells instead of a range join."""
+    """Each pixel's nearest centre among those within two steps.
+
+    The centres around a grid cell become one array (a few dozen at most, as they lie a step apart), so each pixel meets one row and picks its centre there.
+    """
     cell = 2.0 * step
     near = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("o")
-    spread = centres.select("*", near).select("image_id", "centre", "cx", "cy", "cp", (F.floor(F.col("cx") / cell) + F.col("o.i")).alias("gx"), (F.floor(F.col("cy") / cell) + F.col("o.j")).alias("gy"))
-    met = pixels.withColumns({"gx": F.floor(F.col("x") / cell), "gy": F.floor(F.col("y") / cell)}).join(spread, ["image_id", "gx", "gy"])
-    dx, dy, dp = F.col("x") - F.col("cx"), F.col("y") - F.col("cy"), F.col("p") - F.col("cp")
-    met = met.where((F.abs(dx) <= cell) & (F.abs(dy) <= cell))
-    cost = dp * dp + (compactness / step) ** 2 * (dx * dx + dy * dy)
-    return met.groupBy("image_id", "x", "y").agg(F.min(F.struct(cost.alias("cost"), "centre"))["centre"].alias("centre"))
+    spread = centres.select("*", near).select("image_id", F.struct("centre", "cx", "cy", "cp").alias("c"), (F.floor(F.col("cx") / cell) + F.col("o.i")).alias("gx"), (F.floor(F.col("cy") / cell) + F.col("o.j")).alias("gy"))
+    around = spread.groupBy("image_id", "gx", "gy").agg(F.collect_list("c").alias("around"))
+    met = pixels.withColumns({"gx": F.floor(F.col("x") / cell), "gy": F.floor(F.col("y") / cell)}).join(around, ["image_id", "gx", "gy"])
+
+    def cost(c: Column) -> Column:
+        dx, dy, dp = F.col("x") - c["cx"], F.col("y") - c["cy"], F.col("p") - c["cp"]
+        reached = (F.abs(dx) <= cell) & (F.abs(dy) <= cell)
+        return F.when(reached, F.struct((dp * dp + (compactness / step) ** 2 * (dx * dx + dy * dy)).alias("cost"), c["centre"].alias("centre")))
+
+    best = F.array_min(F.transform("around", cost))
+    return met.select("image_id", "x", "y", best["centre"].alias("centre")).where("centre is not null")
 
 
 def slic_centres(pixels: DataFrame, assigned: DataFrame, centres: DataFrame) -> DataFrame:

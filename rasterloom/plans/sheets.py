@@ -238,8 +238,8 @@ def merge(made: Segments, config: Config, strategy: str, subject: np.ndarray | N
     return Merged(ids, classes, log + [m._replace(step=len(log) + m.step) for m in more])
 
 
-def region_rows(ids: np.ndarray, classes: dict[int, int], least_pixels: int, config: Config, scale: float, subject: np.ndarray | None = None) -> list[dict]:
-    """Geometry of every region."""
+def region_rows(ids: np.ndarray, classes: dict[int, int], least_pixels: int, config: Config, scale: float, subject: np.ndarray | None = None, far: np.ndarray | None = None) -> list[dict]:
+    """Geometry of every region; ``far`` is each pixel's distance to the outside where it is known."""
     flat, count = ids.ravel(), np.bincount(ids.ravel())
     yy, xx = np.mgrid[: ids.shape[0], : ids.shape[1]]
     low_x, low_y, high_x, high_y = (np.full(len(count), big) for big in (ids.size, ids.size, -1, -1))
@@ -248,7 +248,7 @@ def region_rows(ids: np.ndarray, classes: dict[int, int], least_pixels: int, con
         np.maximum.at(high, flat, place.ravel())
     cx, cy = (np.bincount(flat, a.ravel()) / np.maximum(1, count) for a in (xx, yy))
     deepest = np.zeros(len(count))
-    np.maximum.at(deepest, flat, k.distance_to_outside(ids).ravel())
+    np.maximum.at(deepest, flat, (k.distance_to_outside(ids) if far is None else far).ravel())
     around = np.bincount(np.concatenate([ids[0], ids[-1], ids[:, 0], ids[:, -1]]), minlength=len(count))
     for a, b, n in k.shared_sides(ids):
         around[a] += n
@@ -293,7 +293,8 @@ def make_sheet(rgb: np.ndarray, config: Config, subject: np.ndarray | None = Non
     ids, classes, log = merge(made, config, config.merge_strategy, subject)
     least = max(1, math.ceil(config.min_region_area_mm2 / scale**2))
     profile = rendering(config, scale)
-    labels = place_labels(ids, classes, config, scale)
+    far = k.distance_to_outside(ids)
+    labels = place_labels(ids, classes, config, scale, far)
     lines = [(k.simplify(smoothed(line, profile), profile["simplify_tolerance_px"]), "#222", profile["line_width_mm"]) for line in k.trace(k.boundary_edges(ids))]
     strokes = np.zeros(ids.shape, bool)
     if config.line_art_enabled:
@@ -317,7 +318,7 @@ def make_sheet(rgb: np.ndarray, config: Config, subject: np.ndarray | None = Non
         drawn |= {"detail_mask": detail * 255}
     return {
         "width": width, "height": height, "mm_per_pixel": scale, "recolored_pixels": int((made.labels != after).sum()), "line_art_pixels": int(strokes.sum()), "palette": palette,
-        "regions_before": region_rows(made.ids, made.classes, least, config, scale, subject), "regions": region_rows(ids, classes, least, config, scale, subject), "adjacency_before": edge_rows(made.ids, made.classes, made.colours), "adjacency": edge_rows(ids, classes, made.colours),
+        "regions_before": region_rows(made.ids, made.classes, least, config, scale, subject), "regions": region_rows(ids, classes, least, config, scale, subject, far), "adjacency_before": edge_rows(made.ids, made.classes, made.colours), "adjacency": edge_rows(ids, classes, made.colours),
         "labels": labels, "merges": [m._asdict() for m in log], "rendering": profile, "region_before": made.ids.ravel().astype(np.int32), "region_after": ids.ravel().astype(np.int32), "svg": svg, "palette_svg": palette_sheet(palette, config, page_w, page_h),
         "images": {name: sinks.png(image) for name, image in drawn.items()}, "pdf": sinks.pdf([on_page(blank, page_w / page_h), drawn["palette_page"]], page_w, page_h),
     }
@@ -358,9 +359,8 @@ def palette_sheet(palette: list[dict], config: Config, page_w: float, page_h: fl
     return sinks.svg_sheet(page_w, page_h, config.title, fields, numbers)
 
 
-def place_labels(ids: np.ndarray, classes: dict[int, int], config: Config, scale: float) -> list[dict]:
+def place_labels(ids: np.ndarray, classes: dict[int, int], config: Config, scale: float, far: np.ndarray) -> list[dict]:
     """Every region's label at its innermost pixel nearest to the centroid, with a font that fits."""
-    far = k.distance_to_outside(ids)
     count = np.bincount(ids.ravel())
     deepest = np.zeros(len(count))
     np.maximum.at(deepest, ids.ravel(), far.ravel())

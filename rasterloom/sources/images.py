@@ -91,14 +91,17 @@ def parse_requests(requests: DataFrame, column: str, most_bytes: int = 40 * 1024
 
 
 def mask_source(pixels: DataFrame, model, schema: str = "image_id string, x int, y int, mask boolean") -> DataFrame:
-    """Masks from a model, loaded once per worker: ``model()`` gives a function from an image array to a mask array.
+    """Masks from a model, loaded once per task: ``model()`` gives a function from an image array to a mask array.
 
     No model is shipped; callers bring their own.
     """
+    loaded: list = []
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         image = np.zeros((int(group["y"].max()) + 1, int(group["x"].max()) + 1, 3), np.uint8)
         image[group["y"], group["x"]] = group[["r", "g", "b"]]
-        return group[["image_id", "x", "y"]].assign(mask=model()(image)[group["y"], group["x"]])
+        if not loaded:
+            loaded.append(model())
+        return group[["image_id", "x", "y"]].assign(mask=loaded[0](image)[group["y"], group["x"]])
 
     return pixels.groupBy("image_id").applyInPandas(run, schema)
