@@ -51,6 +51,7 @@ LEAF_ROWS = 128
 #: Room for rounding when boxes are compared.
 SLACK = 1e-6
 _ALONE = 1 << 62
+_SAFE_SQUARE = 1e-280
 
 
 def _usable(column: pa.ListArray) -> tuple[np.ndarray, list[np.ndarray | None]]:
@@ -60,6 +61,11 @@ def _usable(column: pa.ListArray) -> tuple[np.ndarray, list[np.ndarray | None]]:
         if row and None not in row:
             found = np.array(row, np.float64)
             if np.isfinite(found).all() and found.any():
+                with np.errstate(over="ignore", under="ignore"):
+                    size = float(found @ found)
+                if not _SAFE_SQUARE <= size <= 1 / _SAFE_SQUARE:
+                    # squares would leave the range of doubles; the direction stays
+                    found = found / np.abs(found).max()
                 vector = found + 0.0  # no negative zeros
         vectors.append(vector)
     return np.array([v is not None for v in vectors]), vectors

@@ -278,7 +278,9 @@ def keep_representatives(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     kept = docs.join(grouped.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct(), "doc_id", "left_semi").select(*names)
     repeated = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
     columns = [F.col(f"`{n}`") for n in names]
-    smallest = F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("row")
+    # maps cannot be hashed as they are
+    hashed = [F.to_json(F.struct(c)) if "map<" in docs.schema[n].dataType.simpleString() else c for n, c in zip(names, columns)]
+    smallest = F.min_by(F.struct(*columns), F.xxhash64(*hashed)).alias("row")
     several = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(smallest).select("row.*")
     nameless = docs.where("doc_id is null").groupBy(F.col("text").alias("same")).agg(smallest).select("row.*")
     return kept.join(repeated, "doc_id", "left_anti").select(*names).unionByName(several).unionByName(nameless)

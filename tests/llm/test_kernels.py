@@ -115,12 +115,23 @@ def test_repeated_words_against_brute_force():
 def test_cascade_order_does_not_change_the_verdict():
     rules = [*quality.base_rules(), *quality.further_rules()]
     some = [*texts(200, 5), None, "", "word " * 40, "# $ " * 30, "fine prose of quite ordinary words that is long enough to be kept here"]
-    ordered = quality.order_rules(rules, some)
-    assert {r.name for r in ordered} == {r.name for r in rules}
+    names = [r.name for r in rules]
+    trials = [({r.name: r.rejects(quality.TextMeasures(t)) for r in rules}, {n: 1.0 + k for k, n in enumerate(names)}) for t in some]
+    order = quality.order_rules(names, trials)
+    assert sorted(order) == sorted(names)
+    ordered = [next(r for r in rules if r.name == n) for n in order]
     for text in some:
         assert (quality.cascade(rules, quality.TextMeasures(text)) is None) == (quality.cascade(ordered, quality.TextMeasures(text)) is None)
 
 
+def test_cascade_counts_what_earlier_rules_leave():
+    """The second rule rejects more than the third by itself, but nothing that the first leaves."""
+    verdicts = [dict(a=i < 6, b=i < 5, c=i in (7, 8)) for i in range(10)]
+    assert quality.order_rules(["c", "b", "a"], [(v, dict(a=1.0, b=1.0, c=1.0)) for v in verdicts]) == ["a", "c", "b"]
+    assert quality.order_rules(["a", "b", "c"], [(v, dict(a=9.0, b=1.0, c=1.0)) for v in verdicts]) == ["b", "c", "a"]
+    assert quality.order_rules(["a", "b"], []) in (["a", "b"], ["b", "a"])
+
+
 def fingerprint(hashes):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 

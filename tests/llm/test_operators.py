@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -114,6 +115,24 @@ def test_language(spark, docs, nothing):
     assert language.predict(nothing, model).count() == 0 and language.fit(nothing, id_fold(3) != 1, PIECES).languages == []
 
 
+def test_words_in_lockstep_are_words_alone():
+    rng = np.random.default_rng(5)
+    some = ["".join(rng.choice(list("etaoinéß漢я😀"), rng.integers(1, 60))) for _ in range(300)] + ["the", "of", "e" * 40, "漢" * 40, "a"]
+    model = language.fit_words(PIECES, {"en": {"the": 5, "other": 2, "tone": 1}, "fr": {"été": 4, "notre": 1}, "xx": {"漢字": 3}})
+    scorer = language.Scorer(model)
+    alone = np.array([scorer._word(w) for w in some])
+    assert np.allclose(scorer.score_words(some), alone, rtol=1e-9) and np.allclose(scorer.score_words(some[::-1]), alone[::-1], rtol=1e-9)
+
+
+def test_long_words_are_fitted():
+    """A word far beyond what plain products hold gives its pieces their counts."""
+    model = language.fit_words(PIECES, {"aa": {"xyxy" * 2000: 3}, "bb": {"word": 1}})
+    assert np.isfinite(model.probabilities).all()
+    of = dict(zip(model.piece_ids.tolist(), model.probabilities.tolist()))
+    ids, _ = language.read_pieces(PIECES)
+    assert max(of[ids[p]][0] for p in ("xy", "yx", "x") if p in ids and ids[p] in of) > 0.1
+
+
 def test_simhash(docs, nothing):
     got = simhash.near_duplicates(docs).collect()
     assert len(got) == len(rows())
@@ -130,6 +149,44 @@ def test_simhash(docs, nothing):
     ids = [r["doc_id"] for r in kept.collect() if r["doc_id"] is not None]
     assert len(ids) == len(set(ids)) and 1 in ids and 2 not in ids and 7 in ids
     assert simhash.near_duplicates(nothing).count() == 0 and simhash.keep_representatives(nothing).count() == 0
+    mapped = simhash.keep_representatives(docs.withColumn("facts", F.create_map(F.lit("a"), F.col("doc_id"))))
+    assert mapped.schema["facts"].dataType.simpleString() == "map<string,bigint>" and mapped.count() == kept.count()
+
+
+def test_large_meetings_are_dealt_anew(spark):
+    """Prints that share most of their bits, so that meetings are large, joined as all pairs would."""
+    rng = np.random.default_rng(8)
+    base = int(rng.integers(0, 1 << 62))
+    prints = {base}
+    for centre in [base ^ int(x) for x in rng.integers(0, 1 << 40, 12)]:
+        prints |= {centre} | {centre ^ (1 << int(a)) ^ (1 << int(b)) ^ (1 << int(c)) for a, b, c in rng.integers(0, 62, (25, 3))}
+    prints = sorted(prints)
+    frame = spark.createDataFrame([(p, i) for i, p in enumerate(prints)], "fp long, rep long").repartition(3)
+    want = components.union_find(*map(list, zip(*[(i, j) for i, p in enumerate(prints) for j, q in enumerate(prints[:i]) if (p ^ q).bit_count() <= 4])))
+    for most in (3, 20, 100_000):
+        edges = [(r["a"], r["b"]) for r in simhash.links(frame, most=most).collect()]
+        assert all((prints[a] ^ prints[b]).bit_count() <= 64 for a, b in edges)
+        got = components.union_find([a for a, _ in edges], [b for _, b in edges])
+        assert {n: got.get(n, n) for n in range(len(prints))} == {n: want.get(n, n) for n in range(len(prints))}
+
+
+def test_runs_keep_meetings_whole():
+    rng = np.random.default_rng(3)
+    for most in (None, 3, 10):
+        sizes = rng.integers(1, 14, 60)
+        key = np.repeat(np.arange(60), sizes)
+        rows = {"table": np.zeros(len(key), np.int32), "key": key, "fp": np.arange(len(key)), "rep": np.arange(len(key))}
+        cuts = np.sort(rng.integers(0, len(key), 25))
+        batches = [pa.RecordBatch.from_pydict({c: v[a:b] for c, v in rows.items()}) for a, b in zip([0, *cuts], [*cuts, len(key)])]
+        seen, whole = [], []
+        for large, now in simhash._runs(batches, most):
+            seen += now["rep"].tolist()
+            if large:
+                assert len(set(now["key"].tolist())) == 1 and sizes[now["key"][0]] > most
+            else:
+                whole += list(zip(*np.unique(now["key"], return_counts=True)))
+        assert set(seen) == set(range(len(key))) and all(sizes[k] == n for k, n in whole)
+        assert {k for k, _ in whole} >= {k for k in range(60) if most is None or sizes[k] <= most}
 
 
 def test_components_against_brute_force(spark):
@@ -188,7 +245,7 @@ def test_embedding_join(spark):
     rng = np.random.default_rng(5)
     base = rng.normal(size=(40, 12))
     vectors = np.concatenate([base, base[:20] + 0.05 * rng.normal(size=(20, 12)), np.repeat(base[:2], 30, axis=0), 3.0 * base[2:3]])
-    table = [(i, v.tolist(), i % 2) for i, v in enumerate(vectors)] + [(900, None, 1), (901, [0.0] * 12, 1), (902, [float("nan")] * 12, 0), (903, base[0].tolist(), None), (904, [1.0, None], 1), (905, [1.0, 2.0], 0), (905, [1.0, 2.0], 0)]
+    table = [(i, v.tolist(), i % 2) for i, v in enumerate(vectors)] + [(900, None, 1), (901, [0.0] * 12, 1), (902, [float("nan")] * 12, 0), (903, base[0].tolist(), None), (904, [1.0, None], 1), (905, [1.0, 2.0], 0), (905, [1.0, 2.0], 0), (906, [1e200, 1e200, 1e200], 0), (907, [2e-200, 2e-200, 2e-200], 0), (908, [1e308, -1e308, 0.0], 0)]
     frame = spark.createDataFrame([(*r, 7) for r in table], "vec_id long, embedding array<double>, label int, n_links int")
     got = [(r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in ego_join.near_duplicates(frame).collect()]
     assert len(got) == len(table)
@@ -202,6 +259,8 @@ def test_embedding_join(spark):
             assert n == linked[i].sum() and component == joined.get(i, i) and kept == (component == i)
         elif i == 905:
             assert n == 1 and component == 905
+        elif i in (906, 907):
+            assert n == 1 and component == 906
         else:
             assert n == 0 and component == i
     assert ego_join.near_duplicates(frame.limit(0)).count() == 0
