@@ -34,8 +34,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
-from rasterloom.llm.chunks import chunk_table, part_table
+from rasterloom.llm.chunks import IntTable, chunk_table, part_table
 from rasterloom.llm.common import BoundedCache, batch_slices, held, map_arrow, release_held, text_slices
+from rasterloom.session import materialize
 
 UNKNOWN = "und"
 SAMPLE_DOCS = 300
@@ -112,6 +113,39 @@ class LanguageModel:
 
 
 _TINY, _LIFT = 1e-150, 1e150
+#: Words of up to so many characters are scored many at once, ``TOGETHER`` at a time; sums below ``_LEAST`` are taken again one by one.
+LOCKSTEP_CHARS, TOGETHER, _LEAST = 40, 4000, 1e-280
+
+
+class Automaton:
+    """The pieces' trie in arrays: a step from many nodes at once."""
+
+    def __init__(self, pieces: dict[str, int]):
+        steps: dict[int, int] = {}
+        ends = {}
+        for piece, i in pieces.items():
+            node = 0
+            for char in piece:
+                node = steps.setdefault(node << 21 | ord(char), len(steps) + 1)
+            ends[node] = i
+        self.table = IntTable(max(4, (2 * len(steps) + 2).bit_length()))
+        self.table.put(np.fromiter(steps.keys(), np.int64, len(steps)), np.fromiter(steps.values(), np.int32, len(steps)))
+        self.piece = np.full(len(steps) + 1, -1, np.int64)
+        self.piece[list(ends)] = list(ends.values())
+
+    def edges(self, chars: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, length, piece) of all pieces in the characters that end by each place's word's end, and -1 as piece of single characters that are none."""
+        place, node, length = np.arange(len(chars)), np.zeros(len(chars), np.int64), 0
+        found = []
+        while len(place):
+            node = self.table.get(node << 21 | chars[place + length]).astype(np.int64)
+            length += 1
+            piece = np.where(node >= 0, self.piece[node], -1)
+            whole = piece >= 0 if length > 1 else np.ones(len(place), bool)
+            found.append((place[whole], np.full(int(whole.sum()), length), piece[whole]))
+            onward = (node >= 0) & (place + length < ends[place])
+            place, node = place[onward], node[onward]
+        return tuple(np.concatenate(column) for column in zip(*found))
 
 
 class Scorer:
@@ -121,6 +155,11 @@ class Scorer:
         self.lattice, self.n = Lattice(model.path), len(model.languages)
         self.rows = {int(i): tuple(row) for i, row in zip(model.piece_ids, model.probabilities.tolist(), strict=True)}
         self.rest = tuple(model.rest.tolist())
+        self.automaton = Automaton(self.lattice.pieces)
+        #: Rows of all probabilities, the last that of any other piece, and each piece's row.
+        self.table = np.vstack([model.probabilities, model.rest[None]])
+        self.row = np.full(self.lattice.size, len(self.table) - 1)
+        self.row[model.piece_ids] = np.arange(len(model.piece_ids))
         self.words = BoundedCache(self._word, CACHED_WORDS)
 
     def _piece(self, ids: tuple[int, ...]) -> tuple[float, ...]:
@@ -155,6 +194,52 @@ class Scorer:
                     sums[k] += here[k] * row[k]
         return tuple(math.log(max(p, 1e-300)) - lift * math.log(_LIFT) for p, lift in zip(forward[size], lifts))
 
+    def _lockstep(self, words: list[str]) -> np.ndarray:
+        """The forward algorithm for many words at once: all their edges of equal start and length are followed together."""
+        chars = np.frombuffer("".join(_START + w for w in words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        size = np.array([len(w) + 1 for w in words])
+        last = np.cumsum(size)
+        ends, owner = np.repeat(last, size), np.repeat(np.arange(len(words)), size)
+        place, length, piece = self.automaton.edges(chars, ends)
+        row, table = self.row[piece], self.table
+        single = np.flatnonzero(piece < 0)
+        if len(single):
+            unknown, which = np.unique(chars[place[single]], return_inverse=True)
+            table = np.vstack([table, np.array([self._piece(tuple(self.lattice.byte_ids[b] for b in chr(c).encode("utf-8", "surrogatepass"))) for c in unknown.tolist()])])
+            row[single] = len(self.table) + which
+        word = owner[place]
+        start = place - (last - size)[word]
+        order = np.lexsort((length, start))
+        word, start, length, row = word[order], start[order], length[order], row[order]
+        step = start * (int(length.max()) + 1) + length
+        cuts = np.flatnonzero(np.concatenate([[True], step[1:] != step[:-1], [True]]))
+        forward = np.zeros((int(size.max()) + 1, len(words), self.n))
+        forward[0] = 1.0
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            # a word has one edge at most of each start and length
+            s, e, own = int(start[a]), int(start[a] + length[a]), word[a:b]
+            forward[e, own] += forward[s, own] * table[row[a:b]]
+        whole = forward[size, np.arange(len(words))]
+        with np.errstate(divide="ignore"):
+            out = np.log(whole)
+        for i in np.flatnonzero((whole < _LEAST).any(axis=1)).tolist():
+            out[i] = self._word(words[i])
+        return out
+
+    def score_words(self, words: list[str]) -> np.ndarray:
+        """Log probabilities of words in every language; what was scored before comes from the cache."""
+        known = self.words
+        out = list(map(known.get, words))
+        new = sorted((w for w, row in zip(words, out) if row is None and 0 < len(w) <= LOCKSTEP_CHARS), key=len)
+        fresh = {}
+        for at in range(0, len(new), TOGETHER):
+            part = new[at : at + TOGETHER]
+            fresh.update(zip(part, map(tuple, self._lockstep(part).tolist())))
+        if len(known) + len(fresh) > CACHED_WORDS:
+            known.clear()
+        known.update(fresh)
+        return np.array([row if row is not None else fresh[w] if w in fresh else known[w] for w, row in zip(words, out)]).reshape(len(words), self.n)
+
     def score_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Log probabilities of every text, and each text's number of words."""
         scores, words, _ = self.measure_texts(texts)
@@ -165,9 +250,11 @@ class Scorer:
         chunks, codes, offsets = chunk_table(texts)
         parts = part_table(chunks, lower=True)
         own = np.zeros((len(parts.letters) + len(parts.marks) + len(parts.others), self.n + 2))
-        rows = list(map(self.words.__getitem__, parts.letters))
-        if rows:
-            own[: len(rows), :-2], own[: len(rows), -2], own[: len(rows), -1] = np.array(rows).reshape(len(rows), self.n), 1, [len(w) + 1 for w in parts.letters]
+        if self.n and parts.letters:
+            rows = self.score_words(parts.letters)
+            own[: len(rows), :-2], own[: len(rows), -2], own[: len(rows), -1] = rows, 1, [len(w) + 1 for w in parts.letters]
+        elif parts.letters:
+            own[: len(parts.letters), -2], own[: len(parts.letters), -1] = 1, [len(w) + 1 for w in parts.letters]
         for i, chunk in enumerate(parts.others, len(parts.letters) + len(parts.marks)):
             words = words_of(chunk)
             if words:
@@ -177,6 +264,22 @@ class Scorer:
         return np.array(sums[:-2]).reshape(self.n, len(texts)).T, sums[-2], sums[-1]
 
 
+def _shares_of_long(edges: list[tuple[int, int, tuple[int, ...]]], size: int, chance: dict[int, float]) -> list[float]:
+    """The chance of each edge of a word too long for plain products, by sums of logarithms."""
+
+    def add(x: float, y: float) -> float:
+        low, high = min(x, y), max(x, y)
+        return high if low == -math.inf else high + math.log1p(math.exp(low - high))
+
+    weights = [sum(math.log(chance[i]) for i in ids) for _, _, ids in edges]
+    forward, backward = [0.0, *[-math.inf] * size], [*[-math.inf] * size, 0.0]
+    for (a, b, _), w in zip(edges, weights):
+        forward[b] = add(forward[b], forward[a] + w)
+    for (a, b, _), w in zip(reversed(edges), reversed(weights)):
+        backward[a] = add(backward[a], backward[b] + w)
+    return [math.exp(forward[a] + w + backward[b] - forward[size]) for (a, b, _), w in zip(edges, weights)]
+
+
 def fit_words(path: str, counts: dict[str, dict[str, int]], rounds: int = ROUNDS) -> LanguageModel:
     """Expectation maximisation from equal piece probabilities; ``counts``: language to word to count."""
     lattice, languages = Lattice(path), sorted(counts)
@@ -199,11 +302,12 @@ def fit_words(path: str, counts: dict[str, dict[str, int]], rounds: int = ROUNDS
                 for (a, b, _), w in zip(reversed(own), reversed(weights)):
                     backward[a] += backward[b] * w
                 if forward[size] < 1e-280:
-                    continue
-                for (a, b, ids), w in zip(own, weights):
-                    share = times * forward[a] * w * backward[b] / forward[size]
+                    shares = _shares_of_long(own, size, chance)
+                else:
+                    shares = [forward[a] * w * backward[b] / forward[size] for (a, b, _), w in zip(own, weights)]
+                for (_, _, ids), share in zip(own, shares):
                     for i in ids:
-                        expected[i] += share
+                        expected[i] += times * share
             total = sum(expected.values()) + SMOOTHING * lattice.size
             chance = defaultdict(lambda t=total: SMOOTHING / t, {i: (c + SMOOTHING) / total for i, c in expected.items()})
         fitted.append(chance)
@@ -231,7 +335,7 @@ def _word_counts(docs: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, train: Column, path: str, sample_docs: int = SAMPLE_DOCS) -> LanguageModel:
-    """Fit on about ``sample_docs`` documents per language (and never over twice as many in all) of those in ``train``, picked by a hash of doc_id."""
+    """Fit on about ``sample_docs`` documents per language of those in ``train``, picked by a hash of doc_id and text."""
     return _fit(docs, train, path, sample_docs)[0]
 
 
@@ -265,11 +369,12 @@ def _fit(docs: DataFrame, train: Column, path: str, sample_docs: int) -> tuple[L
     per_language = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not per_language:
         return fit_words(path, {}), None
-    pick = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30))
+    pick = F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(1 << 30))
     cut = F.lit(0)
     for lang, n in sorted(per_language.items()):
         cut = F.when(F.col("lang") == lang, F.lit(int(min(1.0, sample_docs / n) * (1 << 30)))).otherwise(cut)
-    sample = labelled.where(pick < cut).limit(2 * sample_docs * len(per_language))
+    # rows that repeat an id and its text count once, so the sample stays bounded
+    sample = materialize(labelled.where(pick < cut).select("doc_id", "lang", "text").dropDuplicates(), "language-sample")
     counts: dict[str, dict[str, int]] = {lang: {} for lang in per_language}
     for r in _word_counts(sample).collect():
         counts[r["lang"]][r["word"]] = r["n"]
