@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField
 
-from rasterloom.llm import byte_bpe, chat_format, ego_join, language, packing, quality, secret_scan, simhash, token_files, toxicity
+from rasterloom.llm import byte_bpe, chat_format, ego_join, importance, language, license_scan, packing, quality, secret_scan, simhash, token_files, toxicity, vector_codes
 from rasterloom.llm.common import id_fold
 from rasterloom.session import scratch_path
 
@@ -96,10 +96,25 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure_documents(table(spark, sf_dir, "documents")).drop("rejected_by")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_language, op2_byte_bpe, op3_best_fit_packing, op4_simhash, op5_secret_scan, op6_toxicity, op7_chat_format, op8_embedding_dedup, op9_token_files, op10_quality)
+    named = (op1_language, op2_byte_bpe, op3_best_fit_packing, op4_simhash, op5_secret_scan, op6_toxicity, op7_chat_format, op8_embedding_dedup, op9_token_files, op10_quality, op11_vector_codes, op12_importance, op13_license_scan)
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_chat_format": chat_format.ORACLE_SQL, "op8_embedding_dedup": ego_join.ORACLE_SQL, "op10_quality": quality.ORACLE_SQL}
+    return {
+        "op7_chat_format": chat_format.ORACLE_SQL, "op8_embedding_dedup": ego_join.ORACLE_SQL, "op10_quality": quality.ORACLE_SQL,
+        "op11_vector_codes": vector_codes.ORACLE_SQL, "op12_importance": importance.ORACLE_SQL, "op13_license_scan": license_scan.ORACLE_SQL,
+    }
