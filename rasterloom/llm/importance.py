@@ -36,7 +36,7 @@ from rasterloom.session import materialize
 
 LONGEST_RUN, BUCKETS, SEED, LEAST_WORDS, PERCENT = 1, 10_000, 2024, 20, 10
 #: Features with at least this share of all (document, feature) rows are broadcast; there are no more than its inverse.
-HEAVY_FEATURES = 2000
+HEAVY_FEATURES = 50_000
 #: Words of lower-cased UTF-8: digits, a to z and everything that is not ASCII.
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _ROW_BITS = 33
