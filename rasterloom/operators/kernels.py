@@ -74,6 +74,38 @@ def distance_to_outside(labels: np.ndarray, rows: int = 64) -> np.ndarray:
     return np.sqrt(best.astype(float))
 
 
+def row_envelopes(steps: np.ndarray) -> np.ndarray:
+    """For each place of each row the least ``(x - q) ** 2 + steps[q] ** 2`` over all places q of the row: the lower envelope of its parabolas, in whole numbers.
+
+    One pass finds, for all rows in step, the parabolas of the envelope and where each begins.
+    """
+    rows, width = steps.shape
+    value = steps.astype(np.int64) ** 2
+    raised = value + np.arange(width) ** 2
+    site, begin, top = np.zeros((rows, width), np.int64), np.zeros((rows, width), np.int64), np.zeros(rows, np.int64)
+    every = np.arange(rows)
+    for q in range(1, width):
+        rest, start = every, np.empty(rows, np.int64)
+        while len(rest):
+            last = site[rest, top[rest]]
+            start[rest] = (raised[rest, q] - raised[rest, last]) // (2 * (q - last)) + 1
+            # a parabola that the new one undercuts from its beginning on leaves the envelope
+            under = start[rest] <= begin[rest, top[rest]]
+            bottom = under & (top[rest] == 0)
+            start[rest[bottom]] = 0
+            top[rest[under]] -= 1
+            rest = rest[under & ~bottom]
+        top += 1
+        site[every, top], begin[every, top] = q, start
+    number = np.zeros((rows, width), np.int64)
+    order = np.arange(width)
+    used = (order <= top[:, None]) & (begin < width)
+    r, k = np.nonzero(used)
+    number[r, begin[r, k]] = k
+    at = np.take_along_axis(site, np.maximum.accumulate(number, axis=1), 1)
+    return (order - at) ** 2 + np.take_along_axis(value, at, 1)
+
+
 def fill_holes(mask: np.ndarray) -> np.ndarray:
     """Set what the mask encloses: background components that do not touch the border."""
     padded = np.pad(mask, 1)
@@ -97,15 +129,20 @@ def disk_steps(radius: int) -> list[tuple[int, int]]:
     return [(dy, dx) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1) if dy * dy + dx * dx <= radius * radius]
 
 
-def clean_mask(mask: np.ndarray, times: int = 2) -> np.ndarray:
-    """Close with a 3 x 3 square, fill holes, drop small components."""
+def close_square(mask: np.ndarray, times: int = 2) -> np.ndarray:
+    """Close with a 3 x 3 square: as many dilations as erosions, outside unset."""
     square = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
     out = mask
     for _ in range(times):
         out = shift_or(out, square)
     for _ in range(times):
         out = ~shift_or(~np.pad(out, 1), square)[1:-1, 1:-1]
-    out = fill_holes(out)
+    return out
+
+
+def clean_mask(mask: np.ndarray) -> np.ndarray:
+    """Close, fill holes, drop small components."""
+    out = fill_holes(close_square(mask))
     return keep_large(out, max(16, int(out.size * 0.0001)))
 
 
@@ -341,7 +378,8 @@ def gaussian(image: np.ndarray, sigma: float, truncate: float = 4.0) -> np.ndarr
 
 def bilateral(image: np.ndarray, sigma_value: float, sigma_space: float) -> np.ndarray:
     """Average over the window, weighted by distance and by likeness over all channels."""
-    image = (image if image.ndim == 3 else image[..., None]).astype(np.float32)
+    flat = image.ndim == 2
+    image = (image[..., None] if flat else image).astype(np.float32)
     radius = max(1, int(math.ceil(3 * sigma_space)) // 2)
     height, width = image.shape[:2]
     channels = [np.ascontiguousarray(c) for c in np.moveaxis(image, -1, 0)]
@@ -360,11 +398,12 @@ def bilateral(image: np.ndarray, sigma_value: float, sigma_space: float) -> np.n
             for t, n in zip(total, near):
                 t += w * n
             weight += w
-    return np.squeeze(np.stack([t / weight for t in total], -1)).astype(float)
+    out = np.stack([t / weight for t in total], -1).astype(float)
+    return out[..., 0] if flat else out
 
 
-def canny(image: np.ndarray, sigma: float, low: float, high: float) -> np.ndarray:
-    """Edges: Gaussian, Sobel, thinning across the gradient, hysteresis over eight neighbours."""
+def crests(image: np.ndarray, sigma: float) -> tuple[np.ndarray, np.ndarray]:
+    """Where the softened image's gradient is greatest across itself, and its size; the image's border is not taken out."""
     soft = np.pad(gaussian(image, sigma), 1, mode="edge")
     diff, mean = lambda a, b: a - b, lambda a, b, c: (a + 2 * b + c) / 4
     rows = mean(soft[:-2], soft[1:-1], soft[2:])
@@ -378,6 +417,12 @@ def canny(image: np.ndarray, sigma: float, low: float, high: float) -> np.ndarra
     crest = np.zeros(size.shape, bool)
     for s, (dy, dx) in enumerate([(0, 1), (1, 1), (1, 0), (1, -1)]):
         crest |= (sector == s) & (size >= at(dy, dx)) & (size >= at(-dy, -dx))
+    return crest, size
+
+
+def canny(image: np.ndarray, sigma: float, low: float, high: float) -> np.ndarray:
+    """Edges: Gaussian, Sobel, thinning across the gradient, hysteresis over eight neighbours."""
+    crest, size = crests(image, sigma)
     crest[[0, -1]] = False
     crest[:, [0, -1]] = False
     weak = crest & (size >= low)
@@ -385,10 +430,10 @@ def canny(image: np.ndarray, sigma: float, low: float, high: float) -> np.ndarra
     return weak & np.isin(ids, np.unique(ids[crest & (size >= high)]))
 
 
-def thin(mask: np.ndarray) -> np.ndarray:
-    """Thin to a skeleton by the two-pass rule on the eight neighbours."""
+def thin_rounds(mask: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Up to ``rounds`` rounds of thinning by the two-pass rule on the eight neighbours: what is left and what has gone."""
     out = np.pad(mask, 1).astype(np.int8)
-    while True:
+    for _ in range(rounds):
         changed = False
         for half in (0, 1):
             n = [np.roll(out, (-dy, -dx), (0, 1)) for dy, dx in ((-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1))]
@@ -398,7 +443,17 @@ def thin(mask: np.ndarray) -> np.ndarray:
             changed |= bool(drop.any())
             out[drop] = 0
         if not changed:
-            return out[1:-1, 1:-1].astype(bool)
+            break
+    kept = out[1:-1, 1:-1].astype(bool)
+    return kept, mask & ~kept
+
+
+def thin(mask: np.ndarray) -> np.ndarray:
+    """Thin to a skeleton."""
+    while True:
+        mask, gone = thin_rounds(mask, 64)
+        if not gone.any():
+            return mask
 
 
 def line_art(gray: np.ndarray, subject: np.ndarray | None, detail: np.ndarray | None, labels: np.ndarray | None, strength: float) -> np.ndarray:

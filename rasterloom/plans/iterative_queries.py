@@ -6,13 +6,15 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from rasterloom.functions import color
-from rasterloom.operators import graph, merging, regions
+from rasterloom.operators import merging, parallel_merge, regions, tiles
 from rasterloom.operators import palette as pal
 
 from rasterloom.plans.common import Registry, blocks, query, raster, raster_sql, table
 
 QUERIES: Registry = {}
 CLASSES, LEAST, SCALE = 3, 12, 0.25
+#: Side of the tiles: an image of 100 x 100 pixels has sixteen.
+TILE = 32
 #: Lab colours of the classes, fixed values.
 COLOURS = np.array([[20.0, 10.0, -30.0], [55.0, 40.0, 20.0], [85.0, -5.0, 60.0]])
 
@@ -42,20 +44,40 @@ def connected_components_8(spark, sf_dir):
 
 @query(QUERIES, _components_sql(False))
 def components_by_propagation(spark, sf_dir):
-    """The same components for images that no single task could hold."""
-    return _sizes(graph.components_by_propagation(raster(spark, sf_dir, CLASSES)).withColumnRenamed("component", "region_id"))
+    """The same components for images that no single task could hold: labels per tile, united over the seams."""
+    return _sizes(tiles.components(raster(spark, sf_dir, CLASSES), "p", 4, TILE).withColumnRenamed("component", "region_id"))
 
-@query(QUERIES)
+@query(QUERIES, _components_sql(True))
+def components_over_tiles_8(spark, sf_dir):
+    return _sizes(tiles.connected_regions(raster(spark, sf_dir, CLASSES), "p", 8, TILE))
+
+_OUTSIDE_SQL = """{name}_border AS (SELECT image_id, min(x) AS l, max(x) AS r, min(y) AS t, max(y) AS b FROM raster GROUP BY image_id), {name}_unset AS MATERIALIZED (SELECT image_id, x, y FROM {source} WHERE NOT {mask}),
+ {name}_out(image_id, x, y) AS (SELECT image_id, x, y FROM {name}_unset JOIN {name}_border USING (image_id) WHERE x IN (l, r) OR y IN (t, b)
+ UNION SELECT u.image_id, u.x, u.y FROM {name}_out o JOIN {name}_unset u ON u.image_id = o.image_id AND abs(u.x - o.x) + abs(u.y - o.y) = 1)"""
+_LARGE_SQL = """{name}_px AS MATERIALIZED (SELECT image_id, x, y, image_id * 10000 + y * 100 + x AS id FROM {source} WHERE {mask}),
+ {name}_e AS MATERIALIZED (SELECT s.id AS a, t.id AS b FROM {name}_px s JOIN {name}_px t ON s.image_id = t.image_id AND abs(s.x - t.x) + abs(s.y - t.y) = 1),
+ {name}_walk(id, label) AS (SELECT id, id FROM {name}_px UNION SELECT e.b, w.label FROM {name}_walk w JOIN {name}_e e ON e.a = w.id WHERE w.label < e.b),
+ {name}_c AS (SELECT id, min(label) AS label FROM {name}_walk GROUP BY id),
+ {name}_large AS (SELECT image_id, x, y FROM {name}_px JOIN {name}_c USING (id) WHERE label IN (SELECT label FROM {name}_c GROUP BY label HAVING count(*) >= {least}))"""
+
+@query(QUERIES, f"WITH RECURSIVE {raster_sql()}, {_OUTSIDE_SQL.format(name='a', source='raster', mask='mask')} SELECT r.image_id, r.x, r.y, o.x IS NULL AS filled FROM raster r LEFT JOIN a_out o USING (image_id, x, y)")
 def fill_holes(spark, sf_dir):
-    return graph.filled(raster(spark, sf_dir))
+    return tiles.filled(raster(spark, sf_dir), side=TILE).select("image_id", "x", "y", "filled")
 
-@query(QUERIES)
+_CLOSED_SQL = """grown AS (SELECT r.image_id, r.x, r.y, bool_or(t.mask) AS m FROM raster r JOIN raster t ON t.image_id = r.image_id AND abs(t.x - r.x) <= 2 AND abs(t.y - r.y) <= 2 GROUP BY ALL),
+ closed AS MATERIALIZED (SELECT g.image_id, g.x, g.y, bool_and(t.m) AND count(*) = 25 AS m FROM grown g JOIN grown t ON t.image_id = g.image_id AND abs(t.x - g.x) <= 2 AND abs(t.y - g.y) <= 2 GROUP BY ALL)"""
+
+@query(QUERIES, f"""WITH RECURSIVE {raster_sql()}, {_CLOSED_SQL}, {_OUTSIDE_SQL.format(name='a', source='closed', mask='m')},
+ full_mask AS (SELECT c.image_id, c.x, c.y, o.x IS NULL AS m FROM closed c LEFT JOIN a_out o USING (image_id, x, y)), {_LARGE_SQL.format(name='b', source='full_mask', mask='m', least=16)}
+ SELECT r.image_id, r.x, r.y, l.x IS NOT NULL AS clean FROM raster r LEFT JOIN b_large l USING (image_id, x, y)""")
 def clean_mask(spark, sf_dir):
-    return graph.cleaned(raster(spark, sf_dir))
+    """Masks closed, filled and without components of under 16 pixels (more in images of over 160,000)."""
+    return tiles.cleaned(raster(spark, sf_dir), side=TILE)
 
-@query(QUERIES)
+@query(QUERIES, f"WITH RECURSIVE {raster_sql()}, {_LARGE_SQL.format(name='a', source='raster', mask='mask', least=20)} SELECT image_id, x, y FROM a_large")
 def keep_large_components(spark, sf_dir):
-    return graph.large_components(raster(spark, sf_dir), 20)
+    """Mask pixels whose component has at least 20 pixels."""
+    return tiles.large(raster(spark, sf_dir), "mask", F.lit(20), 4, "kept", TILE).where("kept").select("image_id", "x", "y")
 
 @query(QUERIES)
 def merge_small_regions(spark, sf_dir):
@@ -65,6 +87,16 @@ def merge_small_regions(spark, sf_dir):
 def merge_events(spark, sf_dir):
     return merging.merge_log(labelled(spark, sf_dir), COLOURS, LEAST)
 
+@query(QUERIES)
+def merge_regions_in_rounds(spark, sf_dir):
+    """The merged regions, for images whose regions no single task could hold."""
+    return parallel_merge.merge_small_regions(labelled(spark, sf_dir), COLOURS, LEAST, TILE)
+
+@query(QUERIES)
+def merge_events_in_rounds(spark, sf_dir):
+    """The merges in the queue's order, found in parallel rounds."""
+    return parallel_merge.merge_log(labelled(spark, sf_dir), COLOURS, LEAST, side=TILE)
+
 @query(QUERIES)
 def strategy_comparison(spark, sf_dir):
     """What each merge strategy makes of every image: one row per image and strategy."""
@@ -78,7 +110,7 @@ def labelability_pass(spark, sf_dir):
  SELECT image_id, block AS region_id, round(2 * sqrt(max(d)) * 0.25, 6) AS max_thickness_mm, 2 * sqrt(max(d)) * 0.25 < 1.6 AS is_thin FROM d GROUP BY ALL""")
 def max_thickness(spark, sf_dir):
     pixels = blocks(raster(spark, sf_dir)).withColumn("block", F.col("block").cast("long"))
-    out = regions.thickness(pixels, 0.25, 1.6, "block")
+    out = tiles.thickness(pixels, 0.25, 1.6, "block")
     return out.select("image_id", F.col("region_id").cast("int").alias("region_id"), F.round("max_thickness_mm", 6).alias("max_thickness_mm"), "is_thin")
 
 @query(QUERIES)
@@ -138,10 +170,18 @@ def superpixels_slic(spark, sf_dir):
 def superpixels_adaptive(spark, sf_dir):
     return pal.superpixels(_lab_pixels(spark, sf_dir), 60, 10.0, adaptive=True)
 
-@query(QUERIES)
+#: Distances up to 8, which no component of these rasters exceeds; a farther one would show as a difference.
+_PLACES_SQL = f"""{_components_sql(False).split(" r AS (SELECT label")[0]} named AS MATERIALIZED (SELECT px.*, label FROM px JOIN c USING (id)),
+ o AS (SELECT dx, dy FROM range(-8, 9) a(dx) CROSS JOIN range(-8, 9) b(dy)),
+ far AS MATERIALIZED (SELECT s.image_id, s.x, s.y, s.p, s.label, min(dx * dx + dy * dy) AS d FROM named s CROSS JOIN o LEFT JOIN named t ON t.image_id = s.image_id AND t.x = s.x + dx AND t.y = s.y + dy WHERE t.label IS DISTINCT FROM s.label GROUP BY ALL),
+ middle AS (SELECT image_id, label, avg(x) AS cx, avg(y) AS cy, max(d) AS most FROM far GROUP BY ALL),
+ best AS (SELECT f.image_id, f.label, any_value(f.p) AS p, any_value(most) AS most, min(struct_pack(o := (x - cx) * (x - cx) + (y - cy) * (y - cy), y := y, x := x)) AS b FROM far f JOIN middle m USING (image_id, label) WHERE f.d = most GROUP BY ALL)
+ SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY p, label) AS region_id, b.x + 0.5::DOUBLE AS x_px, b.y + 0.5::DOUBLE AS y_px, round(sqrt(most), 6) AS distance_px FROM best"""
+
+@query(QUERIES, _PLACES_SQL)
 def label_places(spark, sf_dir):
     """Each component's label place."""
-    return regions.label_anchors(labelled(spark, sf_dir))
+    return tiles.label_anchors(labelled(spark, sf_dir)).withColumn("distance_px", F.round("distance_px", 6))
 
 @query(QUERIES)
 def synthetic_scene(spark, sf_dir):

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
 from rasterloom.functions import polyline
-from rasterloom.operators import kernels
+from rasterloom.operators import kernels, tiles, tracing
 from rasterloom.operators.regions import to_dense
-from rasterloom.plans.common import Registry, query, raster, table
+from rasterloom.plans.common import Registry, query, raster, raster_sql, table
+from rasterloom.session import materialize
 
 QUERIES: Registry = {}
+TILE = 32
 _POINTS_SQL = "pts AS (SELECT vec_id, [{'x': round(embedding[2*i+1]::DOUBLE, 4), 'y': round(embedding[2*i+2]::DOUBLE, 4)} for i in range(0, 8)] AS p FROM embeddings)"
 _NEXT = "CASE WHEN i = len(p) THEN p[1] ELSE p[i+1] END"
 
@@ -144,52 +145,57 @@ def mask_contours(spark, sf_dir):
     return _per_image(raster(spark, sf_dir), run, "image_id int, loop_id long, points array<struct<x: double, y: double>>")
 
 
-def _gray(group: pd.DataFrame) -> np.ndarray:
-    return to_dense(group, "v")[0] / 255.0
+def _gray_pixels(spark, sf_dir):
+    return raster(spark, sf_dir).withColumn("v", F.col("v") / 255.0)
 
 
 @query(QUERIES)
 def bilateral_filter(spark, sf_dir):
-    """Two rounds of edge-preserving smoothing."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        soft = kernels.bilateral(kernels.bilateral(_gray(group), 0.055, 3.0), 0.08, 4.95)
-        return group[["image_id", "x", "y"]].assign(soft=soft[group["y"], group["x"]])
-
-    return _per_image(raster(spark, sf_dir), run, "image_id int, x int, y int, soft double")
+    """Two rounds of edge-preserving smoothing over tiles with margins."""
+    return tiles.bilateral(_gray_pixels(spark, sf_dir), ["v"], [(0.055, 3.0), (0.08, 4.95)], TILE).withColumnRenamed("soft_v", "soft")
 
 
 @query(QUERIES)
 def canny_edges(spark, sf_dir):
     """Fine and coarse edges."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        gray, at = _gray(group), (group["y"], group["x"])
-        return group[["image_id", "x", "y"]].assign(fine=kernels.canny(gray, 1.05, 0.045, 0.16)[at], coarse=kernels.canny(gray, 2.15, 0.035, 0.13)[at])
-
-    return _per_image(raster(spark, sf_dir), run, "image_id int, x int, y int, fine boolean, coarse boolean")
+    gray = _gray_pixels(spark, sf_dir)
+    fine, coarse = tiles.canny(gray, "v", 1.05, 0.045, 0.16, TILE, "fine"), tiles.canny(gray, "v", 2.15, 0.035, 0.13, TILE, "coarse")
+    return fine.join(coarse, ["image_id", "x", "y"])
 
 
 @query(QUERIES)
 def line_art(spark, sf_dir):
     """Thinned inner strokes away from region boundaries."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        labels, _ = to_dense(group.assign(b=group["x"] // 25), "b")
-        mask, _ = to_dense(group, "mask")
-        strokes = kernels.line_art(_gray(group), mask, None, labels, 0.65)
-        return group[["image_id", "x", "y"]].assign(stroke=strokes[group["y"], group["x"]])
-
-    return _per_image(raster(spark, sf_dir), run, "image_id int, x int, y int, stroke boolean")
+    return tiles.line_art(_gray_pixels(spark, sf_dir).withColumn("b", F.floor(F.col("x") / 25).cast("int")), "v", "mask", "b", TILE)
 
 
 @query(QUERIES)
 def skeleton_paths(spark, sf_dir):
     """Strokes of the thinned mask as polylines."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        mask, _ = to_dense(group, "mask")
-        lines = kernels.skeleton_paths(kernels.thin(mask))
-        return pd.DataFrame({"image_id": group["image_id"].iloc[0], "path_id": range(len(lines)), "points": [[{"x": x, "y": y} for x, y in q] for q in lines]})
-
-    return _per_image(raster(spark, sf_dir), run, "image_id int, path_id long, points array<struct<x: double, y: double>>")
+    thin = tiles.thinned(raster(spark, sf_dir), "mask", "thin", TILE)
+    return tracing.skeleton_lines(materialize(thin, "thin"), "thin")
+
+
+#: Chains from each end or junction by recursion over their way on; rings from their smallest node to its smaller neighbour.
+_TRACES_SQL = f"""WITH RECURSIVE {raster_sql(2)}, box AS (SELECT image_id, max(x) AS mx, max(y) AS my FROM raster GROUP BY image_id),
+ cells AS (SELECT r.image_id, r.x, r.y, r.p, mx, my, l.p AS lp, u.p AS up FROM raster r JOIN box USING (image_id) LEFT JOIN raster l ON l.image_id = r.image_id AND l.x = r.x - 1 AND l.y = r.y LEFT JOIN raster u ON u.image_id = r.image_id AND u.x = r.x AND u.y = r.y - 1),
+ edges AS MATERIALIZED (SELECT image_id, x * 1000 + y AS a, x * 1000 + y + 1 AS b FROM cells WHERE lp IS DISTINCT FROM p UNION ALL SELECT image_id, (x + 1) * 1000 + y, (x + 1) * 1000 + y + 1 FROM cells WHERE x = mx
+  UNION ALL SELECT image_id, x * 1000 + y, (x + 1) * 1000 + y FROM cells WHERE up IS DISTINCT FROM p UNION ALL SELECT image_id, x * 1000 + y + 1, (x + 1) * 1000 + y + 1 FROM cells WHERE y = my),
+ darts AS MATERIALIZED (SELECT image_id, a, b FROM edges UNION ALL SELECT image_id, b, a FROM edges),
+ nodes AS MATERIALIZED (SELECT image_id, a AS node, count(*) AS degree, min(b) AS low, max(b) AS high FROM darts GROUP BY ALL),
+ walk(image_id, ring, start, second, before, here, pos) AS (
+  SELECT d.image_id, n.degree = 2, d.a, d.b, d.a, d.b, 1 FROM darts d JOIN nodes n ON n.image_id = d.image_id AND n.node = d.a WHERE n.degree <> 2 OR (d.b = n.low AND d.b > d.a)
+  UNION ALL SELECT w.image_id, ring, start, second, here, CASE WHEN before = low THEN high ELSE low END, pos + 1 FROM walk w JOIN nodes n ON n.image_id = w.image_id AND n.node = w.here WHERE n.degree = 2 AND w.here <> w.start AND (NOT ring OR w.here > w.start)),
+ ended AS (SELECT w.* FROM walk w JOIN nodes n ON n.image_id = w.image_id AND n.node = w.here WHERE CASE WHEN ring THEN w.here = w.start ELSE n.degree <> 2 END),
+ kept AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY ring, start, second) - 1 AS path_id FROM ended WHERE ring OR start < here OR (start = here AND second <= before)),
+ spots AS (SELECT k.image_id, k.path_id, w.pos, w.here AS node FROM kept k JOIN walk w ON w.image_id = k.image_id AND w.start = k.start AND w.second = k.second AND w.ring = k.ring AND w.pos <= k.pos UNION ALL SELECT image_id, path_id, 0, start FROM kept)
+ SELECT image_id, path_id, count(*) AS n, arg_min(node, pos) = arg_max(node, pos) AS closed, CAST(sum(pos * (node // 1000)) AS BIGINT) AS sx, CAST(sum(pos * (node % 1000)) AS BIGINT) AS sy FROM spots GROUP BY image_id, path_id"""
+
+
+@query(QUERIES, _TRACES_SQL)
+def boundary_traces(spark, sf_dir):
+    """Boundary lines by list ranking: points, whether closed, and sums that depend on the points' order."""
+    traced = tracing.trace(tracing.boundary_edges(raster(spark, sf_dir, 2), "p"))
+    ends = F.min_by("node", "position") == F.max_by("node", "position")
+    weighted = lambda c: F.sum(F.col("position") * c)
+    return traced.groupBy("image_id", "path_id").agg(F.count(F.lit(1)).alias("n"), ends.alias("closed"), weighted(tracing.first_of("node")).alias("sx"), weighted(tracing.second_of("node")).alias("sy"))
