@@ -560,6 +560,37 @@ def mask_contours(mask: np.ndarray) -> list[list[Point]]:
     return [[(px - 0.5, py - 0.5) for px, py in path] for path in trace([((float(p[0]), float(p[1])), (float(q[0]), float(q[1]))) for p, q in edges]) if len(path) >= 4]
 
 
+def ring_area(ring: list[Point]) -> float:
+    """The signed area of a closed line."""
+    p = np.array(ring, float)
+    return float((p[:-1, 0] * p[1:, 1] - p[1:, 0] * p[:-1, 1]).sum() / 2)
+
+
+def surrounds(ring: list[Point], point: Point) -> bool:
+    """Whether a closed line goes round a point that is not on it."""
+    p, (x, y) = np.array(ring, float), point
+    (x0, y0), (x1, y1) = p[:-1].T, p[1:].T
+    crossed = (y0 > y) != (y1 > y)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        at = x0 + (y - y0) * (x1 - x0) / (y1 - y0)
+    return bool((crossed & (at > x)).sum() % 2)
+
+
+def nest_rings(rings: list[list[Point]]) -> list[tuple[int, int]]:
+    """For closed lines that do not cross: the number of the closest one around each (-1: none) and how many are around it; those at odd depth are holes."""
+    if not rings:
+        return []
+    size = np.array([abs(ring_area(r)) for r in rings])
+    low, high = np.array([np.min(r, axis=0) for r in rings]), np.array([np.max(r, axis=0) for r in rings])
+    out = []
+    for i, ring in enumerate(rings):
+        # only larger ones whose box holds this one's can be around it
+        near = np.flatnonzero((size > size[i]) & (low <= low[i]).all(axis=1) & (high >= high[i]).all(axis=1)).tolist()
+        around = [j for j in near if surrounds(rings[j], ring[0])]
+        out.append((min(around, key=size.__getitem__) if around else -1, len(around)))
+    return out
+
+
 # --- superpixels ----------------------------------------------------------------------------------------------------
 
 

@@ -66,16 +66,6 @@ def lloyd_step(points: DataFrame, centres: DataFrame, size: int) -> DataFrame:
     return centres.join(F.broadcast(means), "centre", "left").select("centre", F.coalesce("mean", "c").alias("c"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def fit_kmeans(points: DataFrame, k: int, size: int, rounds: int = 10, sample: int = 100_000) -> DataFrame:
-    """Lloyd's iteration from the first ``k`` distinct vectors by hash, on at most ``sample`` vectors."""
-    some = materialize(points.select("v").orderBy(F.xxhash64("v")).limit(sample), "kmeans-sample")
-    seeds = some.distinct().orderBy(F.xxhash64("v"), "v").limit(k).collect()
-    centres = points.sparkSession.createDataFrame([(i, [float(x) for x in r["v"]]) for i, r in enumerate(seeds)], "centre int, c array<double>")
-    for _ in range(rounds):
-        centres = points.sparkSession.createDataFrame(lloyd_step(some, centres, size).select("centre", "c").collect(), "centre int, c array<double>")
-    return centres
-
-
 def cleaned(palette: DataFrame, threshold: float, least: int) -> DataFrame:
     """palette_index, new_index and the joined colour of every palette row (columns l, a, b, pixels), per image."""
 

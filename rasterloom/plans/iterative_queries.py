@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from rasterloom.functions import color
-from rasterloom.operators import merging, parallel_merge, regions, tiles
+from rasterloom.operators import kmeans, merging, parallel_merge, regions, tiles
 from rasterloom.operators import palette as pal
 
 from rasterloom.plans.common import Registry, blocks, query, raster, raster_sql, table
@@ -152,10 +152,10 @@ def kmeans_lloyd_step(spark, sf_dir):
 
 @query(QUERIES)
 def kmeans_fit(spark, sf_dir):
-    """Eight colours fitted to the parts' colours."""
+    """Eight colours fitted to the parts' colours: the best of ten starts."""
     rgb = color.key_rgb(F.col("p_partkey"))
     points = table(spark, sf_dir, "part").select(F.array(*color.rgb_to_lab(*rgb)).alias("v"))
-    return pal.fit_kmeans(points, 8, 3, rounds=5)
+    return kmeans.fit_centres(points, 8, 3).select("centre", "c")
 
 def _lab_pixels(spark, sf_dir):
     r, g, b = (F.col(c) for c in "rgb")
@@ -183,39 +183,43 @@ def label_places(spark, sf_dir):
     """Each component's label place."""
     return tiles.label_anchors(labelled(spark, sf_dir)).withColumn("distance_px", F.round("distance_px", 6))
 
+def _colour_pixels(spark, sf_dir):
+    """Every events raster as a colour image: fields by place, shaded by what happened there."""
+    shade, field = F.col("v") % 24, F.floor(F.col("x") / 25) + 4 * F.floor(F.col("y") / 25)
+    rgb = {c: F.least(F.lit(255), (field * k) % 200 + shade).cast("int") for c, k in zip("rgb", (53, 97, 151))}
+    return raster(spark, sf_dir).select(F.col("image_id").cast("string").alias("image_id"), "x", "y", *[v.alias(c) for c, v in rgb.items()])
+
 @query(QUERIES)
 def synthetic_scene(spark, sf_dir):
-    """Drawn test images, as pixels."""
-    from rasterloom.sources.scenes import scenes
-
-    return scenes(spark)
+    """A drawn scene for every nation, moved by its key: one row per pixel."""
+    from rasterloom.sources.scenes import SCENES, scenes
 
+    names = [n for n in SCENES if n != "demo"]
+    kind = F.element_at(F.array(*map(F.lit, names)), (F.col("n_nationkey") % len(names) + 1).cast("int"))
+    drawn = scenes(spark, tuple(names)).withColumnRenamed("image_id", "scene")
+    shade = lambda c: F.greatest(F.lit(0), F.col(c) - F.col("n_nationkey")).cast("int").alias(c)
+    return table(spark, sf_dir, "nation").withColumn("scene", kind).join(drawn, "scene").select(F.concat("scene", F.lit("-"), "n_nationkey").alias("image_id"), "x", "y", *map(shade, "rgb"))
 
 @query(QUERIES)
 def sheet_strategies(spark, sf_dir):
-    """The drawn scenes segmented once and merged by every strategy."""
+    """Every raster segmented once and merged by every strategy."""
     from rasterloom.plans.config import Config
     from rasterloom.plans.sheets import compare_strategies
-    from rasterloom.sources.scenes import scenes
-
-    return compare_strategies(scenes(spark), Config(superpixels=300)).drop("duration_ms")
 
+    return compare_strategies(_colour_pixels(spark, sf_dir), Config(superpixels=300)).drop("duration_ms")
 
 @query(QUERIES)
 def quality_profiles(spark, sf_dir):
-    """The quality gate's metrics of the drawn scenes under its two profiles."""
+    """The quality gate's metrics of every raster under its two profiles."""
     from rasterloom.plans.config import Config
     from rasterloom.plans.sheets import quality_metrics
-    from rasterloom.sources.scenes import scenes
-
-    return quality_metrics(scenes(spark), Config(colors=8, max_side=320, sample_pixels=30000, superpixels=180, min_region_area_mm2=6.0, palette_layout="separate"))
 
+    return quality_metrics(_colour_pixels(spark, sf_dir), Config(colors=8, max_side=320, sample_pixels=30000, superpixels=180, min_region_area_mm2=6.0, palette_layout="separate"))
 
 @query(QUERIES)
 def sheet_stats(spark, sf_dir):
-    """Whole sheets of the drawn scenes, as reports."""
+    """Whole sheets of every raster, as reports."""
     from rasterloom.plans.config import Config
     from rasterloom.plans.sheets import sheets, stats
-    from rasterloom.sources.scenes import scenes
 
-    return stats(sheets(scenes(spark), Config(superpixels=300)))
+    return stats(sheets(_colour_pixels(spark, sf_dir), Config(superpixels=300)))

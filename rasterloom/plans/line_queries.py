@@ -145,6 +145,19 @@ def mask_contours(spark, sf_dir):
     return _per_image(raster(spark, sf_dir), run, "image_id int, loop_id long, points array<struct<x: double, y: double>>")
 
 
+@query(QUERIES)
+def contour_nesting(spark, sf_dir):
+    """Every contour's closest surrounding one and depth; those at odd depth are holes."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        mask, _ = to_dense(group, "mask")
+        loops = kernels.mask_contours(mask)
+        parents, depths = zip(*kernels.nest_rings(loops)) if loops else ((), ())
+        return pd.DataFrame({"image_id": group["image_id"].iloc[0], "loop_id": range(len(loops)), "parent": parents, "depth": depths, "hole": [d % 2 == 1 for d in depths], "area": [abs(kernels.ring_area(q)) for q in loops]})
+
+    return _per_image(raster(spark, sf_dir), run, "image_id int, loop_id long, parent long, depth long, hole boolean, area double")
+
+
 def _gray_pixels(spark, sf_dir):
     return raster(spark, sf_dir).withColumn("v", F.col("v") / 255.0)
 

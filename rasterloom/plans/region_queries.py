@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rasterloom.operators import grid, merging, regions
+from rasterloom.operators import grid, merging, regions, resample
 from rasterloom.operators import palette as pal
 from rasterloom.plans.common import CROSS_STEPS, SQUARE_STEPS, Registry, blocks, near_sql, pairs_sql, query, raster, raster_sql, rounded, table
 from rasterloom.plans.sheet_queries import _REGIONS_SQL, customer_regions
@@ -161,6 +161,30 @@ def resize_nearest(spark, sf_dir):
     return grid.resize_nearest(raster(spark, sf_dir).select(*_XY, "v"), 100, 100, 40, 40).select("image_id", "x", "y", "v")
 
 
+def _resized_sql(curve: str, support: int, width: int, height: int) -> str:
+    weights = lambda name, axis, new: f"""{name} AS MATERIALIZED (SELECT image_id, n, o, w / sum(w) OVER (PARTITION BY image_id, n) AS w FROM (SELECT image_id, n, o, {curve} AS w FROM (
+  SELECT image_id, n, o, (o - centre + 0.5) / wide AS t FROM (SELECT *, unnest(range(CAST(greatest(0, trunc(centre - {support} * wide + 0.5)) AS BIGINT), CAST(least(old, trunc(centre + {support} * wide + 0.5)) AS BIGINT))) AS o FROM (
+  SELECT image_id, n, old, (n + 0.5) * old / {new} AS centre, greatest(old / {new}::DOUBLE, 1.0) AS wide FROM (SELECT image_id, max({axis}) + 1 AS old FROM raster GROUP BY image_id), range({new}) r(n))))))"""
+    return f"""WITH {raster_sql()}, {weights('wx', 'x', width)}, {weights('wy', 'y', height)},
+ across AS MATERIALIZED (SELECT r.image_id, r.y, wx.n AS x, sum(r.v * w) AS v FROM raster r JOIN wx ON wx.image_id = r.image_id AND wx.o = r.x GROUP BY ALL)
+ SELECT a.image_id, CAST(a.x AS INTEGER) AS x, CAST(wy.n AS INTEGER) AS y, round(sum(a.v * w), 4) AS v FROM across a JOIN wy ON wy.image_id = a.image_id AND wy.o = a.y GROUP BY ALL"""
+
+
+_SINC = "(CASE WHEN {0} = 0 THEN 1.0 ELSE sin(pi() * {0}) / (pi() * {0}) END)"
+
+
+@query(QUERIES, _resized_sql(f"CASE WHEN abs(t) < 3 THEN {_SINC.format('t')} * {_SINC.format('(t / 3)')} ELSE 0.0 END", 3, 61, 37))
+def resize_lanczos(spark, sf_dir):
+    """Every raster made smaller by a windowed sinc."""
+    return resample.resized(raster(spark, sf_dir), "v", 61, 37, "lanczos").withColumn("v", F.round("v", 4))
+
+
+@query(QUERIES, _resized_sql("greatest(0.0, 1.0 - abs(t))", 1, 130, 40))
+def resize_triangle(spark, sf_dir):
+    """Every raster made wider and lower by linear weights."""
+    return resample.resized(raster(spark, sf_dir), "v", 130, 40, "triangle").withColumn("v", F.round("v", 4))
+
+
 # --- windows and joins ----------------------------------------------------------------------------------------------
 
 

@@ -8,7 +8,8 @@ from rasterloom.functions import sheet
 from rasterloom.operators import regions
 from rasterloom.plans.config import violations
 from rasterloom.plans.common import Registry, query, rounded, table
-from rasterloom.sources import sinks
+from rasterloom.session import scratch_path
+from rasterloom.sources import inserts, sinks
 from rasterloom.sources.images import decode_data_url
 
 QUERIES: Registry = {}
@@ -211,3 +212,10 @@ def notes_insert(spark, sf_dir):
     """Rows that an insert returns: titles must not be blank."""
     rows = table(spark, sf_dir, "conversations")
     return rows.select("conv_id", "turn", F.trim("text").alias("title"), F.lit("").alias("content")).where("length(title) > 0")
+
+
+@query(QUERIES, "SELECT conv_id, turn, role, trim(text) AS title, '' AS content, 1099511627776 + row_number() OVER (ORDER BY conv_id, turn, role, trim(text)) AS id FROM conversations WHERE length(trim(text)) > 0")
+def notes_returning(spark, sf_dir):
+    """Every message inserted into a fresh table as a note; the rows that the insert gives back, with their ids."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.col("text").alias("title"), F.lit("").alias("content"))
+    return inserts.insert(rows, scratch_path(spark, "notes"), "first", ["conv_id", "turn", "role", "title"])

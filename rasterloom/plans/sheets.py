@@ -300,6 +300,9 @@ def make_sheet(rgb: np.ndarray, config: Config, subject: np.ndarray | None = Non
     if config.line_art_enabled:
         strokes = k.line_art(made.unit @ np.array([0.2125, 0.7154, 0.0721]), subject, detail, ids, config.line_art_detail)
         lines += [(k.simplify(line, max(0.25, 0.55 * profile["simplify_tolerance_px"])), "#666", profile["line_width_mm"] * 0.7) for line in k.skeleton_paths(strokes)]
+    if subject is not None:
+        outlines = [k.simplify(smoothed(ring, profile), profile["simplify_tolerance_px"]) for ring in k.mask_contours(subject)]
+        lines += [(ring, "black", profile["line_width_mm"] * 1.55) for ring in outlines if len(ring) >= 4]
     path = lambda line: "M " + " L ".join(f"{left + x * scale:.3f} {top + y * scale:.3f}" for x, y in line)
     svg = sinks.svg_sheet(page_w, page_h, config.title, [(path(p), c, w) for p, c, w in lines], [(left + r["x_px"] * scale, top + r["y_px"] * scale, r["font_size_mm"], str(r["number"])) for r in labels if r["status"] == "placed"])
     after = np.array([0, *(classes[i] for i in range(1, len(classes) + 1))])[ids]
@@ -308,8 +311,11 @@ def make_sheet(rgb: np.ndarray, config: Config, subject: np.ndarray | None = Non
     shown = np.array([[int(c["hex"][i : i + 2], 16) for i in (1, 3, 5)] for c in palette])
     line = k.boundary(ids)[..., None]
     blank = np.where(line, 40, np.where(strokes[..., None], 102, 255)) * np.ones(3, int)
+    placed = [r for r in labels if r["status"] == "placed"]
+    numbered = sinks.draw_numbers(blank, [(r["x_px"], r["y_px"], r["font_size_mm"] / scale, str(r["number"])) for r in placed])
+    on_sheet = sinks.Page(blank, (left, top, width * scale, height * scale), tuple((left + r["x_px"] * scale, top + r["y_px"] * scale, r["font_size_mm"], str(r["number"])) for r in placed))
     drawn = {
-        "normalised": np.rint(rgb), "quantised": shown[made.quantised], "segmented": shown[made.labels], "merged": shown[after], "model": np.where(line, 40, shown[after]), "coloring": blank, "contours": np.where(line, 0, 255) * np.ones(3, int),
+        "normalised": np.rint(rgb), "quantised": shown[made.quantised], "segmented": shown[made.labels], "merged": shown[after], "model": np.where(line, 40, shown[after]), "coloring": numbered, "contours": np.where(line, 0, 255) * np.ones(3, int),
         "regions_before": preview(made.ids), "regions_after": preview(ids), "line_art": np.where(strokes[..., None], 0, 255) * np.ones(3, int), "palette_page": palette_page(shown, page_w / page_h),
     }
     if subject is not None:
@@ -320,7 +326,7 @@ def make_sheet(rgb: np.ndarray, config: Config, subject: np.ndarray | None = Non
         "width": width, "height": height, "mm_per_pixel": scale, "recolored_pixels": int((made.labels != after).sum()), "line_art_pixels": int(strokes.sum()), "palette": palette,
         "regions_before": region_rows(made.ids, made.classes, least, config, scale, subject), "regions": region_rows(ids, classes, least, config, scale, subject, far), "adjacency_before": edge_rows(made.ids, made.classes, made.colours), "adjacency": edge_rows(ids, classes, made.colours),
         "labels": labels, "merges": [m._asdict() for m in log], "rendering": profile, "region_before": made.ids.ravel().astype(np.int32), "region_after": ids.ravel().astype(np.int32), "svg": svg, "palette_svg": palette_sheet(palette, config, page_w, page_h),
-        "images": {name: sinks.png(image) for name, image in drawn.items()}, "pdf": sinks.pdf([on_page(blank, page_w / page_h), drawn["palette_page"]], page_w, page_h),
+        "images": {name: sinks.png(image) for name, image in drawn.items()}, "pdf": sinks.pdf([on_sheet, drawn["palette_page"]], page_w, page_h),
     }
 
 

@@ -14,7 +14,6 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.functions import sheet
-from rasterloom.operators import grid
 from rasterloom.operators.kernels import mask_overlay
 from rasterloom.plans.config import Config
 from rasterloom.plans.sheets import sheets, stats
@@ -24,6 +23,8 @@ from rasterloom.sources.sinks import png
 
 MOST_BODY = 64 * 1024 * 1024
 MOST_IMAGE = 40 * 1024 * 1024
+#: Uploaded masks are read up to this side before they are brought to the image's size.
+MOST_MASK_SIDE = 4096
 
 
 class RequestError(ValueError):
@@ -77,11 +78,13 @@ def _detail(spark: SparkSession, body: dict, width: int, height: int):
     return zones.fill_polygon(each.where("mode = 'outline'"), width, height).unionByName(zones.rasterize(each.where("mode <> 'outline' or size(points) < 3"), width, height)).distinct()
 
 
-def _sized_mask(spark: SparkSession, raw: bytes, width: int, height: int, threshold: int):
-    """An uploaded mask in the image's size."""
-    mask = images.mask_of(_pixels(spark, raw, max(width, height)), threshold).persist()
-    size = mask.agg(F.max("x").alias("x"), F.max("y").alias("y")).first()
-    return grid.resize_nearest(mask, size["x"] + 1, size["y"] + 1, width, height).select("x", "y", F.col("mask").alias("subject"))
+def _subject(spark: SparkSession, raw: bytes, width: int, height: int, threshold: int):
+    """The pixels of an uploaded mask in the image's size; masks of almost nothing or almost everything are refused."""
+    found = materialize(images.sized_mask(_pixels(spark, raw, MOST_MASK_SIDE), width, height, threshold), "subject")
+    cover = images.coverage(found.withColumnRenamed("subject", "mask")).first()
+    if not cover["accepted"]:
+        raise RequestError(f"the mask covers {cover['coverage']:.1f} % of the image")
+    return found.select("x", "y", "subject")
 
 
 def generate(spark: SparkSession, body: dict) -> dict:
@@ -89,11 +92,14 @@ def generate(spark: SparkSession, body: dict) -> dict:
     pixels = materialize(_pixels(spark, decode_url((body.get("image") or {}).get("dataUrl")), config.max_side), "pixels")
     size = pixels.select("width", "height").first()
     if body.get("subjectMaskImage"):
-        mask = _sized_mask(spark, decode_url(body["subjectMaskImage"]), size["width"], size["height"], config.mask_threshold)
+        mask = _subject(spark, decode_url(body["subjectMaskImage"]), size["width"], size["height"], config.mask_threshold)
         pixels = pixels.join(mask, ["x", "y"], "left").na.fill(False, ["subject"])
         config = replace(config, subject_mode="manual").checked()
     if body.get("detailZones"):
-        inside = _detail(spark, body, size["width"], size["height"])
+        inside = materialize(_detail(spark, body, size["width"], size["height"]), "detail")
+        cover = 100.0 * inside.count() / (size["width"] * size["height"])
+        if not images.DETAIL_COVERAGE[0] < cover <= images.DETAIL_COVERAGE[1]:
+            raise RequestError(f"the detail zones cover {cover:.1f} % of the image")
         pixels = pixels.join(inside.withColumn("detail", F.lit(True)), ["x", "y"], "left").na.fill(False, ["detail"])
     made = materialize(sheets(pixels, config), "sheets")
     sheet, report = made.first(), stats(made, config).select(F.to_json(F.struct("*"))).first()[0]
@@ -105,9 +111,14 @@ def generate(spark: SparkSession, body: dict) -> dict:
     }
 
 
+def _side(asked: object) -> int:
+    """The longer side that a request asks for, within bounds."""
+    return int(min(2400, max(256, asked))) if isinstance(asked, (int, float)) and math.isfinite(asked) else 1200
+
+
 def mask(spark: SparkSession, body: dict) -> dict:
     """The subject mask, its control image and its coverage; one out of range falls back to the whole image."""
-    pixels = materialize(_pixels(spark, decode_url((body.get("image") or {}).get("dataUrl")), int(body.get("maxSide") or 1200)), "pixels")
+    pixels = materialize(_pixels(spark, decode_url((body.get("image") or {}).get("dataUrl")), _side(body.get("maxSide"))), "pixels")
     masks = images.mask_of(pixels)
     found = images.coverage(masks).first()
     rgb = (pixels.select("image_id", "x", "y", "r", "g", "b").join(masks, ["image_id", "x", "y"])).toPandas()

@@ -13,6 +13,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rasterloom.operators.resample import resize, resized
+from rasterloom.operators.tiles import cleaned
+from rasterloom.session import materialize
+
 PIXEL = "image_id string, x int, y int, r int, g int, b int, alpha int, width int, height int"
 COVERAGE = (0.5, 98.5)
 DETAIL_COVERAGE = (0.0, 95.0)
@@ -24,19 +28,6 @@ def scaled_size(width: int, height: int, max_side: int) -> tuple[int, int]:
     return max(1, round(width * scale)), max(1, round(height * scale))
 
 
-def area_average(image: np.ndarray, width: int, height: int) -> np.ndarray:
-    """Downscale by the mean of each new pixel's area, separably."""
-    for axis, new in ((0, height), (1, width)):
-        old = image.shape[axis]
-        edges = np.linspace(0, old, new + 1)
-        total = np.concatenate([np.zeros_like(np.take(image, [0], axis)), np.cumsum(image, axis)], axis)
-        low = np.minimum(edges.astype(int), old - 1)
-        shape = [-1 if a == axis else 1 for a in range(image.ndim)]
-        at = np.take(total, low, axis) + np.take(image, low, axis) * (edges - low).reshape(shape)
-        image = np.diff(at, axis=axis) / (old / new)
-    return image
-
-
 def decode_rows(rows: pd.DataFrame, max_side: int) -> Iterator[pd.DataFrame]:
     """Pixels of decoded images (Spark's image struct, blue first), transparent parts over white."""
     for image in rows["image"]:
@@ -45,8 +36,7 @@ def decode_rows(rows: pd.DataFrame, max_side: int) -> Iterator[pd.DataFrame]:
         rgb = data[..., :3][..., ::-1] if data.shape[-1] >= 3 else np.repeat(data[..., :1], 3, axis=-1)
         rgb = rgb * (alpha / 255.0) + 255.0 * (1 - alpha / 255.0)
         width, height = scaled_size(image["width"], image["height"], max_side)
-        both = area_average(np.concatenate([rgb, alpha], axis=-1), width, height)
-        both = np.clip(np.rint(both), 0, 255).astype(int)
+        both = resize(np.rint(np.concatenate([rgb, alpha], axis=-1)), width, height, "lanczos").astype(int)
         yy, xx = np.mgrid[:height, :width]
         yield pd.DataFrame({"image_id": image["origin"], "x": xx.ravel(), "y": yy.ravel(), "r": both[..., 0].ravel(), "g": both[..., 1].ravel(), "b": both[..., 2].ravel(), "alpha": both[..., 3].ravel(), "width": width, "height": height})
 
@@ -62,12 +52,23 @@ def read_pixels(spark: SparkSession, path: str, max_side: int = 1200) -> DataFra
     return images.mapInPandas(run, PIXEL)
 
 
-def mask_of(pixels: DataFrame, threshold: int = 128, alpha_always: bool = False) -> DataFrame:
-    """A mask per image: from alpha where an image has any transparency (or always), else from its brightness."""
+def mask_values(pixels: DataFrame, alpha_always: bool = False) -> DataFrame:
+    """image_id, x, y and value: alpha where an image has any transparency (or always), else brightness."""
     gray = F.floor((F.col("r") * 299 + F.col("g") * 587 + F.col("b") * 114) / 1000)
     clear = pixels.groupBy("image_id").agg((F.min("alpha") < 255).alias("clear"))
     use_alpha = F.lit(True) if alpha_always else F.col("clear")
-    return pixels.join(clear, "image_id").select("image_id", "x", "y", (F.when(use_alpha, F.col("alpha")).otherwise(gray) >= threshold).alias("mask"))
+    return pixels.join(clear, "image_id").select("image_id", "x", "y", F.when(use_alpha, F.col("alpha")).otherwise(gray).alias("value"))
+
+
+def mask_of(pixels: DataFrame, threshold: int = 128, alpha_always: bool = False) -> DataFrame:
+    """A mask per image: the values of at least ``threshold``."""
+    return mask_values(pixels, alpha_always).select("image_id", "x", "y", (F.col("value") >= threshold).alias("mask"))
+
+
+def sized_mask(pixels: DataFrame, width: int, height: int, threshold: int = 128) -> DataFrame:
+    """Masks in another size: values resized by linear weights, cut at ``threshold``, closed, filled and without small components."""
+    sized = resized(mask_values(pixels), "value", width, height, "triangle")
+    return cleaned(materialize(sized.select("image_id", "x", "y", (F.floor(F.col("value") + 0.5) >= threshold).alias("mask")), "sized-mask"), "mask", "subject")
 
 
 def coverage(masks: DataFrame, limits: tuple[float, float] = COVERAGE) -> DataFrame:

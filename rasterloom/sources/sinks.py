@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 import zlib
 from html import escape
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -47,18 +48,34 @@ def png(image: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", header) + chunk(b"IDAT", zlib.compress(raw, 6)) + chunk(b"IEND", b"")
 
 
-def pdf(pages: list[np.ndarray], width_mm: float, height_mm: float) -> bytes:
-    """RGB page images as a PDF, one full page each."""
-    w, h = (v / 25.4 * 72 for v in (width_mm, height_mm))
-    objects: list[bytes] = [b"<< /Type /Catalog /Pages 2 0 R >>", b""]
+class Page(NamedTuple):
+    """A PDF page: an image, where it lies (left, top, width, height in millimetres; the whole page if None) and numbers (x, y, size, text)."""
+
+    image: np.ndarray
+    box: tuple[float, float, float, float] | None = None
+    numbers: tuple[tuple[float, float, float, str], ...] = ()
+
+
+def pdf(pages: list[np.ndarray | Page], width_mm: float, height_mm: float) -> bytes:
+    """RGB page images as a PDF, with numbers as text; x, y are a number's middle, from the page's upper left."""
+    points = lambda mm: mm / 25.4 * 72
+    w, h = points(width_mm), points(height_mm)
+    objects: list[bytes] = [b"<< /Type /Catalog /Pages 2 0 R >>", b"", b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica >>"]
     kids = []
     for page in pages:
-        data, content = zlib.compress(np.ascontiguousarray(page, np.uint8).tobytes()), f"q {w:.3f} 0 0 {h:.3f} 0 0 cm /I Do Q".encode()
+        image, box, numbers = page if isinstance(page, Page) else Page(page)
+        left, top, wide, high = map(points, box or (0.0, 0.0, width_mm, height_mm))
+        lines = [f"q {wide:.3f} 0 0 {high:.3f} {left:.3f} {h - top - high:.3f} cm /I Do Q"]
+        for x, y, size, text in numbers:
+            # digits of this font are 0.556 wide and 0.7 high
+            s = points(size)
+            lines.append(f"BT 0.13 g /F {s:.3f} Tf {points(x) - 0.278 * s * len(text):.3f} {h - points(y) - 0.35 * s:.3f} Td ({text}) Tj ET")
+        data, content = zlib.compress(np.ascontiguousarray(image, np.uint8).tobytes()), "\n".join(lines).encode()
         n = len(objects) + 1
         kids.append(f"{n + 2} 0 R")
-        objects.append(f"<< /Type /XObject /Subtype /Image /Width {page.shape[1]} /Height {page.shape[0]} /ColorSpace /DeviceRGB /BitsPerComponent 8 /Filter /FlateDecode /Length {len(data)} >>\nstream\n".encode() + data + b"\nendstream")
+        objects.append(f"<< /Type /XObject /Subtype /Image /Width {image.shape[1]} /Height {image.shape[0]} /ColorSpace /DeviceRGB /BitsPerComponent 8 /Filter /FlateDecode /Length {len(data)} >>\nstream\n".encode() + data + b"\nendstream")
         objects.append(f"<< /Length {len(content)} >>\nstream\n".encode() + content + b"\nendstream")
-        objects.append(f"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 {w:.3f} {h:.3f}] /Contents {n + 1} 0 R /Resources << /XObject << /I {n} 0 R >> >> >>".encode())
+        objects.append(f"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 {w:.3f} {h:.3f}] /Contents {n + 1} 0 R /Resources << /XObject << /I {n} 0 R >> /Font << /F 3 0 R >> >> >>".encode())
     objects[1] = f"<< /Type /Pages /Kids [{' '.join(kids)}] /Count {len(kids)} >>".encode()
     out, places = bytearray(b"%PDF-1.4\n"), []
     for i, body in enumerate(objects, 1):
@@ -68,6 +85,43 @@ def pdf(pages: list[np.ndarray], width_mm: float, height_mm: float) -> bytes:
     return bytes(out) + f"xref\n0 {len(objects) + 1}\n0000000000 65535 f \n{table}trailer\n<< /Size {len(objects) + 1} /Root 1 0 R >>\nstartxref\n{len(out)}\n%%EOF\n".encode()
 
 
+#: The bars of a digit: top, upper left, upper right, middle, lower left, lower right, bottom.
+_BARS = {"0": "1110111", "1": "0010010", "2": "1011101", "3": "1011011", "4": "0111010", "5": "1101011", "6": "1101111", "7": "1010010", "8": "1111111", "9": "1111011"}
+
+
+def _digit(text: str, wide: int, high: int, bar: int) -> np.ndarray:
+    out = np.zeros((high, wide), bool)
+    middle, on = (high - bar) // 2, [b == "1" for b in _BARS[text]]
+    for lit, rows, columns in (
+        (on[0], slice(0, bar), slice(None)), (on[1], slice(0, middle + bar), slice(0, bar)), (on[2], slice(0, middle + bar), slice(wide - bar, wide)), (on[3], slice(middle, middle + bar), slice(None)),
+        (on[4], slice(middle, high), slice(0, bar)), (on[5], slice(middle, high), slice(wide - bar, wide)), (on[6], slice(high - bar, high), slice(None)),
+    ):
+        out[rows, columns] |= lit
+    return out
+
+
+def number_mask(number: str, size: float) -> np.ndarray:
+    """A number drawn with bars, about as high as ``size`` pixels are for a font, no less than five."""
+    high = max(5, round(0.72 * size))
+    bar = max(1, high // 7)
+    wide, gap = max(3, round(0.6 * high)), max(1, bar)
+    parts = [_digit(c, wide, high, bar) for c in number]
+    return np.concatenate([p for part in parts for p in (np.zeros((high, gap), bool), part)][1:], axis=1)
+
+
+def draw_numbers(image: np.ndarray, numbers: list[tuple[float, float, float, str]], ink: int = 34) -> np.ndarray:
+    """The image with numbers (x, y, size, text in pixels), each around its middle and cut off at the border."""
+    out = image.copy()
+    for x, y, size, text in numbers:
+        drawn = number_mask(text, size)
+        top, left = round(y - drawn.shape[0] / 2), round(x - drawn.shape[1] / 2)
+        rows, columns = np.nonzero(drawn)
+        rows, columns = rows + top, columns + left
+        inside = (rows >= 0) & (rows < out.shape[0]) & (columns >= 0) & (columns < out.shape[1])
+        out[rows[inside], columns[inside]] = ink
+    return out
+
+
 def encode_png(pixels: DataFrame) -> DataFrame:
     """image_id and the PNG of every image of a pixel table (columns r, g, b)."""
 
