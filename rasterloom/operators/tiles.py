@@ -279,19 +279,19 @@ def filled(pixels: DataFrame, mask: str = "mask", out: str = "filled", side: int
 # --- distances ------------------------------------------------------------------------------------------------------
 
 
-def _to_other(axis: str, across: str, label: str) -> tuple[list[Column], Column]:
-    """Along an axis: whether a run of equal labels begins or ends here, and the steps to the nearest place behind its ends."""
-    ahead, back = (Window.partitionBy("image_id", across).orderBy(F.col(axis).asc() if up else F.col(axis).desc()) for up in (True, False))
-    edge = lambda w, step: F.coalesce((F.lag(label).over(w) != F.col(label)) | (F.lag(axis).over(w) != F.col(axis) + step), F.lit(True))
-    marks = [edge(ahead, -1).alias("_first"), edge(back, 1).alias("_last")]
-    start = F.max(F.when(F.col("_first"), F.col(axis))).over(ahead)
-    end = F.min(F.when(F.col("_last"), F.col(axis))).over(back)
-    return marks, F.least(F.col(axis) - start + 1, end - F.col(axis) + 1).cast("long")
-
-
-@F.pandas_udf(ArrayType(LongType()))
-def _envelopes(places: pd.Series, steps: pd.Series, runs: pd.Series) -> pd.Series:
-    """Squared distances of each row of places (ascending), from the steps along their columns and along the row."""
+def _run_steps(at: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """For lines (rows of ``labels``) with the same ascending places: the steps to the nearest place behind the ends of each run of equal labels."""
+    first = np.ones(labels.shape, bool)
+    first[:, 1:] = (labels[:, 1:] != labels[:, :-1]) | (np.diff(at) != 1)
+    last = np.roll(first, -1, axis=1)
+    last[:, -1] = True
+    start = np.maximum.accumulate(np.where(first, at, at[0]), axis=1)
+    end = np.minimum.accumulate(np.where(last, at, at[-1])[:, ::-1], axis=1)[:, ::-1]
+    return np.minimum(at - start, end - at) + 1
+
+
+def _by_shape(places: pd.Series, kernel: Callable[[np.ndarray, list[int]], np.ndarray]) -> pd.Series:
+    """Apply ``kernel`` (places from 0, numbers of lines) to lines with equal places, a bounded number of cells at once."""
     out: list = [None] * len(places)
     shapes: dict[tuple[int, bytes], list[int]] = {}
     for i, at in enumerate(places):
@@ -299,34 +299,54 @@ def _envelopes(places: pd.Series, steps: pd.Series, runs: pd.Series) -> pd.Serie
     for members in shapes.values():
         at = np.asarray(places.iloc[members[0]], np.int64)
         at = at - at[0]
-        wide = int(at[-1]) + 1
-        for k in range(0, len(members), max(1, ENVELOPE_CELLS // wide)):
-            own = members[k : k + max(1, ENVELOPE_CELLS // wide)]
-            dense = np.zeros((len(own), wide), np.int64)  # an absent place is one of another label
-            dense[:, at] = np.stack([steps.iloc[i] for i in own])
-            far = np.minimum(kernels.row_envelopes(dense)[:, at], np.stack([runs.iloc[i] for i in own]) ** 2)
-            for i, row in zip(own, far):
-                out[i] = row
+        step = max(1, ENVELOPE_CELLS // (int(at[-1]) + 1))
+        for k in range(0, len(members), step):
+            for i, line in zip(members[k : k + step], kernel(at, members[k : k + step])):
+                out[i] = line
     return pd.Series(out)
 
 
+def _stack(lines: pd.Series, members: list[int]) -> np.ndarray:
+    return np.stack([np.asarray(lines.iloc[i]) for i in members])
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def _column_steps(places: pd.Series, labels: pd.Series) -> pd.Series:
+    return _by_shape(places, lambda at, members: _run_steps(at, _stack(labels, members)))
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def _row_distances(places: pd.Series, labels: pd.Series, steps: pd.Series) -> pd.Series:
+    """Squared distances along rows, from the steps along their columns."""
+
+    def kernel(at: np.ndarray, members: list[int]) -> np.ndarray:
+        dense = np.zeros((len(members), int(at[-1]) + 1), np.int64)  # an absent place is one of another label
+        dense[:, at] = _stack(steps, members)
+        return np.minimum(kernels.row_envelopes(dense)[:, at], _run_steps(at, _stack(labels, members)) ** 2)
+
+    return _by_shape(places, kernel)
+
+
+def _along(pixels: DataFrame, axis: str, across: str, names: list[str], made: Callable[[Callable[[str], Column]], Column], out: str) -> DataFrame:
+    """One pass over one array for each line of an image."""
+    held = [c for c in names if c not in ("image_id", axis, across)]
+    lines = pixels.groupBy("image_id", across).agg(F.array_sort(F.collect_list(F.struct(axis, *held))).alias("line"))
+    found = lines.select("image_id", across, "line", made(lambda c: F.transform("line", lambda p: p[c])).alias("made"))
+    single = found.select("image_id", across, F.explode(F.arrays_zip("line", "made")).alias("p"))
+    return single.select(*[F.col(c) if c in ("image_id", across) else F.col(f"p.line.{c}").alias(c) for c in names], F.col("p.made").alias(out))
+
+
 def distances(pixels: DataFrame, label: str) -> DataFrame:
     """The pixels with ``d``: the exact distance to the nearest pixel of another label; what lies outside the image counts as another label.
 
-    One pass for each axis: along columns the steps to the next other label, by
-    windows; along rows the lower envelope of the parabolas that these steps
-    raise, over one array for each row.  Neither holds more than one line of an image.
+    One pass for each axis: along columns the steps to the next other label; along
+    rows the lower envelope of the parabolas that these steps raise.  Each is over
+    one array for each line, so none holds more than some lines of an image.
     """
-    names = [c for c in pixels.columns if c not in ("d", "_steps", "_run")]
-    down, steps = _to_other("y", "x", label)
-    right, run = _to_other("x", "y", label)
-    found = pixels.select(*names, *down).select(*names, steps.alias("_steps"))
-    found = found.select("*", *right).select(*names, "_steps", run.alias("_run"))
-    lines = found.groupBy("image_id", "y").agg(F.array_sort(F.collect_list(F.struct("x", "_steps", "_run", *[c for c in names if c not in ("image_id", "x", "y")]))).alias("line"))
-    part = lambda c: F.transform("line", lambda p: p[c])
-    far = lines.select("image_id", "y", "line", _envelopes(part("x"), part("_steps"), part("_run")).alias("far"))
-    single = far.select("image_id", "y", F.explode(F.arrays_zip("line", "far")).alias("p"))
-    return single.select(*[F.col(c) if c in ("image_id", "y") else F.col(f"p.line.{c}").alias(c) for c in names], F.sqrt(F.col("p.far").cast("double")).alias("d"))
+    names = [c for c in pixels.columns if c not in ("d", "_steps")]
+    down = _along(pixels.select(names), "y", "x", names, lambda part: _column_steps(part("y"), part(label)), "_steps")
+    far = _along(down, "x", "y", [*names, "_steps"], lambda part: _row_distances(part("x"), part(label), part("_steps")), "d")
+    return far.select(*names, F.sqrt(F.col("d").cast("double")).alias("d"))
 
 
 def thickness(pixels: DataFrame, mm_per_pixel: float, thin_mm: float, label: str = "region_id") -> DataFrame:

@@ -1,7 +1,8 @@
 """Images, masks and requests as tables.
 
 Spark's image source decodes the files; one row of the pixel table is one
-pixel.  Embedded colour profiles are not applied: channels are read as sRGB.
+pixel.  Images are turned as their orientation tag asks for, and colours under a
+matrix profile become sRGB; other profiles count as sRGB.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from rasterloom.operators.resample import resize, resized
 from rasterloom.operators.tiles import cleaned
 from rasterloom.session import materialize
+from rasterloom.sources.tags import file_key, read_tags, to_srgb, upright
 
 PIXEL = "image_id string, x int, y int, r int, g int, b int, alpha int, width int, height int"
 COVERAGE = (0.5, 98.5)
@@ -29,27 +31,35 @@ def scaled_size(width: int, height: int, max_side: int) -> tuple[int, int]:
 
 
 def decode_rows(rows: pd.DataFrame, max_side: int) -> Iterator[pd.DataFrame]:
-    """Pixels of decoded images (Spark's image struct, blue first), transparent parts over white."""
-    for image in rows["image"]:
+    """Pixels of decoded images (Spark's image struct, blue first), upright, as sRGB, transparent parts over white."""
+    for image, turn, profile in zip(rows["image"], rows["orientation"], rows["profile"]):
         data = np.frombuffer(image["data"], np.uint8).reshape(image["height"], image["width"], image["nChannels"]).astype(float)
         alpha = data[..., 3:4] if data.shape[-1] == 4 else np.full((*data.shape[:2], 1), 255.0)
         rgb = data[..., :3][..., ::-1] if data.shape[-1] >= 3 else np.repeat(data[..., :1], 3, axis=-1)
+        if profile is not None:
+            rgb = to_srgb(rgb, profile["matrix"], profile["curves"])
         rgb = rgb * (alpha / 255.0) + 255.0 * (1 - alpha / 255.0)
-        width, height = scaled_size(image["width"], image["height"], max_side)
+        rgb, alpha = upright(rgb, turn), upright(alpha, turn)
+        width, height = scaled_size(rgb.shape[1], rgb.shape[0], max_side)
         both = resize(np.rint(np.concatenate([rgb, alpha], axis=-1)), width, height, "lanczos").astype(int)
         yy, xx = np.mgrid[:height, :width]
         yield pd.DataFrame({"image_id": image["origin"], "x": xx.ravel(), "y": yy.ravel(), "r": both[..., 0].ravel(), "g": both[..., 1].ravel(), "b": both[..., 2].ravel(), "alpha": both[..., 3].ravel(), "width": width, "height": height})
 
 
 def read_pixels(spark: SparkSession, path: str, max_side: int = 1200) -> DataFrame:
-    """The pixel table of all images below ``path``."""
+    """The pixel table of all images below ``path``.
+
+    Orientation and profile come from the files' bytes; only files that have any are joined to the decoded images.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             yield from decode_rows(rows, max_side)
 
-    images = spark.read.format("image").option("dropInvalid", True).load(path)
-    return images.mapInPandas(run, PIXEL)
+    images = spark.read.format("image").option("dropInvalid", True).load(path).withColumn("_file", file_key("image.origin"))
+    tagged = read_tags(spark, path).select(file_key("origin").alias("_file"), "orientation", "profile")
+    both = images.join(tagged, "_file", "left").select("image", F.coalesce("orientation", F.lit(1)).alias("orientation"), "profile")
+    return both.mapInPandas(run, PIXEL)
 
 
 def mask_values(pixels: DataFrame, alpha_always: bool = False) -> DataFrame:
