@@ -171,7 +171,13 @@ def gaussian(pixels: DataFrame, value: str, sigma: float, truncate: float = 4.0)
 
 
 def resize_nearest(pixels: DataFrame, width: int, height: int, new_width: int, new_height: int) -> DataFrame:
-    """Each new pixel takes the old one under its centre."""
-    wide = pixels.select("image_id").distinct().select("image_id", F.explode(F.sequence(F.lit(0), F.lit(new_height - 1))).alias("ny")).select("image_id", "ny", F.explode(F.sequence(F.lit(0), F.lit(new_width - 1))).alias("nx"))
-    source = wide.select("image_id", "nx", "ny", F.floor((F.col("nx") + 0.5) * width / new_width).cast("int").alias("x"), F.floor((F.col("ny") + 0.5) * height / new_height).cast("int").alias("y"))
-    return source.join(pixels, ["image_id", "x", "y"]).drop("x", "y").withColumnsRenamed({"nx": "x", "ny": "y"})
+    """Each new pixel takes the old one under its centre: an old pixel gives itself to the new ones that have it there, without a join."""
+
+    def under(axis: str, old: int, new: int) -> Column:
+        low = F.floor(F.col(axis) * new / old - 0.5).cast("int")
+        near = F.sequence(F.greatest(low, F.lit(0)), F.greatest(F.least(low + new // old + 2, F.lit(new - 1)), F.lit(0)))
+        return F.filter(F.when(low <= new - 1, near).otherwise(F.array().cast("array<int>")), lambda n: F.floor((n + 0.5) * old / new) == F.col(axis))
+
+    moved = pixels.withColumns({"_x": under("x", width, new_width), "_y": under("y", height, new_height)}).where((F.size("_x") > 0) & (F.size("_y") > 0))
+    spread = moved.withColumn("_x", F.explode("_x")).withColumn("_y", F.explode("_y"))
+    return spread.drop("x", "y").withColumnsRenamed({"_x": "x", "_y": "y"})

@@ -130,20 +130,19 @@ def disk_steps(radius: int) -> list[tuple[int, int]]:
 
 
 def close_square(mask: np.ndarray, times: int = 2) -> np.ndarray:
-    """Close with a 3 x 3 square: as many dilations as erosions, outside unset."""
+    """Closings with a 3 x 3 square one after the other; outside is unset, which also unsets the border."""
     square = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
     out = mask
     for _ in range(times):
-        out = shift_or(out, square)
-    for _ in range(times):
-        out = ~shift_or(~np.pad(out, 1), square)[1:-1, 1:-1]
+        out = ~shift_or(~np.pad(shift_or(out, square), 1), square)[1:-1, 1:-1]
     return out
 
 
 def clean_mask(mask: np.ndarray) -> np.ndarray:
-    """Close, fill holes, drop small components."""
+    """Close, fill holes, drop small components unless there are no others."""
     out = fill_holes(close_square(mask))
-    return keep_large(out, max(16, int(out.size * 0.0001)))
+    large = keep_large(out, max(16, int(out.size * 0.0001)))
+    return large if large.any() else out
 
 
 # --- merging --------------------------------------------------------------------------------------------------------

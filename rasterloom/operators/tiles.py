@@ -181,11 +181,19 @@ def large(pixels: DataFrame, mask: str, least: Column, connectivity: int, out: s
     return pixels.select(*at).join(kept, at, "left").withColumn(out, F.coalesce(out, F.lit(False)))
 
 
+def closed(pixels: DataFrame, mask: str = "mask", out: str = "closed", side: int = SIDE) -> DataFrame:
+    """image_id, x, y and ``out``: the mask closed with a 3 x 3 square, twice."""
+    return map_tiles(pixels, lambda a, _: {out: kernels.close_square(a[mask])}, [mask], 4, f"{out} boolean", side)
+
+
 def cleaned(pixels: DataFrame, mask: str = "mask", out: str = "clean", side: int = SIDE) -> DataFrame:
-    """image_id, x, y and ``out``: the mask closed, filled and without small components."""
-    closed = materialize(map_tiles(pixels, lambda a, _: {"_closed": kernels.close_square(a[mask])}, [mask], 4, "_closed boolean", side), "closed")
-    full = materialize(filled(closed, "_closed", "_full", side).select("image_id", "x", "y", "_full"), "filled")
-    return large(full, "_full", F.greatest(F.lit(16), F.floor(F.col("_pixels") * 0.0001)), 4, out, side)
+    """image_id, x, y and ``out``: the mask closed, filled and without small components, unless an image has no others."""
+    whole = materialize(closed(pixels, mask, "_closed", side), "closed")
+    full = materialize(filled(whole, "_closed", "_full", side).select("image_id", "x", "y", "_full"), "filled")
+    kept = materialize(large(full, "_full", F.greatest(F.lit(16), F.floor(F.col("_pixels") * 0.0001)), 4, "_large", side), "large")
+    none = kept.groupBy("image_id").agg((~F.bool_or("_large")).alias("_none"))
+    found = full.join(kept, ["image_id", "x", "y"]).join(none, "image_id")
+    return found.select("image_id", "x", "y", F.when(F.col("_none"), F.col("_full")).otherwise(F.col("_large")).alias(out))
 
 
 def adjacency(pixels: DataFrame, label: str, side: int = SIDE) -> DataFrame:

@@ -64,14 +64,23 @@ _LARGE_SQL = """{name}_px AS MATERIALIZED (SELECT image_id, x, y, image_id * 100
 def fill_holes(spark, sf_dir):
     return tiles.filled(raster(spark, sf_dir), side=TILE).select("image_id", "x", "y", "filled")
 
-_CLOSED_SQL = """grown AS (SELECT r.image_id, r.x, r.y, bool_or(t.mask) AS m FROM raster r JOIN raster t ON t.image_id = r.image_id AND abs(t.x - r.x) <= 2 AND abs(t.y - r.y) <= 2 GROUP BY ALL),
- closed AS MATERIALIZED (SELECT g.image_id, g.x, g.y, bool_and(t.m) AND count(*) = 25 AS m FROM grown g JOIN grown t ON t.image_id = g.image_id AND abs(t.x - g.x) <= 2 AND abs(t.y - g.y) <= 2 GROUP BY ALL)"""
+def _square_sql(name: str, source: str, rule: str) -> str:
+    return f"{name} AS MATERIALIZED (SELECT r.image_id, r.x, r.y, {rule} AS mask FROM {source} r JOIN {source} t ON t.image_id = r.image_id AND abs(t.x - r.x) <= 1 AND abs(t.y - r.y) <= 1 GROUP BY ALL)"
 
-@query(QUERIES, f"""WITH RECURSIVE {raster_sql()}, {_CLOSED_SQL}, {_OUTSIDE_SQL.format(name='a', source='closed', mask='m')},
+_CLOSED_SQL = ", ".join(_square_sql(name, source, rule) for name, source, rule in (
+    ("grown", "raster", "bool_or(t.mask)"), ("shrunk", "grown", "bool_and(t.mask) AND count(*) = 9"), ("regrown", "shrunk", "bool_or(t.mask)"), ("closed", "regrown", "bool_and(t.mask) AND count(*) = 9"),
+))
+
+@query(QUERIES, f"WITH {raster_sql()}, {_CLOSED_SQL} SELECT image_id, x, y, mask AS closed FROM closed")
+def close_mask_repeated(spark, sf_dir):
+    """Dilated and eroded, twice, as masks are cleaned; ``close_mask`` dilates twice before it erodes."""
+    return tiles.closed(raster(spark, sf_dir), side=TILE)
+
+@query(QUERIES, f"""WITH RECURSIVE {raster_sql()}, {_CLOSED_SQL}, {_OUTSIDE_SQL.format(name='a', source='closed', mask='mask')},
  full_mask AS (SELECT c.image_id, c.x, c.y, o.x IS NULL AS m FROM closed c LEFT JOIN a_out o USING (image_id, x, y)), {_LARGE_SQL.format(name='b', source='full_mask', mask='m', least=16)}
- SELECT r.image_id, r.x, r.y, l.x IS NOT NULL AS clean FROM raster r LEFT JOIN b_large l USING (image_id, x, y)""")
+ SELECT f.image_id, f.x, f.y, CASE WHEN f.image_id IN (SELECT image_id FROM b_large) THEN l.x IS NOT NULL ELSE f.m END AS clean FROM full_mask f LEFT JOIN b_large l USING (image_id, x, y)""")
 def clean_mask(spark, sf_dir):
-    """Masks closed, filled and without components of under 16 pixels (more in images of over 160,000)."""
+    """Masks closed, filled and without components of under 16 pixels (more in images of over 160,000), where there are others."""
     return tiles.cleaned(raster(spark, sf_dir), side=TILE)
 
 @query(QUERIES, f"WITH RECURSIVE {raster_sql()}, {_LARGE_SQL.format(name='a', source='raster', mask='mask', least=20)} SELECT image_id, x, y FROM a_large")

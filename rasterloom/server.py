@@ -17,7 +17,7 @@ from rasterloom.functions import sheet
 from rasterloom.operators.kernels import mask_overlay
 from rasterloom.plans.config import Config
 from rasterloom.plans.sheets import sheets, stats
-from rasterloom.session import materialize, write_bytes
+from rasterloom.session import materialize, scratch_scope, write_bytes
 from rasterloom.sources import images, zones
 from rasterloom.sources.sinks import png
 
@@ -161,7 +161,9 @@ def handler(spark: SparkSession) -> type[BaseHTTPRequestHandler]:
                 body = json.loads(self.rfile.read(size))
                 if not isinstance(body, dict):
                     raise RequestError("the body is not an object")
-                self._reply(200, routes[self.path](spark, body))
+                with scratch_scope():  # uploads and tables of this request go with it
+                    answer = routes[self.path](spark, body)
+                self._reply(200, answer)
             except RequestError as error:
                 self._reply(error.status, {"ok": False, "error": str(error)})
             except ValueError as error:

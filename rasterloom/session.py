@@ -6,10 +6,15 @@ import atexit
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
+#: The paths of the innermost ``scratch_scope`` of this thread.
+_SCOPE: ContextVar[list[tuple[SparkSession, str]] | None] = ContextVar("scratch_scope", default=None)
 _SETTING = "spark.checkpoint.dir"
 
 
@@ -47,12 +52,25 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed when the driver ends."""
+    """A fresh path in the shared folder, removed when its scope or the driver ends."""
     path = f"{shared_dir(spark)}/rasterloom-scratch/{name}-{uuid.uuid4().hex[:12]}"
-    _WRITTEN.append((spark, path))
+    scope = _SCOPE.get()
+    (_WRITTEN if scope is None else scope).append((spark, path))
     return path
 
 
+@contextmanager
+def scratch_scope() -> Iterator[None]:
+    """What this thread writes to the shared folder inside is removed behind it; results must be read before."""
+    own: list[tuple[SparkSession, str]] = []
+    token = _SCOPE.set(own)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+        _remove(own)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
@@ -73,10 +91,9 @@ def write_bytes(spark: SparkSession, name: str, data: bytes) -> str:
     return path
 
 
-def release_scratch() -> None:
-    """Delete every scratch table written by this driver."""
-    while _WRITTEN:
-        spark, path = _WRITTEN.pop()
+def _remove(paths: list[tuple[SparkSession, str]]) -> None:
+    while paths:
+        spark, path = paths.pop()
         jvm = spark.sparkContext._jvm
         if jvm is None or spark.sparkContext._jsc is None:
             continue
@@ -84,6 +101,11 @@ def release_scratch() -> None:
         hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
+def release_scratch() -> None:
+    """Delete every scratch table written by this driver outside of scopes."""
+    _remove(_WRITTEN)
+
+
 def _at_exit() -> None:
     from py4j.protocol import Py4JError, Py4JNetworkError
 

@@ -140,7 +140,10 @@ def test_server(spark):
     import urllib.error
     import urllib.request
 
+    from pathlib import Path
+
     from rasterloom.server import serve
+    from rasterloom.session import shared_dir
 
     image = np.full((60, 80, 3), 235, np.uint8)
     image[15:45, 20:60] = (30, 90, 170)
@@ -159,6 +162,12 @@ def test_server(spark):
         half[5:25, 8:32] = 255
         split = post("/generate", {"image": {"dataUrl": url}, "colors": 6, "subjectMaskImage": "data:image/png;base64," + base64.b64encode(sinks.png(half)).decode()})
         assert split["maskControlImage"].startswith("data:image/png") and split["stats"]["subject_regions_after"] >= 1
-        with pytest.raises(urllib.error.HTTPError):
-            post("/generate", {"image": {"dataUrl": "nothing"}})
+        nothing = "data:image/png;base64," + base64.b64encode(sinks.png(np.zeros((30, 40), np.uint8))).decode()
+        for body in ({"image": {"dataUrl": "nothing"}}, {"image": {"dataUrl": url}, "subjectMaskImage": nothing}):
+            with pytest.raises(urllib.error.HTTPError):
+                post("/generate", body)
+        held = Path(shared_dir(spark).removeprefix("file://")) / "rasterloom-scratch"
+        before = set(held.iterdir())
+        post("/mask", {"image": {"dataUrl": url}, "maxSide": 10**9})
+        assert set(held.iterdir()) <= before
         server.shutdown()
