@@ -8,16 +8,24 @@ Viterbi search under a character model (four-grams counted over all documents)
 finds the likeliest intended text; the restored text is then scored by the
 words that labelled documents show to be toxic.
 
+The search keeps at most ``BEAM`` steps from one character to the next, the likeliest
+contexts first, so its time grows with the length whatever the signs are.
+
 What enters a lattice: chunks with digits, signs or repeated letters among their
 characters, and runs of short chunks of which one is no usual word, with the
 chunks beside them.  All other chunks stand for themselves, as any other reading
-of them would be less likely.  Letters are folded to a to z, so the model has
-28 ** 4 entries whatever the corpus; chunks with letters of other scripts are
+of them would be less likely.  A word of letters that is toxic as written stays
+so, and words are learnt as they are written: only what holds a disguise is read
+as another word.  Words of a stretch also count joined to their neighbours, so
+that a gap left inside a spelt-out word hides nothing.  Letters are brought to
+their compatible forms (full-width ones, say) and folded to a to z, so the model
+has 28 ** 4 entries whatever the corpus; chunks with letters of other scripts are
 taken as they are.
 
 Labels are learnt from a bounded sample of labelled documents
 (``SAMPLE_PER_CLASS`` per class, the smallest by a hash of doc_id); near copies
-count once, so that a group's own vocabulary is not taken for toxic words.
+count once, and a word must occur in several unlike documents, so that a group's
+own vocabulary is not taken for toxic words.
 
 Defined cases: a null or empty text is scored like a text without toxic words;
 texts of any length are read whole; repeated rows get equal scores; several
@@ -28,6 +36,7 @@ an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 import unicodedata
@@ -50,9 +59,15 @@ from rasterloom.session import materialize
 
 SAMPLE_PER_CLASS = 3000
 LEAST_DOCS = 5
+#: A word of the lexicon is found in toxic documents that show so many different min-hashes under some seed.
+LEAST_GROUPS = 4
+#: Steps from the contexts before a run of characters to those behind it.
+BEAM = 1024
+#: Joined words of a stretch that may be one word.
+MOST_JOINED = 4
 CACHED_CHUNKS, CACHED_STRETCHES = 100_000, 50_000
-#: Lengths of word beginnings that count beside whole words, for inflected and compound forms.
-BEGINNINGS = (4, 5, 6)
+#: Lengths of beginnings of longer words that count beside whole words, for inflected and compound forms.
+BEGINNINGS = (4, 5, 6, 7)
 #: Chunks of so many characters may be parts of a word that is set apart; those less likely than this are no usual words.
 SHORT, USUAL = 3, math.log(2e-4)
 #: Look-alikes of letters.
@@ -61,7 +76,9 @@ _SEPARATORS = frozenset(".-_~'’`,:;·*/\\")
 _WILD = frozenset("*#")
 _EDGE = ".,;:?\"'()[]{}«»„“”"
 _LETTER_RUN = re.compile(r"[^\W\d_]+")
-_TWICE = re.compile(r"(.)\1")
+_TWICE = re.compile(r"(.)\1+")
+#: Combining marks, letter-like and enclosed signs, full-width and mathematical letters: what compatible forms replace.
+_VARIANTS = r"[\x{300}-\x{36f}\x{2100}-\x{214f}\x{2460}-\x{24ff}\x{ff00}-\x{ffef}\x{1d400}-\x{1d7ff}]"
 #: Symbols of the model: 0 before a word, 1 to 26 the letters, 27 behind a word.
 SYMBOLS, BEHIND = 28, 27
 _CONTEXTS = SYMBOLS**3
@@ -83,12 +100,21 @@ _FOLDS = _folds()
 
 
 def fold(text: str) -> str:
-    return text.lower().translate(_FOLDS)
+    """A text in small letters without marks; full-width and other compatible forms become the plain ones."""
+    return (text if text.isascii() else unicodedata.normalize("NFKC", text)).lower().translate(_FOLDS)
+
+
+def compatible(texts: pa.Array) -> pa.Array:
+    """The texts, with the compatible forms of the characters of those that hold variants."""
+    found = pc.match_substring_regex(texts, _VARIANTS)
+    if not pc.any(found).as_py():
+        return texts
+    return pc.replace_with_mask(texts, found, pa.array([unicodedata.normalize("NFKC", t) for t in texts.filter(found).to_pylist()], texts.type))
 
 
 def forms(word: str) -> list[str]:
-    """A word and its beginnings."""
-    return [word, *(word[:n] + "*" for n in BEGINNINGS if len(word) >= n)]
+    """A word and its beginnings, none of which is the whole word."""
+    return [word, *(word[:n] + "*" for n in BEGINNINGS if len(word) > n)]
 
 
 # --- the character model --------------------------------------------------------------------------------------------
@@ -235,10 +261,10 @@ def _channel(char: str, times: int) -> list:
 
 
 def decode(written: str, characters: Characters) -> str:
-    """The likeliest intended text, in a to z: Viterbi over the lattice of the text's runs, with the last three symbols as state."""
+    """The likeliest intended text, in a to z: Viterbi over the lattice of the text's runs, with the last three symbols as state; wild signs side by side are one run."""
     table, written = characters.table, written.lower()
     best: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
-    for char, run in groupby(written):
+    for char, run in groupby(written, lambda c: "*" if c in _WILD else c):
         reached: dict[int, tuple[float, tuple | None]] = {}
         choices = _channel(char, len(list(run)))
         if len(choices) == 1 and len(choices[0][0]) == 1 and choices[0][0][0] != BEHIND:
@@ -252,6 +278,8 @@ def decode(written: str, characters: Characters) -> str:
                     reached[now] = (total, (path, text))
             best = reached
             continue
+        if len(best) * len(choices) > BEAM:
+            best = dict(heapq.nlargest(max(1, BEAM // len(choices)), best.items(), key=lambda x: x[1][0]))
         for context, (score, path) in best.items():
             for symbols, cost, text in choices:
                 now, total = context, score + cost
@@ -295,7 +323,8 @@ class Read(NamedTuple):
     of_chunk: np.ndarray
     inside: np.ndarray
     offsets: np.ndarray
-    stretches: list[tuple[int, tuple[str, ...], tuple[str, ...]]]  # text, words as written, words put together
+    stretches: list[tuple[int, tuple[str, ...], tuple[str, ...]]]  # text, words as written, restored words
+    written: dict[str, str]  # folded words of stretches to words as written
 
 
 class Restorer:
@@ -305,6 +334,8 @@ class Restorer:
         names = sorted(lexicon)
         self.names = pa.array(names, pa.string())
         self.number = {fold(w): i for i, w in reversed(list(enumerate(names)))} | {w: i for i, w in enumerate(names)}
+        #: Words by their letters without repetition, for restored ones that lost a letter of a pair.
+        self.single = {_TWICE.sub(r"\1", w): i for w, i in reversed(self.number.items()) if not w.endswith("*")}
         self.weight = np.array([lexicon[w] for w in names])
         self.characters = Characters(characters)
         self.decoder = decoder
@@ -347,7 +378,7 @@ class Restorer:
         return kind, ()
 
     def _read(self, texts: pa.Array) -> Read:
-        chunks, codes, offsets = chunk_table(pc.replace_substring_regex(pc.fill_null(texts, "").cast(pa.large_string()), r"\s+", " "))
+        chunks, codes, offsets = chunk_table(pc.replace_substring_regex(compatible(pc.fill_null(texts, "").cast(pa.large_string())), r"\s+", " "))
         parts = part_table(chunks, lower=True)
         letters = pa.array(parts.letters, pa.string())
         kinds, restored = self._letters(letters)
@@ -363,53 +394,79 @@ class Restorer:
         begins = np.flatnonzero(edge[:-1] > 0 if len(codes) else edge)
         names, stretches = chunks.to_pylist() if len(begins) else [], []
         owners = (np.searchsorted(offsets, begins, side="right") - 1).tolist()
+        known: dict[str, str] = {}
         for a, doc in zip(begins.tolist(), owners):
             b, end = a + 1, int(offsets[doc + 1])
             while b < end and inside[b]:
                 b += 1
             written = [names[c].lower() for c in codes[a:b].tolist()]
-            known = {fold(core): core for w in written if (core := w.strip(_EDGE))}
-            words = self.restored[" ".join(written)]
-            stretches.append((doc, tuple(known[w] for w in words if w in known), tuple(w for w in words if w not in known)))
-        return Read(letters, restored, base + len(others), of_chunk, inside, offsets, stretches)
+            cores = tuple(core for w in written if (core := w.strip(_EDGE)))
+            known |= {fold(core): core for core in cores}
+            stretches.append((doc, cores, self.restored[" ".join(written)]))
+        return Read(letters, restored, base + len(others), of_chunk, inside, offsets, stretches, known)
 
-    def texts(self, texts: pa.Array) -> list[list[str]]:
-        """The restored words of every text, those of stretches behind the others."""
+    def texts(self, texts: pa.Array, as_written: bool = False) -> list[list[str]]:
+        """The restored words of every text, those of stretches behind the others; words of letters may be left as they are written."""
         read = self._read(texts)
+        if as_written:
+            restored = {i: words for i, words in read.restored.items() if i >= len(read.letters)}
+            read = read._replace(restored=restored)
         out, letters = [], read.letters.to_pylist()
         for a, b in zip(read.offsets[:-1].tolist(), read.offsets[1:].tolist()):
             own = read.of_chunk[a:b][~read.inside[a:b]]
             out.append([w for c in own.tolist() for w in read.restored.get(c) or (letters[c : c + 1] if c not in read.restored else ())])
-        for doc, kept, made in read.stretches:
-            out[doc] += [*kept, *made]
+        for doc, _, words in read.stretches:
+            out[doc] += [read.written.get(w, w) for w in words]
         return out
 
     def hits(self, texts: pa.Array) -> list[list[int]]:
-        """The numbers of the toxic words of every restored text."""
+        """The numbers of the toxic words of every restored text, each word's that of its form with the largest weight."""
         read = self._read(texts)
         own: dict[int, tuple[int, ...]] = {}
         words = read.letters
-        for form in (words, *(pc.if_else(pc.greater_equal(pc.utf8_length(words), n), pc.binary_join_element_wise(pc.utf8_slice_codeunits(words, 0, n), "*", ""), None) for n in BEGINNINGS)):
+        for form in (words, *(pc.if_else(pc.greater(pc.utf8_length(words), n), pc.binary_join_element_wise(pc.utf8_slice_codeunits(words, 0, n), "*", ""), None) for n in BEGINNINGS)):
             number = pc.index_in(form, self.names)
             for i in np.flatnonzero(number.is_valid().to_numpy(zero_copy_only=False)).tolist():
-                own[i] = (*own.get(i, ()), number[i].as_py())
-        own = {i: n for i, n in own.items() if i not in read.restored} | {i: tuple(n) for i, w in read.restored.items() if (n := self.numbers(w))}
+                found = number[i].as_py()
+                if i not in own or self.weight[found] > self.weight[own[i][0]]:
+                    own[i] = (found,)
+        # a word that is toxic as written needs no other reading
+        own |= {i: tuple(n) for i, w in read.restored.items() if i not in own and (n := self.numbers(w))}
         marked = np.zeros(read.size, bool)
         marked[list(own)] = True
         out: list[list[int]] = [[] for _ in range(len(texts))]
         at = np.flatnonzero(marked[read.of_chunk] & ~read.inside)
         for doc, code in zip((np.searchsorted(read.offsets, at, side="right") - 1).tolist(), read.of_chunk[at].tolist()):
             out[doc].extend(own[code])
-        get = self.number.get
-        for doc, kept, made in read.stretches:
-            # what was put together counts as a whole word only: its beginning may be a word of its own
-            out[doc] += [*self.numbers(kept), *(n for w in made if (n := get(w)) is not None)]
+        for doc, cores, words in read.stretches:
+            out[doc] += [*self.numbers(cores), *self._joined({fold(core) for core in cores}, words)]
+        return out
+
+    def _joined(self, known: set[str], words: tuple[str, ...]) -> list[int]:
+        """The numbers of words put together in a stretch, and of such joined to their neighbours; they count as whole words only, as their beginnings may be words of their own."""
+        get, out, at = self.number.get, [], 0
+        while at < len(words):
+            for end in range(min(len(words), at + MOST_JOINED), at, -1):
+                number = get("".join(words[at:end]))
+                if number is not None and any(w not in known for w in words[at:end]):
+                    out.append(number)
+                    break
+            else:
+                end = at + 1
+            at = end
         return out
 
     def numbers(self, words: tuple[str, ...]) -> list[int]:
         """The numbers of restored words, which have no marks on their letters."""
-        get = self.number.get
-        return [n for w in words for form in forms(w) if (n := get(form)) is not None]
+        out = []
+        for word in words:
+            own = [self.number[form] for form in forms(word) if form in self.number]
+            out += [max(own, key=self.weight.__getitem__)] if own else self._single(word)
+        return out
+
+    def _single(self, word: str) -> list[int]:
+        number = self.single.get(_TWICE.sub(r"\1", word))
+        return [] if number is None else [number]
 
     @staticmethod
     def _stretches(kind: np.ndarray, single: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -477,7 +534,7 @@ def _sample_words(sample: DataFrame, characters: np.ndarray) -> DataFrame:
         arrow = to_arrow_schema(schema)
         restorer = held(("characters", number), lambda: Restorer({}, sent.value))
         for part in batch_slices(batches):
-            words = [set(own) for own in restorer.texts(part["text"])]
+            words = [set(own) for own in restorer.texts(part["text"], as_written=True)]
             least = [[h for seed in range(3) for h in _smallest(w, seed)] for w in words]
             yield pa.RecordBatch.from_arrays([part["toxic"].cast(pa.int32()), *(pa.array([row[i] for row in least], pa.int64()) for i in range(6)), pa.array([sorted({f for word in w for f in forms(word)}) for w in words], arrow.field(7).type)], schema=arrow)
 
@@ -509,7 +566,8 @@ def choose_words(counts: dict[str, tuple[int, int]], toxic: int, clean: int, lea
         if a < max(least, 0.004 * toxic):
             continue
         ratio = math.log((a + 0.5) / (toxic + 1)) - math.log((b + 0.5) / (clean + 1))
-        sure = ratio - 2.5 * math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
+        spread = math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
+        sure = ratio - 2.5 * spread
         if sure > 0.7:
             out[word] = sure
     return out
@@ -535,9 +593,12 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = SAMP
     own = _sample_words(sample, characters)
     for i in (0, 2, 4):
         own = own.groupBy("toxic", f"h{i}", f"h{i + 1}").agg(F.min(F.struct(*[f"h{k}" for k in range(6) if k not in (i, i + 1)], "words")).alias("row")).select("toxic", f"h{i}", f"h{i + 1}", "row.*")
-    own = materialize(own.select("toxic", "words"), "toxic-words")
+    own = materialize(own.select("toxic", "words", "h0", "h2", "h4"), "toxic-words")
     totals = {r["toxic"]: r["n"] for r in own.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    words = own.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).where(F.col("a") >= LEAST_DOCS)
+    toxic = F.col("toxic") == 1
+    words = own.select("toxic", "h0", "h2", "h4", F.explode("words").alias("word")).groupBy("word")
+    words = words.agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"), F.greatest(*(F.size(F.collect_set(F.when(toxic, F.col(h)))) for h in ("h0", "h2", "h4"))).alias("groups"))
+    words = words.where((F.col("a") >= LEAST_DOCS) & (F.col("groups") >= LEAST_GROUPS))
     counts = {r["word"]: (r["a"], r["b"]) for r in words.collect()}
     model = ToxicModel(choose_words(counts, totals.get(1, 0), totals.get(0, 0)), characters, None)
     rows = sorted((r["toxic"], r["features"]) for r in _hits(sample, model, ["toxic"]).collect())

@@ -168,7 +168,7 @@ def test_op6_held_out_accuracy(spark):
     got = {r["doc_id"]: r for r in run(spark, LARGEST, "op6_toxicity").collect()}
     labels = [(r["toxic"], got[r["doc_id"]]["score"]) for r in pq.read_table(f"{LARGEST}/labels.parquet").to_pylist() if got[r["doc_id"]]["held_out"]]
     bad, good = ([s for t, s in labels if t == k] for k in (1, 0))
-    assert len(bad) > 50 and np.mean([(b > g) + 0.5 * (b == g) for b in bad for g in good]) >= 0.95 and np.mean([g < 0.5 for g in good]) >= 0.97
+    assert len(bad) > 50 and np.mean([(b > g) + 0.5 * (b == g) for b in bad for g in good]) >= 0.95 and np.mean([g < 0.5 for g in good]) >= 0.99 and np.mean([b >= 0.5 for b in bad]) >= 0.9
 
 
 def test_op7(spark, folder):

@@ -105,3 +105,48 @@ def test_disguised_words_decide(spark, monkeypatch):
     bare = toxicity.Restorer(model.lexicon, model.characters, decoder=lambda written, _: written)
     hits = bare.hits(pa.array([text for i, text in rows if i >= 1200 and toxic[i]]))
     assert np.mean([bool(h) for h in hits]) < 0.4
+
+
+def test_words_left_with_gaps_pairs_and_variants(table):
+    """Words whose parts are usual words, full-width letters, and pairs of letters that the model would shorten."""
+    counts = np.zeros(toxicity.SYMBOLS**4)
+    toxicity.gram_counts([*COUNTS, "disgust", "ing", "worth", "less"], np.array([*COUNTS.values(), 300, 300, 300, 300], float), counts)
+    restorer = toxicity.Restorer({"disgusting": 1.0, "idiot": 1.0, "worthless": 1.0}, toxicity.fit_characters(counts))
+    for text in ("d i s g u s t i n g", "d 1 s g u s t 1 n g", "ｉｄｉｏｔ", "you ｄｉｓｇｕｓｔｉｎｇ person", "worthless", "worrrthless", "w o r t h l e s s", "wórthless"):
+        assert len(restorer.hits(pa.array([text]))[0]) == 1, text
+    assert restorer.hits(pa.array(["disgust ing", "worth less", "the disgust, ing"])) == [[], [], []]
+    assert restorer.texts(pa.array(["worthless better"]), as_written=True) == [["worthless", "better"]]
+
+
+def test_each_word_counts_by_its_heaviest_form(table):
+    restorer = toxicity.Restorer({"idiot": 1.0, "idio*": 2.0, "stup*": 1.0, "stupid": 3.0}, table)
+    names = restorer.names.to_pylist()
+    assert [[names[h] for h in own] for own in restorer.hits(pa.array(["idiot stupid", "stup", "tr@sh st*pid"]))] == [["idio*", "stupid"], [], ["stupid"]]
+    assert toxicity.forms("idiot") == ["idiot", "idio*"]
+
+
+def test_long_runs_of_signs_are_decoded_in_linear_time(table):
+    characters = toxicity.Characters(table)
+    for unit in ("a*#*#", "1!", "a 1 "):
+        assert isinstance(toxicity.decode((unit * 100_000)[:100_000], characters), str)
+    # the widest lattice: every second sign may be any letter
+    assert isinstance(toxicity.decode("a*b*" * 1000, characters), str)
+
+
+def test_a_group_of_copies_gives_no_words(spark):
+    rng = np.random.default_rng(8)
+    some = [*COMMON, *("".join(rng.choice(list("abcdefghilmnoprstu"), rng.integers(5, 9))) for _ in range(300))]
+    rows, own = [], ["".join(rng.choice(list("vwxyzk"), 8)) for _ in range(40)]
+    for i in range(600):
+        words = list(rng.choice(some, 30))
+        if i % 4 == 0:
+            words[3] = "idiot"
+        if i % 12 == 0:
+            # a text of its group's own words, with two changed
+            words = [*own[: 20], "idiot", *own[20:]]
+            words[int(rng.integers(20))] = str(rng.choice(some))
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(600)], "doc_id long, toxic int")
+    lexicon = toxicity.fit(docs, labels, F.lit(True)).lexicon
+    assert "idiot" in lexicon and not set(own) & set(lexicon)
