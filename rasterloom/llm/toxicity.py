@@ -76,6 +76,7 @@ _SEPARATORS = frozenset(".-_~'’`,:;·*/\\")
 _WILD = frozenset("*#")
 _EDGE = ".,;:?\"'()[]{}«»„“”"
 _LETTER_RUN = re.compile(r"[^\W\d_]+")
+_WILD_RUN = re.compile(r"[*#]{2,}")
 _TWICE = re.compile(r"(.)\1+")
 #: Combining marks, letter-like and enclosed signs, full-width and mathematical letters: what compatible forms replace.
 _VARIANTS = r"[\x{300}-\x{36f}\x{2100}-\x{214f}\x{2460}-\x{24ff}\x{ff00}-\x{ffef}\x{1d400}-\x{1d7ff}]"
@@ -101,7 +102,7 @@ _FOLDS = _folds()
 
 def fold(text: str) -> str:
     """A text in small letters without marks; full-width and other compatible forms become the plain ones."""
-    return (text if text.isascii() else unicodedata.normalize("NFKC", text)).lower().translate(_FOLDS)
+    return text.lower() if text.isascii() else unicodedata.normalize("NFKC", text).lower().translate(_FOLDS)
 
 
 def compatible(texts: pa.Array) -> pa.Array:
@@ -264,7 +265,9 @@ def decode(written: str, characters: Characters) -> str:
     """The likeliest intended text, in a to z: Viterbi over the lattice of the text's runs, with the last three symbols as state; wild signs side by side are one run."""
     table, written = characters.table, written.lower()
     best: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
-    for char, run in groupby(written, lambda c: "*" if c in _WILD else c):
+    if "*#" in written or "#*" in written:
+        written = _WILD_RUN.sub(lambda m: m[0][0] * len(m[0]), written)
+    for char, run in groupby(written):
         reached: dict[int, tuple[float, tuple | None]] = {}
         choices = _channel(char, len(list(run)))
         if len(choices) == 1 and len(choices[0][0]) == 1 and choices[0][0][0] != BEHIND:
