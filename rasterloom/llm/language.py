@@ -78,6 +78,8 @@ class Lattice:
     def __init__(self, path: str):
         self.pieces, self.byte_ids = read_pieces(path)
         self.size = 1 + max(max(self.pieces.values()), max(self.byte_ids))
+        #: Characters of the longest piece: sums reach no farther ahead than that.
+        self.longest = max(map(len, self.pieces))
         trie: dict = {}
         for piece, i in self.pieces.items():
             node = trie
@@ -90,7 +92,7 @@ class Lattice:
         chars, out = _START + word, []
         for start in range(len(chars)):
             node, end, single = self.trie, start, False
-            for char in chars[start:]:
+            for char in chars[start : start + self.longest]:
                 node = node.get(char)
                 if node is None:
                     break
@@ -175,14 +177,14 @@ class Scorer:
         forward[0] = [1.0] * n
         lifts = [0] * n
         at = 0
-        rows, rest = self.rows, self.rest
+        rows, rest, longest = self.rows, self.rest, self.lattice.longest
         for start, end, ids in self.lattice.edges(word):
             if start != at:
                 at = start
                 for k in range(n):
                     if 0 < forward[at][k] < _TINY:
                         lifts[k] += 1
-                        for sums in forward[at:]:
+                        for sums in forward[at : at + longest]:
                             if sums is not None:
                                 sums[k] *= _LIFT
             here, row = forward[start], rows.get(ids[0], rest) if len(ids) == 1 else self._piece(ids)
