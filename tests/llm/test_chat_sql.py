@@ -8,8 +8,8 @@ import duckdb
 from rasterloom.llm import chat_format
 
 SCHEMA = "conv_id long, turn long, role string, text string"
-PARAMETERS = {"type": "object", "required": ["n"], "properties": {"n": {"type": "integer"}, "s": {"type": ["string", "null"], "enum": ["a", "b", None]}, "o": {"type": "object", "required": ["k"], "properties": {"k": {"type": "array", "items": {"type": "boolean"}}}}}}
-VALUES = {"n": [1, "1", 2.5, None, 7], "s": ["a", "c", None, 3], "o": [{"k": [True, False]}, {"k": [True, 1]}, {}, {"k": [], "z": 1}, []], "x": [{"b": 1, "a": [2, "é\n"]}]}
+PARAMETERS = {"type": "object", "required": ["n"], "properties": {"n": {"type": "integer"}, "s": {"type": ["string", "null"], "enum": ["a", "b", None]}, "o": {"type": "object", "required": ["k"], "properties": {"k": {"type": "array", "maxItems": 1, "items": {"type": "boolean"}}}, "additionalProperties": False}, "m": {"minimum": 3, "exclusiveMaximum": 5.5, "minLength": 2, "maxLength": 3}, "c": {"const": "k"}, "w": {"additionalProperties": {"type": "string"}}}}
+VALUES = {"n": [1, "1", 2.5, None, 7], "s": ["a", "c", None, 3], "o": [{"k": [True, False]}, {"k": [True, 1]}, {}, {"k": [], "z": 1}, []], "x": [{"b": 1, "a": [2, "é\n"]}], "m": [2, 3, 5.5, 5, "é", "éé", "abcd", [1]], "c": ["k", 1, None], "w": [{"p": "q"}, {"p": 1, "q": "r"}, {}, 3]}
 
 
 def generated(seed=11):
@@ -17,7 +17,7 @@ def generated(seed=11):
     rows = []
     for conv in range(12):
         turns = 150 if conv == 0 else 12
-        rows.append((conv, 0, "system", json.dumps({"tools": [{"name": "f", "description": "does", "parameters": PARAMETERS}, {"name": "g"}, {"name": "f", "parameters": {"type": "string"}}]})))
+        rows.append((conv, 0, "system", json.dumps({"tools": [{"name": "f", "description": "does", "parameters": PARAMETERS}, {"name": "g"}, {"type": "function", "function": {"name": "h", "parameters": PARAMETERS | {"additionalProperties": False}}}, {"name": "f", "parameters": {"type": "string"}}]})))
         made = []
         for turn in range(1, turns):
             kind = rng.random()
@@ -29,13 +29,15 @@ def generated(seed=11):
                     arguments = {k: rng.choice(v) for k, v in VALUES.items() if rng.random() < 0.6}
                     calls.append({"name": rng.choice(["f", "f", "g", "h"]), "id": call, "arguments": rng.choice([arguments, arguments, json.dumps(arguments), "none", None]), "depends_on": needs})
                     made.append(call)
+                    if rng.random() < 0.3:
+                        calls[-1] = {"id": call, "type": "function", "function": {"name": calls[-1]["name"], "arguments": calls[-1]["arguments"]}, "depends_on": needs}
                 if made and rng.random() < 0.1:
                     calls.append({"name": "f", "id": rng.choice(made), "arguments": {"n": 1}})
                 rows.append((conv, turn, "assistant", json.dumps({"content": rng.choice(["ok", None, [1, {"t": "x"}]]), "tool_calls": calls, "a": 1.0})))
             elif kind < 0.7 and made:
                 rows.append((conv, turn, "tool", json.dumps({"tool_call_id": rng.choice([*made, "nobody"]), "content": rng.choice(["done", 5])})))
             else:
-                rows.append((conv, turn, rng.choice(["user", "assistant"]), rng.choice(["plain words", "{not json", '{"other":1}', '{"tool_call_id":"c0","tool_call_id":"c1"}', 'say "é"\n', None, ""])))
+                rows.append((conv, turn, rng.choice(["user", "assistant"]), rng.choice(["plain words", "{not json", ' \n{"tool_call_id":"c1"}', '{"tool_call_id":"c1","n":-1e400}', '{"tool_call_id":"c1","n":1.5e0,"s":"Infinity 1e999"}', '{"other":1}', '{"tool_call_id":"c0","tool_call_id":"c1"}', 'say "é"\n', None, ""])))
     ring = {"p": ["r"], "q": ["p"], "r": ["q"], "s": ["r"], "t": ["u", "s"], "u": [], "v": ["u"]}
     rows += [(50, t, "assistant", json.dumps({"tool_calls": [{"id": i, "name": "f", "depends_on": needs}]})) for t, (i, needs) in enumerate(ring.items())]
     rows += [(50, 20 + t, "tool", json.dumps({"tool_call_id": i})) for t, i in enumerate("pqv")]
