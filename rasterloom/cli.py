@@ -35,7 +35,7 @@ def main(argv: list[str] | None = None) -> int:
         if args["compare_strategies"]:
             from rasterloom.sources.images import read_pixels
 
-            sheets.compare_strategies(read_pixels(spark, args["source"], config.max_side), config).show(truncate=False)
+            sheets.export_comparison(read_pixels(spark, args["source"], config.max_side), args["output"], config, args["overwrite"]).show(truncate=False)
         else:
             sheets.run_images(spark, args["source"], args["output"], config, args["overwrite"])
     except ValueError as error:

@@ -460,8 +460,27 @@ def stats(made: DataFrame, config: Config | None = None) -> DataFrame:
 COMPARED = "image_id string, strategy string, regions_before long, regions_after long, merges long, forced_merges long, below_threshold_after long, thin_regions_after long, recolored_pixel_percent double, duration_ms double"
 
 
-def compare_strategies(pixels: DataFrame, config: Config) -> DataFrame:
-    """One row per image and merge strategy; each image is segmented once, only the merge is run for every strategy."""
+#: Largest width of a panel and height of the strip above it, in pixels.
+PANEL_WIDTH, STRIP_HEIGHT = 420, 64
+
+
+def strategy_plate(panels: list[tuple[np.ndarray, int]]) -> np.ndarray:
+    """Images of one size side by side, made smaller by nearest pixels, each below its number of regions."""
+    height, width = panels[0][0].shape[:2]
+    wide = min(PANEL_WIDTH, width)
+    high = max(1, round(height * wide / width))
+    rows, columns = (np.minimum((2 * np.arange(n) + 1) * m // (2 * n), m - 1) for n, m in ((high, height), (wide, width)))
+    out = np.full((STRIP_HEIGHT + high, wide * len(panels), 3), 255)
+    for i, (image, _) in enumerate(panels):
+        out[STRIP_HEIGHT:, i * wide : (i + 1) * wide] = image[rows][:, columns]
+    return sinks.draw_numbers(out, [((i + 0.5) * wide, STRIP_HEIGHT / 2, 24.0, str(n)) for i, (_, n) in enumerate(panels)])
+
+
+def compare_strategies(pixels: DataFrame, config: Config, drawn: bool = False) -> DataFrame:
+    """One row per image and merge strategy; each image is segmented once, only the merge is run for every strategy.
+
+    ``drawn`` adds ``plate`` to an image's first row (null in its others): a PNG of all strategies' coloured regions with their borders, in the order of the rows.
+    """
     config.checked()
     masks, grouped = _grouped(pixels)
 
@@ -469,18 +488,34 @@ def compare_strategies(pixels: DataFrame, config: Config) -> DataFrame:
         rgb, held = _arrays(group, masks)
         own = tuned(config, rgb.shape[1], rgb.shape[0])
         subject = held.get("subject") if own.subject_mode != "none" else None
-        made, rows = segment(rgb, own, subject, held.get("detail")), []
-        scale = made.page[2]
+        made, rows, panels = segment(rgb, own, subject, held.get("detail")), [], []
+        scale, colours = made.page[2], np.array([[int(lab_hex(c)[i : i + 2], 16) for i in (1, 3, 5)] for c in made.colours])
         for strategy in k.STRATEGIES:
             began = time.perf_counter()
             ids, classes, log = merge(made, own, strategy, subject)
             spent = 1000 * (time.perf_counter() - began)
             after = region_rows(ids, classes, max(1, math.ceil(own.min_region_area_mm2 / scale**2)), own, scale)
-            changed = (made.labels != np.array([0, *(classes[i] for i in range(1, len(classes) + 1))])[ids]).mean()
+            merged = np.array([0, *(classes[i] for i in range(1, len(classes) + 1))])[ids]
+            changed = (made.labels != merged).mean()
+            if drawn:
+                panels.append((np.where(k.boundary(ids)[..., None], 40, colours[merged]), len(classes)))
             rows.append((str(group["image_id"].iloc[0]), strategy, len(made.classes), len(classes), len(log), sum(m.forced_by_tolerance for m in log), sum(r["is_below_area_threshold"] for r in after), sum(r["is_thin"] for r in after), round(100.0 * float(changed), 6), spent))
-        return pd.DataFrame(rows, columns=[f.split()[0] for f in COMPARED.split(", ")])
+        out = pd.DataFrame(rows, columns=[f.split()[0] for f in COMPARED.split(", ")])
+        return out.assign(plate=[sinks.png(strategy_plate(panels)), *[None] * (len(rows) - 1)]) if drawn else out
 
-    return grouped.applyInPandas(run, COMPARED)
+    return grouped.applyInPandas(run, COMPARED + ", plate binary" if drawn else COMPARED)
+
+
+def export_comparison(pixels: DataFrame, path: str, config: Config, overwrite: bool = False) -> DataFrame:
+    """Write every image's strategies below ``path`` as a CSV table, JSON lines and plates (Parquet, one PNG an image); gives back the rows."""
+    from rasterloom.session import materialize
+
+    compared = materialize(compare_strategies(pixels, config, drawn=True), "strategies")
+    rows = compared.drop("plate")
+    sinks.write_table(rows, f"{path}/strategies-comparison", "strategies", overwrite)
+    sinks.write_report(rows.withColumns({"recolored_pixel_percent": F.round("recolored_pixel_percent", 6), "duration_ms": F.round("duration_ms", 3)}), f"{path}/strategies-comparison-json", overwrite)
+    compared.where("plate is not null").select("image_id", "plate").write.mode("overwrite" if overwrite else "errorifexists").parquet(f"{path}/strategies-comparison-plates")
+    return rows
 
 
 #: The two profiles of the quality gate.

@@ -19,6 +19,7 @@ TABLES = {
     "adjacency": (("region_a", "region_b", "boundary_pixels", "palette_a", "palette_b", "delta_e76"), 5),
     "merges": (("step", "source_region", "target_region", "source_palette_index", "target_palette_index", "source_pixels", "shared_boundary_pixels", "delta_e76", "forced_by_tolerance"), 5),
     "labels": (("region_id", "palette_index", "number", "status", "reason", "x_px", "y_px", "clearance_mm", "font_size_mm"), 5),
+    "strategies": (("strategy", "regions_before", "regions_after", "merges", "forced_merges", "below_threshold_after", "thin_regions_after", "recolored_pixel_percent", "duration_ms"), 6),
 }
 
 

@@ -97,6 +97,46 @@ def test_command_line_makes_sheets(spark, tmp_path):
     assert {r["strategy"] for r in compared} == {"color", "boundary", "balanced"} and all(r["regions_before"] - r["merges"] == r["regions_after"] for r in compared)
 
 
+def test_strategies_are_written_as_files(spark, tmp_path):
+    """CSV, JSON and plate of two images against the rows and against merges of their own; what stands there is refused."""
+    from pyspark.errors import AnalysisException
+
+    from rasterloom.operators import kernels as k
+    from rasterloom.plans import sheets
+    from rasterloom.plans.config import Config
+
+    rng, pixels, shapes = np.random.default_rng(4), [], {"one": (30, 44), "two": (25, 900)}
+    pictures = {}
+    for name, (height, width) in shapes.items():
+        image = pictures[name] = np.kron(rng.integers(0, 255, (height // 5, -(-width // 4), 3)), np.ones((5, 4, 1), int))[:height, :width]
+        pixels += [(name, x, y, *map(int, image[y, x])) for y in range(height) for x in range(width)]
+    frame = spark.createDataFrame(pixels, "image_id string, x int, y int, r int, g int, b int")
+    config = Config(colors=4, superpixels=60)
+    path = str(tmp_path / "out")
+    rows = sorted(sheets.export_comparison(frame, path, config).collect())
+    assert len(rows) == 6 and {r["image_id"] for r in rows} == set(shapes)
+    csv = spark.read.csv(f"{path}/strategies-comparison", header=True, schema=sheets.COMPARED)
+    assert csv.columns == ["image_id", *sinks.TABLES["strategies"][0]] and sorted(csv.drop("duration_ms").collect()) == [r[:-1] for r in rows]
+    assert sorted(tuple(r[c] for c in csv.columns[:-1]) for r in spark.read.json(f"{path}/strategies-comparison-json").collect()) == [r[:-1] for r in rows]
+    plates = {r["image_id"]: r["plate"] for r in spark.read.parquet(f"{path}/strategies-comparison-plates").collect()}
+    assert set(plates) == set(shapes)
+    for name, (height, width) in shapes.items():
+        own = sheets.tuned(config, width, height)
+        made = sheets.segment(pictures[name].astype(float), own)
+        panels = []
+        for strategy in k.STRATEGIES:
+            ids, classes, _ = sheets.merge(made, own, strategy, None)
+            colours = np.array([[int(sheets.lab_hex(made.colours[classes[i]])[j : j + 2], 16) for j in (1, 3, 5)] for i in range(1, len(classes) + 1)])
+            panels.append((np.where(k.boundary(ids)[..., None], 40, colours[ids - 1]), len(classes)))
+        assert bytes(plates[name]) == sinks.png(sheets.strategy_plate(panels))
+        drawn, wide = sheets.strategy_plate(panels), min(420, width)
+        assert drawn.shape == (64 + round(height * wide / width), 3 * wide, 3) and (drawn[:64] == 34).any()
+        if wide == width:
+            assert all((drawn[64:, i * wide : (i + 1) * wide] == p).all() for i, (p, _) in enumerate(panels))
+    with pytest.raises(AnalysisException):
+        sheets.export_comparison(frame, path, config)
+
+
 def test_strategies_differ_only_in_the_merge(spark):
     """Each strategy's row against a merge of its own."""
     from rasterloom.operators import kernels, merging
