@@ -97,3 +97,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
         kept = target.where("a <> to").select("a", F.col("to").alias("b"))
         current = materialize(_local(kept.unionByName(handed).distinct()), "edges")
     raise RuntimeError("the components did not settle")
+
+
+#: Classes of at least one in so many rows are joined by broadcast: there cannot be more of them than this.
+HOT_SHARE = 1000
+
+
+def join_classes(rows: DataFrame, classes: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """The ``n`` rows with the columns of their class (keys, and ``weight``, its number of rows, which is dropped).
+
+    Rows without a class are left out.  Frequent classes are broadcast, so that no task gets all rows of one.
+    """
+    often = F.col("weight") * HOT_SHARE >= n
+    hot, rest = classes.where(often).drop("weight"), classes.where(~often).drop("weight")
+    return rows.join(F.broadcast(hot), keys).unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest, keys))

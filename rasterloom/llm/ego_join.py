@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from rasterloom.llm.common import map_arrow
-from rasterloom.llm.components import connected_components, union_find
+from rasterloom.llm.components import connected_components, join_classes, union_find
 from rasterloom.session import materialize
 
 LEAST_COSINE = 0.93
@@ -238,11 +238,11 @@ def near_duplicates(rows: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
     joined = materialize(connected_components(found.where("b is not null").select("a", "b")), "components")
     named = F.coalesce("component", "cls")
     summed = classes.select("grp", "mark", "cls", "weight").join(links, "cls", "left").join(joined.withColumnRenamed("node", "cls"), "cls", "left")
-    own = materialize(summed.select("grp", "mark", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.when(named < _ALONE, named).alias("component_id")), "class-links")
-    linked = placed.select("vec_id", "grp", "mark").join(own, ["grp", "mark"], "left")
-    return linked.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id")).withColumn(
-        "kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False))
-    )
+    own = materialize(summed.select("grp", "mark", "weight", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.when(named < _ALONE, named).alias("component_id")), "class-links")
+    # vectors that link with nothing meet no class: they stay where they are
+    alone = placed.where("mark is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    linked = join_classes(usable.select("vec_id", "grp", "mark"), own, ["grp", "mark"], placed.count()).select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id")
+    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
 ORACLE_SQL = """

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from rasterloom.llm.common import map_arrow, release_held, text_slices
-from rasterloom.llm.components import connected_components, union_find
+from rasterloom.llm.components import connected_components, join_classes, union_find
 from rasterloom.session import materialize
 
 SEED = 42
@@ -258,12 +258,12 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits) and component_id of every document."""
     prints = materialize(fingerprints(docs), "fingerprints")
     nameless = F.lit(NAMELESS) + F.xxhash64("fp").bitwiseAND(F.lit(NAMELESS - 1))
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").cast("long").alias("smallest")).select("fp", F.coalesce("smallest", nameless).alias("rep")), "prints")
-    joined = materialize(connected_components(links(distinct, radius)), "components")
+    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").cast("long").alias("smallest"), F.count(F.lit(1)).alias("weight")).select("fp", F.coalesce("smallest", nameless).alias("rep"), "weight"), "prints")
+    joined = materialize(connected_components(links(distinct.select("fp", "rep"), radius)), "components")
     named = F.coalesce("component", "rep")
-    classes = distinct.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").select("fp", F.when(named < NAMELESS, named).alias("component_id"))
+    classes = distinct.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").select("fp", "weight", F.when(named < NAMELESS, named).alias("component_id"))
     classes = materialize(classes, "classes")
-    return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return join_classes(prints.select("doc_id", "fp"), classes, ["fp"], prints.count()).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_representatives(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
