@@ -6,7 +6,8 @@ by a forward algorithm; a text's is the product over its words.  Pieces never
 reach over a word's ends, so the sum over all segmentations of a text is the
 product of its words' sums, and each distinct word is scored once and kept in a
 bounded cache.  The probabilities are fitted by expectation maximisation on the
-words of a bounded sample of labelled documents (``SAMPLE_DOCS`` per language).
+words of all labelled documents: their counts are one table, each round goes over
+its distinct words in parallel, and one sum per language and piece reaches the driver.
 
 A word is a run of letters in lower case; characters without a piece fall back
 to the vocabulary's byte pieces.
@@ -17,31 +18,33 @@ texts are ``und``; filters keep all columns, whatever their names.
 
 A share of the probability is high for gibberish and unlearned languages too, so
 the filter also asks how likely the text is in its language: its log probability
-for each character may not lie far below what the training documents have.
+for each character may not lie far below what all training documents have.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from rasterloom.llm.chunks import IntTable, chunk_table, part_table
-from rasterloom.llm.common import BoundedCache, batch_slices, held, map_arrow, release_held, text_slices
+from rasterloom.llm.common import BoundedCache, batch_slices, held, map_arrow, release_held
 from rasterloom.session import materialize
 
 UNKNOWN = "und"
-SAMPLE_DOCS = 300
 ROUNDS = 3
 SMOOTHING = 0.05
+#: Expected counts are summed as whole numbers of this part of one, so that no sum depends on its order.
+COUNT_UNIT = 1 << 20
 CACHED_WORDS = 200_000
 #: A text's log probability for each character may lie so many spreads (one counts as so much at least) below its language's mean.
 SPREADS, LEAST_SPREAD = 10.0, 0.15
@@ -150,6 +153,35 @@ class Automaton:
         return tuple(np.concatenate(column) for column in zip(*found))
 
 
+class Edges(NamedTuple):
+    """All edges of many words, in order of start and length; a word has one at most of each start and length."""
+
+    size: np.ndarray  # of each word, with its start
+    word: np.ndarray
+    start: np.ndarray
+    length: np.ndarray
+    piece: np.ndarray  # -1 for a character that is none
+    char: np.ndarray  # at the start
+    steps: list[tuple[int, int, int, int]]  # first and last edge, start and end of those that are followed together
+
+
+def edges_together(automaton: Automaton, words: list[str]) -> Edges:
+    chars = np.frombuffer("".join(_START + w for w in words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    size = np.array([len(w) + 1 for w in words])
+    last = np.cumsum(size)
+    ends, owner = np.repeat(last, size), np.repeat(np.arange(len(words)), size)
+    place, length, piece = automaton.edges(chars, ends)
+    word = owner[place]
+    start = place - (last - size)[word]
+    step = start * (int(length.max()) + 1) + length
+    order = np.argsort(step, kind="stable")
+    step, start, length = step[order], start[order], length[order]
+    cuts = np.flatnonzero(np.concatenate([[True], step[1:] != step[:-1], [True]]))
+    begins = cuts[:-1]
+    steps = list(zip(begins.tolist(), cuts[1:].tolist(), start[begins].tolist(), (start + length)[begins].tolist()))
+    return Edges(size, word[order], start, length, piece[order], chars[place][order], steps)
+
+
 class Scorer:
     """Log probabilities of words in every language; one instance lives in each Python worker."""
 
@@ -198,30 +230,19 @@ class Scorer:
 
     def _lockstep(self, words: list[str]) -> np.ndarray:
         """The forward algorithm for many words at once: all their edges of equal start and length are followed together."""
-        chars = np.frombuffer("".join(_START + w for w in words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-        size = np.array([len(w) + 1 for w in words])
-        last = np.cumsum(size)
-        ends, owner = np.repeat(last, size), np.repeat(np.arange(len(words)), size)
-        place, length, piece = self.automaton.edges(chars, ends)
-        row, table = self.row[piece], self.table
-        single = np.flatnonzero(piece < 0)
+        edges = edges_together(self.automaton, words)
+        row, table = self.row[edges.piece], self.table
+        single = np.flatnonzero(edges.piece < 0)
         if len(single):
-            unknown, which = np.unique(chars[place[single]], return_inverse=True)
+            unknown, which = np.unique(edges.char[single], return_inverse=True)
             table = np.vstack([table, np.array([self._piece(tuple(self.lattice.byte_ids[b] for b in chr(c).encode("utf-8", "surrogatepass"))) for c in unknown.tolist()])])
             row[single] = len(self.table) + which
-        word = owner[place]
-        start = place - (last - size)[word]
-        order = np.lexsort((length, start))
-        word, start, length, row = word[order], start[order], length[order], row[order]
-        step = start * (int(length.max()) + 1) + length
-        cuts = np.flatnonzero(np.concatenate([[True], step[1:] != step[:-1], [True]]))
-        forward = np.zeros((int(size.max()) + 1, len(words), self.n))
+        forward = np.zeros((int(edges.size.max()) + 1, len(words), self.n))
         forward[0] = 1.0
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            # a word has one edge at most of each start and length
-            s, e, own = int(start[a]), int(start[a] + length[a]), word[a:b]
+        for a, b, s, e in edges.steps:
+            own = edges.word[a:b]
             forward[e, own] += forward[s, own] * table[row[a:b]]
-        whole = forward[size, np.arange(len(words))]
+        whole = forward[edges.size, np.arange(len(words))]
         with np.errstate(divide="ignore"):
             out = np.log(whole)
         for i in np.flatnonzero((whole < _LEAST).any(axis=1)).tolist():
@@ -266,7 +287,7 @@ class Scorer:
         return np.array(sums[:-2]).reshape(self.n, len(texts)).T, sums[-2], sums[-1]
 
 
-def _shares_of_long(edges: list[tuple[int, int, tuple[int, ...]]], size: int, chance: dict[int, float]) -> list[float]:
+def _shares_of_long(edges: list[tuple[int, int, tuple[int, ...]]], size: int, chance: list[float]) -> list[float]:
     """The chance of each edge of a word too long for plain products, by sums of logarithms."""
 
     def add(x: float, y: float) -> float:
@@ -282,43 +303,88 @@ def _shares_of_long(edges: list[tuple[int, int, tuple[int, ...]]], size: int, ch
     return [math.exp(forward[a] + w + backward[b] - forward[size]) for (a, b, _), w in zip(edges, weights)]
 
 
+class Expectation:
+    """Expected counts of pieces in words; one instance lives in each Python worker."""
+
+    def __init__(self, path: str):
+        self.lattice = Lattice(path)
+        self.automaton = Automaton(self.lattice.pieces)
+
+    def _bytes(self, char: str) -> list[int]:
+        return [self.lattice.byte_ids[b] for b in char.encode("utf-8", "surrogatepass")]
+
+    def counts(self, chance: np.ndarray, words: list[str], owner: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """Expected counts in ``COUNT_UNIT`` by language and piece; ``chance``: one row per language, ``owner``: each word's language."""
+        out = np.zeros(chance.shape, np.int64)
+        order = sorted(range(len(words)), key=lambda i: len(words[i]))
+        short = [i for i in order if len(words[i]) <= LOCKSTEP_CHARS]
+        alone = order[len(short) :]
+        for at in range(0, len(short), TOGETHER):
+            part = short[at : at + TOGETHER]
+            alone += [part[i] for i in self._together(chance, [words[i] for i in part], owner[part], times[part], out)]
+        lists: dict[int, list[float]] = {}
+        for i in alone:
+            k, word = int(owner[i]), words[i]
+            if k not in lists:
+                lists[k] = chance[k].tolist()
+            edges = self.lattice.edges(word)
+            for (_, _, ids), share in zip(edges, _shares_of_long(edges, len(word) + 1, lists[k])):
+                for piece in ids:
+                    out[k, piece] += round(share * int(times[i]) * COUNT_UNIT)
+        return out
+
+    def _together(self, chance: np.ndarray, words: list[str], owner: np.ndarray, times: np.ndarray, out: np.ndarray) -> list[int]:
+        """Add the counts of many words to ``out`` by forward and backward sums; gives back those whose sums are too small for that."""
+        edges, everyone = edges_together(self.automaton, words), np.arange(len(words))
+        of = owner[edges.word]
+        weight = chance[of, edges.piece]
+        single = np.flatnonzero(edges.piece < 0)
+        unknown, which = np.unique(edges.char[single], return_inverse=True)
+        as_bytes = [self._bytes(chr(c)) for c in unknown.tolist()]
+        if len(single):
+            weight[single] = np.array([chance[:, ids].prod(axis=1) for ids in as_bytes])[which, of[single]]
+        forward = np.zeros((int(edges.size.max()) + 1, len(words)))
+        backward = np.zeros_like(forward)
+        forward[0], backward[edges.size, everyone] = 1.0, 1.0
+        for a, b, s, e in edges.steps:
+            own = edges.word[a:b]
+            forward[e, own] += forward[s, own] * weight[a:b]
+        for a, b, s, e in reversed(edges.steps):
+            own = edges.word[a:b]
+            backward[s, own] += backward[e, own] * weight[a:b]
+        whole = forward[edges.size, everyone]
+        small = whole < _LEAST
+        share = forward[edges.start, edges.word] * weight * backward[edges.start + edges.length, edges.word] / np.where(small, 1.0, whole)[edges.word]
+        amount = np.where(small[edges.word], 0.0, np.rint(share * times[edges.word] * COUNT_UNIT))
+        known = edges.piece >= 0
+        out += np.bincount((of * out.shape[1] + edges.piece)[known], amount[known], out.size).astype(np.int64).reshape(out.shape)
+        for ids, own in zip(as_bytes, np.bincount(which * len(out) + of[single], amount[single], len(unknown) * len(out)).astype(np.int64).reshape(-1, len(out))):
+            for i in ids:
+                out[:, i] += own
+        return np.flatnonzero(small).tolist()
+
+
+def _maximise(path: str, languages: list[str], size: int, expect: Callable[[np.ndarray], np.ndarray], rounds: int = ROUNDS) -> LanguageModel:
+    """Rounds from equal piece probabilities; ``expect(chance)`` gives the expected counts of all words in ``COUNT_UNIT``."""
+    chance, counts, total = np.full((len(languages), size), 1.0 / size), np.zeros((len(languages), size)), np.full(len(languages), SMOOTHING * size)
+    for _ in range(rounds if languages else 0):
+        counts = expect(chance) / COUNT_UNIT
+        total = counts.sum(axis=1) + SMOOTHING * size
+        chance = (counts + SMOOTHING) / total[:, None]
+    ids = np.flatnonzero((counts > 0).any(axis=0))
+    return LanguageModel(path, languages, ids.astype(np.int64), chance[:, ids].T.copy(), SMOOTHING / total)
+
+
 def fit_words(path: str, counts: dict[str, dict[str, int]], rounds: int = ROUNDS) -> LanguageModel:
-    """Expectation maximisation from equal piece probabilities; ``counts``: language to word to count."""
-    lattice, languages = Lattice(path), sorted(counts)
-    edges: dict[str, list] = {}
-    for words in counts.values():
-        for word in words:
-            if word not in edges:
-                edges[word] = lattice.edges(word)
-    fitted = []
-    for language in languages:
-        chance: dict[int, float] = defaultdict(lambda: 1.0 / lattice.size)
-        for _ in range(rounds):
-            expected: dict[int, float] = defaultdict(float)
-            for word, times in counts[language].items():
-                own, size = edges[word], len(word) + 1
-                weights = [math.prod(chance[i] for i in ids) for _, _, ids in own]
-                forward, backward = [1.0, *[0.0] * size], [*[0.0] * size, 1.0]
-                for (a, b, _), w in zip(own, weights):
-                    forward[b] += forward[a] * w
-                for (a, b, _), w in zip(reversed(own), reversed(weights)):
-                    backward[a] += backward[b] * w
-                if forward[size] < 1e-280:
-                    shares = _shares_of_long(own, size, chance)
-                else:
-                    shares = [forward[a] * w * backward[b] / forward[size] for (a, b, _), w in zip(own, weights)]
-                for (_, _, ids), share in zip(own, shares):
-                    for i in ids:
-                        expected[i] += times * share
-            total = sum(expected.values()) + SMOOTHING * lattice.size
-            chance = defaultdict(lambda t=total: SMOOTHING / t, {i: (c + SMOOTHING) / total for i, c in expected.items()})
-        fitted.append(chance)
-    ids = sorted({i for chance in fitted for i, p in chance.items()})
-    rest = np.array([chance.default_factory() for chance in fitted])
-    return LanguageModel(path, languages, np.array(ids, np.int64), np.array([[chance[i] for chance in fitted] for i in ids]).reshape(len(ids), len(languages)), rest)
+    """Expectation maximisation on counted words in one process; ``counts``: language to word to count."""
+    own, languages = Expectation(path), sorted(counts)
+    rows = [(k, word, n) for k, lang in enumerate(languages) for word, n in counts[lang].items()]
+    owner, times = np.array([r[0] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
+    return _maximise(path, languages, own.lattice.size, lambda chance: own.counts(chance, [r[1] for r in rows], owner, times), rounds)
 
 
 def _word_counts(docs: DataFrame) -> DataFrame:
+    """lang, word and n of all words of all documents."""
     schema = StructType([StructField("lang", StringType()), StructField("word", StringType()), StructField("n", LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,33 +392,71 @@ def _word_counts(docs: DataFrame) -> DataFrame:
 
         release_held()
         arrow = to_arrow_schema(schema)
-        for part, texts in text_slices(batches):
-            counts: dict[tuple[str, str], int] = defaultdict(int)
-            for lang, text in zip(part["lang"].to_pylist(), texts, strict=True):
-                for word in words_of(text or ""):
-                    counts[lang, word] += 1
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], schema=arrow)
+        for part in batch_slices(batches):
+            chunks, codes, offsets = chunk_table(part["text"])
+            parts = part_table(chunks, lower=True)
+            langs = part["lang"].dictionary_encode()
+            base, size = len(parts.letters) + len(parts.marks), len(parts.letters) + len(parts.marks) + len(parts.others)
+            keys, times = np.unique(np.repeat(langs.indices.to_numpy().astype(np.int64), np.diff(offsets)) * size + parts.first[codes], return_counts=True)
+            lang, own = keys // size, keys % size
+            plain = own < len(parts.letters)
+            words, owners, n = [parts.letters[i] for i in own[plain].tolist()], lang[plain].tolist(), times[plain].tolist()
+            for k, i, count in zip(lang[~plain].tolist(), own[~plain].tolist(), times[~plain].tolist()):
+                found = words_of(parts.others[i - base])
+                words += found
+                owners += [k] * len(found)
+                n += [count] * len(found)
+            yield pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(owners, pa.int64())).cast(pa.string()), pa.array(words, pa.string()), pa.array(n, pa.int64())], schema=arrow)
 
     return map_arrow(docs.select("lang", "text"), run, schema).groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, train: Column, path: str, sample_docs: int = SAMPLE_DOCS) -> LanguageModel:
-    """Fit on about ``sample_docs`` documents per language of those in ``train``, picked by a hash of doc_id and text."""
-    return _fit(docs, train, path, sample_docs)[0]
+def _expected(words: DataFrame, path: str, languages: list[str], chance: np.ndarray) -> np.ndarray:
+    """One round over all counted words; at most one sum per language and piece reaches the driver."""
+    schema = StructType([StructField("owner", IntegerType()), StructField("piece", IntegerType()), StructField("n", LongType())])
+    sent = words.sparkSession.sparkContext.broadcast((languages, chance))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = held(("expectation", path), lambda: Expectation(path))
+        names, table = sent.value
+        sums, names = np.zeros(table.shape, np.int64), pa.array(names, pa.string())
+        for batch in batches:
+            owner = pc.index_in(batch["lang"].cast(pa.string()), names).to_numpy(zero_copy_only=False).astype(np.int64)
+            sums += own.counts(table, batch["word"].to_pylist(), owner, batch["n"].to_numpy())
+        owner, piece = np.nonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(owner.astype(np.int32)), pa.array(piece.astype(np.int32)), pa.array(sums[owner, piece])], names=["owner", "piece", "n"])
+
+    found = map_arrow(words, run, schema).groupBy("owner", "piece").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(chance.shape)
+    out[found["owner"].to_numpy(), found["piece"].to_numpy()] = found["n"].to_numpy()
+    sent.unpersist()
+    return out
+
+
+def _training(docs: DataFrame, train: Column) -> DataFrame:
+    return docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
+
 
+def fit(docs: DataFrame, train: Column, path: str) -> LanguageModel:
+    """Fit on the words of all labelled documents in ``train``."""
+    words = materialize(_word_counts(_training(docs, train)), "language-words")
+    languages = sorted(r["lang"] for r in words.select("lang").distinct().collect())
+    return _maximise(path, languages, Lattice(path).size, lambda chance: _expected(words, path, languages, chance))
 
-def fit_with_floors(docs: DataFrame, train: Column, path: str, sample_docs: int = SAMPLE_DOCS) -> tuple[LanguageModel, np.ndarray]:
-    """The model, and the least log probability for each character that a text of each language has."""
-    model, sample = _fit(docs, train, path, sample_docs)
-    if sample is None or not model.languages:
-        return model, np.zeros(len(model.languages))
-    found = {r["lang"]: (r["mean"], r["spread"]) for r in _rates(sample, model).groupBy("lang").agg(F.avg("rate").alias("mean"), F.stddev_pop("rate").alias("spread")).collect()}
+
+def fit_with_floors(docs: DataFrame, train: Column, path: str) -> tuple[LanguageModel, np.ndarray]:
+    """The model, and the least log probability for each character that a text of each language has, by all labelled documents in ``train``."""
+    model = fit(docs, train, path)
+    if not model.languages:
+        return model, np.zeros(0)
+    rates = _rates(_training(docs, train), model).groupBy("lang").agg(F.avg("rate").alias("mean"), F.stddev_pop("rate").alias("spread"))
+    found = {r["lang"]: (r["mean"], r["spread"]) for r in rates.collect()}
     return model, np.array([mean - SPREADS * max(spread, LEAST_SPREAD) for mean, spread in (found[lang] for lang in model.languages)])
 
 
-def _rates(sample: DataFrame, model: LanguageModel) -> DataFrame:
+def _rates(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """lang and rate (log probability for each character in that language) of every text with words."""
-    sent = send(sample, model)
+    sent = send(docs, model)
     schema = StructType([StructField("lang", StringType()), StructField("rate", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,24 +467,7 @@ def _rates(sample: DataFrame, model: LanguageModel) -> DataFrame:
             rates = [(lang, row[at[lang]] / n) for lang, row, n in zip(part["lang"].to_pylist(), scores, chars.tolist(), strict=True) if n and lang in at]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rates], pa.string()), pa.array([r[1] for r in rates], pa.float64())], names=["lang", "rate"])
 
-    return map_arrow(sample.select("lang", "text"), run, schema)
-
-
-def _fit(docs: DataFrame, train: Column, path: str, sample_docs: int) -> tuple[LanguageModel, DataFrame | None]:
-    labelled = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    per_language = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not per_language:
-        return fit_words(path, {}), None
-    pick = F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(1 << 30))
-    cut = F.lit(0)
-    for lang, n in sorted(per_language.items()):
-        cut = F.when(F.col("lang") == lang, F.lit(int(min(1.0, sample_docs / n) * (1 << 30)))).otherwise(cut)
-    # rows that repeat an id and its text count once, so the sample stays bounded
-    sample = materialize(labelled.where(pick < cut).select("doc_id", "lang", "text").dropDuplicates(), "language-sample")
-    counts: dict[str, dict[str, int]] = {lang: {} for lang in per_language}
-    for r in _word_counts(sample).collect():
-        counts[r["lang"]][r["word"]] = r["n"]
-    return fit_words(path, {lang: words for lang, words in counts.items() if words}), sample
+    return map_arrow(docs.select("lang", "text"), run, schema)
 
 
 def verdicts(model: LanguageModel, scores: np.ndarray, words: np.ndarray) -> list[tuple[str, float]]:
