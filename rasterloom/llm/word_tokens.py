@@ -2,9 +2,11 @@
 
 The tokenizer drops white space and never joins across it, so the ids of a text
 are those of its chunks between spaces.  A chunk of plain letters with
-punctuation behind them is put together from these two parts.  The parts that a
-slice of texts brings anew go through the library in few calls, set apart by a
-control character that has an id of its own.
+punctuation behind them is put together from these two parts.  New parts of
+plain letters are one word to the tokenizer, so they go to the library's model
+as its own normalizer and pre-tokenizer would hand them over; these are asked
+once for every letter.  Other new parts of a slice of texts go through the whole
+tokenizer in few calls, set apart by a control character that has an id of its own.
 """
 
 from __future__ import annotations
@@ -13,8 +15,9 @@ import os
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-from rasterloom.llm.chunks import chunk_table, gather, join_parts, part_table
+from rasterloom.llm.chunks import LOWER_LETTERS, chunk_table, gather, join_parts, part_table
 from rasterloom.llm.common import held
 
 CACHED_PARTS = 250_000
@@ -33,8 +36,42 @@ class WordTokens:
         self.library = Tokenizer.from_file(path)
         found = self.library.encode(SEPARATOR, add_special_tokens=False).ids
         self._mark = found[0] if len(found) == 1 else None
+        self._model = self.library.model
+        self._spelling = self._spellings()
         self._known: dict[str, bytes] = {"": b""}
 
+    def _spellings(self) -> dict[int, str] | None:
+        """What the model gets for each plain letter; None where a run of letters is not one word, letter by letter."""
+
+        def words(text: str) -> list[str]:
+            if self.library.normalizer is not None:
+                text = self.library.normalizer.normalize_str(text)
+            return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
+
+        if self.library.pre_tokenizer is None:
+            return None
+        own = {c: words(c) for c in LOWER_LETTERS}
+        if any(len(w) != 1 for w in own.values()):
+            return None
+        for run in (LOWER_LETTERS, LOWER_LETTERS[::-1]):
+            if words(run) != ["".join(own[c][0] for c in run)]:
+                return None
+        return {ord(c): w for c, (w,) in own.items()}
+
+    def _encode_letters(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of distinct words of plain letters."""
+        if self._spelling is None:
+            return self._encode_new(words)
+        tokenize, spelling = self._model.tokenize, self._spelling
+        coded = [[t.id for t in tokenize(w if w.isascii() else w.translate(spelling))] for w in words]
+        raw = np.array([i for ids in coded for i in ids], np.uint32).tobytes()
+        out, at = {}, 0
+        for word, ids in zip(words, coded):
+            end = at + 4 * len(ids)
+            out[word] = raw[at:end]
+            at = end
+        return out
+
     def _direct(self, part: str) -> bytes:
         return np.asarray(self.library.encode(part, add_special_tokens=False).ids, np.uint32).tobytes()
 
@@ -54,11 +91,13 @@ class WordTokens:
             out.update((part, raw[cuts[i] + 4 : cuts[i + 1]]) for i, part in enumerate(call))
         return out
 
-    def encode_parts(self, parts: list[str]) -> list[bytes]:
+    def encode_parts(self, parts: list[str], letters: int = 0) -> list[bytes]:
+        """The ids of distinct parts, of which the first ``letters`` are words of plain small letters."""
         known = self._known
         out = list(map(known.get, parts))
         if None in out:
-            new = self._encode_new([p for p, ids in zip(parts, out) if ids is None])
+            new = self._encode_letters([p for p, ids in zip(parts[:letters], out) if ids is None])
+            new |= self._encode_new([p for p, ids in zip(parts[letters:], out[letters:]) if ids is None])
             if len(known) + len(new) > CACHED_PARTS:
                 known.clear()
                 known[""] = b""
@@ -68,9 +107,10 @@ class WordTokens:
 
     def encode_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids (unsigned 32-bit), and each text's number of ids; a null text counts as empty."""
-        chunks, codes, offsets = chunk_table(texts)
+        # line ends are white space like spaces
+        chunks, codes, offsets = chunk_table(pc.replace_substring(texts, "\n", " "))
         parts = part_table(chunks, lower=True)
-        ids = self.encode_parts([*parts.letters, *parts.marks, *parts.others, ""])
+        ids = self.encode_parts([*parts.letters, *parts.marks, *parts.others, ""], len(parts.letters))
         return gather(ids, join_parts(parts, codes, len(ids) - 1), 2 * offsets)
 
 

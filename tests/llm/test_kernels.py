@@ -207,3 +207,22 @@ def test_base_spans_and_lexing():
     assert secret_scan.redact('token = "f3ef4d6b2755a36d7d9c25bd72c4d5f6"') == 'token = "[SECRET]"'
     assert secret_scan.redact("He said: the password is long gone.") == "He said: the password is long gone."
     assert secret_scan.redact(None) is None
+
+
+def test_new_words_of_letters_pass_by_the_normalizer(monkeypatch):
+    """Plain letters need the tokenizer's model alone, line ends part chunks like spaces, and the ids stay the library's."""
+    import pyarrow as pa
+
+    from rasterloom.llm import word_tokens
+
+    tokens = word_tokens.WordTokens(public_tokenizers.path("word_bpe_49k.json"))
+    rng = np.random.default_rng(12)
+    some = ["".join(rng.choice(list("etaoinshrdluÉéßÿæñøþð"), rng.integers(1, 30))) for _ in range(400)]
+    texts = [" ".join(some), "\n".join(some), "It's\ńa the'll\n\n'S don'T <|endoftext|>end\nx́ ÷ × ªº µ " + "é" * 200 + " ΑΣ\nΣ ß\r\nà-la\tcarte", None, "", "\n", "q" * 3000]
+    want = [tokens.library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    through = []
+    inner = tokens._encode_new
+    monkeypatch.setattr(tokens, "_encode_new", lambda parts: through.extend(parts) or inner(parts))
+    ids, counts = tokens.encode_texts(pa.array(texts))
+    assert [a.tolist() for a in np.split(ids, np.cumsum(counts)[:-1])] == want
+    assert not set(through) & {w.lower() for w in some}
