@@ -42,7 +42,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import groupby
+from itertools import compress
 from typing import NamedTuple
 
 import numpy as np
@@ -77,6 +77,8 @@ _WILD = frozenset("*#")
 _EDGE = ".,;:?\"'()[]{}«»„“”"
 _LETTER_RUN = re.compile(r"[^\W\d_]+")
 _WILD_RUN = re.compile(r"[*#]{2,}")
+#: White space other than single spaces, for Arrow's expressions.
+_GAPS = r"[\t\n\f\r ]{2,}|[\t\n\f\r]"
 _TWICE = re.compile(r"(.)\1+")
 #: Combining marks, letter-like and enclosed signs, full-width and mathematical letters: what compatible forms replace.
 _VARIANTS = r"[\x{300}-\x{36f}\x{2100}-\x{214f}\x{2460}-\x{24ff}\x{ff00}-\x{ffef}\x{1d400}-\x{1d7ff}]"
@@ -105,6 +107,16 @@ def fold(text: str) -> str:
     return text.lower() if text.isascii() else unicodedata.normalize("NFKC", text).lower().translate(_FOLDS)
 
 
+def _fold_words(words: list[str]) -> list[str]:
+    """Small words of plain letters without marks, all at once."""
+    joined = " ".join(words)
+    for char in set(joined):
+        plain = _FOLDS.get(ord(char))
+        if plain is not None:
+            joined = joined.replace(char, plain)
+    return joined.split(" ") if words else []
+
+
 def compatible(texts: pa.Array) -> pa.Array:
     """The texts, with the compatible forms of the characters of those that hold variants."""
     found = pc.match_substring_regex(texts, _VARIANTS)
@@ -137,6 +149,23 @@ def gram_counts(words: list[str], times: np.ndarray, into: np.ndarray) -> None:
     into += np.bincount(keys[inside], weight[inside], SYMBOLS**4)
 
 
+def _latin_words(texts: pa.Array) -> tuple[list[str], np.ndarray]:
+    """The folded words of a to z of all texts with how often they stand there; a word may come several times."""
+    # line ends part words like spaces
+    chunks, codes, _ = chunk_table(pc.replace_substring(texts, "\n", " "))
+    parts = part_table(chunks, lower=True)
+    times = np.bincount(parts.first[codes], minlength=len(parts.letters) + len(parts.marks) + len(parts.others))
+    # chunks of plain letters are words; all others are searched for them
+    words = _fold_words(parts.letters)
+    weights = times[: len(words)].tolist()
+    for chunk, n in zip(parts.others, times[len(words) + len(parts.marks) :].tolist()):
+        found = _LETTER_RUN.findall(fold(chunk))
+        words += found
+        weights += [n] * len(found)
+    latin = list(map(str.isascii, words))
+    return list(compress(words, latin)), np.array(list(compress(weights, latin)), float)
+
+
 def count_grams(docs: DataFrame) -> np.ndarray:
     """Four-grams of all words of all documents; at most ``SYMBOLS`` ** 4 sums reach the driver."""
     schema = StructType([StructField("gram", IntegerType()), StructField("n", DoubleType())])
@@ -145,21 +174,8 @@ def count_grams(docs: DataFrame) -> np.ndarray:
         release_held()
         sums = np.zeros(SYMBOLS**4)
         for part in batch_slices(batches):
-            chunks, codes, _ = chunk_table(part["text"])
-            parts = part_table(chunks, lower=True)
-            size = len(parts.letters) + len(parts.marks) + len(parts.others)
-            times = np.bincount(parts.first[codes], minlength=size)
-            # chunks of plain letters are words; all others are searched for them
-            letters = pa.array(parts.letters, pa.string())
-            plain = pc.string_is_ascii(letters).to_numpy(zero_copy_only=False)
-            words, weights = letters.filter(pa.array(plain)).to_pylist(), times[: len(plain)][plain].tolist()
-            rest = [*zip(letters.filter(pa.array(~plain)).to_pylist(), times[: len(plain)][~plain].tolist()), *zip(parts.others, times[len(plain) + len(parts.marks) :].tolist())]
-            for chunk, n in rest:
-                for word in _LETTER_RUN.findall(fold(chunk)):
-                    if word.isascii():
-                        words.append(word)
-                        weights.append(n)
-            gram_counts(words, np.array(weights, float), sums)
+            words, weights = _latin_words(part["text"])
+            gram_counts(words, weights, sums)
         found = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(sums[found])], names=["gram", "n"])
 
@@ -249,6 +265,8 @@ def _outputs(char: str, times: int) -> list[tuple[str, float]]:
 #: A letter less must make a word so much likelier before a repeated letter is taken for one.
 _COLLAPSE = math.log(0.93 / 0.07)
 _CHANNEL: dict[tuple[str, int], list] = {}
+#: Symbols of single letters, which stand for themselves alone.
+_PLAIN = {chr(c): c - 96 for c in range(97, 123)}
 
 
 def _channel(char: str, times: int) -> list:
@@ -264,23 +282,38 @@ def _channel(char: str, times: int) -> list:
 def decode(written: str, characters: Characters) -> str:
     """The likeliest intended text, in a to z: Viterbi over the lattice of the text's runs, with the last three symbols as state; wild signs side by side are one run."""
     table, written = characters.table, written.lower()
-    best: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
+    #: A context alone is kept apart from the others, as that is the usual case.
+    context, score, path, best = 0, 0.0, None, None
     if "*#" in written or "#*" in written:
         written = _WILD_RUN.sub(lambda m: m[0][0] * len(m[0]), written)
-    for char, run in groupby(written):
-        reached: dict[int, tuple[float, tuple | None]] = {}
-        choices = _channel(char, len(list(run)))
-        if len(choices) == 1 and len(choices[0][0]) == 1 and choices[0][0][0] != BEHIND:
+    at_char, size = 0, len(written)
+    while at_char < size:
+        char, begin = written[at_char], at_char
+        at_char += 1
+        while at_char < size and written[at_char] == char:
+            at_char += 1
+        symbol = _PLAIN.get(char) if at_char == begin + 1 else None
+        if symbol is not None and best is None:
             # a letter that stands for itself
-            (symbol,), _, text = choices[0]
+            at = context * SYMBOLS + symbol
+            context, score, path = at % _CONTEXTS, score + table[at], (path, char)
+            continue
+        if best is None:
+            best = {context: (score, path)}
+        reached: dict[int, tuple[float, tuple | None]] = {}
+        if symbol is not None:
             for context, (score, path) in best.items():
                 at = context * SYMBOLS + symbol
                 total, now = score + table[at], at % _CONTEXTS
                 old = reached.get(now)
                 if old is None or total > old[0]:
-                    reached[now] = (total, (path, text))
+                    reached[now] = (total, (path, char))
             best = reached
+            if len(best) == 1:
+                ((context, (score, path)),) = best.items()
+                best = None
             continue
+        choices = _channel(char, at_char - begin)
         if len(best) * len(choices) > BEAM:
             best = dict(heapq.nlargest(max(1, BEAM // len(choices)), best.items(), key=lambda x: x[1][0]))
         for context, (score, path) in best.items():
@@ -299,6 +332,10 @@ def decode(written: str, characters: Characters) -> str:
                 if old is None or total > old[0]:
                     reached[now] = (total, (path, text) if text else path)
         best = reached
+        if len(best) == 1:
+            ((context, (score, path)),) = best.items()
+            best = None
+    best = {context: (score, path)} if best is None else best
     _, path = max(((score + (table[context * SYMBOLS + BEHIND] if context else 0.0), path) for context, (score, path) in best.items()), key=lambda x: x[0])
     out = []
     while path is not None:
@@ -347,12 +384,12 @@ class Restorer:
 
     def _letters(self, words: pa.Array) -> tuple[np.ndarray, dict[int, tuple[str, ...]]]:
         """The kinds of chunks of letters, and the restored words of those that stand for others."""
-        folded = words.to_pylist()
+        folded = words.to_numpy(zero_copy_only=False).tolist()
         marked = np.flatnonzero(~pc.string_is_ascii(words).to_numpy(zero_copy_only=False)).tolist()
         lowered = {i: folded[i] for i in marked}
         latin, length = np.ones(len(folded), bool), pc.utf8_length(words).to_numpy(zero_copy_only=False).copy()
-        for i in marked:
-            own = folded[i] = folded[i].translate(_FOLDS)
+        for i, own in zip(marked, _fold_words([folded[i] for i in marked])):
+            folded[i] = own
             latin[i], length[i] = own.isascii(), len(own)
         chance, doubtful = np.zeros(len(folded)), np.zeros(len(folded), bool)
         chance[latin], doubtful[latin] = self.characters.check(folded if latin.all() else [w for w, own in zip(folded, latin.tolist()) if own])
@@ -381,7 +418,7 @@ class Restorer:
         return kind, ()
 
     def _read(self, texts: pa.Array) -> Read:
-        chunks, codes, offsets = chunk_table(pc.replace_substring_regex(compatible(pc.fill_null(texts, "").cast(pa.large_string())), r"\s+", " "))
+        chunks, codes, offsets = chunk_table(pc.replace_substring_regex(compatible(pc.fill_null(texts, "").cast(pa.large_string())), _GAPS, " "))
         parts = part_table(chunks, lower=True)
         letters = pa.array(parts.letters, pa.string())
         kinds, restored = self._letters(letters)
@@ -395,14 +432,15 @@ class Restorer:
         edge = np.diff(np.concatenate([[0], inside.astype(np.int8), [0]]))
         edge[offsets[:-1][offsets[:-1] < len(codes)]] |= inside[offsets[:-1][offsets[:-1] < len(codes)]]
         begins = np.flatnonzero(edge[:-1] > 0 if len(codes) else edge)
-        names, stretches = chunks.to_pylist() if len(begins) else [], []
+        names, stretches = pc.utf8_lower(chunks).to_numpy(zero_copy_only=False).tolist() if len(begins) else [], []
         owners = (np.searchsorted(offsets, begins, side="right") - 1).tolist()
+        stops = np.append(~inside, True)
+        stops[offsets] = True
+        stops = np.flatnonzero(stops)
+        ends = stops[np.searchsorted(stops, begins, side="right")].tolist()
         known: dict[str, str] = {}
-        for a, doc in zip(begins.tolist(), owners):
-            b, end = a + 1, int(offsets[doc + 1])
-            while b < end and inside[b]:
-                b += 1
-            written = [names[c].lower() for c in codes[a:b].tolist()]
+        for a, b, doc in zip(begins.tolist(), ends, owners):
+            written = [names[c] for c in codes[a:b].tolist()]
             cores = tuple(core for w in written if (core := w.strip(_EDGE)))
             known |= {fold(core): core for core in cores}
             stretches.append((doc, cores, self.restored[" ".join(written)]))

@@ -150,3 +150,38 @@ def test_a_group_of_copies_gives_no_words(spark):
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(600)], "doc_id long, toxic int")
     lexicon = toxicity.fit(docs, labels, F.lit(True)).lexicon
     assert "idiot" in lexicon and not set(own) & set(lexicon)
+
+
+def test_letters_that_stand_for_themselves_need_no_channel(monkeypatch):
+    """Only runs, signs and marks ask the channel; what is read stays the likeliest, by all readings written out."""
+    from itertools import groupby, product
+
+    import numpy as np
+    import pyarrow as pa
+
+    sums = np.zeros(toxicity.SYMBOLS**4)
+    toxicity.gram_counts(["the", "idiot", "idea", "tool", "total", "loser", "be"], np.array([9.0, 5, 4, 3, 3, 5, 6]), sums)
+    model = toxicity.Characters(toxicity.fit_characters(sums))
+
+    def chance(text):
+        return sum(map(model.word, text.split()))
+
+    asked, inner = [], toxicity._channel
+    monkeypatch.setattr(toxicity, "_channel", lambda char, times: asked.append(char) or inner(char, times))
+    for written in ("the idiot", "1d1ot", "l.o.s.e.r", "tooll be", "idé@", "t o", "be", ""):
+        asked.clear()
+        got = toxicity.decode(written, model)
+        runs = [(c, len(list(g))) for c, g in groupby(written)]
+        assert asked == [c for c, n in runs if n > 1 or not "a" <= c <= "z"]
+        readings = [("".join(o[2] for o in chosen), sum(o[1] for o in chosen)) for chosen in product(*(inner(c, n) for c, n in runs))]
+        best = max(cost + chance(text) for text, cost in readings)
+        assert any(text.split() == got.split() and abs(cost + chance(text) - best) < 1e-6 for text, cost in readings)
+
+    texts = ["Straße, Ærø ðþ\nœuvre n\ń ÀÉ the\n\nend", "ﬁn\n\nＡＢ x", None, ""]
+    counted, alone = np.zeros(toxicity.SYMBOLS**4), np.zeros(toxicity.SYMBOLS**4)
+    toxicity.gram_counts(*toxicity._latin_words(pa.array(texts)), counted)
+    for text in texts:
+        for word in toxicity._LETTER_RUN.findall(toxicity.fold(text or "")):
+            if word.isascii():
+                toxicity.gram_counts([word], np.ones(1), alone)
+    assert (counted == alone).all()
