@@ -114,16 +114,15 @@ def bilateral(pixels: DataFrame, channels: list[str], rounds: list[tuple[float,
 # --- components -----------------------------------------------------------------------------------------------------
 
 
-def components(pixels: DataFrame, label: str = "p", connectivity: int = 4, side: int = SIDE) -> DataFrame:
-    """The pixels with ``component``: the smallest ``y * width + x`` of the pixels of equal label that are connected.
+def _tile_components(pixels: DataFrame, label: str, connectivity: int, side: int, **flags: Column) -> tuple[DataFrame, DataFrame]:
+    """The pixels with their tile and its component ``_local``, and each tile's components with ``_root``, the smallest ``_local`` that they are connected with over seams, and ``flags``: aggregates over their pixels.
 
-    Every tile labels its own components.  Only pixels at seams meet: their pairs
-    make a graph of components, which is contracted; one join by component gives
-    the tiles the numbers.  A large background is one node in each tile.
+    Tables with a row a pixel or a component are joined by sorting: their Parquet
+    files are far smaller than their rows, so Spark would take them for small and
+    have the driver send them out whole.
     """
     names = [f for f in pixels.schema.fields if f.name not in ("_ty", "_tx", "_local", "component")]
     rows = pixels.select([f.name for f in names])
-    widths = rows.groupBy("image_id").agg((F.max("x") + 1).cast("long").alias("_width"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in names) + ", _ty int, _tx int, _local long"
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
@@ -136,7 +135,6 @@ def components(pixels: DataFrame, label: str = "p", connectivity: int = 4, side:
         np.minimum.at(first, ids, place)
         return group.assign(_local=first[ids])
 
-    named = [f.name for f in names]
     local = materialize(rows.select("*", *tile_of(side)).groupBy(*KEY).applyInPandas(run, schema), "tile-components")
     seam = local.where((F.col("y") % side).isin(0, side - 1) | (F.col("x") % side).isin(0, side - 1)).select("image_id", "x", "y", "_ty", "_tx", F.col(label).alias("p"), "_local")
     # only right and lower neighbours are looked for, each once
@@ -144,13 +142,26 @@ def components(pixels: DataFrame, label: str = "p", connectivity: int = 4, side:
     ahead = seam.select("image_id", "_ty", "_tx", "p", "_local", F.explode(F.array(*[F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y")) for dx, dy in steps])).alias("at"))
     ahead = ahead.select("image_id", F.col("at.x").alias("x"), F.col("at.y").alias("y"), "p", F.col("_local").alias("a"), F.col("_ty").alias("from_y"), F.col("_tx").alias("from_x"))
     ahead = ahead.where((F.floor(F.col("y") / side) != F.col("from_y")) | (F.floor(F.col("x") / side) != F.col("from_x")))
-    pairs = ahead.join(seam.select("image_id", "x", "y", "p", F.col("_local").alias("b")), ["image_id", "x", "y", "p"]).select("image_id", "a", "b").distinct()
-    joined = contract(pairs)
+    met = seam.select("image_id", "x", "y", "p", F.col("_local").alias("b")).hint("merge")
+    joined = contract(ahead.join(met, ["image_id", "x", "y", "p"]).select("image_id", "a", "b").distinct())
     # one row for each component of a tile takes part in the join; pixels get theirs by tile
-    heads = local.select(*KEY, "_local").distinct().join(joined.withColumnRenamed("node", "_local"), ["image_id", "_local"], "left")
-    heads = heads.select(*KEY, "_local", F.coalesce("component", "_local").alias("_at")).join(widths, "image_id")
-    number = (F.shiftright("_at", 32) * F.col("_width") + F.col("_at").bitwiseAND(0xFFFFFFFF)).alias("component")
-    return local.join(heads.select(*KEY, "_local", number), [*KEY, "_local"]).select(*named, "component")
+    heads = local.groupBy(*KEY, "_local").agg(*[c.alias(f) for f, c in flags.items()]) if flags else local.select(*KEY, "_local").distinct()
+    heads = heads.join(joined.withColumnRenamed("node", "_local").hint("merge"), ["image_id", "_local"], "left")
+    return local, heads.select(*KEY, "_local", F.coalesce("component", "_local").alias("_root"), *flags)
+
+
+def components(pixels: DataFrame, label: str = "p", connectivity: int = 4, side: int = SIDE) -> DataFrame:
+    """The pixels with ``component``: the smallest ``y * width + x`` of the pixels of equal label that are connected.
+
+    Every tile labels its own components.  Only pixels at seams meet: their pairs
+    make a graph of components, which is contracted; one join by component gives
+    the tiles the numbers.  A large background is one node in each tile.
+    """
+    local, heads = _tile_components(pixels, label, connectivity, side)
+    widths = local.groupBy("image_id").agg((F.max("x") + 1).cast("long").alias("_width"))
+    number = (F.shiftright("_root", 32) * F.col("_width") + F.col("_root").bitwiseAND(0xFFFFFFFF)).alias("component")
+    numbers = heads.join(widths, "image_id").select(*KEY, "_local", number)
+    return local.join(numbers.hint("merge"), [*KEY, "_local"]).select(*[c for c in local.columns if c not in ("_ty", "_tx", "_local")], "component")
 
 
 def connected_regions(pixels: DataFrame, label: str = "p", connectivity: int = 4, side: int = SIDE) -> DataFrame:
@@ -227,10 +238,12 @@ def canny(pixels: DataFrame, value: str, sigma: float, low: float, high: float,
     graded = map_tiles(pixels, lambda a, _: dict(zip(("crest", "size"), kernels.crests(a[value].astype(float), sigma))), [value], int(4.0 * sigma + 0.5) + 2, "crest boolean, size double", side)
     inner = (F.col("x") > 0) & (F.col("y") > 0) & (F.col("x") < F.col("_right")) & (F.col("y") < F.col("_low"))
     marked = graded.join(sides, "image_id").select("image_id", "x", "y", (F.col("crest") & inner & (F.col("size") >= low)).alias("weak"), (F.col("crest") & inner & (F.col("size") >= high)).alias("strong"))
-    weak = materialize(components(marked.where("weak"), "weak", 8, side), "weak-crests")
-    strong = weak.where("strong").select("image_id", "component").distinct()
-    kept = weak.join(strong, ["image_id", "component"], "left_semi").select("image_id", "x", "y", F.lit(True).alias(out))
-    return pixels.select("image_id", "x", "y").join(kept, ["image_id", "x", "y"], "left").withColumn(out, F.coalesce(out, F.lit(False)))
+    local, heads = _tile_components(marked.where("weak"), "weak", 8, side, _strong=F.bool_or("strong"))
+    heads = materialize(heads, "crest-components")
+    strong = heads.where("_strong").select("image_id", "_root").distinct()
+    wanted = heads.join(strong.hint("merge"), ["image_id", "_root"], "left_semi").select(*KEY, "_local")
+    kept = local.join(wanted.hint("merge"), [*KEY, "_local"], "left_semi").select("image_id", "x", "y", F.lit(True).alias(out))
+    return pixels.select("image_id", "x", "y").join(kept.hint("merge"), ["image_id", "x", "y"], "left").withColumn(out, F.coalesce(out, F.lit(False)))
 
 
 def thinned(pixels: DataFrame, mask: str, out: str = "thin", side: int = SIDE) -> DataFrame:

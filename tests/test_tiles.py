@@ -1,5 +1,6 @@
 """Tiles with margins, seams, parallel merging and list ranking against whole-image kernels."""
 
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -208,3 +209,19 @@ def test_contraction(spark):
             if a != b:
                 least[i, a] = least[i, b] = min(least[i, a], least[i, b])
     assert found == least
+
+
+def test_only_rows_of_images_are_sent_out_whole(spark, monkeypatch):
+    """Files of pixels are small for their rows; joins of pixels and components must not leave them to the driver."""
+    plans = []
+
+    def kept(rows, name, write=tiles.materialize):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return write(rows, name)
+
+    for module in (tiles, graph):
+        monkeypatch.setattr(module, "materialize", kept)
+    noise = spark.range(2 * 64 * 64).select(F.floor(F.col("id") / 4096).cast("int").alias("image_id"), (F.col("id") % 64).cast("int").alias("x"), (F.floor(F.col("id") / 64) % 64).cast("int").alias("y"), F.rand(3).alias("v"))
+    plans.append(tiles.canny(noise, "v", 1.05, 0.01, 0.05, SIDE)._jdf.queryExecution().executedPlan().toString())
+    keys = [re.search(r"HashedRelationBroadcastMode\((List\(.*?)\),?\s*(?:false|true)", line) for plan in plans for line in plan.splitlines() if "BroadcastExchange" in line]
+    assert len(plans) > 5 and [k and k[1] for k in keys if not k or k[1].count("input[") != 1 or "input[0, int" not in k[1]] == []
